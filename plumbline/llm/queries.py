@@ -5,13 +5,31 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, exact_dedup, near_dedup, packing
+from plumbline.llm import bpe, exact_dedup, near_dedup, packing, url_rules, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.written_archive(_table(spark, sf_dir, "pages"))
+    return warc.records(archive, warc.captures_of(archive))
+
+
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+#: host, path, verdict
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_rules.judged(_table(spark, sf_dir, "pages"), rules)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +47,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_capture_index": op1_warc_capture_index,
+    "op2_winnowing": op2_winnowing,
+    "op4_url_rules": op4_url_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_prefix_bpe": op6_prefix_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -36,6 +57,36 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc_capture_index": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        g AS (
+            SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+                   min(page_id) OVER (PARTITION BY html) AS first,
+                   list_transform(range(8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::INTEGER) AS v
+            FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(v, lambda x: list_aggregate(list_transform([15, 10, 5, 0],
+                   lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> b) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM g
+    """,
+    "op4_url_rules": """
+        WITH r(host, path, verdict) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        s AS (
+            SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+        u AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM s),
+        f AS (
+            SELECT u.*, r.host || r.path AS rule, r.verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
+            FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1
+    """,
     "op5_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
