@@ -47,6 +47,7 @@ BLOCK, FILE_BYTES, READ_BYTES = 1000, 1 << 30, 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreservedigest/identical-payload-digest"
+_NAMES = ("key", "page_id", "url", "file", "offset", "length")
 _CAPTURES = "key string, page_id long, url string, file string, offset long, length long"
 
 
@@ -160,7 +161,7 @@ def _write_index(captures: DataFrame, folder: str, block: int) -> DataFrame:
 
         out = []
         for b in batches:
-            for x in zip(*(b.column(f).to_pylist() for f in ("key", "page_id", "url", "file", "offset", "length")), strict=True):
+            for x in zip(*(b.column(f).to_pylist() for f in _NAMES), strict=True):
                 lines.append(x)
                 if len(lines) == block:
                     out.append(closed())
@@ -217,8 +218,7 @@ def _lines(reader: _Reader, shard: str, offset: int, length: int) -> list[list]:
 
 
 def _as_columns(found: list[list]) -> dict:
-    names = [f.name for f in T.StructType.fromDDL(_CAPTURES)]
-    return {n: [x[i] for x in found] for i, n in enumerate(names)}
+    return {n: [x[i] for x in found] for i, n in enumerate(_NAMES)}
 
 
 def captures_of(archive: Archive) -> DataFrame:
