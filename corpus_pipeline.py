@@ -1,4 +1,61 @@
-STAGES = []
+"""From raw documents to packed sequences: the stages of the corpus pipeline.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
+their columns; the last returns a row for each piece of a sequence.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm import exact_dedup, language, near_dedup, packing, pii
+from plumbline.storage import written
+
+#: Documents whose best language has a lower mean posterior are rejected, as are those without a letter.
+MIN_LANGUAGE_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the CRF recognises."""
+    return language.accepted(docs, language.fitted(docs), MIN_LANGUAGE_SCORE)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that is equal but for white space."""
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of near copies."""
+    return near_dedup.deduplicated(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the names of its kinds; ``n_chars`` follows the text."""
+    return pii.redacted(docs, length_col="n_chars")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the token ids of what is left into sequences of 2048."""
+    return packing.sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Learnt models decide in the first and fourth stage, which SQL can't state.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over ``documents``; what each returns is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

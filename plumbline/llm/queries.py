@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, exact_dedup, near_dedup, packing, url_rules, warc, winnowing
+from plumbline.llm import bpe, exact_dedup, language, near_dedup, packing, pii, url_rules, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.predicted(docs, language.fitted(docs))
+
+
 #: host, path, verdict
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -46,14 +51,20 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_in(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_winnowing": op2_winnowing,
+    "op3_crf_language": op3_crf_language,
     "op4_url_rules": op4_url_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_prefix_bpe": op6_prefix_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_crf_pii": op10_crf_pii,
 }
 
 ORACLES = {
