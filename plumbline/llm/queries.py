@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, exact_dedup, language, near_dedup, packing, pii, url_rules, warc, winnowing
+from plumbline.llm import bpe, exact_dedup, language, maincontent, near_dedup, packing, pii, url_rules, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maincontent.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_url_rules": op4_url_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_prefix_bpe": op6_prefix_bpe,
+    "op7_min_cut_text": op7_min_cut_text,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_crf_pii": op10_crf_pii,
