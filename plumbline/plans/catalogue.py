@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import gating, geometry
+from plumbline.plans import gating, geometry, sync
 
-_PARTS = (geometry, gating)
+_PARTS = (geometry, gating, sync)
 
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
