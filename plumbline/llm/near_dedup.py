@@ -5,17 +5,23 @@
    represented by the smallest id and need no pairs.
 2. Inverted lists of retained values. Two sets with similarity s share a binomial
    number (k, s) of the k smallest values of their union, and all of those are in
-   both sketches. With k = 20 and s = 0.75 they share fewer than 5 with probability
-   4e-7. A document therefore enters only the lists of its (shared values - 5 + 1)
-   rarest values: by the prefix-filter argument two sketches that share 5 still
-   meet, and lists of passages that many documents quote stay short.
-3. Stars: each list's smallest document is tried against the others. Candidates
-   are linear in the lists, whatever a list's length. They pass if the sizes allow
-   the similarity and the union sketch estimates 0.3 or more (probability of
-   losing a pair at 0.75: 4e-6); then the exact Jaccard of the whole sets decides.
+   both sketches. With k = 48 and s = 0.75 they share fewer than 22 with probability
+   7e-6. A document therefore enters only the lists of its (shared values - 22 + 1)
+   rarest values: by the prefix-filter argument two sketches that share 22 still
+   meet, and texts that quote the same passages, but for less than about half of
+   themselves, mostly don't.
+3. Stars: each list's document whose values are the most common in all lists is
+   tried against the others. Candidates are linear in the lists, whatever a list's
+   length. They pass if the sizes allow the similarity and the union sketch has 22
+   of 48 values in both (the same probability); then the exact Jaccard of the whole
+   sets decides.
 4. Components of the confirmed links. Where a list still holds several components,
-   every pair of its documents from different components is tried the same way,
-   so that no link between components is lost; lists in one component make no pairs.
+   links between them may be left. For the documents of such lists the items of
+   their whole sets that another of them has are counted: similarity s needs
+   s / (1 + s) of both sizes' sum in common, so a document with fewer shared items
+   than that can't link. Every pair from different components that these counts
+   allow is tried as in 3, so no link between components is lost; edited copies too
+   far from their original have few shared items and make no pairs.
 
 Cases: null or wordless text has an empty set and links with nothing, being its
 own component. Fewer words than a shingle: the whole sequence is the one shingle.
@@ -40,7 +46,7 @@ from plumbline.llm.components import components
 from plumbline.storage import written
 
 WORDS, SIMILARITY = 5, 75
-SKETCH, SHARED, ESTIMATE = 20, 5, 0.3
+SKETCH, SHARED = 48, 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,6 +107,13 @@ def links(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> Da
     return found.filter(f"100L * both >= {similarity}L * (sum - both)").select("a", "b")
 
 
+def _shared_counts(sets: DataFrame, among: DataFrame) -> DataFrame:
+    """(id, n, m) for the ids of ``among``: their sets' sizes, and how many items another of those sets has."""
+    items = sets.join(among, "id", "left_semi").select("id", F.size("items").alias("n"), F.explode("items").alias("v"))
+    shared = written(items.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").select("v"), "shared-items")
+    return items.join(shared, "v", "left_semi").groupBy("id", "n").agg(F.count("*").alias("m"))
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: int = SIMILARITY, k: int = SKETCH, shared: int = SHARED
 ) -> DataFrame:
@@ -116,9 +129,9 @@ def near_classes(
     of_rep = Window.partitionBy("rep", "n")
     need = F.least(F.lit(shared), F.greatest(F.lit(1), F.ceil(F.col("n") * shared / k)))
     ranked = postings.join(lengths, "v").select(
-        "v", "rep", "n", F.row_number().over(of_rep.orderBy("df", "v")).alias("at"), F.count("*").over(of_rep).alias("m")
+        "v", "rep", "n", F.row_number().over(of_rep.orderBy("df", "v")).alias("at"), F.count("*").over(of_rep).alias("m"), F.sum("df").over(of_rep).alias("fame")
     )
-    lists = written(ranked.filter(F.col("at") <= F.col("m") - need + 1).select("v", "rep", "n"), "lists")
+    lists = written(ranked.filter(F.col("at") <= F.col("m") - need + 1).select("v", "rep", "n", "fame"), "lists")
 
     def tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass the union-sketch estimate and the exact check."""
@@ -126,10 +139,11 @@ def near_classes(
         of = reps.select("rep", "sketch")
         est = pairs.join(of.toDF("b", "sb"), "b").join(of.toDF("a", "sa"), "a")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-        est = est.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")) >= ESTIMATE * F.size("u"))
+        est = est.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")) >= F.lit(shared / k) * F.size("u"))
         return links(written(est.select("a", "b"), "candidates"), sets, similarity)
 
-    centres = written(lists.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1").select("v", "c"), "centres")
+    most = F.max(F.struct("fame", (-F.col("rep")).alias("order"), "rep", "n"))
+    centres = written(lists.groupBy("v").agg(most.alias("c"), F.count("*").alias("m")).filter("m > 1").select("v", "c"), "centres")
     stars = lists.join(centres, "v").filter("rep <> c.rep").filter(_sizes_fit("n", "c.n", similarity)).select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
     meeting = written(lists.join(centres.select("v"), "v", "left_semi").select(F.col("rep").alias("id")).distinct(), "meeting")
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(meeting, "id", "left_semi")
@@ -143,8 +157,11 @@ def near_classes(
     mixed = written(counts.groupBy("v").agg(F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1").select("v", F.col("big.comp").alias("big")), "mixed")
     if not mixed.isEmpty():
         inside = written(placed.join(mixed, "v"), "inside")
-        others = written(inside.filter("comp <> big"), "others").select("v", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        more = others.join(inside, "v").filter("comp <> comp2 and (comp = big or rep < r2)").filter(_sizes_fit("n", "n2", similarity))
+        enough = _shared_counts(sets, inside.select(F.col("rep").alias("id")).distinct()).filter(f"100 * m >= {similarity} * n").select(F.col("id").alias("rep"), "m")
+        inside = written(inside.join(written(enough, "enough"), "rep"), "able")
+        others = inside.filter("comp <> big").select("v", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("m").alias("m2"))
+        fit = f"{100 + similarity} * least(m, m2) >= {similarity} * (n + n2)"
+        more = written(others, "others").join(inside, "v").filter("comp <> comp2 and (comp = big or rep < r2)").filter(_sizes_fit("n", "n2", similarity)).filter(fit)
         more = written(tried(more.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")), sets), "more-links")
         if not more.isEmpty():
             of_rep = components(found.union(more))

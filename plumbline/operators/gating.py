@@ -14,12 +14,17 @@ from pyspark.sql.window import Window
 from plumbline.functions import geometry as g
 from plumbline.schemas import Params
 
-XYZ = g.vec("x", "y", "z")
-PREDICTED = g.vec("px", "py", "pz")
+
+def xyz() -> list[Column]:
+    return g.vec("x", "y", "z")
+
+
+def predicted() -> list[Column]:
+    return g.vec("px", "py", "pz")
 
 
 def range_gate(low: float, high: float) -> Column:
-    return g.norm(XYZ).between(low, high)
+    return g.norm(xyz()).between(low, high)
 
 
 def doppler_gate(most: float, least: float) -> Column:
@@ -40,7 +45,7 @@ def camera_range_gate(margin: float) -> Column:
     """
     if margin <= 0:
         return F.lit(True)
-    return F.col("cam_range").isNull() | (F.abs(g.norm(XYZ) - F.col("cam_range")) <= margin)
+    return F.col("cam_range").isNull() | (F.abs(g.norm(xyz()) - F.col("cam_range")) <= margin)
 
 
 def without_background(points: DataFrame, background: DataFrame, dist: float) -> DataFrame:
@@ -57,12 +62,12 @@ def without_background(points: DataFrame, background: DataFrame, dist: float) ->
         near = near.withColumn(f"n{c}", F.explode(F.sequence(cell(F.col(f"b{c}")) - 1, cell(F.col(f"b{c}")) + 1)))
     placed = points.withColumns({f"n{c}": cell(F.col(c)) for c in "xyz"})
     same = (placed["nx"] == near["nx"]) & (placed["ny"] == near["ny"]) & (placed["nz"] == near["nz"])
-    return placed.join(near, same & (g.distance(XYZ, g.vec("bx", "by", "bz")) <= dist), "left_anti").drop("nx", "ny", "nz")
+    return placed.join(near, same & (g.distance(xyz(), g.vec("bx", "by", "bz")) <= dist), "left_anti").drop("nx", "ny", "nz")
 
 
 def soft_gated(points: DataFrame, radius: float) -> DataFrame:
     """Points within ``radius`` of the predicted one; all of a frame's where none is, or none is predicted."""
-    tight = F.coalesce(g.distance(XYZ, PREDICTED) <= radius, F.lit(False))
+    tight = F.coalesce(g.distance(xyz(), predicted()) <= radius, F.lit(False))
     frame = Window.partitionBy("frame_id")
     rows = points.withColumn("tight", tight).withColumn("any_tight", F.max("tight").over(frame))
     return rows.where("tight or not any_tight").drop("tight", "any_tight")
@@ -72,7 +77,7 @@ def chosen(points: DataFrame, ties: tuple[str, ...], select_by: str = "snr") ->
     """One return for each frame: the strongest where any is positive and that is asked for,
     else the nearest to the predicted point, else the nearest to the sensor; first of equal ones."""
     frame = Window.partitionBy("frame_id")
-    cost = F.coalesce(g.distance(XYZ, PREDICTED), g.norm(XYZ)) if "px" in points.columns else g.norm(XYZ)
+    cost = F.coalesce(g.distance(xyz(), predicted()), g.norm(xyz())) if "px" in points.columns else g.norm(xyz())
     if select_by == "snr":
         cost = F.when(F.max("snr").over(frame) > 0, -F.col("snr")).otherwise(cost)
     rows = points.withColumn("cost", cost)
@@ -95,7 +100,7 @@ def gate_funnel(points: DataFrame, camera: DataFrame, background: DataFrame, p:
     clear = without_background(rows.where("in_range"), background, p.bg_match_dist).select("frame_id", *ties).withColumn("clear", F.lit(True))
     rows = rows.join(clear, ["frame_id", *ties], "left").join(camera, "frame_id")
     near = F.col("clear") & camera_range_gate(p.range_gate_margin_m)
-    rows = rows.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("tight", F.col("near") & (g.distance(XYZ, PREDICTED) <= p.gate_radius))
+    rows = rows.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("tight", F.col("near") & (g.distance(xyz(), predicted()) <= p.gate_radius))
     counts = [F.count_if(c).alias(n) for c, n in (("in_range", "n_range"), ("clear", "n_background"), ("near", "n_camera"), ("tight", "n_tight"))]
     out = rows.groupBy("frame_id").agg(F.count("*").alias("n_raw"), *counts)
     return out.withColumn("n_soft", F.when(F.col("n_tight") > 0, F.col("n_tight")).otherwise(F.col("n_camera"))).drop("n_tight")

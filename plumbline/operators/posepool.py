@@ -1,6 +1,6 @@
 """Camera-to-camera pairs: a pool of relative poses, its mean, convergence and the latch.
 
-Rows have session, at (their order) and a relative pose: quaternion qx qy qz qw and
+Rows have session, seq (their order) and a relative pose: quaternion qx qy qz qw and
 translation tx ty tz.
 """
 
@@ -33,8 +33,8 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 def running_means(rows: DataFrame, cap: int) -> DataFrame:
     """Each row's mean over the last ``cap`` rows of its session, and their number ``pooled``."""
-    w = Window.partitionBy("session").orderBy("at").rowsBetween(1 - cap, 0)
-    return normalised(rows.select("session", "at", F.count("*").over(w).alias("pooled"), *se3_mean_columns(w)))
+    w = Window.partitionBy("session").orderBy("seq").rowsBetween(1 - cap, 0)
+    return normalised(rows.select("session", "seq", F.count("*").over(w).alias("pooled"), *se3_mean_columns(w)))
 
 
 def convergence(rows: DataFrame, p: Params) -> DataFrame:
@@ -43,7 +43,7 @@ def convergence(rows: DataFrame, p: Params) -> DataFrame:
     means = running_means(rows, p.pool_cap)
     v = g.rotvec_of_matrix(g.matrix_of_quaternion([F.col(f"m{c}") for c in Q]))
     means = means.withColumns({f"v{i}": v[i] for i in range(3)})
-    w = Window.partitionBy("session").orderBy("at").rowsBetween(1 - p.conv_window, 0)
+    w = Window.partitionBy("session").orderBy("seq").rowsBetween(1 - p.conv_window, 0)
     spread = lambda cs: F.sqrt(sum((F.var_pop(c).over(w) for c in cs[1:]), F.var_pop(cs[0]).over(w)))
     full = F.count("*").over(w) >= p.conv_window
     out = means.withColumns({"t_std": F.when(full, spread([f"m{c}" for c in T])), "rot_std": F.when(full, F.degrees(spread(["v0", "v1", "v2"])))})
@@ -54,8 +54,8 @@ def convergence(rows: DataFrame, p: Params) -> DataFrame:
 
 def run_lengths(rows: DataFrame, flag: str = "stable") -> DataFrame:
     """``run``: how many rows up to this one have the flag without a break."""
-    order = Window.partitionBy("session").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    island = Window.partitionBy("session", "breaks").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    island = Window.partitionBy("session", "breaks").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("breaks", F.sum(F.when(F.col(flag), 0).otherwise(1)).over(order))
     return out.withColumn("run", F.sum(F.when(F.col(flag), 1).otherwise(0)).over(island)).drop("breaks")
 
@@ -63,8 +63,8 @@ def run_lengths(rows: DataFrame, flag: str = "stable") -> DataFrame:
 def latched(rows: DataFrame, hold: int) -> DataFrame:
     """``locked_at``: the first row of the session whose run of stable rows is long enough; ``locked`` from then on."""
     session = Window.partitionBy("session")
-    out = run_lengths(rows).withColumn("locked_at", F.min(F.when(F.col("run") >= hold, F.col("at"))).over(session))
-    return out.withColumn("locked", F.coalesce(F.col("at") >= F.col("locked_at"), F.lit(False)))
+    out = run_lengths(rows).withColumn("locked_at", F.min(F.when(F.col("run") >= hold, F.col("seq"))).over(session))
+    return out.withColumn("locked", F.coalesce(F.col("seq") >= F.col("locked_at"), F.lit(False)))
 
 
 def placement(poses: DataFrame, mode: str) -> DataFrame:

@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as g
 from plumbline.schemas import Params
 
-P, Q = g.vec("px", "py", "pz"), g.vec("cx", "cy", "cz")
+
+def sensed() -> list[Column]:
+    return g.vec("px", "py", "pz")
+
+
+def seen() -> list[Column]:
+    return g.vec("cx", "cy", "cz")
 
 
 def with_residuals(pairs: DataFrame, r: g.Mat, t: g.Vec) -> DataFrame:
     """dx, dy, dz: sensor point in the camera less the camera's own."""
-    return pairs.withColumns(dict(zip(("dx", "dy", "dz"), g.minus(g.rigid(r, t, P), Q), strict=True)))
+    return pairs.withColumns(dict(zip(("dx", "dy", "dz"), g.minus(g.rigid(r, t, sensed()), seen()), strict=True)))
 
 
 def error_stats(residuals: DataFrame) -> DataFrame:
@@ -30,14 +36,14 @@ def error_stats(residuals: DataFrame) -> DataFrame:
 
 def pixel_errors(pairs: DataFrame, r: g.Mat, t: g.Vec, k: g.Mat, d: g.Vec) -> DataFrame:
     """(session, n_seen, mean_px) over pairs of which both points are ahead of the camera; NaN where none is."""
-    (u1, v1), (u2, v2) = g.projected(g.rigid(r, t, P), k, d), g.projected(Q, k, d)
+    (u1, v1), (u2, v2) = g.projected(g.rigid(r, t, sensed()), k, d), g.projected(seen(), k, d)
     error = F.sqrt(((u1 - u2) * (u1 - u2) + (v1 - v2) * (v1 - v2)).cast("double"))
     return pairs.withColumn("px_error", error).groupBy("session").agg(F.count("px_error").alias("n_seen"), F.coalesce(F.avg("px_error"), F.lit(float("nan"))).alias("mean_px"))
 
 
 def spread(pairs: DataFrame) -> DataFrame:
     """(session, range_span, az_span_deg, el_span_deg, low_diversity); azimuth isn't taken around the back."""
-    r, az, el = g.spherical(P)
+    r, az, el = g.spherical(sensed())
     rows = pairs.select("session", r.alias("r"), F.degrees(az).alias("az"), F.degrees(el).alias("el"))
     out = rows.groupBy("session").agg(*[(F.max(c) - F.min(c)).alias(n) for c, n in (("r", "range_span"), ("az", "az_span_deg"), ("el", "el_span_deg"))])
     return out.withColumn("low_diversity", (F.col("range_span") < 0.20) | (F.col("az_span_deg") < 20))
@@ -45,8 +51,8 @@ def spread(pairs: DataFrame) -> DataFrame:
 
 def elevation_spread(pairs: DataFrame, signed: bool = False) -> DataFrame:
     """(session, el_spread, uses_elevation)."""
-    z = P[2] if signed else F.abs(P[2])
-    out = pairs.groupBy("session").agg(F.stddev_pop(z / F.greatest(g.norm(P), F.lit(1e-6))).alias("el_spread"))
+    z = sensed()[2] if signed else F.abs(sensed()[2])
+    out = pairs.groupBy("session").agg(F.stddev_pop(z / F.greatest(g.norm(sensed()), F.lit(1e-6))).alias("el_spread"))
     return out.withColumn("uses_elevation", F.col("el_spread") > 0.01)
 
 
@@ -56,7 +62,7 @@ def range_fit(pairs: DataFrame, params: Params) -> DataFrame:
     The new correction composes the fit with the one already applied: scale a * scale,
     bias a * bias - b.
     """
-    rows = pairs.select("session", g.norm(P).alias("s"), g.norm(Q).alias("c"))
+    rows = pairs.select("session", g.norm(sensed()).alias("s"), g.norm(seen()).alias("c"))
     out = rows.groupBy("session").agg(F.count("*").alias("n"), F.regr_slope("c", "s").alias("a"), F.regr_intercept("c", "s").alias("b")).where("n >= 2 and a is not null").drop("n")
     hint = {"report": (F.abs(F.col("a") - 1) > 0.03) | (F.abs("b") > 0.05), "new_scale": F.col("a") * params.range_scale, "new_bias": F.col("a") * params.range_bias_m - F.col("b")}
     return out.withColumns(hint)
@@ -65,7 +71,7 @@ def range_fit(pairs: DataFrame, params: Params) -> DataFrame:
 def scatter(pairs: DataFrame) -> DataFrame:
     """(session, n, s00, s01, s02, s11, s12, s22): centred second moments of the sensor points."""
     means = pairs.groupBy("session").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(("px", "py", "pz"))])
-    d = [P[i] - F.col(f"m{i}") for i in range(3)]
+    d = [sensed()[i] - F.col(f"m{i}") for i in range(3)]
     sums = [F.sum(d[i] * d[j]).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)]
     return pairs.join(means, "session").groupBy("session", "n").agg(*sums)
 

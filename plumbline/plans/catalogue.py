@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import gating, geometry, sync
+from plumbline.plans import estimation, gating, geometry, pairs, reports, sync
 
-_PARTS = (geometry, gating, sync)
+_PARTS = (geometry, gating, sync, estimation, pairs, reports)
 
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
-from plumbline.operators.gating import PREDICTED, XYZ
+from plumbline.operators.gating import predicted, xyz
 from plumbline.plans import common as c
 from plumbline.sources import tables as s
 
@@ -29,7 +29,7 @@ def optional_fields(spark, d):
 
 
 def range_azimuth_elevation(spark, d):
-    return s.points(spark, d).select(*KEY, *_named(g.spherical(XYZ), ("r", "az", "el")))
+    return s.points(spark, d).select(*KEY, *_named(g.spherical(xyz()), ("r", "az", "el")))
 
 
 def wrap_angle(spark, d):
@@ -37,23 +37,23 @@ def wrap_angle(spark, d):
 
 
 def range_correct(spark, d):
-    return s.points(spark, d).select(*KEY, *_named(g.range_corrected(XYZ, 1.02, 0.03), "xyz"))
+    return s.points(spark, d).select(*KEY, *_named(g.range_corrected(xyz(), 1.02, 0.03), "xyz"))
 
 
 def sigma_residual(spark, d):
     rows = s.points(spark, d).join(s.camera(spark, d), "frame_id")
-    parts, rms = g.sigma_residual(XYZ, PREDICTED, 0.05, 0.05, 0.2)
+    parts, rms = g.sigma_residual(xyz(), predicted(), 0.05, 0.05, 0.2)
     return rows.select(*KEY, *_named([*parts, rms], ("e_r", "e_az", "e_el", "e_rms")))
 
 
 def rigid_apply(spark, d):
-    return s.points(spark, d).select(*KEY, *_named(g.rigid(g.constant(c.R), g.constant(c.T), XYZ), "xyz"))
+    return s.points(spark, d).select(*KEY, *_named(g.rigid(g.constant(c.R), g.constant(c.T), xyz()), "xyz"))
 
 
 def rigid_inverse(spark, d):
     """There and back: the points again."""
     r, t = g.constant(c.R), g.constant(c.T)
-    return s.points(spark, d).select(*KEY, *_named(g.rigid_inverse(r, t, g.rigid(r, t, XYZ)), "xyz"))
+    return s.points(spark, d).select(*KEY, *_named(g.rigid_inverse(r, t, g.rigid(r, t, xyz())), "xyz"))
 
 
 def compose_pose(spark, d):
@@ -61,13 +61,13 @@ def compose_pose(spark, d):
     r, t = g.constant(c.R), g.constant(c.T)
     turn = g.matrix_of_euler(F.lit(0.0), F.lit(0.0), F.radians(F.col("o_custkey") % 121 - 60))
     rows = s.table(spark, d, "orders").join(s.camera(spark, d).withColumnRenamed("frame_id", "o_orderkey"), "o_orderkey")
-    m, v = g.composed(r, t, turn, PREDICTED)
+    m, v = g.composed(r, t, turn, predicted())
     _, back = g.inverted(m, v)
     return rows.select("o_orderkey", *_named([m[0], m[4], m[8], *v, *back], ("m00", "m11", "m22", "x", "y", "z", "bx", "by_", "bz")))
 
 
 def project_pixels(spark, d):
-    u, v = g.projected([XYZ[1], XYZ[2], XYZ[0] - 0.5], g.constant(c.K), g.constant(c.D))
+    u, v = g.projected([F.col("y"), F.col("z"), F.col("x") - 0.5], g.constant(c.K), g.constant(c.D))
     return s.points(spark, d).select(*KEY, u.alias("u"), v.alias("v"))
 
 
