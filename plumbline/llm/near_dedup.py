@@ -19,9 +19,13 @@
    links between them may be left. For the documents of such lists the items of
    their whole sets that another of them has are counted: similarity s needs
    s / (1 + s) of both sizes' sum in common, so a document with fewer shared items
-   than that can't link. Every pair from different components that these counts
-   allow is tried as in 3, so no link between components is lost; edited copies too
-   far from their original have few shared items and make no pairs.
+   than that can't link. Each of these sets also has a parity bitmap: bit b is set
+   if an odd number of its items hash to b. An item that only one of two sets has
+   flips one bit of their difference, so the bits that differ are a lower bound of
+   the items that differ, and a link allows (1 - s) / (1 + s) of both sizes' sum of
+   these. Every pair from different components that counts and bitmaps allow is
+   tried as in 3, so no link between components is lost; edited copies too far from
+   each other make no pairs, even where thousands share an original.
 
 Cases: null or wordless text has an empty set and links with nothing, being its
 own component. Fewer words than a shingle: the whole sequence is the one shingle.
@@ -47,6 +51,8 @@ from plumbline.storage import written
 
 WORDS, SIMILARITY = 5, 75
 SKETCH, SHARED = 48, 22
+#: 64-bit words of a parity bitmap.
+MARKS = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,9 +97,26 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return mapped(rows, per_batch, "id long, n long, digest binary, sketch array<long>")
 
 
+def parity(items: np.ndarray, words: int = MARKS) -> np.ndarray:
+    """Bitmap of ``words`` longs; each item flips the bit that its hash names."""
+    at = (items.view(np.uint64) % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * words).astype(np.uint8) & 1).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """(id, items): whole sets of rows (id, text)."""
-    return mapped(docs, lambda b: {"id": b.column("id"), "items": _listed([shingle_hashes(words_of(t), width) for t in texts(b)])}, "id long, items array<long>")
+    """(id, items, marks): whole sets of rows (id, text) and their parity bitmaps."""
+
+    def per_batch(batch):
+        found = [shingle_hashes(words_of(t), width) for t in texts(batch)]
+        return {"id": batch.column("id"), "items": _listed(found), "marks": _listed([parity(x) for x in found])}
+
+    return mapped(docs, per_batch, "id long, items array<long>, marks array<long>")
+
+
+def _marks_fit(similarity: int) -> str:
+    """Whether bitmaps ``marks`` and ``marks2`` of sets of n and n2 items differ by few enough bits for a link."""
+    bits = " + ".join(f"bit_count(marks[{i}] ^ marks2[{i}])" for i in range(MARKS))
+    return f"{100 + similarity} * ({bits}) <= {100 - similarity} * (n + n2)"
 
 
 def _sizes_fit(a: str, b: str, similarity: int) -> str:
@@ -102,7 +125,8 @@ def _sizes_fit(a: str, b: str, similarity: int) -> str:
 
 def links(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets are similar enough."""
-    found = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
+    items = sets.select("id", "items")
+    found = pairs.join(items.toDF("b", "of_b"), "b").join(items.toDF("a", "of_a"), "a")
     found = found.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
     return found.filter(f"100L * both >= {similarity}L * (sum - both)").select("a", "b")
 
@@ -157,11 +181,12 @@ def near_classes(
     mixed = written(counts.groupBy("v").agg(F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1").select("v", F.col("big.comp").alias("big")), "mixed")
     if not mixed.isEmpty():
         inside = written(placed.join(mixed, "v"), "inside")
-        enough = _shared_counts(sets, inside.select(F.col("rep").alias("id")).distinct()).filter(f"100 * m >= {similarity} * n").select(F.col("id").alias("rep"), "m")
+        enough = _shared_counts(sets, inside.select(F.col("rep").alias("id")).distinct()).filter(f"100 * m >= {similarity} * n").select("id", "m")
+        enough = enough.join(sets.select("id", "marks"), "id").withColumnRenamed("id", "rep")
         inside = written(inside.join(written(enough, "enough"), "rep"), "able")
-        others = inside.filter("comp <> big").select("v", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("m").alias("m2"))
+        others = inside.filter("comp <> big").select("v", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("m").alias("m2"), F.col("marks").alias("marks2"))
         fit = f"{100 + similarity} * least(m, m2) >= {similarity} * (n + n2)"
-        more = written(others, "others").join(inside, "v").filter("comp <> comp2 and (comp = big or rep < r2)").filter(_sizes_fit("n", "n2", similarity)).filter(fit)
+        more = written(others, "others").join(inside, "v").filter("comp <> comp2 and (comp = big or rep < r2)").filter(_sizes_fit("n", "n2", similarity)).filter(fit).filter(_marks_fit(similarity))
         more = written(tried(more.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")), sets), "more-links")
         if not more.isEmpty():
             of_rep = components(found.union(more))
