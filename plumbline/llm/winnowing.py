@@ -139,7 +139,7 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounds = rows.agg(F.percentile_approx(key, quantiles, 100 * parts)).first()[0]
     part = _bucket(key, sorted(set(bounds or [])))
     tops = rows.groupBy(part.alias("part")).agg(F.max(key).alias("top")).orderBy("part").collect()  # a row for each bucket
-    also = [(a.top, b.part, False) for a, b in zip(tops, tops[1:], strict=False)] + [(tops[-1].top, tops[0].part, True)] * bool(tops)
+    also = [(a.top, b.part, False) for a, b in zip(tops, tops[1:], strict=False)] + [(b.top, a.part, True) for a, b in zip(tops[:1], tops[-1:], strict=True)]
     small = spark.createDataFrame(also, "top long, to int, last boolean").groupBy("top").agg(F.collect_list(F.struct("to", "last")).alias("more"))
     own = F.array(F.struct(part.alias("to"), F.lit(False).alias("last"), F.lit(False).alias("extra")))
     more = F.transform(F.coalesce("more", F.array().cast("array<struct<to:int,last:boolean>>")), lambda x: F.struct(x["to"], x["last"], F.lit(True).alias("extra")))
