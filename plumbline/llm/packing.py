@@ -35,8 +35,8 @@ from plumbline.llm.batches import mapped, texts
 from plumbline.storage import written
 
 LENGTH, SLACK, FAN, OPEN = 2048, 8, 8, 4096
-#: Words that a task remembers before it starts anew.
-CACHE = 400_000
+#: Words of one generation of a task's memory; it holds the last and the present one.
+CACHE = 500_000
 _END = b"\0\0\0\0"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _BINS = f"used int, open boolean, pieces array<struct<{_PIECES}, offset long>>"
@@ -52,22 +52,27 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE:  # words in use come back from the last generation
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self._ids(word)
+        ids = self.old.get(word)
+        ids = self[word] = self._ids(word) if ids is None else ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text. The tokenizer lower-cases, drops white space and splits before it
-        merges; for plain characters that is done here, and each word is looked up once."""
-        if self._plain(text):
-            return b"".join(map(self.__getitem__, self._words(text.lower())))
+        merges; for plain characters without one of its own marks that is done here, and each
+        word is looked up once."""
+        low = text.lower()
+        if self._plain(text) and not any(s in low for s in self.special):
+            return b"".join(map(self.__getitem__, self._words(low)))
         return self._ids(text)
 
 
