@@ -35,7 +35,7 @@ NONE = "und"
 #: Bounds of the training sample: documents a language, words in all.
 PER_LABEL, WORDS = 150, 120_000
 #: Rows of n-grams, and characters of texts that are scored together.
-GRAM_ROWS, CHUNK = 1 << 16, 1_000_000
+GRAM_ROWS, CHUNK = 1 << 16, 400_000
 _letters = re.compile(r"[^\W\d_]+").findall
 
 

@@ -205,7 +205,7 @@ class SecretModel(dict):
         self.entry = np.maximum(t.max(axis=0) - t[OTHER, OTHER], 0) + max(0.0, (t[:, OTHER] - t[OTHER, OTHER]).max())
 
     def __missing__(self, token: str) -> tuple[np.ndarray, bool]:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         features = shape_features(token)
         value = self.by_features.get(features)
