@@ -2,13 +2,15 @@
 
 1. Every document is tokenized and cut into pieces; only those longer than a
    sequence are cut. A piece as long as a sequence is one.
-2. Each partition packs its remaining pieces best-fit, longest first, batch by
-   batch. Bins with at most ``SLACK`` tokens free are emitted.
-3. Underfull bins become items: every round merges ``FAN`` partitions into one and
-   packs their underfull bins best-fit again, until one partition is left. A
-   partition hands on at most ``OPEN`` bins, the emptiest; fuller ones beyond that
-   are emitted. So the last task reads at most FAN * OPEN bins at any input size,
-   and every piece ends in exactly one sequence.
+2. Pieces are sorted by length in each partition and dealt out in turn to groups of
+   about ``FAN * OPEN``, so every group has its share of each length, wherever in the
+   table it came from. A task packs one group best-fit, longest first. Bins with at
+   most ``SLACK`` tokens free are emitted; all others, however many, stay open.
+3. Open bins become items and are dealt out again. Of two bins of a group one is over
+   half full, so at most one a group is not: those all go to the first group, to
+   meet each other and its share of the rest. Rounds end after one group, or when one
+   merges nothing; what is open then is emitted. A task holds one group at any input
+   size, and every piece ends in exactly one sequence.
 
 Bins carry their pieces along, so nothing is joined. Sequence ids number the rows
 of written tables, so a recomputed task gives the same ones.
@@ -122,13 +124,9 @@ class BestFit:
             while self.sizes >> room & 1:
                 yield self.length - room, self._taken(room)
 
-    def beyond(self, keep: int):
-        """Takes out the fullest bins until ``keep`` are left."""
-        count = sum(map(len, self.free.values()))
-        while count > keep:
-            room = (self.sizes & -self.sizes).bit_length() - 1
-            count -= 1
-            yield self.length - room, self._taken(room)
+    def rest(self):
+        """Takes out all bins, the fullest first."""
+        yield from self.full(self.length)
 
     def _taken(self, room: int) -> list:
         stack = self.free[room]
@@ -143,7 +141,17 @@ class BestFit:
         self.sizes |= 1 << room
 
 
-def packed(items: DataFrame, length: int, slack: int, keep: int) -> DataFrame:
+def dealt(items: DataFrame, groups: int, gathered: bool, length: int) -> DataFrame:
+    """Rows (used, open, pieces) as ``groups`` partitions, each with its share of every size and the
+    fullest first; those up to half a sequence all in the first if ``gathered``."""
+    turn = F.pmod(F.monotonically_increasing_id() + F.hash(F.spark_partition_id()), F.lit(groups))
+    if gathered:
+        turn = F.when(F.col("used") * 2 <= length, 0).otherwise(turn)
+    rows = items.sortWithinPartitions("used").withColumn("turn", turn.cast("int"))
+    return rows.repartitionById(groups, "turn").drop("turn").sortWithinPartitions(F.desc("used"))
+
+
+def packed(items: DataFrame, length: int, slack: int) -> DataFrame:
     """Best-fit inside each partition of rows (used, open, pieces)."""
     struct = T.StructType.fromDDL(_BINS)
     arrow = to_arrow_schema(struct)
@@ -161,11 +169,10 @@ def packed(items: DataFrame, length: int, slack: int, keep: int) -> DataFrame:
     def run(batches):
         fit = BestFit(length)
         for batch in batches:
-            found = sorted(zip(batch.column("used").to_pylist(), batch.column("pieces").to_pylist(), strict=True), key=lambda x: -x[0])
-            for used, members in found:
+            for used, members in zip(batch.column("used").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
                 fit.put(used, members)
-            yield from rows([*fit.full(slack), *fit.beyond(keep)], False)
-        yield from rows(fit.beyond(0), True)
+            yield from rows(fit.full(slack), False)
+        yield from rows(fit.rest(), True)
 
     return items.mapInArrow(run, struct)
 
@@ -177,17 +184,18 @@ def sequences(
     cut = written(pieces(docs, path, length, id_col, text_col), "pieces")
     alone = F.array(F.struct("*", F.lit(0).cast("long").alias("offset")))
     bins = cut.select(F.col("length").cast("int").alias("used"), F.lit(True).alias("open"), alone.alias("pieces"))
-    done = [bins.filter(F.col("used") >= length)]
-    left, parts = bins.filter(F.col("used") < length), cut.rdd.getNumPartitions()
+    done, left = [bins.filter(F.col("used") >= length)], bins.filter(F.col("used") < length)
+    first, count = True, left.count()
     while True:
-        table = written(packed(left, length, slack, keep), "bins")
+        groups = max(1, -(-count // (fan * keep)))
+        table = written(packed(dealt(left, groups, not first, length), length, slack), "bins")
         done.append(table.filter("not open"))
         left = table.filter("open")
-        if parts <= 1:
+        before, count = count, left.count()
+        if groups == 1 or count == before and not first:
             done.append(left)
             break
-        parts = -(-parts // fan)
-        left = left.coalesce(parts)
+        first = False
     out = done[0].select("pieces")
     for more in done[1:]:
         out = out.unionByName(more.select("pieces"))

@@ -74,6 +74,28 @@ def test_packing_holds_every_id_once(spark):
     assert len(bins) <= -(-total // 2048) * 1.02 + 1
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_packing_lets_long_pieces_meet_the_short_ones_that_come_later(spark, parts):
+    """Pieces of 11 and then 9 of 20 tokens, far more than a task holds; and a few that only meet later."""
+    rows = [(i, "a " * (10 if i < 2000 else 8)) for i in range(4000)]
+    got = packing.sequences(spark.createDataFrame(rows, "doc_id long, text string").coalesce(parts), WORDS, 20, 0, 4, 100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+    used = defaultdict(int)
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 20
+    assert len(used) <= 2000 * 1.02
+
+
+def test_packing_leaves_one_bin_up_to_half_full(spark):
+    rows = [(i, "a " * 15) for i in range(500)] + [(i, "a " * 6) for i in range(500, 507)]
+    got = packing.sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORDS, 20, 0, 2, 10).collect()
+    used = defaultdict(int)
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert len(got) == 507 and len(used) == 504 and sum(u <= 10 for u in used.values()) == 1
+
+
 def test_packing_of_nothing(spark):
     assert packing.sequences(spark.createDataFrame([], "doc_id long, text string"), WORDS).count() == 0
 
