@@ -58,23 +58,40 @@ def convergence_latch(spark, d):
     return o.latched(rows, HOLD).select("session", "seq", "run", "locked_at", "locked")
 
 
-def _world(spark, d):
+def _in_world(poses):
     tx = F.when(F.col("session") != 3, F.col("session") * 0.5)
-    return _poses(spark, d).where("seq % 50 = 1").withColumns(
+    return poses.withColumns(
         {"camera_a": F.concat(F.lit("a"), F.col("session")), "camera_b": F.concat(F.lit("b"), F.col("seq")), "wtx": tx, "wty": F.lit(0.1), "wtz": F.lit(-0.2), "wqx": F.lit(0.0), "wqy": F.lit(0.0), "wqz": F.lit(0.6), "wqw": F.lit(0.8)}
     )
 
 
-def placement(spark, d):
-    w = _world(spark, d)
+def _world(spark, d):
+    return _in_world(_poses(spark, d).where("seq % 50 = 1"))
+
+
+def _placed(w):
     out = [o.placement(w, mode).withColumn("mode", F.lit(mode)) for mode in ("none", "fixed", "moving")]
     return c.rounded_all(out[0].unionByName(out[1]).unionByName(out[2]).select("mode", "parent", "child", *o.T), [])
 
 
+def placement(spark, d):
+    """A sample: the poses of every 50th order. ``placement_whole`` has all."""
+    return _placed(_world(spark, d))
+
+
+def placement_whole(spark, d):
+    return _placed(_in_world(_poses(spark, d)))
+
+
 def pose_in_world(spark, d):
+    """A sample: the poses of every 50th order. ``pose_in_world_whole`` has all."""
     return c.rounded_all(o.placement(_world(spark, d), "fixed"), [])
 
 
+def pose_in_world_whole(spark, d):
+    return c.rounded_all(o.placement(_in_world(_poses(spark, d)), "fixed"), [])
+
+
 def pair_compose(spark, d):
     """Relative pose from two poses of one target, A times the inverse of B."""
     r, t = g.constant(c.R), g.constant(c.T)
@@ -82,7 +99,7 @@ def pair_compose(spark, d):
     return c.rounded_all(_poses(spark, d).select("seq", m[0].alias("m00"), m[5].alias("m12"), *[x.alias(n) for x, n in zip(v, o.T, strict=True)]), [])
 
 
-QUERIES = {f.__name__: f for f in (pose_message_decode, se3_mean, pool_running_mean, convergence_gate, convergence_latch, placement, pose_in_world, pair_compose)}
+QUERIES = {f.__name__: f for f in (pose_message_decode, se3_mean, pool_running_mean, convergence_gate, convergence_latch, placement, placement_whole, pose_in_world, pose_in_world_whole, pair_compose)}
 
 _POSES = """raw AS (SELECT o_orderkey % 7 AS session, o_orderkey AS seq, (o_custkey % 7 - 3) / 40 AS a, (o_custkey % 5 - 2) / 40 AS b, (o_custkey % 3 - 1) / 40 AS e,
         CASE WHEN o_orderkey % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, 1 + (o_custkey % 11) / 100 AS tx, (o_custkey % 13) / 100 - 0.05::DOUBLE AS ty, 0.3::DOUBLE + (o_custkey % 17) / 200 AS tz FROM orders),
@@ -122,3 +139,8 @@ ORACLES = {
         i AS (SELECT *, -(m0 * tx + m3 * ty + m6 * tz) AS x, -(m1 * tx + m4 * ty + m7 * tz) AS y, -(m2 * tx + m5 * ty + m8 * tz) AS z FROM b)
         SELECT seq, {c.r('0.36 * m0 + 0.48 * m1 - 0.8 * m2')} AS m00, {c.r('-0.8 * m6 + 0.6 * m7')} AS m12, {_T(c.rigid_sql(c.R, c.T, ['x', 'y', 'z']))} FROM i""",
 }
+#: The same of all orders.
+ORACLES |= {
+    "placement_whole": ORACLES["placement"].replace(" WHERE seq % 50 = 1", ""),
+    "pose_in_world_whole": ORACLES["pose_in_world"].replace("seq % 50 = 1 AND ", ""),
+}

@@ -14,10 +14,14 @@ from plumbline.storage import new_folder
 
 
 def _named_poses(spark, d):
-    rows = pairs._poses(spark, d).where("seq % 25 = 0")
+    rows = pairs._poses(spark, d)
     return rows.withColumns({"parent": F.lit("camera"), "child": F.concat(F.lit("sensor"), F.col("seq"))})
 
 
+def _some_poses(spark, d):
+    return _named_poses(spark, d).where("seq % 25 = 0")
+
+
 def overlay_points(spark, d):
     """Points with x ahead, as a camera sees them."""
     turn = g.constant([0, 1, 0, 0, 0, 1, 1, 0, 0])
@@ -25,24 +29,47 @@ def overlay_points(spark, d):
     return out.select(*KEY, "u", "v", c.rounded("depth").alias("depth"))
 
 
+def _transforms(poses):
+    return c.rounded_all(o.transforms_table(poses).select("parent", "child", "tx", "ty", "tz", "bx", "by_", "bz"), [])
+
+
 def transforms_table(spark, d):
-    return c.rounded_all(o.transforms_table(_named_poses(spark, d)).select("parent", "child", "tx", "ty", "tz", "bx", "by_", "bz"), [])
+    """A sample: the poses of every 25th order. ``transforms_table_whole`` has all."""
+    return _transforms(_some_poses(spark, d))
 
 
-def _document(spark, d, parent, child):
-    keep = _named_poses(spark, d).select(F.col("seq").alias("session"), *[F.lit(x).alias(n) for n, x in (("tx", 0.25), ("ty", -0.5), ("tz", 0.75), ("qx", 0.0), ("qy", 0.6), ("qz", 0.0), ("qw", 0.8))])
+def transforms_table_whole(spark, d):
+    return _transforms(_named_poses(spark, d))
+
+
+def _document(poses, parent, child):
+    keep = poses.select(F.col("seq").alias("session"), *[F.lit(x).alias(n) for n, x in (("tx", 0.25), ("ty", -0.5), ("tz", 0.75), ("qx", 0.0), ("qy", 0.6), ("qz", 0.0), ("qw", 0.8))])
     return o.result_document(keep, parent, child)
 
 
-def result_document(spark, d):
+def _documents_read(spark, poses):
     """Written, then read again."""
     path = new_folder(spark, "documents")
-    o.written_documents(_document(spark, d, "camera", "sensor"), path)
+    o.written_documents(_document(poses, "camera", "sensor"), path)
     return spark.read.json(f"{path}/json").select("session", "tx", "ty", "tz", "parent_frame", "child_frame", "static_tf_cmd")
 
 
+def result_document(spark, d):
+    """A sample: every 25th order. ``result_document_whole`` has all."""
+    return _documents_read(spark, _some_poses(spark, d))
+
+
+def result_document_whole(spark, d):
+    return _documents_read(spark, _named_poses(spark, d))
+
+
 def pair_document(spark, d):
-    return _document(spark, d, "camera_a", "camera_b").select("session", "text")
+    """A sample: every 25th order. ``pair_document_whole`` has all."""
+    return _document(_some_poses(spark, d), "camera_a", "camera_b").select("session", "text")
+
+
+def pair_document_whole(spark, d):
+    return _document(_named_poses(spark, d), "camera_a", "camera_b").select("session", "text")
 
 
 def pose_sink(spark, d):
@@ -59,7 +86,7 @@ def report_row(spark, d):
     return rows.select("session", F.format_string("session %d: |t| %d mm", F.col("session"), size).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (overlay_points, transforms_table, result_document, pair_document, pose_sink, report_row)}
+QUERIES = {f.__name__: f for f in (overlay_points, transforms_table, transforms_table_whole, result_document, result_document_whole, pair_document, pair_document_whole, pose_sink, report_row)}
 
 _CMD = "'static_transform_publisher --x 0.250000 --y -0.500000 --z 0.750000 --qx 0.000000 --qy 0.600000 --qz 0.000000 --qw 0.800000 --frame-id {0} --child-frame-id {1}'"
 _NL = " || chr(10) || "
@@ -75,3 +102,9 @@ ORACLES = {
     "report_row": f"""WITH {pairs._POSES}, s AS (SELECT session, avg(tx) AS x, avg(ty) AS y, avg(tz) AS z FROM poses GROUP BY session)
         SELECT session, 'session ' || session || ': |t| ' || round(sqrt(x * x + y * y + z * z) * 1000)::BIGINT || ' mm' AS line FROM s""",
 }
+#: The same of all orders.
+ORACLES |= {
+    "transforms_table_whole": ORACLES["transforms_table"].replace(" WHERE seq % 25 = 0", ""),
+    "result_document_whole": ORACLES["result_document"].replace(" WHERE o_orderkey % 25 = 0", ""),
+    "pair_document_whole": ORACLES["pair_document"].replace(" WHERE o_orderkey % 25 = 0", ""),
+}
