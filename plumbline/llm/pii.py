@@ -6,8 +6,8 @@ in time linear in the text. The CRF labels a line's tokens as other, keyword,
 separator or secret from their word shapes, lengths and a keyword lexicon. It is
 trained from the small table below and decoded by Viterbi in numpy batches. Lines
 whose tokens can't, by the model's own weights, pay for leaving the label "other"
-are not decoded: their best path is known. A secret that touches a pattern's span
-is not added.
+are not decoded: their best path is known. A secret is added whole, whatever spans
+of patterns it overlaps; redaction replaces spans that overlap as one.
 
 Cases: null or empty text has no spans. Texts of any length are read whole, tokens
 line by line. A null id stays null. Rows that repeat get the same answer. An empty
@@ -260,8 +260,7 @@ def all_spans(found: list[str]) -> list[tuple[list[Span], list[Span]]]:
     out = []
     for text, secrets in zip(found, secret_model().secrets(found), strict=True):
         base = pattern_spans(text)
-        more = [(s, 4, e) for s, e in secrets if all(e <= a or b <= s for a, _, b in base)] if secrets else []
-        out.append((base, sorted(base + more)))
+        out.append((base, sorted(base + [(s, 4, e) for s, e in secrets])))
     return out
 
 

@@ -114,6 +114,16 @@ def test_secrets_and_redaction(spark):
     assert pii.found_in(docs.limit(0)).count() == 0
 
 
+def test_a_secret_over_a_card_number_is_redacted_whole(spark):
+    for token in ("ab4111111111111111cd", "8c1fa4111111111111111e", "4111111111111111ab9c"):
+        text = f"the password={token} was set"
+        (base, spans), = pii.all_spans([text])
+        assert [k for _, k, _ in base] == [2]
+        assert [text[s:e] for s, k, e in spans if k == 4] == [token]
+        row = pii.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert row.text in ("the password=[SECRET] was set", "the password=[CARD] was set")
+
+
 def test_undecoded_lines_have_no_secret(spark):
     """Lines passed over because no token pays for a label are the ones whose best path is all "other"."""
     model = pii.secret_model()
