@@ -51,9 +51,14 @@ def euler_rotation(rpy_deg) -> np.ndarray:
     return rotation(np.array([0, 0, y])) @ rotation(np.array([0, p, 0])) @ rotation(np.array([r, 0, 0]))
 
 
+def nearest_rotation(m: np.ndarray) -> np.ndarray:
+    """The rotation with the largest inner product with a matrix."""
+    return rotation(rotvec(m))
+
+
 def mean_rotation(matrices: np.ndarray) -> np.ndarray:
     """Chordal mean: the rotation nearest to the sum."""
-    return rotation(rotvec(matrices.sum(axis=0)))
+    return nearest_rotation(matrices.sum(axis=0))
 
 
 def spherical(p: np.ndarray) -> np.ndarray:
@@ -72,10 +77,13 @@ def wrapped(a: np.ndarray) -> np.ndarray:
 
 
 def from_cross_covariance(h: np.ndarray, mean_p: np.ndarray, mean_q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation and translation of p to q from the 3x3 sum of centred p q'."""
-    u, _, vt = np.linalg.svd(h)
-    r = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
-    return r, mean_q - r @ mean_p
+    """Rotation and translation of p to q from the 3x3 sum of centred p q'.
+
+    The best rotation is the one nearest to the sum's transpose; its quaternion is
+    an eigenvector, so it is never a reflection.
+    """
+    turn = nearest_rotation(h.T)
+    return turn, mean_q - turn @ mean_p
 
 
 def closed_form(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +158,10 @@ class Problem:
         d[:, 1:] = wrapped(d[:, 1:])
         return d[:, : self.k] / self.sigma
 
+    def misfits(self, x) -> np.ndarray:
+        """Root mean square of each capture's errors, in sigmas."""
+        return np.sqrt((self.errors(x) ** 2).mean(axis=1))
+
     def residuals(self, x, rows) -> np.ndarray:
         out = [self.errors(x, rows).ravel()]
         if self.offset_sigma:
@@ -198,42 +210,47 @@ def _minimise(problem: Problem, x: np.ndarray, rows: np.ndarray, scale: float, m
     return x
 
 
-def maximum_likelihood(p, rb, tb, params: Params, elevation: bool, offset=None, solve_offset: bool | None = None, priors: bool | None = None, max_iter: int | None = None) -> Solution:
-    """Robust fit: solve, mask captures by their sigma, again until the mask stays.
+#: Fixed values of the method: captures that always stay, the share below which too few pass, the share kept then.
+LEAST, ENOUGH, QUOTA = 4, 0.5, 0.6
 
-    At least max(4, half) captures stay; where fewer pass, the best max(4, 0.6 n) do.
-    """
+
+def kept(errors: np.ndarray, limit: float) -> np.ndarray:
+    """Which captures stay: those under the limit or, where these are too few, the quota with the smallest errors (ties all)."""
+    under = errors < limit
+    if np.count_nonzero(under) >= max(LEAST, int(ENOUGH * len(errors))):
+        return under
+    quota = max(LEAST, int(QUOTA * len(errors)))
+    return errors <= (np.partition(errors, quota - 1)[quota - 1] if quota < len(errors) else np.inf)
+
+
+def _settled(problem: Problem, x: np.ndarray, params: Params, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(solution, captures it was made from, captures it leaves): refits to what the last fit left
+    until that is what it was made from, or the rounds are over."""
+    left, basis = np.full(len(problem.tb), True), None
+    while rounds and (basis is None or (left != basis).any()):
+        basis, rounds = left, rounds - 1
+        x = _minimise(problem, x, np.flatnonzero(basis), params.huber)
+        left = kept(problem.misfits(x), params.reject_sigma)
+    return x, basis, left
+
+
+def maximum_likelihood(p, rb, tb, params: Params, elevation: bool, offset=None, solve_offset: bool | None = None, priors: bool | None = None, max_iter: int | None = None) -> Solution:
+    """Robust fit from the priors or, without them, from the closed form; wild captures are left out."""
     offset = params.offset if offset is None else offset
     solve_offset = params.solve_offset if solve_offset is None else solve_offset
     problem = Problem(p, rb, tb, params, elevation, solve_offset, params.use_prior if priors is None else priors, offset)
-    if problem.prior:
-        r, t = problem.prior[0], problem.prior[2]
-    else:
-        r, t = closed_form(p, rb @ problem.offset + tb)
-    x = np.concatenate([rotvec(r), t, problem.offset if solve_offset else []])
-    n, everyone = len(p), np.arange(len(p))
-    mask, converged = np.ones(n, bool), False
-    sigma = lambda: np.sqrt((problem.errors(x) ** 2).mean(axis=1))
-    solved = mask
-    for _ in range(params.max_iter if max_iter is None else max_iter):
-        solved = mask
-        x = _minimise(problem, x, everyone[mask], params.huber)
-        each = sigma()
-        new = each < params.reject_sigma
-        if new.sum() < max(4, n // 2):
-            keep = min(n, max(4, int(0.6 * n)))
-            new = each <= np.sort(each)[keep - 1]
-        if np.array_equal(new, mask):
-            converged = True
-            break
-        mask = new
-    f = problem.residuals(x, everyone[solved])
-    j = problem.jacobian(x, everyone[solved], f) * (np.abs(f) <= params.huber)[:, None]  # the robust loss is flat in curvature beyond its scale
-    full = np.linalg.pinv(j.T @ j)
+    start = (problem.prior[0], problem.prior[2]) if problem.prior else closed_form(p, rb @ problem.offset + tb)
+    x = np.concatenate([rotvec(start[0]), start[1], problem.offset if solve_offset else []])
+    x, basis, left = _settled(problem, x, params, max(1, params.max_iter if max_iter is None else max_iter))
+    rows = np.flatnonzero(basis)
+    f = problem.residuals(x, rows)
+    j = problem.jacobian(x, rows, f) * (np.abs(f) <= params.huber)[:, None]  # the robust loss is flat in curvature beyond its scale
+    cov = np.linalg.pinv(j.T @ j)
+    offset_sigma = np.zeros(3)
+    offset_sigma[: len(x) - 6] = np.sqrt(np.maximum(cov.diagonal()[6:], 0))
     r, t, a = problem.parts(x)
-    each = sigma()[mask]
-    offset_sigma = np.sqrt(np.clip(np.diag(full)[6:9], 0, None)) if solve_offset else np.zeros(3)
-    return Solution(r, t, np.asarray(a), full[:6, :6], offset_sigma, mask, float(np.sqrt((each**2).mean())), converged, int(np.linalg.matrix_rank(j)))
+    rms = float(np.sqrt(np.mean(problem.misfits(x)[left] ** 2)))
+    return Solution(r, t, np.asarray(a), cov[:6, :6], offset_sigma, left, rms, bool((left == basis).all()), int(np.linalg.matrix_rank(j)))
 
 
 def has_elevation(p: np.ndarray, params: Params) -> bool:
@@ -312,6 +329,6 @@ def chordal_means(rotations: DataFrame) -> DataFrame:
     def solve(batches):
         for b in batches:
             m = b[[f"s{i}" for i in range(9)]].to_numpy().reshape(-1, 3, 3)
-            yield pd.DataFrame({"session": b.session, "n": b.n, "r": [rotation(rotvec(x)).ravel() for x in m]})
+            yield pd.DataFrame({"session": b.session, "n": b.n, "r": [nearest_rotation(x).ravel() for x in m]})
 
     return sums.mapInPandas(solve, f"session {kind}, n long, r array<double>")
