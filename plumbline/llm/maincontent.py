@@ -1,13 +1,15 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
 A page's blocks are the runs of text between block-level tags. A logistic
-classifier, trained from the small labelled table below, gives each block a cost of
+classifier, trained from labelled pages made by rule, gives each block a cost of
 being content and of being boilerplate: its capacities to the two terminals.
 Adjacent blocks, and successive blocks of one container, are joined by smoothness
-edges, the stronger the closer they are in the tree. The minimum cut, found by
-max-flow, is the labelling of least total cost. Before that, blocks whose terminal
-outweighs all their edges are fixed and their edges folded into the neighbours,
-which leaves the minimum cut as it is and the graph small.
+edges, the stronger the closer they are in the tree; how strong is chosen on
+labelled pages that the classifier hasn't seen. The minimum cut, found by max-flow,
+is the labelling of least total cost, so a doubtful block goes with what surrounds
+it. Before that, blocks whose terminal outweighs all their edges are fixed and
+their edges folded into the neighbours, which leaves the minimum cut as it is and
+the graph small.
 
 Cases: null or empty html has no blocks and an empty text. Tags cut off at the end,
 unclosed elements, comments and scripts are tolerated; a page of any length is read
@@ -20,7 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.batches import mapped, texts
+from plumbline.llm.sample_pages import labelled_page
 
 #: Fixed lists of elements: those that end a block, those whose contents aren't text, those without end tags.
 BLOCK = frozenset(
@@ -51,34 +54,43 @@ BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar aside comment comments commentlist disqus reply replies respond footer header masthead nav navbar navigation menu breadcrumb breadcrumbs share sharing social related recommended popular trending newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager copyright search skip".split()
 )
 CONTENT = frozenset("article content main post entry story body text".split())
+KNOWN, KNOWN_NONE = BOILERPLATE | CONTENT, frozenset()
 AROUND = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "fieldset"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Wordings of page furniture, and of the heading of readers' comments, in four languages.
+_furniture = re.compile(r"\b(?:cookies?|consent|privacy policy|newsletter|subscribe|sign up|log ?in|advertisement|sponsored|anzeige|werbung|publicit[ée]|publicidad|abonnieren|abonnez|suscr[íi]bete|related|read more|most popular|mehr zum thema|à lire aussi|más noticias)\b", re.I).search
+_replies = re.compile(r"(?:\d+ )?(?:readers? )?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)(?: ?\(?\d+\)?)?:?$|(?:leave|post|write) (?:a|your) (?:reply|comment)\b|\d+ repl(?:y|ies)$|schreiben? sie einen kommentar|laisser un commentaire|deja un comentario", re.I).match
+
+
+class Node:
+    """An open element: where it stands in the tree, and what surrounds it."""
+
+    __slots__ = ("depth", "inside", "names", "parent", "replies", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, inside: frozenset[str], names: frozenset[str]) -> None:
+        self.tag, self.parent, self.inside, self.names = tag, parent, inside, names
+        self.depth: int = parent.depth + 1 if parent else 0
+        self.replies: bool = bool(parent and parent.replies)
 
 
 @dataclass
 class Block:
-    """A run of text: its words' container path (node numbers from the root) and what surrounds it."""
+    """A run of text, the element it stands in, the length of its links, whether readers' comments have begun around it."""
 
     text: str
-    path: tuple[int, ...]
-    tag: str
-    inside: frozenset[str]
-    names: frozenset[str]
+    node: Node
     linked: int
-
-
-class _Open:
-    __slots__ = ("inside", "names", "node", "tag")
-
-    def __init__(self, tag: str, node: int, inside: frozenset, names: frozenset) -> None:
-        self.tag, self.node, self.inside, self.names = tag, node, inside, names
+    replies: bool = False
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; character references decoded, white space single, trimmed."""
     out: list[Block] = []
-    stack = [_Open("", 0, frozenset(), frozenset())]
+    stack = [Node("", None, frozenset(), frozenset())]
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()
     run: list[str] = []
-    linked = nodes = 0
+    linked = 0
     link, at = False, 0
 
     def close() -> None:
@@ -86,7 +98,12 @@ def blocks_of(page: str) -> list[Block]:
         text = _space.sub(" ", "".join(run)).strip()
         if text:
             top = stack[-1]
-            out.append(Block(text, tuple(x.node for x in stack), top.tag, top.inside, top.names, linked))
+            if len(text) <= 40 and _replies(text):
+                # what follows in a heading's container are readers' words
+                top.replies = True
+                if top.tag in HEADINGS and top.parent:
+                    top.parent.replies = True
+            out.append(Block(text, top, linked, top.replies or bool(top.parent and top.parent.replies)))
         run.clear()
         linked, link = 0, False
 
@@ -98,6 +115,11 @@ def blocks_of(page: str) -> list[Block]:
             if link:
                 linked += len(_space.sub(" ", text).strip())
 
+    def pop_to(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+
     while True:
         found = _tag.search(page, at)
         add(page[at : found.start()] if found else page[at:])
@@ -110,7 +132,9 @@ def blocks_of(page: str) -> list[Block]:
         tag = tag.lower()
         if tag in HIDDEN:
             if not ends and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                if not end:
+                    endless.add(tag)
                 at = end.end() if end else len(page) if tag in RAW else at
             run.append(" ")
         elif tag == "a":
@@ -118,102 +142,126 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in BLOCK:
             close()
             if ends:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                if k:
-                    del stack[k:]
+                if opened[tag]:
+                    pop_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             elif tag not in VOID:
                 while len(stack) > 1 and tag in CLOSES.get(stack[-1].tag, ()):
-                    stack.pop()
-                nodes += 1
-                words = frozenset(_word.findall(" ".join("".join(x) for x in _named.findall(attributes)).lower())) if "=" in attributes else frozenset()
+                    pop_to(len(stack) - 1)
+                words = KNOWN.intersection(_word.findall(" ".join("".join(x) for x in _named.findall(attributes)).lower())) if "=" in attributes else KNOWN_NONE
                 top = stack[-1]
-                stack.append(_Open(tag, nodes, top.inside | {tag}, top.names | words if words else top.names))
+                stack.append(Node(tag, top, top.inside if tag in top.inside else top.inside | {tag}, top.names if words <= top.names else top.names | words))
+                opened[tag] += 1
         elif tag == "br":
             run.append(" ")
     close()
     return out
 
 
-NAMES = ("one", "article", "around", "page header", "named boilerplate", "named content", "links", "length", "stops", "heading", "paragraph", "item", "rights", "edge")
+NAMES = (
+    "one", "article", "around", "page header", "named boilerplate", "named content", "links", "length", "stops", "heading", "paragraph", "item", "rights", "edge", "furniture", "replies",
+)
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """(blocks, features), each about between 0 and 1."""
-    out = np.zeros((len(blocks), len(NAMES)))
+    rows = []
     for i, b in enumerate(blocks):
-        n, inner = len(b.text), "article" in b.inside or "main" in b.inside
-        stops = sum(b.text.count(c) for c in ".,;!?:")
-        out[i] = (
+        n, node = len(b.text), b.node
+        inner = "article" in node.inside or "main" in node.inside
+        stops = sum(map(b.text.count, ".,;!?:"))
+        rows.append((
             1,
             inner,
-            bool(b.inside & AROUND),
-            "header" in b.inside and not inner,
-            bool(b.names & BOILERPLATE),
-            bool(b.names & CONTENT),
+            not AROUND.isdisjoint(node.inside),
+            "header" in node.inside and not inner,
+            not BOILERPLATE.isdisjoint(node.names),
+            not CONTENT.isdisjoint(node.names),
             b.linked / n,
             min(1.0, math.log1p(n) / 7),
             min(1.0, 20 * stops / (n + 20)),
-            b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
-            b.tag in ("p", "blockquote", "pre"),
-            b.tag in ("li", "dt", "dd", "td", "th"),
-            "©" in b.text or "all rights reserved" in b.text.lower(),
+            node.tag in HEADINGS,
+            node.tag in ("p", "blockquote", "pre"),
+            node.tag in ("li", "dt", "dd", "td", "th"),
+            "©" in b.text or n < 400 and "all rights reserved" in b.text.lower(),
             i in (0, len(blocks) - 1),
-        )
-    return out
+            n < 160 and _furniture(b.text) is not None,
+            b.replies,
+        ))
+    return np.array(rows, float).reshape(-1, len(NAMES))
+
 
+_MARK = "\ue000"
 
-_SENTENCE = "The river rose in the night, and by morning the road was under water."
-_LONG = " ".join([_SENTENCE, "Nobody had seen such a flood for years; the bridge, old as it was, held."] * 3)
-#: The labelled table: pages, content marked by data-keep on its element.
-LABELLED = [
-    f"<nav><ul><li><a href=x>Home</a><li><a>News</a><li><a>About us</a></ul></nav><div class=ad>Buy now. Best price in town, today only.</div><article><h1 data-keep>A flood</h1><p data-keep>{_LONG}<p data-keep>Short.<p data-keep>{_SENTENCE}</article><footer>&copy; site &middot; imprint</footer>",
-    f"<header><h1>The Daily</h1><p>News since 1900</p></header><main><h2 data-keep>The bridge</h2><p data-keep>{_SENTENCE}</p><aside><p>{_SENTENCE}</p><a>More like this</a></aside><p data-keep>{_LONG}</p><ul><li data-keep>The old mill is closed.<li data-keep>The school is open.</ul></main><aside><h3>Popular</h3><ul><li><a>One</a><li><a>Two</a></ul></aside><footer><p>All rights reserved.</p></footer>",
-    f"<div id=cookie-banner><p>We use cookies to improve the site, and to show adverts. Accept?</p></div><div class=content><h1 data-keep>Water</h1><div data-keep>{_LONG}</div><div data-keep>{_SENTENCE}</div></div><div class=comments><h3>Comments</h3><div class=comment><p>{_SENTENCE} I saw it.</p></div><div class=comment><p>Nice article, thank you so much for it!</p></div></div><div class=sidebar><p>{_SENTENCE}</p></div>",
-    f"<body><div><a>Home</a> <a>Archive</a> <a>Contact</a></div><div><div data-keep>{_LONG}</div><div data-keep>{_SENTENCE}</div><div data-keep>{_LONG}</div></div><div><a>Terms</a> | <a>Privacy</a></div></body>",
-    f"<article><header><h1 data-keep>A title</h1></header><p data-keep>{_LONG}</p><form><p>Sign up for our letter, it is free.</p><label>Email</label></form><p data-keep>{_SENTENCE}</p><div class=advert><p>{_SENTENCE} Buy it.</p></div><p data-keep>The end.</p><section id=comments><p>{_LONG}</p></section></article>",
-    f"<table><tr><td><ul><li><a>Sports</a><li><a>Weather</a></ul><td><p data-keep>{_LONG}<p data-keep>{_SENTENCE}</table><p>Copyright © 2020 all rights reserved</p>",
-    f"<div class=post><h2 data-keep>On mills</h2><p data-keep>{_SENTENCE}</p><blockquote data-keep>{_SENTENCE}</blockquote><p data-keep>Yes.</p></div><div class='share social'><a>Tweet</a><a>Mail</a></div><div class=related><h3>Related</h3><p><a>{_SENTENCE}</a></p></div>",
-    f"<article><p data-keep>One.</p><p data-keep>Two, three.</p></article><footer><p>{_SENTENCE} &copy; us.</p></footer>",
-    f"<article><h1 data-keep>{_SENTENCE}</h1><p data-keep>{_SENTENCE}</p></article><div class=newsletter><p>{_LONG}</p></div><div class=notice>{_SENTENCE}</div><nav><p>{_SENTENCE}</p></nav><aside>{_LONG}</aside><form>{_LONG}</form>",
-]
 
+def labelled(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a page and which of them are content: those of elements with ``data-keep``."""
+    marked = blocks_of(re.sub(r"(<\w+) data-keep>", rf"\1>{_MARK}", page))
+    keep = np.array([_MARK in b.text for b in marked], bool)
+    return [replace(b, text=b.text.replace(_MARK, "").strip()) for b in marked], keep
 
-_MARK = "\ue000"
 
+@dataclass(frozen=True)
+class Model:
+    """Weights of the classifier (positive: content), and how strong the edges are."""
 
-@lru_cache(maxsize=1)
-def classifier() -> np.ndarray:
-    """Weights of the logistic classifier (positive: content), fitted to LABELLED by Newton's method."""
-    rows, labels = [], []
-    for page in LABELLED:
-        # a mark in front of the text of each element that is content shows which blocks to keep
-        marked = blocks_of(re.sub(r"(<\w+) data-keep>", rf"\1>{_MARK}", page))
-        labels += [_MARK in b.text for b in marked]
-        rows.append(features([replace(b, text=b.text.replace(_MARK, "").strip()) for b in marked]))
-    x, y = np.concatenate(rows), np.array(labels, float)
+    weights: np.ndarray
+    smooth: float
+
+
+#: Pages of the labelled table that train the classifier, and those that choose the edges' strength among these.
+TRAINING, CHOOSING = range(240), range(240, 360)
+STRENGTHS = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
+
+
+def fitted(pages: list[str]) -> np.ndarray:
+    """Weights of a logistic classifier by Newton's method."""
+    rows, labels = zip(*map(labelled, pages), strict=True)
+    x, y = np.concatenate([features(b) for b in rows]), np.concatenate(labels).astype(float)
     w = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(20):
         p = 1 / (1 + np.exp(-x @ w))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (y - p) - 0.05 * w)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (y - p) - w)
     return w
 
 
-#: Smoothness: of adjacent blocks at most, and of successive blocks of one container.
-ADJACENT, SIBLING = 0.8, 0.4
+def wrong(pages: list[tuple[list[Block], np.ndarray]], model: Model) -> int:
+    """How many blocks of labelled pages the model gets wrong."""
+    return sum(int(np.count_nonzero(np.array(kept(b, model)) != y)) for b, y in pages if len(b))
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges (i, j, weight)."""
+@lru_cache(maxsize=1)
+def trained() -> Model:
+    """The model of the labelled table: of the strengths, the one with the fewest wrong blocks on pages not trained on."""
+    weights = fitted([labelled_page(k) for k in TRAINING])
+    held = [labelled(labelled_page(k)) for k in CHOOSING]
+    return min((Model(weights, s) for s in STRENGTHS), key=lambda m: wrong(held, m))
+
+
+def _steps(a: Node, b: Node) -> int:
+    """Steps in the tree between two elements."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        n += 1
+    return n
+
+
+def edges_of(blocks: list[Block], smooth: float = 1.0) -> list[tuple[int, int, float]]:
+    """Smoothness edges (i, j, weight): of adjacent blocks, the weaker the farther their containers
+    are in the tree; of the next two blocks of one container with others in between."""
     out, last = [], {}
     for i, b in enumerate(blocks):
+        holder = b.node.parent or b.node
         if i:
-            a = blocks[i - 1].path
-            shared = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            out.append((i - 1, i, ADJACENT / (len(a) + len(b.path) - 2 * shared + 1)))
-        holder = b.path[:-1]
-        if holder in last and last[holder] != i - 1:
-            out.append((last[holder], i, SIBLING))
+            before = blocks[i - 1].node
+            out.append((i - 1, i, smooth / (1 + _steps(before.parent or before, holder))))
+        j = last.get(holder)
+        if j is not None and j != i - 1:
+            out.append((j, i, smooth / 2))
         last[holder] = i
     return out
 
@@ -286,21 +334,23 @@ def _max_flow(rest: list[int], gain: list[float], near: list[dict[int, float]])
                     ways[path[-1]].pop()
 
 
-def main_text(page: str, weights: np.ndarray | None = None) -> str:
+def kept(blocks: list[Block], model: Model) -> list[bool]:
+    """Which blocks the minimum cut leaves on the content's side."""
+    return min_cut((features(blocks) @ model.weights).tolist(), edges_of(blocks, model.smooth))
+
+
+def main_text(page: str, model: Model | None = None) -> str:
     """The content blocks of a page, joined by an empty line."""
     blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    gain = features(blocks) @ (classifier() if weights is None else weights)
-    keep = min_cut(gain.tolist(), edges_of(blocks))
-    return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n\n".join(b.text for b, k in zip(blocks, kept(blocks, model or trained()), strict=True) if k)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each whole page."""
+    shared = pages.sparkSession.sparkContext.broadcast(trained())  # a weight for each feature
 
     def per_batch(batch):
-        found = [main_text(x) for x in texts(batch, "html")]
+        found = [main_text(x, shared.value) for x in texts(batch, "html")]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": found, "n_chars": [len(x) for x in found]}
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

@@ -6,10 +6,12 @@ of equal ones, and kept with its position. Two texts that share a passage of
 minima of a text are numpy arrays, built by doubling (a hash of 2m code points
 from two of m), so the cost doesn't depend on k or on the window.
 
-Neighbours by descending id: the table is cut into buckets at id quantiles, each
-sorted by itself; a bucket also gets the largest id below it (and the lowest one
-the largest of all), so every row's successor is in its bucket. Texts are
-shuffled once, and nothing global is sorted in one task.
+Neighbours by descending id: the table is cut into buckets at id quantiles (to one
+part in ``ACCURACY``), at most as many as there are shuffle partitions and each of
+about ``PART_BYTES`` or more, and every bucket is sorted by itself. A bucket also
+gets the largest id below it (and the lowest one the largest of all), so every row's
+successor is in its bucket. Texts are shuffled once, nothing global is sorted in one
+task, and a task holds a few MB of texts at once, besides its longest text.
 
 Cases: null text counts as empty and has an empty fingerprint; two empty
 fingerprints are alike (1.0). A text shorter than k is one gram. Null ids come
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.batches import mapped, texts
+from plumbline.llm.batches import mapped, sliced, texts
 
 K, WINDOW = 16, 24
+#: Bytes of texts that a bucket of neighbours has at least, where there are so many; accuracy of the ids' quantiles.
+PART_BYTES, ACCURACY = 4 << 20, 10_000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _LOW = np.uint64(0xFFFFFFFF)
@@ -132,11 +136,11 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Rows (part, doc_id, text, extra) so partitioned and sorted that the next row is the
     successor by descending id; rows with ``extra`` are there only to be one."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id"), F.lit(_LEAST))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    quantiles = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = rows.agg(F.percentile_approx(key, quantiles, 100 * parts)).first()[0]
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // PART_BYTES)
+    bounds = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], ACCURACY)).first()[0] if parts > 1 else []
     part = _bucket(key, sorted(set(bounds or [])))
     tops = rows.groupBy(part.alias("part")).agg(F.max(key).alias("top")).orderBy("part").collect()  # a row for each bucket
     also = [(a.top, b.part, False) for a, b in zip(tops, tops[1:], strict=False)] + [(b.top, a.part, True) for a, b in zip(tops[:1], tops[-1:], strict=True)]
@@ -168,7 +172,7 @@ def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: s
 
     def run(batches):
         last = None
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for part, doc_id, text, extra in zip(
                 batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch), batch.column("extra").to_pylist(), strict=True

@@ -44,6 +44,23 @@ def test_edited_texts_and_likeness(spark):
     assert winnowing.edited_likeness(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_small_buckets_and_clashing_names(spark, monkeypatch):
+    """As many buckets as shuffle partitions, names that the operator uses itself, and a very long text."""
+    monkeypatch.setattr(winnowing, "PART_BYTES", 200)
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abc d", k=rng.randrange(60))), 1, 2, 3, 4) for i in range(500)]
+    rows.append((77_777, "long " * 300_000, 1, 2, 3, 4))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        got = winnowing.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string, part int, last int, extra int, top int")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(rows, reverse=True)
+    want = {i: t[: len(t) - len(t) // 2] + after[: len(t) // 2] for (i, t, *_), (_, after, *_) in zip(order, order[1:] + order[:1])}
+    assert {r.doc_id: r.edited_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()} and len(got) == len(rows)
+
+
 def test_forward_backward_and_viterbi_by_enumeration():
     rng = np.random.default_rng(5)
     lengths, labels = np.array([1, 4, 6, 2]), 3
