@@ -2,31 +2,38 @@
 
 A host is keyed by its labels in reverse, each closed by a comma, so a rule's host
 and all its subdomains are one interval of keys: those that start with the rule's.
-URLs are range-partitioned and sorted by key. One sweep over a partition merges
-them with the sorted rules and keeps a stack of the rules whose intervals are
-open; intervals nest, so leaving one pops it. Of the stack's rules whose path
-starts the URL's, the longest (host and path together, then host) decides.
+URLs and rules are cut into ranges of keys together and sorted. A rule goes to every
+range that its interval meets; beside its own range these are only the ranges that
+begin inside it, so there are no more rows than rules and, for each range, the
+parents of its first host. One sweep over a range keeps a stack of the rules whose
+intervals are open; intervals nest, so leaving one pops it. Of the stack's rules
+whose path starts the URL's, the longest (host and path together, then host) decides.
+A host's own rules are looked up by the lengths of their paths.
 
-The rules travel to every task while there are at most ``MOST_RULES``. More are
-joined by equality instead: each host is expanded to its parent domains.
-
-The partitioning is by key and id together, so a host with a third of the rows
-spreads over partitions.
+Ranges are cut by key and id together, so a host with a third of the rows spreads
+over several. Nothing but the ranges' bounds passes through the driver.
 
 Cases: a null url, or one without ``://``, has an empty host and path, no rule and
-the default verdict. A url without a path has the empty path, which no rule's path
-starts. Repeated rows are judged each. Empty tables give empty results. Extra
-columns are not read. A null id stays null.
+the default verdict. A url without a path has the empty path, which only a rule with
+an empty path starts. Rules that lack host or path are left out; of two with one host
+and path the last verdict in order of letters counts (block before allow). Repeated
+rows are judged each. Empty tables give empty results. Extra columns are not read. A
+null id stays null.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.batches import mapped
+from plumbline.llm import ranges
+from plumbline.llm.batches import sliced
 
-MOST_RULES = 200_000
+#: URLs for which a range is made, where there are so many.
+RANGE_ROWS = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,20 +57,32 @@ def host_key(host: Column) -> Column:
 
 
 class Sweep:
-    """Feeds on keys in order; holds the stack of open rules."""
+    """Takes rules and urls in order of their keys; holds the stack of open rules, an entry for each host."""
 
-    def __init__(self, rules: list[tuple[str, str, str, str]]) -> None:
-        self.rules, self.at, self.stack = sorted(rules), 0, []
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str, dict[int, dict[str, str]]]] = []  # key, host, verdicts by path, by its length
 
-    def at_key(self, key: str) -> list[tuple[str, str, str, str]]:
-        """The rules whose interval holds the key, outermost first."""
+    def enter(self, key: str) -> None:
+        """Leaves the intervals that don't hold the key."""
         while self.stack and not key.startswith(self.stack[-1][0]):
             self.stack.pop()
-        while self.at < len(self.rules) and self.rules[self.at][0] <= key:
-            if key.startswith(self.rules[self.at][0]):
-                self.stack.append(self.rules[self.at])
-            self.at += 1
-        return self.stack
+
+    def add(self, key: str, host: str, path: str, verdict: str | None) -> None:
+        self.enter(key)
+        if not self.stack or self.stack[-1][0] != key:
+            self.stack.append((key, host, {}))
+        same = self.stack[-1][2].setdefault(len(path), {})
+        same[path] = max(same.get(path) or "", verdict or "")
+
+    def decide(self, key: str, path: str) -> tuple[str, str] | None:
+        """(rule, verdict) of the longest open rule whose path starts this one."""
+        self.enter(key)
+        best = None
+        for _, host, paths in self.stack:  # outermost first, so hosts get longer
+            fit = max((n for n in paths if n <= len(path) and path[:n] in paths[n]), default=None)
+            if fit is not None and (best is None or len(host) + fit >= best[0]):
+                best = len(host) + fit, host + path[:fit], paths[fit][path[:fit]]
+        return best and best[1:]
 
 
 def _parsed(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
@@ -71,48 +90,40 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     return pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
 
 
-def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", most: int = MOST_RULES) -> DataFrame:
+def _ranged(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, int]:
+    """(part, key, kind, page_id, host, path, verdict) in order inside each part, rules (kind 0) first, and the number of parts."""
+    count = rows.count()
+    parts = ranges.buckets(rows.sparkSession, count, RANGE_ROWS)
+    place = F.concat("key", F.lit("\0"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    bounds = ranges.sampled_bounds(rows.select(place), parts, count)
+    urls = rows.select(ranges.bucket(bounds, lambda b: b < place).alias("part"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
+    key = F.col("key")
+    first, last = ranges.bucket(bounds, lambda b: b < key), ranges.bucket(bounds, lambda b: (b < key) | F.startswith(b, key))
+    held = rules.select(F.explode(F.sequence(first, last)).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["page_id"].dataType).alias("page_id"), "host", "path", "verdict")
+    return held.unionByName(urls).repartitionById(parts, "part").sortWithinPartitions("part", "key", "kind"), parts
+
+
+def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row; ``rules``: host, path, verdict."""
-    rows = _parsed(pages, id_col, url_col)
-    keyed = rules.select(host_key(F.col("host")).alias("key"), "path", "host", "verdict").filter("key is not null and path is not null")
-    some = keyed.limit(most + 1).collect()
-    if len(some) > most:
-        return _by_parents(rows, rules, default)
-    some = [tuple(r) for r in some]
-    id_type = rows.schema["page_id"].dataType.simpleString()
-    rows = rows.withColumn("key", host_key(F.col("host")))
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key")
-
-    def per_partition():
-        sweeps = {}
-
-        def per_batch(batch):
-            found, verdicts = [], []
-            for key, path in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                if "sweep" not in sweeps or key < sweeps["last"]:
-                    sweeps["sweep"] = Sweep(some)
-                sweeps["last"] = key
-                fit = [r for r in sweeps["sweep"].at_key(key) if path.startswith(r[1])]
-                best = max(fit, key=lambda r: (len(r[2]) + len(r[1]), len(r[2]), r), default=None)
-                found.append(best and best[2] + best[1])
-                verdicts.append(best[3] if best else default)
-            return {n: batch.column(n) for n in ("page_id", "host", "path")} | {"rule": found, "verdict": verdicts}
-
-        return per_batch
-
-    return mapped(ordered, per_partition(), f"page_id {id_type}, host string, path string, rule string, verdict string")
-
-
-def _by_parents(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same by equality: distinct (host, path) expanded to the host's parent domains."""
-    labels = F.split("host", r"\.")
-    seen = rows.select("host", "path").distinct()
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    wide = seen.select("host", "path", F.explode(parents).alias("parent"))
-    named = rules.select(F.col("host").alias("parent"), F.col("path").alias("start"), "verdict")
-    fit = wide.join(named, "parent").filter(F.startswith("path", F.col("start")))
-    size = F.struct((F.length("parent") + F.length("start")).alias("a"), F.length("parent").alias("b"), "parent", "start", "verdict")
-    best = fit.groupBy("host", "path").agg(F.max(size).alias("best"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.concat("best.parent", "best.start").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    rows = _parsed(pages, id_col, url_col).withColumn("key", host_key(F.col("host")))
+    keyed = rules.select(host_key(F.col("host")).alias("key"), "host", "path", "verdict").where("host is not null and path is not null")
+    ordered, _ = _ranged(rows, keyed)
+    struct = T.StructType([rows.schema["page_id"], *T.StructType.fromDDL("host string, path string, rule string, verdict string")])
+    arrow = to_arrow_schema(struct)
+
+    def run(batches):
+        now, sweep = None, Sweep()
+        for batch in sliced(batches):
+            urls, found = [], []
+            for i, (part, key, kind, host, path, verdict) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("part", "key", "kind", "host", "path", "verdict")), strict=True)):
+                if part != now:
+                    now, sweep = part, Sweep()
+                if kind:
+                    urls.append(i)
+                    found.append(sweep.decide(key, path) or (None, default))
+                else:
+                    sweep.add(key, host, path, verdict)
+            mine = batch.take(pa.array(urls, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(mine.column(n) for n in ("page_id", "host", "path")), *(pa.array([x[k] for x in found], pa.string()) for k in (0, 1))], schema=arrow)
+
+    return ordered.mapInArrow(run, struct)

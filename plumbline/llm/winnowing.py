@@ -27,11 +27,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from plumbline.llm import ranges
 from plumbline.llm.batches import mapped, sliced, texts
 
 K, WINDOW = 16, 24
@@ -120,18 +121,6 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str
     return mapped(rows, per_batch, "doc_id long, positions array<long>, hashes array<long>")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below the key, found in two steps of about a root of them."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse = F.size(F.filter(longs([g[-1] for g in groups]), lambda b: b < key))
-    fine = F.coalesce(F.try_element_at(F.array(*[longs(g) for g in groups]), coarse + 1), F.array().cast("array<long>"))
-    return F.least(coarse * step, F.lit(len(bounds))) + F.size(F.filter(fine, lambda b: b < key))
-
-
 def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (part, doc_id, text, extra) so partitioned and sorted that the next row is the
     successor by descending id; rows with ``extra`` are there only to be one."""
@@ -139,9 +128,9 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.coalesce(F.col("doc_id"), F.lit(_LEAST))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // PART_BYTES)
+    parts = ranges.buckets(spark, size, PART_BYTES)
     bounds = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], ACCURACY)).first()[0] if parts > 1 else []
-    part = _bucket(key, sorted(set(bounds or [])))
+    part = ranges.bucket(sorted(set(bounds or [])), lambda b: b < key)
     tops = rows.groupBy(part.alias("part")).agg(F.max(key).alias("top")).orderBy("part").collect()  # a row for each bucket
     also = [(a.top, b.part, False) for a, b in zip(tops, tops[1:], strict=False)] + [(b.top, a.part, True) for a, b in zip(tops[:1], tops[-1:], strict=True)]
     small = spark.createDataFrame(also, "top long, to int, last boolean").groupBy("top").agg(F.collect_list(F.struct("to", "last")).alias("more"))

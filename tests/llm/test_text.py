@@ -184,14 +184,39 @@ def brute_rule(url):
     return host, path, best and best[0] + best[1], best[2] if best else "allow"
 
 
-def test_url_rules_both_ways(spark):
-    pages = spark.createDataFrame([(i, u, "k", "h") for i, u in enumerate(URLS)] + [(None, URLS[0], "k", "h")], "page_id long, url string, key string, host string")
+def test_url_rules(spark):
+    rows = [*enumerate(URLS), (None, URLS[0]), (3, URLS[3]), (3, URLS[3])]
+    pages = spark.createDataFrame([(i, u, "k", "h", 1, 2) for i, u in rows], "page_id long, url string, key string, host string, kind int, part int")
     rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
-    want = sorted(str((i, *brute_rule(u))) for i, u in [*enumerate(URLS), (None, URLS[0])])
-    for most in (url_rules.MOST_RULES, 1):
-        got = url_rules.judged(pages, rules, most=most).select("page_id", "host", "path", "rule", "verdict").collect()
-        assert sorted(str(tuple(r)) for r in got) == want
+    want = sorted(str((i, *brute_rule(u))) for i, u in rows)
+    got = url_rules.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
     assert url_rules.judged(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in url_rules.judged(pages, rules.limit(0)).collect()} == {"allow"}
+    odd = spark.createDataFrame([("net", "/", "allow"), ("net", "/", "block"), (None, "/", "block"), ("net", None, "block"), ("a.net", "", "allow")], rules.schema)
+    assert {r.page_id: (r.rule, r.verdict) for r in url_rules.judged(pages, odd).collect()}[0] == ("a.net", "allow")
+
+
+def test_many_rules_over_many_ranges(spark, monkeypatch):
+    """More ranges than hosts, a host with half of the rows, nested rules that begin in earlier ranges."""
+    monkeypatch.setattr(url_rules, "RANGE_ROWS", 20)
+    rng = random.Random(8)
+    label = lambda: rng.choice("abcd")
+    host = lambda: ".".join(label() for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 4)))
+    rules = {(host(), rng.choice([path(), "/"])): rng.choice(["allow", "block"]) for _ in range(400)}
+    urls = [(i, f"http://{'b.a' if rng.random() < 0.5 else host()}{path()}") for i in range(600)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "25")
+    try:
+        got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judged(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame([(*k, v) for k, v in rules.items()], "host string, path string, verdict string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for i, url in urls:
+        h, p = url.removeprefix("http://").split("/", 1)
+        fit = [(h2, p2) for h2, p2 in rules if (h == h2 or h.endswith("." + h2)) and ("/" + p).startswith(p2)]
+        best = max(fit, key=lambda r: (len(r[0]) + len(r[1]), len(r[0])), default=None)
+        assert got[i] == ((best[0] + best[1], rules[best]) if best else (None, "allow")), url
 
 
 def test_archive_round_trip_and_lookup(spark):
