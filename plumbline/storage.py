@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ _SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in local mode) a temporary folder
-    is made and set, so that every later call gets the same one.
+    Only where a local session (as in tests) names none, a temporary folder is made
+    and set, so that every later call gets the same one. A cluster must name one.
     """
     path = spark.sparkContext.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set(_SETTING, path)
     if "://" not in path:
@@ -25,17 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a URI, as Hadoop's."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a folder not used before, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop_path)
-    fs.deleteOnExit(hadoop_path)
+    fs, folder = _hadoop(spark, path)
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
     return path
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(f"{path}/table")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/table")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, computed once, as a table in the shared folder.
 
@@ -43,6 +55,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     a join of two such tables starts from two plain exchanges, which adaptive
     execution can split where a key is hot.
     """
-    path = f"{new_folder(df.sparkSession, name)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, new_folder(df.sparkSession, name))
+
+
+class Scratch:
+    """Written tables that are freed together, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folders = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.folders.append(new_folder(self.spark, name))
+        return _written(df, self.folders[-1])
+
+    def free(self) -> None:
+        for path in self.folders:
+            fs, folder = _hadoop(self.spark, path)
+            fs.delete(folder, True)
+        self.folders.clear()
