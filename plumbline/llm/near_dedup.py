@@ -16,22 +16,28 @@
    of 48 values in both (the same probability); then the exact Jaccard of the whole
    sets decides.
 4. Components of the confirmed links. Where a list still holds several components,
-   links between them may be left. For the documents of such lists the items of
-   their whole sets that another of them has are counted: similarity s needs
-   s / (1 + s) of both sizes' sum in common, so a document with fewer shared items
-   than that can't link. Each of these sets also has a parity bitmap: bit b is set
-   if an odd number of its items hash to b. An item that only one of two sets has
-   flips one bit of their difference, so the bits that differ are a lower bound of
-   the items that differ, and a link allows (1 - s) / (1 + s) of both sizes' sum of
-   these. Every pair from different components that counts and bitmaps allow is
-   tried as in 3, so no link between components is lost; edited copies too far from
-   each other make no pairs, even where thousands share an original.
+   links between them may be left. The documents of such lists are listed anew by
+   items of their whole sets: two sets that link share one of the rarest items of
+   each, as many as their sizes leave to differ (plus one), and of these only items
+   that both have count. Edited copies too far from each other to link thus have few
+   lists in common or none, even where thousands share an original. Each set also has
+   a parity bitmap: bit b is set if an odd number of its items hash to b. An item that
+   only one of two sets has flips one bit of their difference, so the bits that differ
+   are a lower bound of the items that differ, and a link allows (1 - s) / (1 + s) of
+   both sizes' sum of these. Every pair of different components in one such list that
+   sizes and bitmaps allow is tried as in 3, so no link between components is lost.
+
+Nodes are the distinct word sequences, not the ids: rows that share an id but not the
+text are linked each by its own text, and every row gets the answer for its text.
+
+The only loss is in step 2 and in the union-sketch check: at most 7e-6 a link at the
+similarity itself, less above it; ``k`` and ``shared`` set it.
 
 Cases: null or wordless text has an empty set and links with nothing, being its
 own component. Fewer words than a shingle: the whole sequence is the one shingle.
 Rows that repeat id and text get the same answer. A null id is never linked and
 has a null component. An empty table gives an empty result. Extra columns are
-carried only by ``deduplicated``.
+carried only by ``deduplicated``, which keeps every row of an id that stays.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ from pyspark.sql.window import Window
 
 from plumbline.llm.batches import mapped, texts
 from plumbline.llm.components import components
-from plumbline.storage import written
+from plumbline.storage import Scratch, written
 
 WORDS, SIMILARITY = 5, 75
 SKETCH, SHARED = 48, 22
@@ -104,13 +110,14 @@ def parity(items: np.ndarray, words: int = MARKS) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """(id, items, marks): whole sets of rows (id, text) and their parity bitmaps."""
+    """(digest, items, marks): whole sets of the column text, the digest of each word sequence and the set's parity bitmap."""
 
     def per_batch(batch):
-        found = [shingle_hashes(words_of(t), width) for t in texts(batch)]
-        return {"id": batch.column("id"), "items": _listed(found), "marks": _listed([parity(x) for x in found])}
+        words = [words_of(t) for t in texts(batch)]
+        found = [shingle_hashes(w, width) for w in words]
+        return {"digest": [hashlib.md5(b" ".join(w)).digest() for w in words], "items": _listed(found), "marks": _listed([parity(x) for x in found])}
 
-    return mapped(docs, per_batch, "id long, items array<long>, marks array<long>")
+    return mapped(docs.select("text"), per_batch, "digest binary, items array<long>, marks array<long>")
 
 
 def _marks_fit(similarity: int) -> str:
@@ -125,75 +132,88 @@ def _sizes_fit(a: str, b: str, similarity: int) -> str:
 
 def links(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets are similar enough."""
-    items = sets.select("id", "items")
+    items = sets.select("node", "items")
     found = pairs.join(items.toDF("b", "of_b"), "b").join(items.toDF("a", "of_a"), "a")
     found = found.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
     return found.filter(f"100L * both >= {similarity}L * (sum - both)").select("a", "b")
 
 
-def _shared_counts(sets: DataFrame, among: DataFrame) -> DataFrame:
-    """(id, n, m) for the ids of ``among``: their sets' sizes, and how many items another of those sets has."""
-    items = sets.join(among, "id", "left_semi").select("id", F.size("items").alias("n"), F.explode("items").alias("v"))
-    shared = written(items.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").select("v"), "shared-items")
-    return items.join(shared, "v", "left_semi").groupBy("id", "n").agg(F.count("*").alias("m"))
+def _prefixes(sets: DataFrame, among: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
+    """(v, node, n): of each set of ``among``, the rarest items by which it must meet any set it links with.
+
+    A link shares at least ``similarity`` percent of both sets. So it shares one of
+    the rarest n - that + 1 items of each, and items that no other set has come first
+    among these and meet nothing.
+    """
+    items = sets.join(among, "node", "left_semi").select("node", F.size("items").alias("n"), F.explode("items").alias("v"))
+    shared = keep.written(items.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared-items")
+    of_node = Window.partitionBy("node", "n")
+    ranked = items.join(shared, "v").select("v", "node", "n", F.row_number().over(of_node.orderBy("df", "v")).alias("at"), F.count("*").over(of_node).alias("m"))
+    return keep.written(ranked.filter(f"at <= m - ceil(n * {similarity} / 100) + 1").select("v", "node", "n"), "prefixes")
 
 
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: int = SIMILARITY, k: int = SKETCH, shared: int = SHARED
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
+    keep = Scratch(docs.sparkSession)
     all_rows = written(sketches(docs, id_col, text_col, width, k), "sketches")
     real = all_rows.filter("n > 0 and id is not null")
-    reps = written(
-        real.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "representatives"
-    )
+    first = real.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # numbered where they are written, so a number is the same whoever reads it
+    reps = keep.written(first.withColumn("node", F.monotonically_increasing_id()), "representatives")
 
-    postings = reps.select("rep", "n", F.explode("sketch").alias("v"))
-    lengths = written(postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "list-lengths")
-    of_rep = Window.partitionBy("rep", "n")
+    postings = reps.select("node", "n", F.explode("sketch").alias("v"))
+    lengths = keep.written(postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "list-lengths")
+    of_node = Window.partitionBy("node", "n")
     need = F.least(F.lit(shared), F.greatest(F.lit(1), F.ceil(F.col("n") * shared / k)))
     ranked = postings.join(lengths, "v").select(
-        "v", "rep", "n", F.row_number().over(of_rep.orderBy("df", "v")).alias("at"), F.count("*").over(of_rep).alias("m"), F.sum("df").over(of_rep).alias("fame")
+        "v", "node", "n", F.row_number().over(of_node.orderBy("df", "v")).alias("at"), F.count("*").over(of_node).alias("m"), F.sum("df").over(of_node).alias("fame")
     )
-    lists = written(ranked.filter(F.col("at") <= F.col("m") - need + 1).select("v", "rep", "n", "fame"), "lists")
+    lists = keep.written(ranked.filter(F.col("at") <= F.col("m") - need + 1).select("v", "node", "n", "fame"), "lists")
 
     def tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass the union-sketch estimate and the exact check."""
-        pairs = written(pairs.distinct(), "pairs")
-        of = reps.select("rep", "sketch")
+        pairs = keep.written(pairs.distinct(), "pairs")
+        of = reps.select("node", "sketch")
         est = pairs.join(of.toDF("b", "sb"), "b").join(of.toDF("a", "sa"), "a")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         est = est.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")) >= F.lit(shared / k) * F.size("u"))
-        return links(written(est.select("a", "b"), "candidates"), sets, similarity)
-
-    most = F.max(F.struct("fame", (-F.col("rep")).alias("order"), "rep", "n"))
-    centres = written(lists.groupBy("v").agg(most.alias("c"), F.count("*").alias("m")).filter("m > 1").select("v", "c"), "centres")
-    stars = lists.join(centres, "v").filter("rep <> c.rep").filter(_sizes_fit("n", "c.n", similarity)).select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
-    meeting = written(lists.join(centres.select("v"), "v", "left_semi").select(F.col("rep").alias("id")).distinct(), "meeting")
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(meeting, "id", "left_semi")
-    sets = written(shingle_sets(wanted, width).dropDuplicates(["id"]), "sets")
-    found = written(tried(stars, sets), "links")
-    of_rep = components(found)
-
-    placed = lists.join(of_rep.toDF("rep", "comp"), "rep", "left").select("v", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    placed = written(placed, "placed")
-    counts = placed.groupBy("v", "comp").agg(F.count("*").alias("m"))
-    mixed = written(counts.groupBy("v").agg(F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1").select("v", F.col("big.comp").alias("big")), "mixed")
-    if not mixed.isEmpty():
-        inside = written(placed.join(mixed, "v"), "inside")
-        enough = _shared_counts(sets, inside.select(F.col("rep").alias("id")).distinct()).filter(f"100 * m >= {similarity} * n").select("id", "m")
-        enough = enough.join(sets.select("id", "marks"), "id").withColumnRenamed("id", "rep")
-        inside = written(inside.join(written(enough, "enough"), "rep"), "able")
-        others = inside.filter("comp <> big").select("v", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("m").alias("m2"), F.col("marks").alias("marks2"))
-        fit = f"{100 + similarity} * least(m, m2) >= {similarity} * (n + n2)"
-        more = written(others, "others").join(inside, "v").filter("comp <> comp2 and (comp = big or rep < r2)").filter(_sizes_fit("n", "n2", similarity)).filter(fit).filter(_marks_fit(similarity))
-        more = written(tried(more.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")), sets), "more-links")
+        return links(keep.written(est.select("a", "b"), "candidates"), sets, similarity)
+
+    most = F.max(F.struct("fame", (-F.col("node")).alias("order"), "node", "n"))
+    centres = keep.written(lists.groupBy("v").agg(most.alias("c"), F.count("*").alias("m")).filter("m > 1").select("v", "c"), "centres")
+    stars = lists.join(centres, "v").filter("node <> c.node").filter(_sizes_fit("n", "c.n", similarity)).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+    meeting = lists.join(centres.select("v"), "v", "left_semi").select("node").distinct()
+    meeting = keep.written(reps.join(meeting, "node", "left_semi").select("node", "id", "digest"), "meeting")
+    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(meeting.select("id"), "id", "left_semi")
+    sets = keep.written(shingle_sets(wanted, width).join(meeting.select("digest", "node"), "digest").drop("digest").dropDuplicates(["node"]), "sets")
+    found = keep.written(tried(stars, sets), "links")
+    comp = components(found, keep)
+
+    placed = keep.written(lists.join(comp.toDF("node", "comp"), "node", "left").select("v", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    mixed = placed.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("v")
+    inside = keep.written(placed.join(mixed, "v", "left_semi").select("node", "comp").distinct(), "inside")
+    if not inside.isEmpty():
+        short = _prefixes(sets, inside.select("node"), similarity, keep).join(inside, "node")
+        short = keep.written(short.join(sets.select("node", "marks"), "node"), "short")
+        sizes = keep.written(short.groupBy("v", "comp").agg(F.count("*").alias("m")), "sizes")
+        most = F.max(F.struct("m", "comp"))
+        mixed = keep.written(sizes.groupBy("v").agg(most.alias("big"), F.count("*").alias("comps")).filter("comps > 1").select("v", F.col("big.comp").alias("big")), "mixed")
+        ours = keep.written(short.join(mixed, "v"), "ours")
+        others = ours.filter("comp <> big").select("v", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("marks").alias("marks2"))
+        more = keep.written(others, "others").join(ours, "v").filter("comp <> comp2 and (comp = big or node < node2)").filter(_sizes_fit("n", "n2", similarity)).filter(_marks_fit(similarity))
+        more = keep.written(tried(more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), sets), "more-links")
         if not more.isEmpty():
-            of_rep = components(found.union(more))
+            comp = components(found.union(more), keep)
 
-    named = written(reps.select("digest", "rep").join(of_rep.toDF("rep", "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp")), "named")
+    linked = reps.select("node", "digest", "id").join(comp.toDF("node", "comp"), "node")
+    smallest = keep.written(linked.groupBy("comp").agg(F.min("id").alias("component")), "smallest")
+    named = reps.select("digest", "node", "id").join(comp.toDF("node", "comp"), "node", "left").join(smallest, "comp", "left")
+    named = written(named.select("digest", F.coalesce("component", "id").alias("component")), "named")
+    keep.free()
     out = all_rows.select("id", "n", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -109,6 +109,27 @@ def test_near_odd_rows_and_empty_table(spark):
     assert near_dedup.deduplicated(table(spark, [])).columns == ["doc_id", "text", "id", "n", "h"]
 
 
+def test_rows_that_share_an_id_are_linked_by_their_own_text(spark):
+    rng = random.Random(9)
+    a, b = ([f"{x}{i}" for i in rng.choices(range(300), k=120)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a) + " more"), (3, " ".join(b) + " more"), (4, "something else")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_classes(table(spark, rows)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_half_alike_copies_make_no_links_and_lose_none(spark):
+    """Many copies of one original, most too far from each other to link, some close in pairs."""
+    rng = random.Random(10)
+    base = [f"w{i}" for i in rng.choices(range(2000), k=150)]
+    rows = []
+    for i in range(120):
+        text = edited(rng, base, 30)
+        rows.append((2 * i, text))
+        rows.append((2 * i + 1, edited(rng, text.split(), 3) if i % 4 == 0 else edited(rng, base, 30)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_classes(table(spark, rows)).collect()}
+    assert got == brute_near(rows) and len({c for _, c in got.values()}) > 100
+
+
 def test_parity_bitmap_never_exceeds_the_difference():
     rng = random.Random(1)
     for size in (3, 50, 5000):
