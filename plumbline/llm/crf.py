@@ -97,14 +97,17 @@ def viterbi(score: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) ->
 
 
 def trained(
-    rows: list[np.ndarray], labels: np.ndarray, first: np.ndarray, features: int, kinds: int, rounds: int = 6, batch: int = 4096, rate: float = 0.2, decay: float = 1e-6
-) -> tuple[np.ndarray, np.ndarray]:
+    rows: list[np.ndarray], labels: np.ndarray, first: np.ndarray, features: int, kinds: int, rounds: int = 6, batch: int = 4096, rate: float = 0.2, decay: float = 1e-6,
+    barred: np.ndarray | None = None, steps: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """(weights, transitions) that raise the conditional likelihood, by AdaGrad on runs of whole sequences.
 
-    ``rows[i]``: the feature rows of token i. The order of the runs is fixed, so a
-    model is the same wherever it is trained.
+    ``rows[i]``: the feature rows of token i. ``barred`` (tokens, labels) and ``steps``
+    (labels, labels) are added to the scores and begin the transitions: large negative
+    values forbid. The order of the runs is fixed, so a model is the same wherever it
+    is trained.
     """
-    w, t = np.zeros((features, kinds)), np.zeros((kinds, kinds))
+    w, t = np.zeros((features, kinds)), np.zeros((kinds, kinds)) if steps is None else steps.copy()
     gw, gt = np.full((features, kinds), 1e-8), np.full((kinds, kinds), 1e-8)
     heads = np.flatnonzero(first)
     cuts, last = [0], 0
@@ -119,7 +122,7 @@ def trained(
             y, f = labels[part], first[part]
             sizes = np.array([len(r) for r in rows[part]])
             flat, starts = np.concatenate(rows[part]), np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            score = scores(w, flat, starts)
+            score = scores(w, flat, starts) + (0 if barred is None else barred[part])
             ahead, p = _messages(score, t, f)
             wrong = -p
             wrong[np.arange(len(y)), y] += 1

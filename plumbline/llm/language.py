@@ -8,8 +8,9 @@ its posterior over languages, also where languages are mixed. The document's
 language has the largest mean posterior, which is the score.
 
 Training is on the driver, from at most ``per_label`` labelled documents a language
-(the sample bound; those with the smallest hash of their id), cut into short runs
-that are spliced, so that changes of language are seen.
+of at most ``SAMPLE_BYTES`` each, and ``SAMPLE`` documents in all (the sample bound;
+those with the smallest hash of their id), cut into short runs that are spliced, so
+that changes of language are seen.
 
 Cases: null text, or a text without a letter, is ``und`` with score 0. Without
 labelled rows every document is ``und``. Null languages aren't learnt. A null id is
@@ -32,15 +33,20 @@ from plumbline.llm import crf
 from plumbline.llm.batches import mapped, texts
 
 NONE = "und"
-#: Bounds of the training sample: documents a language, words in all.
-PER_LABEL, WORDS = 150, 120_000
+#: Bounds of the training sample: documents a language, documents in all, bytes of a document (longer
+#: ones aren't taken), words in all.
+PER_LABEL, SAMPLE, SAMPLE_BYTES, WORDS = 150, 10_000, 100_000, 120_000
 #: Rows of n-grams, and characters of texts that are scored together.
 GRAM_ROWS, CHUNK = 1 << 16, 400_000
-_letters = re.compile(r"[^\W\d_]+").findall
+_alphanumeric = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str) -> list[str]:
-    return _letters(text.lower())
+    """Runs of letters (Unicode's category L), lower-cased; signs such as ``½``, ``²`` or ``Ⅷ`` are none."""
+    found = _alphanumeric(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ("".join(c if c.isalpha() else " " for c in x)).split()]
 
 
 def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +171,12 @@ def held_out(doc_id: Column) -> Column:
 def fitted(docs: DataFrame, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from at most ``per_label`` labelled documents of each language that aren't held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
     chance = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang", F.row_number().over(chance).alias("k")).filter(F.col("k") <= per_label).select("doc_id").distinct()
+    ranked = rows.select("doc_id", "lang", F.row_number().over(chance).alias("k")).filter(F.col("k") <= per_label)
+    chosen = ranked.orderBy("k", "lang", "doc_id").limit(SAMPLE).select("doc_id").distinct()
     samples: dict[str, list[str]] = {}
-    for r in rows.join(F.broadcast(chosen), "doc_id").orderBy("lang", "doc_id").collect():  # chosen: per_label rows a language
+    for r in rows.join(F.broadcast(chosen), "doc_id").orderBy("lang", "doc_id", "text").collect():  # chosen: SAMPLE rows
         samples.setdefault(r.lang, []).append(r.text)
     return train(samples)
 

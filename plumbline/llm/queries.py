@@ -13,8 +13,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.written_archive(_table(spark, sf_dir, "pages"))
-    return warc.records(archive, warc.captures_of(archive))
+    pages = _table(spark, sf_dir, "pages")
+    archive = warc.written_archive(pages)
+    return warc.records(archive, warc.captures_at(archive, pages))
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ their own and are known only by the table of captures that the task returns; fil
 of failed or repeated attempts are never read.
 
 Index: captures sorted by reversed-host URL key and id are written as compressed
-blocks of lines; the directory table keeps a row for each block. A lookup binary-
-searches its sorted keys for each directory row, reads the blocks found by range,
-binary-searches the lines, and reads the records by range. A whole read takes every
-block's captures, deals them out by file and offset, and reads long runs at once.
+blocks of lines; the directory table keeps a row for each block. A lookup sends the
+keys asked for and the directory's rows to common key ranges. In each, every key is
+binary-searched in that range's part of the directory; the blocks found are read by
+range, each once, and their lines binary-searched for the keys. Blocks are dealt out
+anew for that, so a key with a third of all captures, in many blocks, is read by many
+tasks. The records found are dealt out by file and offset and read in long runs.
 
 Grouping by digest combines before the shuffle; the join of pages to their group
 runs between plain exchanges, so a payload that a third of the pages share is split.
@@ -34,16 +36,19 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.batches import mapped
+from plumbline.llm import ranges
+from plumbline.llm.batches import mapped, sliced
 from plumbline.storage import new_folder, written
 
 #: Captures in an index block; bytes after which a task starts another file; bytes read at once.
 BLOCK, FILE_BYTES, READ_BYTES = 1000, 1 << 30, 4 << 20
+#: Rows of the directory for which a key range is made, where there are so many.
+RANGE_BLOCKS = 1000
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreservedigest/identical-payload-digest"
@@ -183,7 +188,7 @@ def written_archive(
     folder = new_folder(spark, "warc")
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
+    rows = rows.withColumn("sha", F.unhex(F.sha2("html", 256)))  # equal payloads; the records carry SHA-1
     firsts = written(rows.filter(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first")), "payloads")
     revisit = ~F.coalesce(F.col("page_id").eqNullSafe(F.col("first")), F.lit(True)) & (F.octet_length("html") >= min_bytes)
     decided = rows.join(firsts, "sha", "left").select("page_id", "url", "html", url_key(F.col("url")).alias("key"), "first", revisit.alias("revisit"))
@@ -235,24 +240,63 @@ def captures_of(archive: Archive) -> DataFrame:
     return mapped(archive.directory, per_batch, _CAPTURES)
 
 
-def captures_at(spark: SparkSession, archive: Archive, urls: list[str]) -> DataFrame:
-    """Captures of the given urls (a list that fits the driver), found by two binary searches."""
-    asked = spark.createDataFrame([(u,) for u in urls], "url string").select(url_key(F.col("url")).alias("key")).distinct()
-    keys, folder = sorted(r.key for r in asked.collect()), archive.folder
-
-    def per_batch(b):
-        reader, found = _Reader(folder), []
-        for first, last, shard, offset, length in zip(*(b.column(n).to_pylist() for n in ("first_key", "last_key", "shard", "offset", "length")), strict=True):
-            here = keys[bisect.bisect_left(keys, first) : bisect.bisect_right(keys, last)]
-            if here:
-                lines = _lines(reader, shard, offset, length)
-                for key in here:
-                    low = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                    found += lines[low : bisect.bisect_right(lines, key, lo=low, key=lambda x: x[0])]
-        reader.close()
-        return _as_columns(found)
+def _searched(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, shard, offset, length): the blocks that may hold each key, by binary search in the sparse directory."""
+    spark, rows = directory.sparkSession, directory.count()
+    parts = ranges.buckets(spark, rows, RANGE_BLOCKS)
+    bounds = ranges.sampled_bounds(directory.select("first_key"), parts, rows)
+    low, high = ranges.bucket(bounds, lambda b: b < F.col("first_key")), ranges.bucket(bounds, lambda b: b < F.col("last_key"))
+    held = directory.select(F.explode(F.sequence(low, high)).alias("part"), F.lit(0).alias("kind"), F.col("first_key").alias("key"), "last_key", "shard", "offset", "length")
+    asked = keys.select(ranges.bucket(bounds, lambda b: b < F.col("key")).alias("part"), F.lit(1).alias("kind"), "key", *[F.lit(None).cast(t).alias(n) for n, t in (("last_key", "string"), ("shard", "string"), ("offset", "long"), ("length", "long"))])
+    both = held.unionByName(asked).repartitionById(parts, "part").sortWithinPartitions("part", "kind", "key", "last_key")
+    struct = T.StructType.fromDDL("key string, shard string, offset long, length long")
+    arrow = to_arrow_schema(struct)
 
-    return mapped(archive.directory, per_batch, _CAPTURES)
+    def run(batches):
+        now, firsts, blocks = None, [], []
+        for batch in sliced(batches):
+            found = []
+            for part, kind, key, *block in zip(*(batch.column(n).to_pylist() for n in ("part", "kind", "key", "last_key", "shard", "offset", "length")), strict=True):
+                if part != now:
+                    now, firsts, blocks = part, [], []
+                if kind == 0:  # the range's part of the directory comes first, sorted
+                    firsts.append(key)
+                    blocks.append(block)
+                    continue
+                at = bisect.bisect_right(firsts, key) - 1
+                while at >= 0 and blocks[at][0] >= key:  # the last block that begins by then, and those before it that end with the key
+                    found.append((key, *blocks[at][1:]))
+                    at -= 1
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+
+    return both.mapInArrow(run, struct)
+
+
+def captures_at(archive: Archive, urls: DataFrame) -> DataFrame:
+    """Captures of the urls in the column ``url`` (each once, however often it is asked for)."""
+    keys = urls.select(url_key(F.coalesce(F.col("url"), F.lit(""))).alias("key")).distinct()
+    places = written(_searched(archive.directory, keys), "places")
+    parts, folder = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), archive.folder
+    ordered = places.repartition(parts, "shard", "offset").sortWithinPartitions("shard", "offset", "key")
+
+    def per_task():
+        held = {"at": None, "lines": []}
+
+        def per_batch(b):
+            reader, found = _Reader(folder), []
+            for key, *place in zip(*(b.column(n).to_pylist() for n in ("key", "shard", "offset", "length")), strict=True):
+                if place != held["at"]:
+                    held["at"], held["lines"] = place, _lines(reader, *place)
+                lines = held["lines"]
+                low = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                found += lines[low : bisect.bisect_right(lines, key, lo=low, key=lambda x: x[0])]
+            reader.close()
+            return _as_columns(found)
+
+        return per_batch
+
+    return mapped(ordered, per_task(), _CAPTURES)
 
 
 def records(archive: Archive, captures: DataFrame, with_payload: bool = False) -> DataFrame:
