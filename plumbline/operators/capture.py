@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from plumbline.functions import geometry as g
+
 CAMERA, SENSOR = ("cx", "cy", "cz"), ("px", "py", "pz")
 
 
@@ -97,3 +99,13 @@ def captures(pairs: DataFrame, still: bool, window: int, std_cam: float, std_sen
 
     ordered = pairs.select(*names).repartition("session").sortWithinPartitions("session", "stamp_us", "id")
     return ordered.mapInArrow(run, struct)
+
+
+def movement(pairs: DataFrame, captured: DataFrame, min_baseline: float) -> DataFrame:
+    """``pairs`` with ``moved``, the distance of the camera's point from the session's last capture
+    before it (null before the first), and ``passes``: none yet, or far enough."""
+    w = Window.partitionBy("session").orderBy("stamp_us", "id").rowsBetween(Window.unboundedPreceding, -1)
+    at = captured.select("session", "id", F.struct(*CAMERA).alias("capture"))
+    rows = pairs.join(at, ["session", "id"], "left").withColumn("last", F.last("capture", ignorenulls=True).over(w))
+    moved = g.distance(g.vec(*CAMERA), [F.col("last")[c] for c in CAMERA])
+    return rows.withColumn("moved", moved).withColumn("passes", F.col("moved").isNull() | (F.col("moved") >= min_baseline)).drop("capture", "last")

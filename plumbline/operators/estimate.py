@@ -321,6 +321,14 @@ def leave_one_out(captures: DataFrame, solutions: DataFrame, params: Params) ->
     return kept.groupBy("session", "fold").applyInPandas(refit, f"session {kind}, fold int, sigma_error double")
 
 
+def fold_exclusion(rows: DataFrame) -> DataFrame:
+    """Each row (session, capture_no, value) with n_train and mean_train of its session's other
+    rows, from the session's sums; rows that are alone have no fold."""
+    sums = rows.groupBy("session").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    folds = rows.join(sums, "session").where("n > 1").withColumn("n_train", F.col("n") - 1)
+    return folds.withColumn("mean_train", (F.col("total") - F.col("value")) / F.col("n_train")).drop("n", "total")
+
+
 def chordal_means(rotations: DataFrame) -> DataFrame:
     """(session, n, r): rotation nearest to the sum of each session's rotations (column rb, 9); only sums reach numpy."""
     sums = rotations.groupBy("session").agg(F.count("*").alias("n"), *[F.sum(F.get("rb", F.lit(i))).alias(f"s{i}") for i in range(9)])

@@ -48,6 +48,21 @@ def camera_range_gate(margin: float) -> Column:
     return F.col("cam_range").isNull() | (F.abs(g.norm(xyz()) - F.col("cam_range")) <= margin)
 
 
+_CELL = ("nx", "ny", "nz")
+
+
+def _cell(c: Column, dist: float) -> Column:
+    return F.floor(c / dist).cast("long")
+
+
+def _near_background(background: DataFrame, dist: float) -> DataFrame:
+    """Distinct background points bx, by, bz in their own and the 26 neighbouring cells of size ``dist``."""
+    near = background.select("x", "y", "z").distinct().select(*[F.col(c).alias(f"b{c}") for c in "xyz"])
+    for c in "xyz":
+        near = near.withColumn(f"n{c}", F.explode(F.sequence(_cell(F.col(f"b{c}"), dist) - 1, _cell(F.col(f"b{c}"), dist) + 1)))
+    return near
+
+
 def without_background(points: DataFrame, background: DataFrame, dist: float) -> DataFrame:
     """Points farther than ``dist`` from every background point.
 
@@ -56,13 +71,22 @@ def without_background(points: DataFrame, background: DataFrame, dist: float) ->
     points of one neighbourhood only. Background points that share a cell and a
     place are one.
     """
-    cell = lambda c: F.floor(c / dist).cast("long")
-    near = background.select("x", "y", "z").distinct().select(*[F.col(c).alias(f"b{c}") for c in "xyz"])
-    for c in "xyz":
-        near = near.withColumn(f"n{c}", F.explode(F.sequence(cell(F.col(f"b{c}")) - 1, cell(F.col(f"b{c}")) + 1)))
-    placed = points.withColumns({f"n{c}": cell(F.col(c)) for c in "xyz"})
+    near = _near_background(background, dist)
+    placed = points.withColumns({n: _cell(F.col(c), dist) for n, c in zip(_CELL, "xyz", strict=True)})
     same = (placed["nx"] == near["nx"]) & (placed["ny"] == near["ny"]) & (placed["nz"] == near["nz"])
-    return placed.join(near, same & (g.distance(xyz(), g.vec("bx", "by", "bz")) <= dist), "left_anti").drop("nx", "ny", "nz")
+    return placed.join(near, same & (g.distance(xyz(), g.vec("bx", "by", "bz")) <= dist), "left_anti").drop(*_CELL)
+
+
+def marked_background(points: DataFrame, background: DataFrame, dist: float) -> DataFrame:
+    """``points`` with ``matched``: whether a background point is within ``dist``.
+
+    A cell's background points are one array, so the points are joined once and keep
+    their number.
+    """
+    near = _near_background(background, dist).groupBy(*_CELL).agg(F.collect_list(F.struct("bx", "by", "bz")).alias("around"))
+    placed = points.withColumns({n: _cell(F.col(c), dist) for n, c in zip(_CELL, "xyz", strict=True)}).join(near, list(_CELL), "left")
+    close = F.exists("around", lambda b: g.distance(xyz(), [b["bx"], b["by"], b["bz"]]) <= dist)
+    return placed.withColumn("matched", F.coalesce(close, F.lit(False))).drop(*_CELL, "around")
 
 
 def soft_gated(points: DataFrame, radius: float) -> DataFrame:
@@ -75,13 +99,17 @@ def soft_gated(points: DataFrame, radius: float) -> DataFrame:
 
 def chosen(points: DataFrame, ties: tuple[str, ...], select_by: str = "snr") -> DataFrame:
     """One return for each frame: the strongest where any is positive and that is asked for,
-    else the nearest to the predicted point, else the nearest to the sensor; first of equal ones."""
-    frame = Window.partitionBy("frame_id")
-    cost = F.coalesce(g.distance(xyz(), predicted()), g.norm(xyz())) if "px" in points.columns else g.norm(xyz())
-    if select_by == "snr":
-        cost = F.when(F.max("snr").over(frame) > 0, -F.col("snr")).otherwise(cost)
-    rows = points.withColumn("cost", cost)
-    return rows.withColumn("rank", F.row_number().over(frame.orderBy("cost", *ties))).where("rank = 1").drop("cost", "rank")
+    else the nearest to the predicted point, else the nearest to the sensor; first of equal ones.
+
+    One aggregation: the best row by strength and the best by distance side by side.
+    """
+    row = F.struct(*points.columns)
+    far = F.coalesce(g.distance(xyz(), predicted()), g.norm(xyz())) if "px" in points.columns else g.norm(xyz())
+    best = [F.min_by(row, F.struct(far.alias("cost"), *ties)).alias("near")]
+    if select_by != "snr":
+        return points.groupBy("frame_id").agg(*best).select("near.*")
+    best += [F.min_by(row, F.struct((-F.col("snr")).alias("cost"), *ties)).alias("strong"), F.max("snr").alias("most")]
+    return points.groupBy("frame_id").agg(*best).select(F.when(F.col("most") > 0, F.col("strong")).otherwise(F.col("near")).alias("row")).select("row.*")
 
 
 def selected_returns(points: DataFrame, camera: DataFrame, background: DataFrame | None, p: Params, ties: tuple[str, ...]) -> DataFrame:
@@ -94,11 +122,11 @@ def selected_returns(points: DataFrame, camera: DataFrame, background: DataFrame
     return rows.where(F.col("snr") >= p.min_snr) if p.min_snr > 0 else rows
 
 
-def gate_funnel(points: DataFrame, camera: DataFrame, background: DataFrame, p: Params, ties: tuple[str, ...]) -> DataFrame:
+def gate_funnel(points: DataFrame, camera: DataFrame, background: DataFrame, p: Params) -> DataFrame:
     """(frame_id, n_raw, n_range, n_background, n_camera, n_soft): how many of each frame's points are left after each gate."""
     rows = points.withColumn("in_range", range_gate(p.min_range, p.max_range) & doppler_gate(p.max_abs_doppler, p.min_abs_doppler))
-    clear = without_background(rows.where("in_range"), background, p.bg_match_dist).select("frame_id", *ties).withColumn("clear", F.lit(True))
-    rows = rows.join(clear, ["frame_id", *ties], "left").join(camera, "frame_id")
+    rows = marked_background(rows, background, p.bg_match_dist).join(camera, "frame_id")
+    rows = rows.withColumn("clear", F.col("in_range") & ~F.col("matched"))
     near = F.col("clear") & camera_range_gate(p.range_gate_margin_m)
     rows = rows.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("tight", F.col("near") & (g.distance(xyz(), predicted()) <= p.gate_radius))
     counts = [F.count_if(c).alias(n) for c, n in (("in_range", "n_range"), ("clear", "n_background"), ("near", "n_camera"), ("tight", "n_tight"))]
@@ -106,6 +134,15 @@ def gate_funnel(points: DataFrame, camera: DataFrame, background: DataFrame, p:
     return out.withColumn("n_soft", F.when(F.col("n_tight") > 0, F.col("n_tight")).otherwise(F.col("n_camera"))).drop("n_tight")
 
 
+def background_ready(clouds: DataFrame, commands: DataFrame, frames: int) -> DataFrame:
+    """(ready_us): the stamp at which the first command's background is whole, that of the
+    ``frames``-th non-empty cloud at or after it; no row where it never is."""
+    begun = commands.agg(F.min("stamp_us").alias("begun_us"))
+    later = clouds.crossJoin(F.broadcast(begun)).where("stamp_us >= begun_us")  # one row
+    first = later.select("stamp_us").orderBy("stamp_us").limit(frames)
+    return first.agg(F.max("stamp_us").alias("ready_us"), F.count("*").alias("n")).where(F.col("n") == frames).select("ready_us")
+
+
 def pooled_background(points: DataFrame, frames: int, after: int = -1) -> DataFrame:
     """Points of the first ``frames`` non-empty frames after a command at frame ``after``.
 

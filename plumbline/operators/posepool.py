@@ -32,9 +32,18 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 
 def running_means(rows: DataFrame, cap: int) -> DataFrame:
-    """Each row's mean over the last ``cap`` rows of its session, and their number ``pooled``."""
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(1 - cap, 0)
-    return normalised(rows.select("session", "seq", F.count("*").over(w).alias("pooled"), *se3_mean_columns(w)))
+    """Each row's mean over the last ``cap`` rows of its session, and their number ``pooled``.
+
+    Sums over the last rows are differences of the session's running sums, so a row
+    costs the same whatever ``cap`` is.
+    """
+    order = Window.partitionBy("session").orderBy("seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    signed = rows.select("session", "seq", *[_signed(c).alias(c) for c in Q], *T).withColumn("at", F.row_number().over(order))
+    sums = signed.withColumns({c: F.sum(c).over(upto) for c in (*Q, *T)})
+    pooled = F.least("at", F.lit(cap))
+    last = {f"m{c}": (F.col(c) - F.coalesce(F.lag(c, cap).over(order), F.lit(0.0))) / pooled for c in (*Q, *T)}
+    return normalised(sums.withColumns(last).select("session", "seq", pooled.cast("long").alias("pooled"), *last))
 
 
 def convergence(rows: DataFrame, p: Params) -> DataFrame:
@@ -67,6 +76,31 @@ def latched(rows: DataFrame, hold: int) -> DataFrame:
     return out.withColumn("locked", F.coalesce(F.col("seq") >= F.col("locked_at"), F.lit(False)))
 
 
+def composed_pairs(a: DataFrame, b: DataFrame, most_px: float) -> DataFrame:
+    """(session, seq, quaternion, translation) of A times the inverse of B, of poses (session, seq, reproj, pose)
+    paired by session and seq whose reprojection errors are both at most ``most_px``."""
+    names = [*Q, *T]
+    both = a.where(F.col("reproj") <= most_px).select("session", "seq", *[F.col(n).alias(f"a{n}") for n in names])
+    both = both.join(b.where(F.col("reproj") <= most_px).select("session", "seq", *[F.col(n).alias(f"b{n}") for n in names]), ["session", "seq"])
+    turn = lambda p: g.matrix_of_quaternion([F.col(f"{p}{n}") for n in Q])
+    shift = lambda p: [F.col(f"{p}{n}") for n in T]
+    m, t = g.composed(turn("a"), shift("a"), *g.inverted(turn("b"), shift("b")))
+    q = g.quaternion_of_matrix(m)
+    return both.select("session", "seq", *[x.alias(n) for x, n in zip((*q, *t), names, strict=True)])
+
+
+def calibrated_pairs(a: DataFrame, b: DataFrame, p: Params) -> DataFrame:
+    """The pair path: poses composed, pooled, averaged, until they converge and lock.
+
+    (session, seq, pooled, stage, mean pose) of each accepted row up to the lock, its
+    row included: ``live`` before it, ``locked`` at it.
+    """
+    out = convergence(composed_pairs(a, b, p.max_reproj_px), p)
+    out = out.where(F.col("locked_at").isNull() | (F.col("seq") <= F.col("locked_at")))
+    stage = F.when(F.col("seq") == F.col("locked_at"), "locked").otherwise("live")
+    return out.select("session", "seq", "pooled", stage.alias("stage"), *[F.col(f"m{n}").alias(n) for n in (*Q, *T)])
+
+
 def placement(poses: DataFrame, mode: str) -> DataFrame:
     """What a lock publishes: ``none`` the pose of B from A; ``fixed`` B in the world, where the
     world pose is known; ``moving`` nothing. (parent, child, tx, ty, tz, qx, qy, qz, qw)"""

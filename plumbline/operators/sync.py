@@ -37,12 +37,33 @@ def nearest_pairs(left: DataFrame, right: DataFrame, slop_us: int) -> DataFrame:
     return ranked.where("of_left = 1 and of_right = 1").drop("of_left", "of_right")
 
 
+#: Buckets in a group of buckets.
+GROUP = 1000
+
+
+def _carried(buckets: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, before): the newest value that isn't null of the rows before each, in order of the integer key.
+
+    Carried inside groups of ``GROUP`` keys, and from group to group over the table
+    of groups, a row for each: with buckets of an hour, 41 days.
+    """
+    group = F.floor(F.col(key) / GROUP)
+    rows = buckets.select(key, value, group.alias("group"))
+    inside = Window.partitionBy("group").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.where(F.col(value).isNotNull()).groupBy("group").agg(F.max(F.struct(key, value)).alias("end"))
+    groups = rows.select("group").distinct().join(ends, "group", "left")
+    over = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("group", F.last("end", ignorenulls=True).over(over).getField(value).alias("former"))
+    here = rows.withColumn("here", F.last(value, ignorenulls=True).over(inside))
+    return here.join(groups, "group").select(key, F.coalesce("here", "former").alias("before"))
+
+
 def as_of(rows: DataFrame, facts: DataFrame, values: list[str], bucket_us: int) -> DataFrame:
     """``rows`` (id, stamp_us) with the newest fact at or before each stamp, nulls where there is none.
 
     Both are cut into time buckets. Inside a bucket the last fact is carried forward
     by a window; what a bucket begins with is the last fact of the buckets before,
-    carried over the table of buckets' last facts, a row for each bucket that has any.
+    carried over the table of buckets' last facts in two steps.
     """
     bucket = F.floor(F.col("stamp_us") / bucket_us).alias("bucket")
     fact = F.struct("stamp_us", *values)
@@ -52,9 +73,7 @@ def as_of(rows: DataFrame, facts: DataFrame, values: list[str], bucket_us: int)
     placed = both.withColumn("here", F.last("fact", ignorenulls=True).over(inside)).where("kind = 1")
     ends = facts.select(bucket, fact.alias("fact")).groupBy("bucket").agg(F.max("fact").alias("last"))
     wanted = placed.select("bucket").distinct().join(ends, "bucket", "full")
-    # the table of buckets spans time, not rows: its size is the period over bucket_us
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = wanted.select("bucket", F.last("last", ignorenulls=True).over(before).alias("begin"))
+    carried = _carried(wanted, "bucket", "last").withColumnRenamed("before", "begin")
     out = placed.join(carried, "bucket", "left").withColumn("fact", F.coalesce("here", "begin"))
     return out.select("id", "stamp_us", *[F.col(f"fact.{v}").alias(v) for v in values])
 
@@ -63,12 +82,13 @@ def silences(messages: DataFrame, longest_us: int) -> DataFrame:
     """(stamp_us, silent_us): stamps after which nothing came for longer than ``longest_us``.
 
     The gap to the next stamp is taken inside days; a day's last stamp meets the
-    first of the next day that has any, over the table of days.
+    first of the next day that has any, carried over the table of days in two steps.
     """
     day = F.floor(F.col("stamp_us") / 86_400_000_000)
     rows = messages.select("stamp_us", day.alias("day"))
     inside = rows.withColumn("next", F.lead("stamp_us").over(Window.partitionBy("day").orderBy("stamp_us")))
     firsts = rows.groupBy("day").agg(F.min("stamp_us").alias("first"))
-    firsts = firsts.select("day", F.lead("first").over(Window.orderBy("day")).alias("following"))  # a row for each day
+    back = firsts.select((-F.col("day")).alias("day"), "first")
+    firsts = _carried(back, "day", "first").select((-F.col("day")).alias("day"), F.col("before").alias("following"))
     gaps = inside.join(firsts, "day").select("stamp_us", (F.coalesce("next", "following") - F.col("stamp_us")).alias("silent_us"))
     return gaps.where(F.col("silent_us") > longest_us)

@@ -35,7 +35,7 @@ CAMERA = """camera AS (
            (0.5 + o_totalprice / 250000) * sin(radians(o_custkey % 121 - 60)) AS py, 0.0::DOUBLE AS pz
     FROM orders)"""
 
-BACKGROUND = "background AS (SELECT DISTINCT x AS bx, y AS by_, z AS bz FROM points WHERE frame_id % 500 = 0)"
+BACKGROUND = "background AS (SELECT DISTINCT x AS bx, y AS by_, z AS bz FROM points WHERE frame_id IN (SELECT DISTINCT frame_id FROM points ORDER BY frame_id LIMIT 15))"
 
 
 def stream(name: str, kind: str) -> str:

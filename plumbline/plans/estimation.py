@@ -99,11 +99,9 @@ def loo_folds(spark, d):
 
 
 def fold_exclusion_join(spark, d):
-    """Every fold against the session's other captures."""
+    """Every fold's count and mean of the session's other captures: the session's less its own."""
     rows = s.table(spark, d, "supplier").select(F.col("s_nationkey").alias("session"), F.col("s_suppkey").alias("capture_no"), F.col("s_acctbal").alias("value"))
-    others = rows.withColumnsRenamed({"capture_no": "other", "value": "other_value"})
-    pairs = rows.join(others, "session").where("capture_no <> other")
-    return pairs.groupBy("session", "capture_no").agg(F.count("*").alias("n_train"), c.rounded(F.avg("other_value"), 4).alias("mean_train"))
+    return e.fold_exclusion(rows).select("session", "capture_no", "n_train", c.rounded("mean_train", 4).alias("mean_train"))
 
 
 def _sigmas(spark, d):

@@ -23,6 +23,11 @@ def _with_camera(spark, d):
     return _points(spark, d).join(s.camera(spark, d), "frame_id")
 
 
+def _background(spark, d):
+    """The first frames' points, pooled as after a command at the start."""
+    return o.pooled_background(_points(spark, d), PARAMS.bg_accum_frames)
+
+
 def _out(df):
     return c.rounded_all(df.select(*KEY, "x", "y", "z", "snr"), KEY)
 
@@ -48,11 +53,11 @@ def background_pool(spark, d):
 
 
 def background_anti_join(spark, d):
-    return _out(o.without_background(_points(spark, d), s.background(spark, d), 0.2))
+    return _out(o.without_background(_points(spark, d), _background(spark, d), 0.2))
 
 
 def select_return(spark, d):
-    return _out(o.selected_returns(_points(spark, d), s.camera(spark, d), s.background(spark, d), PARAMS, tuple(KEY[1:])))
+    return _out(o.selected_returns(_points(spark, d), s.camera(spark, d), _background(spark, d), PARAMS, tuple(KEY[1:])))
 
 
 def select_nearest(spark, d):
@@ -62,7 +67,7 @@ def select_nearest(spark, d):
 
 
 def gate_funnel(spark, d):
-    return o.gate_funnel(_points(spark, d), s.camera(spark, d), s.background(spark, d), PARAMS, tuple(KEY[1:]))
+    return o.gate_funnel(_points(spark, d), s.camera(spark, d), _background(spark, d), PARAMS)
 
 
 def background_stack(spark, d):

@@ -18,10 +18,6 @@ def _named_poses(spark, d):
     return rows.withColumns({"parent": F.lit("camera"), "child": F.concat(F.lit("sensor"), F.col("seq"))})
 
 
-def _some_poses(spark, d):
-    return _named_poses(spark, d).where("seq % 25 = 0")
-
-
 def overlay_points(spark, d):
     """Points with x ahead, as a camera sees them."""
     turn = g.constant([0, 1, 0, 0, 0, 1, 1, 0, 0])
@@ -34,11 +30,6 @@ def _transforms(poses):
 
 
 def transforms_table(spark, d):
-    """A sample: the poses of every 25th order. ``transforms_table_whole`` has all."""
-    return _transforms(_some_poses(spark, d))
-
-
-def transforms_table_whole(spark, d):
     return _transforms(_named_poses(spark, d))
 
 
@@ -55,20 +46,10 @@ def _documents_read(spark, poses):
 
 
 def result_document(spark, d):
-    """A sample: every 25th order. ``result_document_whole`` has all."""
-    return _documents_read(spark, _some_poses(spark, d))
-
-
-def result_document_whole(spark, d):
     return _documents_read(spark, _named_poses(spark, d))
 
 
 def pair_document(spark, d):
-    """A sample: every 25th order. ``pair_document_whole`` has all."""
-    return _document(_some_poses(spark, d), "camera_a", "camera_b").select("session", "text")
-
-
-def pair_document_whole(spark, d):
     return _document(_named_poses(spark, d), "camera_a", "camera_b").select("session", "text")
 
 
@@ -86,25 +67,22 @@ def report_row(spark, d):
     return rows.select("session", F.format_string("session %d: |t| %d mm", F.col("session"), size).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (overlay_points, transforms_table, transforms_table_whole, result_document, result_document_whole, pair_document, pair_document_whole, pose_sink, report_row)}
+QUERIES = {f.__name__: f for f in (overlay_points, transforms_table, result_document, pair_document, pose_sink, report_row)}
+#: Former names of the same queries.
+QUERIES |= {f"{f.__name__}_whole": f for f in (transforms_table, result_document, pair_document)}
 
 _CMD = "'static_transform_publisher --x 0.250000 --y -0.500000 --z 0.750000 --qx 0.000000 --qy 0.600000 --qz 0.000000 --qw 0.800000 --frame-id {0} --child-frame-id {1}'"
 _NL = " || chr(10) || "
 ORACLES = {
     "overlay_points": f"""WITH {c.POINTS}, p AS (SELECT {', '.join(KEY)}, x - 0.5 AS depth, TRY_CAST(round_even(500 * (y / (x - 0.5)) + 480, 0) AS BIGINT) AS u, TRY_CAST(round_even(510 * (z / (x - 0.5)) + 270, 0) AS BIGINT) AS v FROM points WHERE x - 0.5 > 0)
         SELECT {', '.join(KEY)}, u, v, {c.r('depth')} AS depth FROM p WHERE u >= 0 AND u < 960 AND v >= 0 AND v < 540""",
-    "transforms_table": f"""WITH {pairs._POSES}, b AS (SELECT seq, {', '.join(f'{x} AS m{i}' for i, x in enumerate(pairs._M))}, tx, ty, tz FROM poses WHERE seq % 25 = 0)
+    "transforms_table": f"""WITH {pairs._POSES}, b AS (SELECT seq, {', '.join(f'{x} AS m{i}' for i, x in enumerate(pairs._M))}, tx, ty, tz FROM poses)
         SELECT 'camera' AS parent, 'sensor' || seq AS child, {c.r('tx')} AS tx, {c.r('ty')} AS ty, {c.r('tz')} AS tz, {c.r('-(m0 * tx + m3 * ty + m6 * tz)')} AS bx, {c.r('-(m1 * tx + m4 * ty + m7 * tz)')} AS by_, {c.r('-(m2 * tx + m5 * ty + m8 * tz)')} AS bz FROM b""",
-    "result_document": f"SELECT o_orderkey AS session, 0.25::DOUBLE AS tx, -0.5::DOUBLE AS ty, 0.75::DOUBLE AS tz, 'camera' AS parent_frame, 'sensor' AS child_frame, {_CMD.format('camera', 'sensor')} AS static_tf_cmd FROM orders WHERE o_orderkey % 25 = 0",
+    "result_document": f"SELECT o_orderkey AS session, 0.25::DOUBLE AS tx, -0.5::DOUBLE AS ty, 0.75::DOUBLE AS tz, 'camera' AS parent_frame, 'sensor' AS child_frame, {_CMD.format('camera', 'sensor')} AS static_tf_cmd FROM orders",
     "pair_document": f"""SELECT o_orderkey AS session, 'child_frame: camera_b'{_NL}'parent_frame: camera_a'{_NL}'qw: 0.8'{_NL}'qx: 0.0'{_NL}'qy: 0.6'{_NL}'qz: 0.0'{_NL}'session: ' || o_orderkey{_NL}'static_tf_cmd: ' || {_CMD.format('camera_a', 'camera_b')}{_NL}'tx: 0.25'{_NL}'ty: -0.5'{_NL}'tz: 0.75' AS text
-        FROM orders WHERE o_orderkey % 25 = 0""",
+        FROM orders""",
     "pose_sink": f"WITH {pairs._POSES} SELECT seq, {c.r('tx')} AS tx, {c.r('ty')} AS ty, {c.r('tz')} AS tz FROM poses",
     "report_row": f"""WITH {pairs._POSES}, s AS (SELECT session, avg(tx) AS x, avg(ty) AS y, avg(tz) AS z FROM poses GROUP BY session)
         SELECT session, 'session ' || session || ': |t| ' || round(sqrt(x * x + y * y + z * z) * 1000)::BIGINT || ' mm' AS line FROM s""",
 }
-#: The same of all orders.
-ORACLES |= {
-    "transforms_table_whole": ORACLES["transforms_table"].replace(" WHERE seq % 25 = 0", ""),
-    "result_document_whole": ORACLES["result_document"].replace(" WHERE o_orderkey % 25 = 0", ""),
-    "pair_document_whole": ORACLES["pair_document"].replace(" WHERE o_orderkey % 25 = 0", ""),
-}
+ORACLES |= {f"{n}_whole": ORACLES[n] for n in ("transforms_table", "result_document", "pair_document")}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import capture as cap
 from plumbline.operators import sync as o
+from plumbline.operators.gating import background_ready
 from plumbline.plans import common as c
 from plumbline.sources import tables as s
 
@@ -63,15 +66,10 @@ def capture_still(spark, d):
 
 
 def movement_gate(spark, d):
-    """Distance of each pair from the one before in its session, and whether it is far enough."""
-    from pyspark.sql.window import Window
-
-    from plumbline.functions import geometry as g
-
-    w = Window.partitionBy("session").orderBy("stamp_us", "id")
-    before = [F.lag(x).over(w) for x in cap.CAMERA]
-    rows = s.tracks(spark, d).withColumn("moved", g.distance(g.vec(*cap.CAMERA), before))
-    return rows.select("session", "id", c.rounded("moved").alias("moved"), (F.col("moved").isNull() | (F.col("moved") >= BASELINE)).alias("passes"))
+    """Distance of each pair from its session's last capture, and whether it is far enough."""
+    tracks = s.tracks(spark, d)
+    got = cap.captures(tracks, False, WINDOW, STD_CAM, STD_SENSOR, BASELINE)
+    return cap.movement(tracks, got, BASELINE).select("session", "id", c.rounded("moved").alias("moved"), "passes")
 
 
 def capture_counts(spark, d):
@@ -89,17 +87,22 @@ def raw_tap(spark, d):
     return s.stream(spark, d, "click").groupBy(day).agg(F.count("*").alias("n"), F.max("stamp_us").alias("newest_us"))
 
 
+#: The five control topics, by the events that stand for their messages.
+COMMANDS = {"signup": "solve", "error": "reset", "click": "capture", "view": "background", "purchase": "save"}
+
+
 def command_union(spark, d):
-    """Control messages of two topics in one stream, with frames counted between commands."""
-    solve = s.stream(spark, d, "signup").select("stamp_us", "id", F.lit("solve").alias("cmd"))
-    reset = s.stream(spark, d, "error").select("stamp_us", "id", F.lit("reset").alias("cmd"))
-    return solve.unionByName(reset)
+    """The messages of the five control topics in one stream."""
+    topics = [s.stream(spark, d, kind).select("stamp_us", "id", F.lit(cmd).alias("cmd")) for kind, cmd in COMMANDS.items()]
+    return reduce(lambda a, b: a.unionByName(b), topics)
 
 
 def frame_preconditions(spark, d):
-    """Images at or after the first intrinsics (the first purchase), with the range in mm and degrees."""
+    """Images at or after the first intrinsics (the first purchase) and at or after the background
+    asked for by the first command (a signup) is whole, with the range in mm and degrees."""
     first = s.stream(spark, d, "purchase").agg(F.min("stamp_us").alias("locked_us"))
-    rows = s.stream(spark, d, "view").crossJoin(F.broadcast(first)).where("stamp_us >= locked_us")  # one row
+    ready = background_ready(s.stream(spark, d, "click"), s.stream(spark, d, "signup"), 15)
+    rows = s.stream(spark, d, "view").crossJoin(F.broadcast(first)).crossJoin(F.broadcast(ready)).where("stamp_us >= locked_us and stamp_us >= ready_us")  # one row each
     return rows.select("id", c.rounded(F.col("value") * 1000).alias("mm"), c.rounded(F.degrees(F.col("value") / 100)).alias("deg"))
 
 
@@ -173,13 +176,19 @@ ORACLES = {
     "stable_rows": f"WITH {_STABILITY} SELECT session, id, {c.r('std_cam')} AS std_cam FROM s WHERE n >= {WINDOW} AND std_cam < {STD_CAM} AND std_sensor < {STD_SENSOR}",
     "capture_sweep": f"{_captures(False)} {_CAPTURED}",
     "capture_still": f"{_captures(True)} {_CAPTURED}",
-    "movement_gate": f"""WITH {c.TRACKS}, m AS (SELECT session, id, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2 + (cz - lag(cz) OVER w) ** 2) AS moved FROM tracks
-        WINDOW w AS (PARTITION BY session ORDER BY stamp_us, id)) SELECT session, id, {c.r('moved')} AS moved, moved IS NULL OR moved >= {BASELINE} AS passes FROM m""",
+    "movement_gate": f"""{_captures(False)}, l AS (
+            SELECT t.session, t.id, t.cx, t.cy, t.cz, last_value(o.cx IGNORE NULLS) OVER w AS x, last_value(o.cy IGNORE NULLS) OVER w AS y, last_value(o.cz IGNORE NULLS) OVER w AS z
+            FROM tracks t LEFT JOIN out o ON o.session = t.session AND o.id = t.id WINDOW w AS (PARTITION BY t.session ORDER BY t.stamp_us, t.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        m AS (SELECT session, id, sqrt((cx - x) ** 2 + (cy - y) ** 2 + (cz - z) ** 2) AS moved FROM l)
+        SELECT session, id, {c.r('moved')} AS moved, moved IS NULL OR moved >= {BASELINE} AS passes FROM m""",
     "capture_counts": f"{_captures(False)} SELECT session, count(*) AS n_captures, sum(n_pairs)::BIGINT AS n_pairs FROM out GROUP BY session",
     "image_scan": f"WITH {c.stream('a', 'view')} SELECT id, stamp_us FROM a",
     "raw_tap": f"WITH {c.stream('a', 'click')} SELECT stamp_us // 86400000000 AS day, count(*) AS n, max(stamp_us) AS newest_us FROM a GROUP BY 1",
-    "command_union": f"WITH {c.stream('a', 'signup')}, {c.stream('b', 'error')} SELECT stamp_us, id, 'solve' AS cmd FROM a UNION ALL SELECT stamp_us, id, 'reset' FROM b",
-    "frame_preconditions": f"WITH {c.stream('a', 'view')}, {c.stream('b', 'purchase')} SELECT id, {c.r('value * 1000')} AS mm, {c.r('degrees(value / 100)')} AS deg FROM a WHERE stamp_us >= (SELECT min(stamp_us) FROM b)",
+    "command_union": f"SELECT epoch_us(ts) AS stamp_us, event_id AS id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COMMANDS.items())} END AS cmd FROM events WHERE event_type IN ({', '.join(f"'{k}'" for k in COMMANDS)})",
+    "frame_preconditions": f"""WITH {c.stream('a', 'view')}, {c.stream('b', 'purchase')}, {c.stream('cloud', 'click')}, {c.stream('cmd', 'signup')},
+        r AS (SELECT stamp_us FROM cloud WHERE stamp_us >= (SELECT min(stamp_us) FROM cmd) ORDER BY stamp_us LIMIT 15),
+        q AS (SELECT max(stamp_us) AS ready FROM r HAVING count(*) = 15)
+        SELECT id, {c.r('value * 1000')} AS mm, {c.r('degrees(value / 100)')} AS deg FROM a, q WHERE stamp_us >= (SELECT min(stamp_us) FROM b) AND stamp_us >= ready""",
     "intrinsics_lock": f"""WITH k AS (SELECT concat_ws('-', c_mktsegment, c_nationkey) AS camera, min(c_custkey) AS stamp_ns FROM customer GROUP BY 1)
         SELECT camera, stamp_ns, {c.r('stamp_ns * 1.5::DOUBLE')} AS fx, {c.r('stamp_ns * 1.25::DOUBLE')} AS fy,
         {', '.join(f"CASE WHEN stamp_ns % 3 = 0 THEN 0.0::DOUBLE ELSE {c.r(f'stamp_ns / {x}::DOUBLE')} END AS d{i}" for i, x in enumerate((100, 200, 400, 500, 800)))} FROM k""",

@@ -66,11 +66,6 @@ def camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"), r.alias("cam_range"), (r * F.cos(az)).alias("px"), (r * F.sin(az)).alias("py"), F.lit(0.0).alias("pz"))
 
 
-def background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of every 500th frame."""
-    return points(spark, sf_dir).where("frame_id % 500 = 0").select("x", "y", "z")
-
-
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
