@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm import exact_dedup, language, near_dedup, packing, pii
 from plumbline.storage import written
 
-#: Documents whose best language has a lower mean posterior are rejected, as are those without a letter.
+#: Documents whose words have a lower mean of their largest posterior are rejected, as are those without a letter.
 MIN_LANGUAGE_SCORE = 0.4
 
 
