@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm import crf
-from plumbline.llm.batches import mapped, texts
+from plumbline.llm.batches import mapped, sliced, texts
 
 NONE = "und"
 #: Bounds of the training sample: documents a language, documents in all, bytes of a document (longer
@@ -98,18 +98,23 @@ class Model:
 
     def predict(self, found: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
-        langs, scores = [], []
+        return self.judged(found)[:2]
+
+    def judged(self, found: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language and score of each text, and how sure its words are of theirs: the mean of each
+        word's largest posterior, which a text of several languages has high as well."""
+        langs, scores, sure = [], [], []
         some, size = [], 0
         for text in found:
             some.append(text)
             size += len(text)
             if size >= CHUNK:
-                self._predict(some, langs, scores)
+                self._judge(some, langs, scores, sure)
                 some, size = [], 0
-        self._predict(some, langs, scores)
-        return langs, scores
+        self._judge(some, langs, scores, sure)
+        return langs, scores, sure
 
-    def _predict(self, found: list[str], langs: list[str], scores: list[float]) -> None:
+    def _judge(self, found: list[str], langs: list[str], scores: list[float], sure: list[float]) -> None:
         split = [words_of(t) for t in found]
         lengths = np.array([len(x) for x in split], np.int64)
         names = dict.fromkeys(w for x in split for w in x)
@@ -121,14 +126,17 @@ class Model:
         full = np.flatnonzero(lengths)
         starts = (np.cumsum(lengths) - lengths)[full]
         first[starts] = True
-        mean = np.zeros((len(found), max(1, len(self.labels))))
+        mean, own = np.zeros((len(found), max(1, len(self.labels)))), np.zeros(len(found))
         if len(at) and self.labels:
-            mean[full] = np.add.reduceat(crf.posteriors(by_word[at], self.transitions, first), starts, axis=0) / lengths[full][:, None]
+            p = crf.posteriors(by_word[at], self.transitions, first)
+            mean[full] = np.add.reduceat(p, starts, axis=0) / lengths[full][:, None]
+            own[full] = np.add.reduceat(p.max(axis=1), starts) / lengths[full]
         best = mean.argmax(axis=1)
         for i, k in enumerate(best):
             known = bool(lengths[i]) and bool(self.labels)
             langs.append(self.labels[k] if known else NONE)
             scores.append(min(1.0, float(mean[i, k])) if known else 0.0)
+            sure.append(float(own[i]))
 
 
 def train(samples: dict[str, list[str]], words: int = WORDS) -> Model:
@@ -193,14 +201,14 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return mapped(rows, per_batch, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have a language with at least ``min_score``, all columns."""
+def accepted(docs: DataFrame, model: Model, min_sure: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have a language, of words that are sure of theirs by ``min_sure``, all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as above
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            langs, scores = shared.value.predict([x or "" for x in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([a != NONE and s >= min_score for a, s in zip(langs, scores, strict=True)], pa.bool_()))
+        for batch in sliced(batches):
+            langs, _, sure = shared.value.judged([x or "" for x in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([a != NONE and s >= min_sure for a, s in zip(langs, sure, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -145,11 +145,13 @@ def _prefixes(sets: DataFrame, among: DataFrame, similarity: int, keep: Scratch)
     the rarest n - that + 1 items of each, and items that no other set has come first
     among these and meet nothing.
     """
-    items = sets.join(among, "node", "left_semi").select("node", F.size("items").alias("n"), F.explode("items").alias("v"))
-    shared = keep.written(items.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared-items")
-    of_node = Window.partitionBy("node", "n")
-    ranked = items.join(shared, "v").select("v", "node", "n", F.row_number().over(of_node.orderBy("df", "v")).alias("at"), F.count("*").over(of_node).alias("m"))
-    return keep.written(ranked.filter(f"at <= m - ceil(n * {similarity} / 100) + 1").select("v", "node", "n"), "prefixes")
+    items = lambda some: sets.join(some, "node", "left_semi").select("node", F.size("items").alias("n"), F.explode("items").alias("v"))
+    everything = items(among)
+    shared = keep.written(everything.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared-items")
+    held = everything.join(shared.select("v"), "v", "left_semi").groupBy("node", "n").agg(F.count("*").alias("m"))
+    able = keep.written(held.withColumn("reach", F.expr(f"m - ceil(n * {similarity} / 100) + 1")).filter("reach > 0").select("node", "reach"), "able")
+    ranked = items(able.select("node")).join(shared, "v").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "v")))
+    return keep.written(ranked.join(able, "node").filter("at <= reach").select("v", "node", "n"), "prefixes")
 
 
 def near_classes(

@@ -19,8 +19,8 @@ def test_stages_keep_what_they_should(spark):
         assert out.columns == docs.columns
         kept = {r.doc_id: r for r in out.collect()}
         if k == 0:
-            langs, scores = model.predict([r.text or "" for r in rows.values()])
-            want = {i for i, a, s in zip(rows, langs, scores) if a != "und" and s >= cp.MIN_LANGUAGE_SCORE}
+            langs, _, sure = model.judged([r.text or "" for r in rows.values()])
+            want = {i for i, a, s in zip(rows, langs, sure) if a != "und" and s >= cp.MIN_LANGUAGE_SCORE}
             clean = [i for i, r in rows.items() if r.lang and len(re.findall(r"[^\W\d_]{2,}", r.text or "")) > 30]
             assert len(set(clean) & kept.keys()) >= 0.99 * len(clean)
         elif k == 1:

@@ -301,5 +301,8 @@ def test_only_letters_make_words(spark):
     got = language.predicted(spark.createDataFrame(rows, "doc_id long, text string, score int, held_out int"), model).collect()
     assert sorted((r.doc_id, r.lang_pred) for r in got if r.doc_id < 4) == [(1, "en"), (1, "en"), (2, "fr"), (3, "und")]
     assert len({r.score for r in got if r.doc_id == 1}) == 1 and all(0 <= r.score <= 1 for r in got)
+    mixed = language.train({x: [f"{a} {b} " * 300] for x, a, b in (("de", "der", "und"), ("en", "the", "of"), ("es", "la", "que"), ("fr", "les", "dans"))})
+    _, (score,), (sure,) = mixed.judged(["der und der und the of the of la que la que les dans les dans"])
+    assert score < 0.4 < 0.7 < sure  # four languages, each word sure of its own
     even = language.Model(["aa", "bb"], {}, np.zeros((language.GRAM_ROWS, 2), np.float32), np.zeros((2, 2)))
     assert even.predict(["any words"]) == (["aa"], [0.5])  # a tie goes to the first in order
