@@ -4,23 +4,20 @@ Pairs are rows (session, stamp_us, id, cx, cy, cz, px, py, pz): the target seen
 the camera and by the sensor. Windows are of rows: frames without a pair are
 skipped, not gaps.
 
-A capture depends on the one before, so a session is folded in order. Sessions are
-spread over tasks; each task reads its sorted rows as a stream and holds the state
-of one session, so a session of any length fits.
+A capture depends on the one before, so a session is folded in order by one task;
+it holds the rule's state alone, so a session of any length fits.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from plumbline.functions import geometry as g
+from plumbline.streaming.folds import folded
 
 CAMERA, SENSOR = ("cx", "cy", "cz"), ("px", "py", "pz")
 
@@ -37,68 +34,81 @@ def stable(pairs: DataFrame, window: int, std_cam: float, std_sensor: float) ->
     return rolling_stability(pairs, window).where((F.col("n") >= window) & (F.col("std_cam") < std_cam) & (F.col("std_sensor") < std_sensor))
 
 
-@dataclass
-class CaptureState:
-    """What the capture rule remembers of a session."""
+def _mean(points: list) -> list:
+    return [sum(x) / len(points) for x in zip(*points, strict=True)]
 
-    window: list[tuple] = field(default_factory=list)
-    last: tuple | None = None
-    count: int = 0
 
-
-def _mean(points: list[tuple]) -> tuple:
-    return tuple(sum(x) / len(points) for x in zip(*points, strict=True))
-
-
-def _spread(points: list[tuple]) -> float:
+def _spread(points: list) -> float:
     mean = _mean(points)
     return sum(sum((p[k] - mean[k]) ** 2 for p in points) / len(points) for k in range(len(mean))) ** 0.5
 
 
-def capture_step(state: CaptureState, cam: tuple, sensor: tuple, still: bool, window: int, std_cam: float, std_sensor: float, min_baseline: float) -> tuple | None:
-    """Feeds a pair; the captured means (camera then sensor, the window's size) or nothing.
+def _apart(a: list, b: list) -> float:
+    return sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5
 
-    While moving (``still`` false) the window holds up to 3 pairs and a capture
-    needs only the distance from the last one. Still captures also need a full
-    window with both spreads below their limits. A capture empties the window.
+
+@dataclass(frozen=True)
+class Captures:
+    """The capture rule over pairs and commands (``cmd`` null for pairs).
+
+    ``continuous``: a pair at least ``min_baseline`` from the last capture is captured,
+    as the mean of up to 3 pairs since. ``auto``: a full window with both spreads below
+    their limits is, if its mean is that far. Any other mode captures on command only.
+    The command ``capture`` is remembered until it is served: not in continuous mode,
+    else by the next pair that isn't still, with at least half a window (and 3 pairs),
+    however near. ``reset`` forgets captures and window, and starts another segment;
+    a remembered command stays. A capture empties the window.
     """
-    size = window if still else 3
-    state.window = [*state.window, (*cam, *sensor)][-size:]
-    cams, sensors = [p[:3] for p in state.window], [p[3:] for p in state.window]
-    if still and (len(state.window) < size or not (_spread(cams) < std_cam and _spread(sensors) < std_sensor)):
-        return None
-    mean = _mean(cams)
-    if state.last is not None and sum((a - b) ** 2 for a, b in zip(mean, state.last, strict=True)) ** 0.5 < min_baseline:
-        return None
-    out = (*mean, *_mean(sensors), len(state.window))
-    state.last, state.window, state.count = mean, [], state.count + 1
-    return out
-
-
-CAPTURED = "session long, capture_no int, stamp_us long, id long, cx double, cy double, cz double, px double, py double, pz double, n_pairs int"
-
-
-def captures(pairs: DataFrame, still: bool, window: int, std_cam: float, std_sensor: float, min_baseline: float) -> DataFrame:
-    """The greedy captures of every session."""
-    struct = T.StructType.fromDDL(CAPTURED)
-    arrow = to_arrow_schema(struct)
-    names = ("session", "stamp_us", "id", *CAMERA, *SENSOR)
-
-    def run(batches):
-        now, state = None, CaptureState()
-        for b in batches:
-            out = []
-            for session, stamp, key, *p in zip(*(b.column(n).to_pylist() for n in names), strict=True):
-                if session != now:
-                    now, state = session, CaptureState()
-                got = capture_step(state, tuple(p[:3]), tuple(p[3:]), still, window, std_cam, std_sensor, min_baseline)
-                if got:
-                    out.append((session, state.count, stamp, key, *got))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-    ordered = pairs.select(*names).repartition("session").sortWithinPartitions("session", "stamp_us", "id")
-    return ordered.mapInArrow(run, struct)
+
+    mode: str
+    window: int
+    std_cam: float
+    std_sensor: float
+    min_baseline: float
+    columns: tuple[str, ...] = (*CAMERA, *SENSOR, "cmd")
+    schema: str = "session long, segment int, capture_no int, stamp_us long, id long, cx double, cy double, cz double, px double, py double, pz double, n_pairs int"
+
+    def start(self) -> dict:
+        return {"window": [], "last": None, "count": 0, "asked": False, "segment": 0}
+
+    def step(self, state: dict, session: int, stamp: int, key: int, *values) -> list[tuple]:
+        *pair, cmd = values
+        if cmd == "reset":
+            state.update(window=[], last=None, count=0, segment=state["segment"] + 1)
+        elif cmd == "capture":
+            state["asked"] = True
+        if cmd is not None:
+            return []
+        size = 3 if self.mode == "continuous" else self.window
+        seen = state["window"] = [*state["window"], list(pair)][-size:]
+        if not self._taken(state, seen, pair[:3]):
+            return []
+        mean = _mean(seen)
+        state.update(last=mean[:3], window=[], count=state["count"] + 1)
+        return [(session, state["segment"], state["count"], stamp, key, *mean, len(seen))]
+
+    def _taken(self, state: dict, seen: list, cam: list) -> bool:
+        far = lambda p: state["last"] is None or _apart(p, state["last"]) >= self.min_baseline
+        if self.mode == "continuous":
+            return far(cam)
+        still = len(seen) >= self.window and _spread([p[:3] for p in seen]) < self.std_cam and _spread([p[3:] for p in seen]) < self.std_sensor
+        if self.mode == "auto" and still:
+            return far(_mean(seen)[:3])
+        if state["asked"] and len(seen) >= max(3, self.window // 2):
+            state["asked"] = False
+            return True
+        return False
+
+
+def captures(pairs: DataFrame, rule: Captures, commands: DataFrame | None = None) -> DataFrame:
+    """The captures of every session; ``commands``: (session, stamp_us, id, cmd)."""
+    return folded(with_commands(pairs, commands), rule)
+
+
+def with_commands(pairs: DataFrame, commands: DataFrame | None = None) -> DataFrame:
+    """Pairs, with cmd null, and commands, with nulls for points."""
+    rows = pairs.select("session", "stamp_us", "id", *CAMERA, *SENSOR, F.lit(None).cast("string").alias("cmd"))
+    return rows if commands is None else rows.unionByName(commands, allowMissingColumns=True)
 
 
 def movement(pairs: DataFrame, captured: DataFrame, min_baseline: float) -> DataFrame:

@@ -51,6 +51,28 @@ def euler_rotation(rpy_deg) -> np.ndarray:
     return rotation(np.array([0, 0, y])) @ rotation(np.array([0, p, 0])) @ rotation(np.array([r, 0, 0]))
 
 
+@dataclass(frozen=True)
+class Rotation:
+    """A rotation matrix in the forms that documents want."""
+
+    m: np.ndarray
+
+    def quaternion(self) -> list[float]:
+        """x, y, z, w with w >= 0."""
+        half = rotvec(self.m) / 2
+        angle = float(np.linalg.norm(half))
+        return [*(half * (np.sin(angle) / angle if angle > 1e-12 else 1.0)), float(np.cos(angle))]
+
+    def rpy_deg(self) -> list[float]:
+        """Turns about the fixed axes x, y, z, in this order."""
+        m = self.m
+        return np.degrees([np.arctan2(m[2, 1], m[2, 2]), np.arcsin(np.clip(-m[2, 0], -1, 1)), np.arctan2(m[1, 0], m[0, 0])]).tolist()
+
+    def inverse_of(self, t) -> list[float]:
+        """Translation of the inverse of (this, t)."""
+        return (-self.m.T @ np.asarray(t)).tolist()
+
+
 def nearest_rotation(m: np.ndarray) -> np.ndarray:
     """The rotation with the largest inner product with a matrix."""
     return rotation(rotvec(m))

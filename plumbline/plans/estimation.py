@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.operators import estimate as e
 from plumbline.operators import posefit
 from plumbline.operators import validate as v
+from plumbline.operators.estimate import Rotation
 from plumbline.plans import common as c
 from plumbline.schemas import Params
-from plumbline.sources import scenes
+from plumbline.sources import scenes, sinks
 from plumbline.sources import tables as s
-from plumbline.storage import written
+from plumbline.storage import new_folder, written
 
-PARAMS = Params().with_values(measured_baseline_m=0.35)
-SESSIONS = 24
+#: The scenes have no noise, so without the prior's pull solutions are the truth and SQL can state them.
+PARAMS = Params().with_values(measured_baseline_m=0.35, use_prior=False, offset_prior_sigma_m=0.01)
+CAPTURES = 20
+TRUE_R, TRUE_T = (x.ravel().tolist() for x in scenes.truth(PARAMS))
 _PQ = {"qx": "cx", "qy": "cy", "qz": "cz"}
 
 
@@ -23,8 +27,9 @@ def _tracks(spark, d):
     return s.tracks(spark, d)
 
 
-def _scene(spark):
-    return scenes.capture_scene(spark, SESSIONS, outliers=0.1)
+def _scene(spark, d, n=CAPTURES):
+    """A scene of exact captures for each supplier."""
+    return scenes.capture_scene(s.table(spark, d, "supplier").select(F.col("s_suppkey").alias("session")), n, noise=0.0, params=PARAMS)
 
 
 def _rt():
@@ -76,7 +81,13 @@ def scatter_sums(spark, d):
 
 
 def condition_planarity(spark, d):
-    return v.condition(_tracks(spark, d))
+    """Customers' points: two on each axis, so the scatter is diagonal; a third of them flat."""
+    k = F.col("c_custkey")
+    size = [(1 + k % 7) / 4, (1 + k % 5) / 3, F.when(k % 3 == 0, 0.0).otherwise((1 + k % 4) / 16)]
+    ends = F.explode(F.array(*[F.array(*[x * sign if i == j else F.lit(0.0) for j, x in enumerate(size)]) for i in range(3) for sign in (1.0, -1.0)]))
+    rows = s.table(spark, d, "customer").select(k.alias("session"), ends.alias("p"))
+    rows = rows.select("session", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("px", "py", "pz"))])
+    return c.rounded_all(v.condition(rows), [])
 
 
 def inlier_floor(spark, d):
@@ -86,16 +97,35 @@ def inlier_floor(spark, d):
 
 
 def rotation_mean_chordal(spark, d):
-    return e.chordal_means(_scene(spark))
+    """Customers' rotations: a turn about z and equal turns about x to both sides of it, whose mean is the turn about z."""
+    k = F.col("c_custkey")
+    turn, tilt = F.radians((k % 170).cast("double")), F.explode(F.array(*[F.lit(x) for x in (-0.6, -0.2, 0.0, 0.2, 0.6)]))
+    rows = s.table(spark, d, "customer").select(k.alias("session"), turn.alias("a"), tilt.alias("b"))
+    ca, sa, cb, sb = F.cos("a"), F.sin("a"), F.cos("b"), F.sin("b")
+    rb = F.array(ca, -sa * cb, sa * sb, sa, ca * cb, -ca * sb, F.lit(0.0), sb, cb)
+    got = e.chordal_means(rows.select("session", rb.alias("rb")))
+    return c.rounded_all(got.select("session", "n", *[F.get("r", F.lit(i)).alias(f"r{i}") for i in range(9)]), [])
+
+
+def _solution(rows):
+    """A solution's numbers as columns."""
+    parts = [("r", 9), ("t", 3), ("offset", 3)]
+    return rows.select("session", "status", "n_captures", "n_inliers", "n_rejected", "elevation_used", "converged", *[c.rounded(F.get(n, F.lit(i)), 5).alias(f"{n}{i}") for n, size in parts for i in range(size)])
 
 
 def solve_extrinsic(spark, d):
-    return e.solved(_scene(spark), PARAMS)
+    return _solution(e.solved(_scene(spark, d), PARAMS))
+
+
+def solve_forced(spark, d):
+    """Solves on command from three captures, too few for the estimator, and from four."""
+    few = e.solved(_scene(spark, d, 3), PARAMS)
+    return _solution(few.unionByName(e.solved(_scene(spark, d, 4), PARAMS))).select("session", "status", "n_captures", "n_inliers")
 
 
 def loo_folds(spark, d):
-    captures = written(_scene(spark), "captures")
-    return e.leave_one_out(captures, written(e.solved(captures, PARAMS), "solutions"), PARAMS)
+    captures = written(_scene(spark, d), "captures")
+    return c.rounded_all(e.leave_one_out(captures, written(e.solved(captures, PARAMS), "solutions"), PARAMS), [], 4)
 
 
 def fold_exclusion_join(spark, d):
@@ -126,11 +156,36 @@ def warning_rules(spark, d):
     return rows.select("c_custkey", *[f.alias(n) for n, f in flags.items()])
 
 
+def _reported(spark, d):
+    captures = written(_scene(spark, d), "captures")
+    solutions = written(e.solved(captures, PARAMS), "solutions")
+    return written(report(captures, solutions, PARAMS), "report")
+
+
 def solve_end_to_end(spark, d):
     """Captures to the verdict, a row for each session."""
-    captures = written(_scene(spark), "captures")
-    solutions = written(e.solved(captures, PARAMS), "solutions")
-    return report(captures, solutions, PARAMS)
+    rows = _reported(spark, d)
+    numbers = ("rms_mm", "mean_3d_mm", "worst_bias_mm", "mean_px", "loo_rms_sigma", "loo_max_sigma", "rms_sigma")
+    flags = ("low_diversity", "planar", "passes", "warn_baseline", "warn_loo", "warn_condition")
+    return rows.select("session", "status", "n_inliers", "n_rejected", *[c.rounded(n, 3).alias(n) for n in numbers], F.concat_ws(",", "unobservable_dof").alias("weak"), *flags)
+
+
+def solution_document(spark, d):
+    """The result document of every session's solve, written as text and JSON and read again from JSON."""
+    path = new_folder(spark, "solutions")
+    named = {"parent_frame": "camera", "child_frame": "sensor", "camera_name": "left", "radar_name": "front"}
+    sinks.written_documents(sinks.as_documents(sinks.extrinsic_document(_reported(spark, d), PARAMS, named, 1_700_000_000_000_000_000), "session"), path)
+    wide = "session long, parent_frame string, method string, n_captures int, n_inliers int, n_rejected int, verdict_pass boolean, elevation_used boolean, apex_offset_solved boolean, unobservable_dof array<string>, mean_3d_mm double, radar_noise_sigma_az_deg double, T_cam_radar_translation array<double>, T_cam_radar_quaternion_xyzw array<double>, T_cam_radar_rpy_deg array<double>, T_radar_cam_translation array<double>, apex_offset_measured_prior_m array<double>, stamp long"
+    rows = spark.read.schema(wide).json(f"{path}/json")
+    lists = {"T_cam_radar_translation": "t", "T_cam_radar_quaternion_xyzw": "q", "T_cam_radar_rpy_deg": "rpy", "T_radar_cam_translation": "back", "apex_offset_measured_prior_m": "apex"}
+    flat = [c.rounded(F.get(n, F.lit(i)), 4).alias(f"{x}{i}") for n, x in lists.items() for i in range(4 if x == "q" else 3)]
+    plain = [F.col(n) for n in rows.columns if n not in lists and n not in ("unobservable_dof", "mean_3d_mm")]
+    return rows.select(*plain, F.concat_ws(",", "unobservable_dof").alias("weak"), c.rounded("mean_3d_mm", 2).alias("mean_3d_mm"), *flat)
+
+
+def solve_report(spark, d):
+    """The line of text that a solve reports."""
+    return sinks.report_lines(_reported(spark, d)).select("session", "line")
 
 
 def report(captures, solutions, p: Params):
@@ -151,13 +206,19 @@ def report(captures, solutions, p: Params):
     return out.withColumns({"passes": v.verdict(F.col("mean_px"), F.col("mean_3d_mm"), F.col("worst_bias_mm"), hard, p)} | flags)
 
 
-def _corners(spark):
+def _corners(spark, d):
+    """A board seen by a frame for each supplier, turned about its y axis."""
     board = [(r.x, r.y, r.z) for r in s.board_corners(spark, 9, 7, 0.02).orderBy("corner_id").collect()]  # the board's 48
-    return scenes.corner_scene(spark, 60, board, c.K, c.D, 0.1)
+    k, zero = F.col("s_suppkey"), F.lit(0.0)
+    pose = {"vx": zero, "vy": (k % 7 - 3) / 10, "vz": zero, "tx": (k % 5 - 2) / 20, "ty": (k % 3 - 1) / 20, "tz": 1 + (k % 11) / 20}
+    poses = s.table(spark, d, "supplier").select(k.alias("frame_id"), *[x.cast("double").alias(n) for n, x in pose.items()])
+    return scenes.corner_scene(poses, board, c.K, c.D)
 
 
 def board_pose_fit(spark, d):
-    return posefit.board_poses(_corners(spark), s.board_corners(spark, 9, 7, 0.02), c.K, c.D, 6, 1.5)
+    got = posefit.board_poses(_corners(spark, d), s.board_corners(spark, 9, 7, 0.02), c.K, c.D, 6, 1.5)
+    numbers = [c.rounded(F.get(n, F.lit(i)), 5).alias(f"{n}{i}") for n, size in (("rb", 9), ("tb", 3)) for i in range(size)]
+    return got.select("frame_id", *numbers, c.rounded("reproj_l2_over_n", 5).alias("reproj_l2_over_n"), "n_corners")
 
 
 def min_corners_having(spark, d):
@@ -174,7 +235,7 @@ def reproj_gate(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (centroid_crosscov, kabsch_fit, error_stats, rms_bias, pixel_error, spread_guard, elevation_detect, range_fit, scatter_sums, condition_planarity, inlier_floor, rotation_mean_chordal, solve_extrinsic, loo_folds, fold_exclusion_join, observability, verdict, warning_rules, solve_end_to_end, board_pose_fit, min_corners_having, reproj_gate)
+    for f in (centroid_crosscov, kabsch_fit, error_stats, rms_bias, pixel_error, spread_guard, elevation_detect, range_fit, scatter_sums, condition_planarity, inlier_floor, rotation_mean_chordal, solve_extrinsic, solve_forced, loo_folds, fold_exclusion_join, observability, verdict, warning_rules, solve_end_to_end, solution_document, solve_report, board_pose_fit, min_corners_having, reproj_gate)
 }
 
 _C, _P = ("cx", "cy", "cz"), ("px", "py", "pz")
@@ -197,7 +258,29 @@ def _elevation(z: str, signed: str) -> str:
     return f"SELECT session, {c.r(spread)} AS el_spread, {spread} > 0.01 AS uses_elevation, {signed} AS signed FROM tracks GROUP BY session"
 
 
+#: What exact captures give.
+_TRUTH = ", ".join([*(f"{round(x, 5) + 0.0}::DOUBLE AS r{i}" for i, x in enumerate(TRUE_R)), *(f"{round(x, 5)}::DOUBLE AS t{i}" for i, x in enumerate(TRUE_T)), *(f"{x}::DOUBLE AS offset{i}" for i, x in enumerate(PARAMS.offset))])
+_Q = Rotation(np.array(TRUE_R).reshape(3, 3))
+_BASELINE_OFF = abs(float(np.linalg.norm(TRUE_T)) - PARAMS.measured_baseline_m) > PARAMS.baseline_tol_m
+
 ORACLES = {
+    "condition_planarity": f"""WITH p AS (SELECT c_custkey AS session, sqrt(2) * (1 + c_custkey % 7) / 4 AS a, sqrt(2) * (1 + c_custkey % 5) / 3 AS b, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE sqrt(2) * (1 + c_custkey % 4) / 16 END AS c FROM customer),
+        m AS (SELECT session, greatest(a, b, c) AS most, least(a, b, c) AS least FROM p)
+        SELECT session, CASE WHEN least = 0 THEN 'Infinity'::DOUBLE ELSE {c.r('most / least')} END AS condition_number, least < greatest(1e-3, 0.02 * most) AS planar FROM m""",
+    "rotation_mean_chordal": f"""SELECT c_custkey AS session, 5::BIGINT AS n, {c.r('cos(radians(c_custkey % 170))')} AS r0, {c.r('-sin(radians(c_custkey % 170))')} AS r1, 0.0::DOUBLE AS r2, {c.r('sin(radians(c_custkey % 170))')} AS r3,
+        {c.r('cos(radians(c_custkey % 170))')} AS r4, 0.0::DOUBLE AS r5, 0.0::DOUBLE AS r6, 0.0::DOUBLE AS r7, 1.0::DOUBLE AS r8 FROM customer""",
+    "solve_extrinsic": f"SELECT s_suppkey AS session, 'solved' AS status, {CAPTURES}::INTEGER AS n_captures, {CAPTURES}::INTEGER AS n_inliers, 0::INTEGER AS n_rejected, true AS elevation_used, true AS converged, {_TRUTH} FROM supplier",
+    "solve_forced": "SELECT s_suppkey AS session, 'insufficient' AS status, 3::INTEGER AS n_captures, NULL::INTEGER AS n_inliers FROM supplier UNION ALL SELECT s_suppkey, 'solved', 4, 4 FROM supplier",
+    "loo_folds": f"SELECT s_suppkey AS session, fold::INTEGER AS fold, 0.0::DOUBLE AS sigma_error FROM supplier, range(1, {CAPTURES + 1}) AS f(fold)",
+    "solve_end_to_end": f"""SELECT s_suppkey AS session, 'solved' AS status, {CAPTURES}::INTEGER AS n_inliers, 0::INTEGER AS n_rejected, {', '.join(f'0.0::DOUBLE AS {n}' for n in ('rms_mm', 'mean_3d_mm', 'worst_bias_mm', 'mean_px', 'loo_rms_sigma', 'loo_max_sigma', 'rms_sigma'))},
+        '' AS weak, false AS low_diversity, false AS planar, true AS passes, {_BASELINE_OFF} AS warn_baseline, false AS warn_loo, false AS warn_condition FROM supplier""",
+    "solution_document": f"""SELECT s_suppkey AS session, 'camera' AS parent_frame, 'measurement_space_ML_robust' AS method, {CAPTURES}::INTEGER AS n_captures, {CAPTURES}::INTEGER AS n_inliers, 0::INTEGER AS n_rejected, true AS verdict_pass, true AS elevation_used,
+        true AS apex_offset_solved, '' AS weak, 0.0::DOUBLE AS mean_3d_mm, {PARAMS.sigma_az_deg}::DOUBLE AS radar_noise_sigma_az_deg, 1700000000000000000 AS stamp,
+        {', '.join(f'{round(x, 4) + 0.0}::DOUBLE AS {n}{i}' for n, xs in (('t', TRUE_T), ('q', _Q.quaternion()), ('rpy', _Q.rpy_deg()), ('back', _Q.inverse_of(TRUE_T)), ('apex', PARAMS.offset)) for i, x in enumerate(xs))} FROM supplier""",
+    "solve_report": f"SELECT s_suppkey AS session, 'session ' || s_suppkey || ': PASS, {CAPTURES} captures, 0 rejected, |t| {float(np.linalg.norm(TRUE_T)) * 1000:.1f} mm, 3-D 0.0 mm, bias 0.0 mm, residual 0.00 sigma, leave-one-out 0.00 sigma' AS line FROM supplier",
+    "board_pose_fit": f"""WITH p AS (SELECT s_suppkey AS k, (s_suppkey % 7 - 3) / 10 AS a FROM supplier)
+        SELECT k AS frame_id, {', '.join(f'{x} AS rb{i}' for i, x in enumerate([c.r('cos(a)', 5), '0.0::DOUBLE', c.r('sin(a)', 5), '0.0::DOUBLE', '1.0::DOUBLE', '0.0::DOUBLE', c.r('-sin(a)', 5), '0.0::DOUBLE', c.r('cos(a)', 5)]))},
+        {c.r('(k % 5 - 2) / 20', 5)} AS tb0, {c.r('(k % 3 - 1) / 20', 5)} AS tb1, {c.r('1 + (k % 11) / 20', 5)} AS tb2, 0.0::DOUBLE AS reproj_l2_over_n, 48::INTEGER AS n_corners FROM p""",
     "centroid_crosscov": f"""WITH {c.TRACKS}, m AS (SELECT session, count(*) AS n, {', '.join(f'avg({p}) AS m_{p}' for p in (*_P, *_C))} FROM tracks GROUP BY session)
         SELECT session, n, {', '.join(f'{c.r(f"any_value(m_{p})", 5)} AS m_{p}' for p in _P)}, {', '.join(f'{c.r(f"any_value(m_{q})", 5)} AS m_q{q[1]}' for q in _C)},
         {', '.join(f'{c.r(f"sum(({p} - m_{p}) * ({q} - m_{q}))", 5)} AS h{i}{j}' for i, p in enumerate(_P) for j, q in enumerate(_C))} FROM tracks JOIN m USING (session) GROUP BY session, n""",

@@ -16,6 +16,18 @@ SLOP = 300_000_000
 WINDOW, STD_CAM, STD_SENSOR, BASELINE = 4, 0.45, 0.5, 0.4
 
 
+def rule(mode: str) -> cap.Captures:
+    return cap.Captures(mode, WINDOW, STD_CAM, STD_SENSOR, BASELINE)
+
+
+def tracks_and_commands(spark, d):
+    """Errors reset a session and signups ask for a capture; the other events are its pairs."""
+    rows = s.tracks(spark, d).join(s.table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type"), "id")
+    cmd = F.when(F.col("event_type") == "error", "reset").when(F.col("event_type") == "signup", "capture")
+    rows = rows.withColumn("cmd", cmd)
+    return rows.where("cmd is null").drop("event_type", "cmd"), rows.where("cmd is not null").select("session", "stamp_us", "id", "cmd")
+
+
 def _views_clicks(spark, d):
     return s.stream(spark, d, "view"), s.stream(spark, d, "click")
 
@@ -53,27 +65,33 @@ def stable_rows(spark, d):
     return c.rounded_all(cap.stable(s.tracks(spark, d), WINDOW, STD_CAM, STD_SENSOR).select("session", "id", "std_cam"), [])
 
 
-def _captured(df):
-    return c.rounded_all(df.select("session", "capture_no", "id", "cx", "cy", "cz", "px", "py", "pz", "n_pairs"), [])
+def _captured(df, *more):
+    return c.rounded_all(df.select("session", *more, "capture_no", "id", "cx", "cy", "cz", "px", "py", "pz", "n_pairs"), [])
 
 
 def capture_sweep(spark, d):
-    return _captured(cap.captures(s.tracks(spark, d), False, WINDOW, STD_CAM, STD_SENSOR, BASELINE))
+    return _captured(cap.captures(s.tracks(spark, d), rule('continuous')))
 
 
 def capture_still(spark, d):
-    return _captured(cap.captures(s.tracks(spark, d), True, WINDOW, STD_CAM, STD_SENSOR, BASELINE))
+    return _captured(cap.captures(s.tracks(spark, d), rule('auto')))
+
+
+def capture_commands(spark, d):
+    """Still captures, captures on command and resets."""
+    pairs, commands = tracks_and_commands(spark, d)
+    return _captured(cap.captures(pairs, rule("auto"), commands), "segment")
 
 
 def movement_gate(spark, d):
     """Distance of each pair from its session's last capture, and whether it is far enough."""
     tracks = s.tracks(spark, d)
-    got = cap.captures(tracks, False, WINDOW, STD_CAM, STD_SENSOR, BASELINE)
+    got = cap.captures(tracks, rule('continuous'))
     return cap.movement(tracks, got, BASELINE).select("session", "id", c.rounded("moved").alias("moved"), "passes")
 
 
 def capture_counts(spark, d):
-    got = cap.captures(s.tracks(spark, d), False, WINDOW, STD_CAM, STD_SENSOR, BASELINE)
+    got = cap.captures(s.tracks(spark, d), rule('continuous'))
     return got.groupBy("session").agg(F.count("*").alias("n_captures"), F.sum("n_pairs").alias("n_pairs"))
 
 
@@ -123,7 +141,7 @@ def latest_tf(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (sync_interval, sync_nearest, sync_pose, extrinsic_asof, watchdog_gaps, rolling_stability, stable_rows, capture_sweep, capture_still, movement_gate, capture_counts, image_scan, raw_tap, command_union, frame_preconditions, intrinsics_lock, latest_tf)
+    for f in (sync_interval, sync_nearest, sync_pose, extrinsic_asof, watchdog_gaps, rolling_stability, stable_rows, capture_sweep, capture_still, capture_commands, movement_gate, capture_counts, image_scan, raw_tap, command_union, frame_preconditions, intrinsics_lock, latest_tf)
 }
 
 
@@ -143,28 +161,45 @@ def _mean(i: str) -> str:
     return f"list_avg(list_transform(win, lambda e: e.{i}))"
 
 
-def _captures(still: bool) -> str:
-    """The fold as recursion over each session's rows: state is the window, the last capture and the flag."""
-    size = WINDOW if still else 3
+_WITH_COMMANDS = """n AS (SELECT t.*, CASE event_type WHEN 'error' THEN 'reset' WHEN 'signup' THEN 'capture' END AS cmd, row_number() OVER (PARTITION BY session ORDER BY stamp_us, id) AS i
+            FROM tracks t JOIN events ON event_id = id)"""
+_WITHOUT = "n AS (SELECT *, NULL::VARCHAR AS cmd, row_number() OVER (PARTITION BY session ORDER BY stamp_us, id) AS i FROM tracks)"
+
+
+def _captures(mode: str, rows: str = _WITHOUT) -> str:
+    """The fold as recursion over each session's rows: state is the window, the last capture, what was asked for and the segment."""
+    size = 3 if mode == "continuous" else WINDOW
     spread = lambda p: "sqrt(" + " + ".join(f"list_var_pop(list_transform(win, lambda e: e.{p}{a}))" for a in "xyz") + ")"
-    still_ok = f"len(win) >= {size} AND {spread('c')} < {STD_CAM} AND {spread('p')} < {STD_SENSOR}" if still else "true"
+    far = lambda p: f"(lx IS NULL OR sqrt(({p}x - lx) ** 2 + ({p}y - ly) ** 2 + ({p}z - lz) ** 2) >= {BASELINE})"
+    still = f"coalesce(len(win) >= {WINDOW} AND {spread('c')} < {STD_CAM} AND {spread('p')} < {STD_SENSOR}, false)"
     new = "{'cx': n.cx, 'cy': n.cy, 'cz': n.cz, 'px': n.px, 'py': n.py, 'pz': n.pz}"
     means = ", ".join(f"{_mean(v)} AS m{v}" for v in ("cx", "cy", "cz", "px", "py", "pz"))
+    if mode == "continuous":
+        judged = f"SELECT *, cmd IS NULL AND {far('u')} AS got, false AS served FROM (SELECT *, {means} FROM fed)"
+    else:
+        judged = f"""SELECT *, cmd IS NULL AND CASE WHEN still THEN {far('mc')} ELSE served END AS got
+            FROM (SELECT *, cmd IS NULL AND NOT still AND asked AND len(win) >= {max(3, WINDOW // 2)} AS served FROM (SELECT *, {still} AS still, {means} FROM fed))"""
     return f"""WITH RECURSIVE {c.TRACKS},
-        n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY stamp_us, id) AS i FROM tracks),
+        {rows},
         f AS (
             SELECT session, 0::BIGINT AS i, NULL::BIGINT AS id, []::STRUCT(cx DOUBLE, cy DOUBLE, cz DOUBLE, px DOUBLE, py DOUBLE, pz DOUBLE)[] AS win, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly, NULL::DOUBLE AS lz,
-                   0 AS no, false AS got, NULL::DOUBLE AS cx, NULL::DOUBLE AS cy, NULL::DOUBLE AS cz, NULL::DOUBLE AS px, NULL::DOUBLE AS py, NULL::DOUBLE AS pz, 0 AS n_pairs FROM (SELECT DISTINCT session FROM n)
+                   0 AS no, 0 AS segment, false AS asked, false AS got, NULL::DOUBLE AS cx, NULL::DOUBLE AS cy, NULL::DOUBLE AS cz, NULL::DOUBLE AS px, NULL::DOUBLE AS py, NULL::DOUBLE AS pz, 0 AS n_pairs FROM (SELECT DISTINCT session FROM n)
             UNION ALL
+            (WITH fed AS (
+                SELECT f.session, n.i, n.id, n.cmd, n.cx AS ux, n.cy AS uy, n.cz AS uz,
+                       CASE WHEN n.cmd = 'reset' THEN [] WHEN n.cmd IS NULL THEN list_slice(list_append(f.win, {new}), -{size}, -1) ELSE f.win END AS win,
+                       CASE WHEN n.cmd = 'reset' THEN NULL ELSE f.lx END AS lx, f.ly, f.lz, CASE WHEN n.cmd = 'reset' THEN 0 ELSE f.no END AS no,
+                       CASE WHEN n.cmd = 'reset' THEN f.segment + 1 ELSE f.segment END AS segment, f.asked OR coalesce(n.cmd = 'capture', false) AS asked
+                FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1)
             SELECT session, i, id, CASE WHEN got THEN [] ELSE win END, CASE WHEN got THEN mcx ELSE lx END, CASE WHEN got THEN mcy ELSE ly END, CASE WHEN got THEN mcz ELSE lz END,
-                   CASE WHEN got THEN no + 1 ELSE no END, got, mcx, mcy, mcz, mpx, mpy, mpz, len(win)::INTEGER
-            FROM (SELECT *, coalesce({still_ok}, false) AND (lx IS NULL OR sqrt((mcx - lx) ** 2 + (mcy - ly) ** 2 + (mcz - lz) ** 2) >= {BASELINE}) AS got
-                  FROM (SELECT *, {means}
-                        FROM (SELECT f.session, n.i, n.id, list_slice(list_append(f.win, {new}), -{size}, -1) AS win, f.lx, f.ly, f.lz, f.no FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1)))),
+                   CASE WHEN got THEN no + 1 ELSE no END, segment, asked AND NOT served, got, mcx, mcy, mcz, mpx, mpy, mpz, len(win)::INTEGER
+            FROM ({judged}))),
         out AS (SELECT * FROM f WHERE got)"""
 
 
-_CAPTURED = f"SELECT session, no AS capture_no, id, {', '.join(f'{c.r(v)} AS {v}' for v in ('cx', 'cy', 'cz', 'px', 'py', 'pz'))}, n_pairs FROM out"
+def _captured_sql(more: str = "") -> str:
+    return f"SELECT session, {more}no AS capture_no, id, {', '.join(f'{c.r(v)} AS {v}' for v in ('cx', 'cy', 'cz', 'px', 'py', 'pz'))}, n_pairs FROM out"
+
 
 ORACLES = {
     "sync_interval": f"WITH {_pairs('click')} SELECT left_id, right_id, dt_us FROM p",
@@ -174,14 +209,15 @@ ORACLES = {
     "watchdog_gaps": f"WITH {c.stream('a', 'click')}, g AS (SELECT stamp_us, lead(stamp_us) OVER (ORDER BY stamp_us) - stamp_us AS silent_us FROM a) SELECT * FROM g WHERE silent_us > 2000000000",
     "rolling_stability": f"WITH {_STABILITY} SELECT session, id, n, {c.r('std_cam')} AS std_cam, {c.r('std_sensor')} AS std_sensor FROM s",
     "stable_rows": f"WITH {_STABILITY} SELECT session, id, {c.r('std_cam')} AS std_cam FROM s WHERE n >= {WINDOW} AND std_cam < {STD_CAM} AND std_sensor < {STD_SENSOR}",
-    "capture_sweep": f"{_captures(False)} {_CAPTURED}",
-    "capture_still": f"{_captures(True)} {_CAPTURED}",
-    "movement_gate": f"""{_captures(False)}, l AS (
+    "capture_sweep": f"{_captures('continuous')} {_captured_sql()}",
+    "capture_still": f"{_captures('auto')} {_captured_sql()}",
+    "capture_commands": f"{_captures('auto', _WITH_COMMANDS)} {_captured_sql('segment, ')}",
+    "movement_gate": f"""{_captures('continuous')}, l AS (
             SELECT t.session, t.id, t.cx, t.cy, t.cz, last_value(o.cx IGNORE NULLS) OVER w AS x, last_value(o.cy IGNORE NULLS) OVER w AS y, last_value(o.cz IGNORE NULLS) OVER w AS z
             FROM tracks t LEFT JOIN out o ON o.session = t.session AND o.id = t.id WINDOW w AS (PARTITION BY t.session ORDER BY t.stamp_us, t.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         m AS (SELECT session, id, sqrt((cx - x) ** 2 + (cy - y) ** 2 + (cz - z) ** 2) AS moved FROM l)
         SELECT session, id, {c.r('moved')} AS moved, moved IS NULL OR moved >= {BASELINE} AS passes FROM m""",
-    "capture_counts": f"{_captures(False)} SELECT session, count(*) AS n_captures, sum(n_pairs)::BIGINT AS n_pairs FROM out GROUP BY session",
+    "capture_counts": f"{_captures('continuous')} SELECT session, count(*) AS n_captures, sum(n_pairs)::BIGINT AS n_pairs FROM out GROUP BY session",
     "image_scan": f"WITH {c.stream('a', 'view')} SELECT id, stamp_us FROM a",
     "raw_tap": f"WITH {c.stream('a', 'click')} SELECT stamp_us // 86400000000 AS day, count(*) AS n, max(stamp_us) AS newest_us FROM a GROUP BY 1",
     "command_union": f"SELECT epoch_us(ts) AS stamp_us, event_id AS id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COMMANDS.items())} END AS cmd FROM events WHERE event_type IN ({', '.join(f"'{k}'" for k in COMMANDS)})",

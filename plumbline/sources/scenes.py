@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.operators.estimate import euler_rotation, rotation
 from plumbline.schemas import Params
@@ -18,9 +19,10 @@ def truth(params: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
 
 
 def capture_scene(
-    spark: SparkSession, sessions: int, n: int = 20, noise: float = 1.0, outliers: float = 0.0, offset_error: float = 0.0, params: Params = Params(), elevation_deg: float = 15.0, azimuth_deg: float = 50.0
+    sessions: DataFrame, n: int = 20, noise: float = 1.0, outliers: float = 0.0, offset_error: float = 0.0, params: Params = Params(), elevation_deg: float = 15.0, azimuth_deg: float = 50.0
 ) -> DataFrame:
-    """(session, capture_no, p, rb, tb, outlier): targets at 0.5 to 2.5 m, tilted up to 45 degrees.
+    """(session, capture_no, p, rb, tb, outlier) for each session of ``sessions`` (a column of numbers,
+    which are the seeds): targets at 0.5 to 2.5 m, tilted up to 45 degrees.
 
     ``noise`` scales the parameters' sigmas; ``offset_error`` moves the true offset
     from the parameters' along x.
@@ -32,7 +34,7 @@ def capture_scene(
     def make(batches):
         for batch in batches:
             rows = []
-            for session in batch.id:
+            for session in batch.session:
                 rng = np.random.default_rng(int(session))
                 for k in range(n):
                     raz = np.array([rng.uniform(0.5, 2.5), *np.radians([rng.uniform(-azimuth_deg, azimuth_deg), rng.uniform(-elevation_deg, elevation_deg)])])
@@ -45,11 +47,11 @@ def capture_scene(
                     rows.append((session, k + 1, seen, rb.ravel(), tb, wild))
             yield pd.DataFrame(rows, columns=["session", "capture_no", "p", "rb", "tb", "outlier"])
 
-    return spark.range(sessions).mapInPandas(make, SCENE)
+    return sessions.select(F.col("session").cast("long")).mapInPandas(make, SCENE)
 
 
-def corner_scene(spark: SparkSession, frames: int, board: list[tuple[float, float, float]], k: list[float], d: list[float], noise_px: float = 0.0) -> DataFrame:
-    """(frame_id, corner_id, u, v, tx, ty, tz): a board's corners seen from random poses, with the pose's translation."""
+def corner_scene(poses: DataFrame, board: list[tuple[float, float, float]], k: list[float], d: list[float], noise_px: float = 0.0) -> DataFrame:
+    """(frame_id, corner_id, u, v): a board's corners as seen at poses (frame_id, vx, vy, vz, tx, ty, tz), rotation vector and translation."""
     points, camera, bend = np.array(board), np.array(k).reshape(3, 3), np.array(d)
 
     def make(batches):
@@ -57,13 +59,10 @@ def corner_scene(spark: SparkSession, frames: int, board: list[tuple[float, floa
 
         for batch in batches:
             out = []
-            for frame in batch.id:
-                rng = np.random.default_rng(int(frame))
-                v, t = rng.normal(size=3) * 0.3, np.array([rng.uniform(-0.2, 0.2), rng.uniform(-0.1, 0.1), rng.uniform(0.6, 2.0)])
-                uv = project(points, v, t, camera, bend) + rng.normal(size=(len(points), 2)) * noise_px
-                seen = rng.random(len(points)) < 0.9
-                for i in np.flatnonzero(seen):
-                    out.append((frame, i, *uv[i], *t))
-            yield pd.DataFrame(out, columns=["frame_id", "corner_id", "u", "v", "tx", "ty", "tz"])
-
-    return spark.range(frames).mapInPandas(make, "frame_id long, corner_id int, u double, v double, tx double, ty double, tz double")
+            for frame, *pose in batch[["frame_id", "vx", "vy", "vz", "tx", "ty", "tz"]].itertuples(index=False):
+                uv = project(points, np.array(pose[:3]), np.array(pose[3:]), camera, bend)
+                uv = uv + np.random.default_rng(int(frame)).normal(size=uv.shape) * noise_px
+                out += [(frame, i, *x) for i, x in enumerate(uv)]
+            yield pd.DataFrame(out, columns=["frame_id", "corner_id", "u", "v"])
+
+    return poses.mapInPandas(make, "frame_id long, corner_id int, u double, v double")

@@ -44,6 +44,10 @@ def alike(a, b):
     return a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 1.5e-6
 
 
+#: Means over hundreds of rows; one may round its last digit otherwise.
+ROUNDED = {"pool_running_mean", "convergence_gate"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_has_the_rows_of_its_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
@@ -51,16 +55,31 @@ def test_query_has_the_rows_of_its_sql(spark, duck, name):
     names = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(names)
     got, want = rows_of(df.columns, df.collect()), rows_of(names, found.fetchall())
-    extra, missing = (sorted((x - y).elements(), key=repr) for x, y in ((got, want), (want, got)))
-    assert len(extra) == len(missing) <= 0.01 * want.total() + 1
-    assert all(map(alike, extra, missing))
-
-
-def test_entry_runs_without_the_llm_folder():
-    """The rest imports nothing of the subpackage."""
-    import pathlib
-
-    root = pathlib.Path(__file__).resolve().parents[1] / "plumbline"
-    for path in root.rglob("*.py"):
-        if "llm" not in path.parts:
-            assert "plumbline.llm" not in path.read_text() or path.name == "catalogue.py"
+    if name in ROUNDED:
+        extra, missing = (sorted((x - y).elements(), key=repr) for x, y in ((got, want), (want, got)))
+        assert len(extra) == len(missing) <= 1 and all(map(alike, extra, missing))
+    else:
+        assert got == want
+
+
+def test_the_rest_runs_without_the_llm_folders(tmp_path):
+    """A copy without them imports, and registers the other queries; a broken import inside them isn't hidden."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    show = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1_') for n in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    run = lambda at: subprocess.run([sys.executable, "-c", show], cwd=at, capture_output=True, text=True)
+    out = run(copy)
+    assert out.returncode == 0, out.stderr
+    n, some, known = out.stdout.split()
+    assert int(n) == len(QUERIES) and (some, known) == ("False", "True")
+    if (root / "plumbline/llm").exists():
+        shutil.copytree(root / "plumbline/llm", copy / "plumbline/llm")
+        shutil.copy(root / "corpus_pipeline.py", copy)
+        (copy / "plumbline/llm/queries.py").write_text("import no_such_module\n")
+        assert "no_such_module" in run(copy).stderr
