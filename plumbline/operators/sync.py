@@ -24,17 +24,35 @@ def pairs_within(left: DataFrame, right: DataFrame, slop_us: int) -> DataFrame:
     return a.join(b, "bucket").where(near).drop("bucket").withColumn("dt_us", F.col("right_us") - F.col("left_us"))
 
 
+def _nearest(rows: DataFrame, others: DataFrame, slop_us: int) -> DataFrame:
+    """(id, stamp_us, other, other_us): each row's nearest of ``others`` within ``slop_us``; the earlier
+    stamp, then the smaller id, wins ties. Both sides have id and stamp_us.
+
+    In a bucket's merged order the nearest are the last one before and the first one
+    after, so no pairs are made, however many are within the slop.
+    """
+    bucket = F.floor(F.col("stamp_us") / slop_us)
+    found = F.struct("stamp_us", "id")
+    a = rows.select("id", "stamp_us", bucket.alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast(others.select(found.alias("f")).schema["f"].dataType).alias("other"))
+    b = others.select("id", "stamp_us", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"), F.lit(0).alias("kind"), found.alias("other"))
+    to_here = lambda *order: F.last("other", ignorenulls=True).over(Window.partitionBy("bucket").orderBy(*order, F.desc("id")).rowsBetween(Window.unboundedPreceding, 0))
+    near = a.unionByName(b).withColumns({"before": to_here("stamp_us", "kind"), "after": to_here(F.desc("stamp_us"), "kind")}).where("kind = 1")
+    gaps = {n: F.coalesce(F.abs(F.col(n)["stamp_us"] - F.col("stamp_us")), F.lit(slop_us + 1)) for n in ("before", "after")}
+    best = near.withColumn("best", F.when(gaps["before"] <= gaps["after"], F.col("before")).otherwise(F.col("after")))
+    return best.where(F.least(*gaps.values()) <= slop_us).select("id", "stamp_us", F.col("best.id").alias("other"), F.col("best.stamp_us").alias("other_us"))
+
+
 def nearest_pairs(left: DataFrame, right: DataFrame, slop_us: int) -> DataFrame:
-    """Pairs that are each other's nearest in time; the earlier stamp, then the smaller id, wins ties.
+    """Pairs that are each other's nearest in time, at most ``slop_us`` apart: (left_id, right_id, left_us, right_us,
+    dt_us) and the right side's other columns with the prefix r_.
 
     One-to-one, and unlike a greedy matcher independent of the order of arrival.
     """
-    pairs = pairs_within(left, right, slop_us)
-    gap = F.abs("dt_us")
-    of_left = Window.partitionBy("left_id").orderBy(gap, "right_us", "right_id")
-    of_right = Window.partitionBy("right_id").orderBy(gap, "left_us", "left_id")
-    ranked = pairs.withColumns({"of_left": F.row_number().over(of_left), "of_right": F.row_number().over(of_right)})
-    return ranked.where("of_left = 1 and of_right = 1").drop("of_left", "of_right")
+    a = _nearest(left, right, slop_us).toDF("left_id", "left_us", "right_id", "right_us")
+    b = _nearest(right, left, slop_us).select(F.col("id").alias("right_id"), F.col("other").alias("left_id"))
+    pairs = a.join(b, ["left_id", "right_id"]).withColumn("dt_us", F.col("right_us") - F.col("left_us"))
+    more = [F.col(c).alias(f"r_{c}") for c in right.columns if c not in ("id", "stamp_us")]
+    return pairs.join(right.select(F.col("id").alias("right_id"), *more), "right_id") if more else pairs
 
 
 #: Buckets in a group of buckets.
