@@ -300,7 +300,11 @@ SOLVED = (
 
 
 def solved(captures: DataFrame, params: Params) -> DataFrame:
-    """One row for each session. Fewer than 4 captures: status ``insufficient`` and nulls."""
+    """One row for each session. Fewer than 4 captures: status ``insufficient`` and nulls.
+
+    A session is solved by one task, which holds its captures; the capture rule makes
+    tens of them in an hour. Sessions, folds and bootstraps are what is parallel.
+    """
     kind = captures.schema["session"].dataType.simpleString()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
