@@ -15,6 +15,10 @@
 Bins carry their pieces along, so nothing is joined. Sequence ids number the rows
 of written tables, so a recomputed task gives the same ones.
 
+``slack`` is the loss that a sequence may have by being closed early: at most 8 of
+2048 tokens; 0 closes full ones only. A task holds one Arrow batch of texts in parts
+of a few MB, and of a long document its ids (4 bytes each) beside the text.
+
 Cases: null or empty text is one piece, the end token alone. A null id stays null.
 Rows that repeat are packed each. An empty table gives an empty result. Extra
 columns are not read.

@@ -45,6 +45,11 @@ def test_exact_keeps_one_row_of_each_group(spark):
     assert len(texts) == len(set(texts)) == 5
 
 
+def test_exact_of_nothing(spark):
+    assert exact_dedup.classes(table(spark, [])).count() == 0
+    assert exact_dedup.deduplicated(table(spark, [])).count() == 0
+
+
 def shingles(text):
     words = [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

@@ -36,6 +36,27 @@ def test_bpe_is_the_librarys(spark, library):
     assert bpe.round_trip(docs.limit(0), BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_repeated_rows_and_clashing_names(spark):
+    shape = "doc_id long, text string, piece string, used string, open string, n_tokens string, pieces string"
+    rows = [(1, "a b c " * 9, *"abcde")] * 3 + [(2, None, *"abcde"), (None, "", *"abcde")]
+    docs = spark.createDataFrame(rows, shape)
+    got = bpe.round_trip(docs, BPE, public_tokenizers.PATTERN).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 1, 2] and len({r.ids_sha256 for r in got if r.doc_id == 1}) == 1
+    packed = packing.sequences(docs, WORDS).collect()
+    assert sorted(r.doc_id or 0 for r in packed) == [0, 1, 1, 1, 2] and len({r.sequence_id for r in packed}) == 1
+    assert sorted(r.length for r in packed if r.doc_id != 1) == [1, 1]
+
+
+def test_bins_against_their_bound(spark):
+    """Over documents: no more than 1 % above the tokens over the length; slack costs at most its share."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for slack, most in ((packing.SLACK, 1.01), (0, 1.01)):
+        got = packing.sequences(docs, WORDS, slack=slack).select("sequence_id", "length").collect()
+        bins, bound = len({r.sequence_id for r in got}), -(-sum(r.length for r in got) // packing.LENGTH)
+        print(f"slack {slack}: {bins} sequences, bound {bound}")
+        assert bins <= most * bound + 1
+
+
 def test_bpe_appends_and_edits_are_exact():
     model, rng = bpe.text_bpe(BPE, public_tokenizers.PATTERN).model, random.Random(0)
     make = lambda n: bytes(rng.choice(b"abcdeinrst xyz\xc3\xa9") for _ in range(n))
