@@ -90,8 +90,8 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     return pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
 
 
-def _ranged(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, int]:
-    """(part, key, kind, page_id, host, path, verdict) in order inside each part, rules (kind 0) first, and the number of parts."""
+def _ranged(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """(part, key, kind, page_id, host, path, verdict) in order inside each part, rules (kind 0) first."""
     count = rows.count()
     parts = ranges.buckets(rows.sparkSession, count, RANGE_ROWS)
     place = F.concat("key", F.lit("\0"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
@@ -100,14 +100,14 @@ def _ranged(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, int]:
     key = F.col("key")
     first, last = ranges.bucket(bounds, lambda b: b < key), ranges.bucket(bounds, lambda b: (b < key) | F.startswith(b, key))
     held = rules.select(F.explode(F.sequence(first, last)).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["page_id"].dataType).alias("page_id"), "host", "path", "verdict")
-    return held.unionByName(urls).repartitionById(parts, "part").sortWithinPartitions("part", "key", "kind"), parts
+    return held.unionByName(urls).repartitionById(parts, "part").sortWithinPartitions("part", "key", "kind")
 
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row; ``rules``: host, path, verdict."""
     rows = _parsed(pages, id_col, url_col).withColumn("key", host_key(F.col("host")))
     keyed = rules.select(host_key(F.col("host")).alias("key"), "host", "path", "verdict").where("host is not null and path is not null")
-    ordered, _ = _ranged(rows, keyed)
+    ordered = _ranged(rows, keyed)
     struct = T.StructType([rows.schema["page_id"], *T.StructType.fromDDL("host string, path string, rule string, verdict string")])
     arrow = to_arrow_schema(struct)
 
