@@ -42,7 +42,7 @@ from plumbline.storage import written
 
 LENGTH, SLACK, FAN, OPEN = 2048, 8, 8, 4096
 #: Words of one generation of a task's memory; it holds the last and the present one.
-CACHE = 150_000
+CACHE = 300_000
 _END = b"\0\0\0\0"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _BINS = f"used int, open boolean, pieces array<struct<{_PIECES}, offset long>>"
