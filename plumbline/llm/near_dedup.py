@@ -199,10 +199,9 @@ def near_classes(
     if not inside.isEmpty():
         short = _prefixes(sets, inside.select("node"), similarity, keep).join(inside, "node")
         short = keep.written(short.join(sets.select("node", "marks"), "node"), "short")
-        sizes = keep.written(short.groupBy("v", "comp").agg(F.count("*").alias("m")), "sizes")
-        most = F.max(F.struct("m", "comp"))
-        mixed = keep.written(sizes.groupBy("v").agg(most.alias("big"), F.count("*").alias("comps")).filter("comps > 1").select("v", F.col("big.comp").alias("big")), "mixed")
-        ours = keep.written(short.join(mixed, "v"), "ours")
+        sizes = short.groupBy("v", "comp").agg(F.count("*").alias("m"))
+        mixed = sizes.groupBy("v").agg(F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
+        ours = keep.written(short.join(mixed.select("v", F.col("big.comp").alias("big")), "v"), "ours")
         others = ours.filter("comp <> big").select("v", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("marks").alias("marks2"))
         more = keep.written(others, "others").join(ours, "v").filter("comp <> comp2 and (comp = big or node < node2)").filter(_sizes_fit("n", "n2", similarity)).filter(_marks_fit(similarity))
         more = keep.written(tried(more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), sets), "more-links")
@@ -210,7 +209,7 @@ def near_classes(
             comp = components(found.union(more), keep)
 
     linked = reps.select("node", "digest", "id").join(comp.toDF("node", "comp"), "node")
-    smallest = keep.written(linked.groupBy("comp").agg(F.min("id").alias("component")), "smallest")
+    smallest = linked.groupBy("comp").agg(F.min("id").alias("component"))
     named = reps.select("digest", "node", "id").join(comp.toDF("node", "comp"), "node", "left").join(smallest, "comp", "left")
     named = written(named.select("digest", F.coalesce("component", "id").alias("component")), "named")
     keep.free()
