@@ -101,6 +101,14 @@ def calibrated_pairs(a: DataFrame, b: DataFrame, p: Params) -> DataFrame:
     return out.select("session", "seq", "pooled", stage.alias("stage"), *[F.col(f"m{n}").alias(n) for n in (*Q, *T)])
 
 
+def in_world(poses: DataFrame) -> DataFrame:
+    """``poses`` with the pose in the world (wtx.., wqx..) in place of the world's pose of A, null where that is unknown."""
+    m, t = g.composed(g.matrix_of_quaternion([F.col(f"w{c}") for c in Q]), [F.col(f"w{c}") for c in T], g.matrix_of_quaternion([F.col(c) for c in Q]), [F.col(c) for c in T])
+    q = g.quaternion_of_matrix(m)
+    known = F.col("wtx").isNotNull()
+    return poses.withColumns({f"w{n}": F.when(known, c) for n, c in zip((*T, *Q), (*t, *q), strict=True)})
+
+
 def placement(poses: DataFrame, mode: str) -> DataFrame:
     """What a lock publishes: ``none`` the pose of B from A; ``fixed`` B in the world, where the
     world pose is known; ``moving`` nothing. (parent, child, tx, ty, tz, qx, qy, qz, qw)"""
@@ -109,8 +117,5 @@ def placement(poses: DataFrame, mode: str) -> DataFrame:
         return from_a
     if mode == "moving":
         return from_a.limit(0)
-    world = [F.col(f"w{c}") for c in T], [F.col(f"w{c}") for c in Q]
-    m, t = g.composed(g.matrix_of_quaternion(world[1]), world[0], g.matrix_of_quaternion([F.col(c) for c in Q]), [F.col(c) for c in T])
-    q = g.quaternion_of_matrix(m)
-    known = poses.where(F.col("wtx").isNotNull())
-    return known.select(F.lit("world").alias("parent"), F.col("camera_b").alias("child"), *[c.alias(n) for c, n in zip(t, T, strict=True)], *[c.alias(n) for c, n in zip(q, Q, strict=True)])
+    known = in_world(poses.where(F.col("wtx").isNotNull()))
+    return known.select(F.lit("world").alias("parent"), F.col("camera_b").alias("child"), *[F.col(f"w{n}").alias(n) for n in (*T, *Q)])

@@ -8,7 +8,9 @@ from plumbline.functions import geometry as g
 from plumbline.operators import posepool as o
 from plumbline.plans import common as c
 from plumbline.schemas import Params
+from plumbline.sources import sinks
 from plumbline.sources import tables as s
+from plumbline.storage import new_folder
 
 PARAMS = Params()
 
@@ -79,6 +81,23 @@ def pair_calibration(spark, d):
     return c.rounded_all(o.calibrated_pairs(*_target_poses(spark, d), PARAMS), [])
 
 
+def pair_solution_document(spark, d):
+    """The document of every live and locked estimate, written as text and JSON and read again from
+    JSON; a lock whose world pose is known has the pose in the world as well."""
+    a, b = _target_poses(spark, d)
+    rows = o.calibrated_pairs(a, b, PARAMS).join(b.select("session", "seq", F.col("reproj").alias("reproj_b")), ["session", "seq"])
+    rows = _in_world(rows.withColumns({"reproj_a": F.lit(0.5), "stamp": F.col("seq") * 1000}))
+    rows = o.in_world(rows.withColumn("wtx", F.when(F.col("stage") == "locked", F.col("wtx"))))
+    names = {"parent_frame": "camera_a", "child_frame": "camera_b", "camera_a_name": "left", "camera_b_name": "right", "world_frame": "map"}
+    path = new_folder(spark, "pairs")
+    sinks.written_documents(sinks.as_documents(sinks.pair_document(rows, names), "session"), path)
+    shape = "session long, seq long, child_frame string, camera_b_name string, stage string, stamp long, reproj_a_px double, reproj_b_px double, world_frame string, translation array<double>, quaternion_xyzw array<double>, pose_in_map_translation array<double>"
+    back = spark.read.schema(shape).json(f"{path}/json")
+    lists = {"translation": ("t", 3), "quaternion_xyzw": ("q", 4), "pose_in_map_translation": ("w", 3)}
+    flat = [c.rounded(F.get(n, F.lit(i))).alias(f"{x}{i}") for n, (x, size) in lists.items() for i in range(size)]
+    return back.select(*[n for n in back.columns if n not in lists], *flat)
+
+
 def locked_placement(spark, d):
     """Where each session's lock puts camera B, with the world pose known at the lock."""
     locked = o.calibrated_pairs(*_target_poses(spark, d), PARAMS).where("stage = 'locked'")
@@ -112,7 +131,7 @@ def pair_compose(spark, d):
     return c.rounded_all(_poses(spark, d).select("seq", m[0].alias("m00"), m[5].alias("m12"), *[x.alias(n) for x, n in zip(v, o.T, strict=True)]), [])
 
 
-QUERIES = {f.__name__: f for f in (pose_message_decode, se3_mean, pool_running_mean, convergence_gate, convergence_latch, value_latch, pair_calibration, locked_placement, placement, pose_in_world, pair_compose)}
+QUERIES = {f.__name__: f for f in (pose_message_decode, se3_mean, pool_running_mean, convergence_gate, convergence_latch, value_latch, pair_calibration, pair_solution_document, locked_placement, placement, pose_in_world, pair_compose)}
 #: Former names of the same queries.
 QUERIES |= {"placement_whole": placement, "pose_in_world_whole": pose_in_world}
 
@@ -170,6 +189,10 @@ ORACLES = {
         CASE WHEN k >= {PARAMS.conv_window} THEN {c.r('rot_std')} END AS rot_std, stable FROM conv""",
     "convergence_latch": f"WITH {_POSES}, {_converged()} SELECT session, seq, run, locked_at, coalesce(seq >= locked_at, false) AS locked FROM conv",
     "pair_calibration": f"WITH {_POSES}, {_PAIRED} SELECT session, seq, pooled, stage, {', '.join(f'{c.r(n)} AS {n}' for n in (*o.Q, *o.T))} FROM upto",
+    "pair_solution_document": f"""WITH {_POSES}, {_PAIRED}, w AS (SELECT *, CASE WHEN stage = 'locked' AND session <> 3 THEN 1 END AS known FROM upto)
+        SELECT session, seq, 'camera_b' AS child_frame, 'right' AS camera_b_name, stage, seq * 1000 AS stamp, 0.5::DOUBLE AS reproj_a_px, o_custkey % 9 / 4 AS reproj_b_px, CASE WHEN known = 1 THEN 'map' END AS world_frame,
+            {', '.join(f'{c.r(n)} AS t{i}' for i, n in enumerate(o.T))}, {', '.join(f'{c.r(n)} AS q{i}' for i, n in enumerate(o.Q))}, {', '.join(f'CASE WHEN known = 1 THEN {c.r(x)} END AS w{i}' for i, x in enumerate(_WORLD_T))}
+        FROM w JOIN orders ON o_orderkey = seq""",
     "locked_placement": f"""WITH {_POSES}, {_PAIRED}, w AS (SELECT * FROM upto WHERE stage = 'locked')
         SELECT 'none' AS mode, 'a' || session AS parent, 'b' || seq AS child, {_T(o.T)} FROM w
         UNION ALL SELECT 'fixed', 'world', 'b' || seq, {_T(_WORLD_T)} FROM w WHERE session <> 3""",

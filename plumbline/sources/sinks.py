@@ -62,6 +62,22 @@ def extrinsic_document(report: DataFrame, p: Params, names: dict[str, str], stam
     return report.where("status = 'solved'").select("session", *[c.alias(n) for n, c in keys.items()])
 
 
+def pair_document(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The keys of a pair's result document beside session, of rows (session, seq, stage, pose, reproj_a, reproj_b, stamp)
+    and, where the world is known, the pose in it (wtx.., wqx..).
+
+    ``names`` has parent_frame, child_frame, camera_a_name, camera_b_name and world_frame.
+    """
+    pose = lambda p: (F.array(*[F.col(f"{p}t{a}") for a in "xyz"]), F.array(*[F.col(f"{p}q{a}") for a in "xyzw"]), F.array(*[F.degrees(x) for x in g.euler_of_matrix(g.matrix_of_quaternion(g.vec(*[f"{p}q{a}" for a in "xyzw"])))]))
+    keys = {n: F.lit(names[n]) for n in ("parent_frame", "child_frame", "camera_a_name", "camera_b_name")}
+    keys |= dict(zip(("translation", "quaternion_xyzw", "rpy_deg"), pose(""), strict=True))
+    keys |= {"reproj_a_px": F.col("reproj_a"), "reproj_b_px": F.col("reproj_b"), "stage": F.col("stage"), "stamp": F.col("stamp")}
+    known = F.col("wtx").isNotNull()
+    keys |= {"world_frame": F.when(known, names["world_frame"])}
+    keys |= {f"pose_in_map_{n}": F.when(known, x) for n, x in zip(("translation", "quaternion_xyzw", "rpy_deg"), pose("w"), strict=True)}
+    return rows.select("session", "seq", *[c.alias(n) for n, c in keys.items()])
+
+
 def as_documents(rows: DataFrame, key: str) -> DataFrame:
     """(key, text, json): each row as ``name: value`` lines and as JSON with all its columns."""
     lines = [F.concat(F.lit(f"{n}: "), F.coalesce(F.col(n).cast("string"), F.lit("null"))) for n in rows.columns]
