@@ -10,7 +10,7 @@ from plumbline.plans import common as c
 from plumbline.schemas import Params
 from plumbline.sources import sinks
 from plumbline.sources import tables as s
-from plumbline.storage import new_folder
+from plumbline.storage import new_folder, written
 
 PARAMS = Params()
 
@@ -85,7 +85,7 @@ def pair_solution_document(spark, d):
     """The document of every live and locked estimate, written as text and JSON and read again from
     JSON; a lock whose world pose is known has the pose in the world as well."""
     a, b = _target_poses(spark, d)
-    rows = o.calibrated_pairs(a, b, PARAMS).join(b.select("session", "seq", F.col("reproj").alias("reproj_b")), ["session", "seq"])
+    rows = written(o.calibrated_pairs(a, b, PARAMS), "estimates").join(b.select("session", "seq", F.col("reproj").alias("reproj_b")), ["session", "seq"])
     rows = _in_world(rows.withColumns({"reproj_a": F.lit(0.5), "stamp": F.col("seq") * 1000}))
     rows = o.in_world(rows.withColumn("wtx", F.when(F.col("stage") == "locked", F.col("wtx"))))
     names = {"parent_frame": "camera_a", "child_frame": "camera_b", "camera_a_name": "left", "camera_b_name": "right", "world_frame": "map"}
@@ -101,7 +101,7 @@ def pair_solution_document(spark, d):
 def locked_placement(spark, d):
     """Where each session's lock puts camera B, with the world pose known at the lock."""
     locked = o.calibrated_pairs(*_target_poses(spark, d), PARAMS).where("stage = 'locked'")
-    return _placed(_in_world(locked))
+    return _placed(_in_world(written(locked, "locked")))  # read once for each mode
 
 
 def _in_world(poses):
