@@ -43,8 +43,8 @@ def extrinsic_document(report: DataFrame, p: Params, names: dict[str, str], stam
     q_back = [-q[0], -q[1], -q[2], q[3]]
     numbers = lambda xs: F.array(*[F.lit(x).cast("double") if isinstance(x, (int, float)) else x for x in xs])
     scaled = lambda c, size, by, first=0: numbers([F.get(c, F.lit(first + i)) * by for i in range(size)])
-    command = [x for c in (*t, *q) for x in (F.format_string("%.6f", c),)]
-    keys = {
+    command = [F.format_string("%.6f", c) for c in (*t, *q)]
+    keys = {  # fixed values: the document's keys and its method's name
         **{n: F.lit(names[n]) for n in ("parent_frame", "child_frame", "camera_name", "radar_name")},
         "method": F.lit("measurement_space_ML_robust"), "elevation_used": F.col("elevation_used"), "n_captures": F.col("n_captures"), "n_inliers": F.col("n_inliers"), "n_rejected": F.col("n_rejected"),
         "verdict_pass": F.col("passes"), "planar_warning": F.col("planar"), "unobservable_dof": F.col("unobservable_dof"),
