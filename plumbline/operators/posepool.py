@@ -6,6 +6,8 @@ translation tx ty tz.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,15 +33,20 @@ def normalised(rows: DataFrame) -> DataFrame:
     return rows.withColumn("size", size).withColumns({f"m{c}": F.col(f"m{c}") / F.col("size") for c in Q}).drop("size")
 
 
+def poolable(rows: DataFrame) -> DataFrame:
+    """Rows whose pose is whole: one number that is null, NaN or infinite would stay in the running sums for ever."""
+    return rows.where(reduce(lambda a, b: a & b, [F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in (*Q, *T)]))
+
+
 def running_means(rows: DataFrame, cap: int) -> DataFrame:
-    """Each row's mean over the last ``cap`` rows of its session, and their number ``pooled``.
+    """Each row's mean over the last ``cap`` poolable rows of its session, and their number ``pooled``.
 
     Sums over the last rows are differences of the session's running sums, so a row
     costs the same whatever ``cap`` is.
     """
     order = Window.partitionBy("session").orderBy("seq")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    signed = rows.select("session", "seq", *[_signed(c).alias(c) for c in Q], *T).withColumn("at", F.row_number().over(order))
+    signed = poolable(rows).select("session", "seq", *[_signed(c).alias(c) for c in Q], *T).withColumn("at", F.row_number().over(order))
     sums = signed.withColumns({c: F.sum(c).over(upto) for c in (*Q, *T)})
     pooled = F.least("at", F.lit(cap))
     last = {f"m{c}": (F.col(c) - F.coalesce(F.lag(c, cap).over(order), F.lit(0.0))) / pooled for c in (*Q, *T)}

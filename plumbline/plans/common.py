@@ -48,6 +48,10 @@ TRACKS = """tracks AS (
            value / 90 AS px, (event_id % 5) / 15 AS py, (event_id % 13) / 30 AS pz
     FROM events)"""
 
+#: Queries that sum many values take them in a unit of which no small power is a fraction, so that no sum
+#: falls on an edge of rounding, where the engines' orders of summation would show.
+UNIT = 2 ** (1 / 3)
+
 #: A rotation about a slanted axis and a translation, as literals for queries that need an extrinsic.
 R = [0.36, 0.48, -0.8, -0.8, 0.6, 0.0, 0.48, 0.64, 0.6]
 T = [0.2, -0.1, 0.3]

@@ -20,6 +20,7 @@ from plumbline.storage import new_folder, written
 PARAMS = Params().with_values(measured_baseline_m=0.35, use_prior=False, offset_prior_sigma_m=0.01)
 CAPTURES = 20
 TRUE_R, TRUE_T = (x.ravel().tolist() for x in scenes.truth(PARAMS))
+_C, _P = ("cx", "cy", "cz"), ("px", "py", "pz")
 _PQ = {"qx": "cx", "qy": "cy", "qz": "cz"}
 
 
@@ -27,6 +28,10 @@ def _tracks(spark, d):
     return s.tracks(spark, d)
 
 
+def _in_unit(spark, d):
+    return _tracks(spark, d).withColumns({n: F.col(n) * c.UNIT for n in (*_C, *_P)})
+
+
 def _scene(spark, d, n=CAPTURES):
     """A scene of exact captures for each supplier."""
     return scenes.capture_scene(s.table(spark, d, "supplier").select(F.col("s_suppkey").alias("session")), n, noise=0.0, params=PARAMS)
@@ -37,7 +42,7 @@ def _rt():
 
 
 def centroid_crosscov(spark, d):
-    return c.rounded_all(e.cross_covariance(_tracks(spark, d).withColumnsRenamed({b: a for a, b in _PQ.items()})), [], 5)
+    return c.rounded_all(e.cross_covariance(_in_unit(spark, d).withColumnsRenamed({b: a for a, b in _PQ.items()})), [], 5)
 
 
 def kabsch_fit(spark, d):
@@ -77,7 +82,7 @@ def range_fit(spark, d):
 
 
 def scatter_sums(spark, d):
-    return c.rounded_all(v.scatter(_tracks(spark, d)), [], 5)
+    return c.rounded_all(v.scatter(_in_unit(spark, d)), [], 5)
 
 
 def condition_planarity(spark, d):
@@ -238,7 +243,7 @@ QUERIES = {
     for f in (centroid_crosscov, kabsch_fit, error_stats, rms_bias, pixel_error, spread_guard, elevation_detect, range_fit, scatter_sums, condition_planarity, inlier_floor, rotation_mean_chordal, solve_extrinsic, solve_forced, loo_folds, fold_exclusion_join, observability, verdict, warning_rules, solve_end_to_end, solution_document, solve_report, board_pose_fit, min_corners_having, reproj_gate)
 }
 
-_C, _P = ("cx", "cy", "cz"), ("px", "py", "pz")
+_UNIT = f"{c.TRACKS}, u AS (SELECT session, {', '.join(f'{n} * {c.UNIT!r}::DOUBLE AS {n}' for n in (*_C, *_P))} FROM tracks)"
 _RES = ", ".join(f"{x} - {q} AS d{a}" for x, q, a in zip(c.rigid_sql(c.R, c.T, list(_P)), _C, "xyz", strict=True))
 _SIG = "sig AS (SELECT c_custkey, abs(c_acctbal) AS bal, (c_custkey % 7) / 20 AS a, (c_custkey % 5) / 15 AS b, (c_custkey % 3) / 5 AS c, (c_custkey % 11) / 60 AS d, (c_custkey % 13) / 60 AS e, (c_custkey % 2) / 5 AS f, (c_custkey % 9) / 200 AS o FROM customer)"
 _WEAK = [("a > 0.3", "rot_x"), ("b > 0.3", "rot_y"), ("c > 0.3", "rot_z"), ("d > 0.2", "t_x"), ("e > 0.2", "t_y"), ("f > 0.2", "t_z")]
@@ -281,9 +286,9 @@ ORACLES = {
     "board_pose_fit": f"""WITH p AS (SELECT s_suppkey AS k, (s_suppkey % 7 - 3) / 10 AS a FROM supplier)
         SELECT k AS frame_id, {', '.join(f'{x} AS rb{i}' for i, x in enumerate([c.r('cos(a)', 5), '0.0::DOUBLE', c.r('sin(a)', 5), '0.0::DOUBLE', '1.0::DOUBLE', '0.0::DOUBLE', c.r('-sin(a)', 5), '0.0::DOUBLE', c.r('cos(a)', 5)]))},
         {c.r('(k % 5 - 2) / 20', 5)} AS tb0, {c.r('(k % 3 - 1) / 20', 5)} AS tb1, {c.r('1 + (k % 11) / 20', 5)} AS tb2, 0.0::DOUBLE AS reproj_l2_over_n, 48::INTEGER AS n_corners FROM p""",
-    "centroid_crosscov": f"""WITH {c.TRACKS}, m AS (SELECT session, count(*) AS n, {', '.join(f'avg({p}) AS m_{p}' for p in (*_P, *_C))} FROM tracks GROUP BY session)
+    "centroid_crosscov": f"""WITH {_UNIT}, m AS (SELECT session, count(*) AS n, {', '.join(f'avg({p}) AS m_{p}' for p in (*_P, *_C))} FROM u GROUP BY session)
         SELECT session, n, {', '.join(f'{c.r(f"any_value(m_{p})", 5)} AS m_{p}' for p in _P)}, {', '.join(f'{c.r(f"any_value(m_{q})", 5)} AS m_q{q[1]}' for q in _C)},
-        {', '.join(f'{c.r(f"sum(({p} - m_{p}) * ({q} - m_{q}))", 5)} AS h{i}{j}' for i, p in enumerate(_P) for j, q in enumerate(_C))} FROM tracks JOIN m USING (session) GROUP BY session, n""",
+        {', '.join(f'{c.r(f"sum(({p} - m_{p}) * ({q} - m_{q}))", 5)} AS h{i}{j}' for i, p in enumerate(_P) for j, q in enumerate(_C))} FROM u JOIN m USING (session) GROUP BY session, n""",
     "kabsch_fit": f"WITH {c.TRACKS} SELECT session, count(*) AS n, {', '.join(f'{x}::DOUBLE AS r{i}' for i, x in enumerate(c.R))}, {', '.join(f'{x}::DOUBLE AS t{i}' for i, x in enumerate(c.T))} FROM tracks GROUP BY session",
     "error_stats": _stats(_RES, "n rms_mm mean_3d_mm bias_x_mm bias_y_mm bias_z_mm worst_bias_mm"),
     "rms_bias": _stats("px - cx AS dx, py - cy AS dy, pz - cz AS dz", "rms_mm worst_bias_mm"),
@@ -298,8 +303,8 @@ ORACLES = {
     "range_fit": f"""WITH {c.TRACKS}, p AS (SELECT session, {_RANGE('p')} AS s, {_RANGE('c')} AS c FROM tracks),
         f AS (SELECT session, regr_slope(c, s) AS a, regr_intercept(c, s) AS b FROM p GROUP BY session HAVING count(*) >= 2)
         SELECT session, {c.r('a', 5)} AS a, {c.r('b', 5)} AS b, abs(a - 1) > 0.03 OR abs(b) > 0.05 AS report, {c.r('a * 1.01', 5)} AS new_scale, {c.r('a * 0.02 - b', 5)} AS new_bias FROM f WHERE a IS NOT NULL""",
-    "scatter_sums": f"""WITH {c.TRACKS}, m AS (SELECT session, count(*) AS n, avg(px) AS m0, avg(py) AS m1, avg(pz) AS m2 FROM tracks GROUP BY session)
-        SELECT session, n, {', '.join(f'{c.r(f"sum(({_P[i]} - m{i}) * ({_P[j]} - m{j}))", 5)} AS s{i}{j}' for i in range(3) for j in range(i, 3))} FROM tracks JOIN m USING (session) GROUP BY session, n""",
+    "scatter_sums": f"""WITH {_UNIT}, m AS (SELECT session, count(*) AS n, avg(px) AS m0, avg(py) AS m1, avg(pz) AS m2 FROM u GROUP BY session)
+        SELECT session, n, {', '.join(f'{c.r(f"sum(({_P[i]} - m{i}) * ({_P[j]} - m{j}))", 5)} AS s{i}{j}' for i in range(3) for j in range(i, 3))} FROM u JOIN m USING (session) GROUP BY session, n""",
     "inlier_floor": """WITH w AS (SELECT user_id AS session, event_id AS id, value AS e, count(*) OVER s AS n, count(*) FILTER (value < 20) OVER s AS below,
             row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k FROM events WINDOW s AS (PARTITION BY user_id)),
         b AS (SELECT session, min(e) AS bound FROM w WHERE k = least(n, greatest(4, floor(n * 0.6))) GROUP BY session)

@@ -51,9 +51,9 @@ def rigid_apply(spark, d):
 
 
 def rigid_inverse(spark, d):
-    """There and back: the points again."""
+    """The camera's points as the sensor has them."""
     r, t = g.constant(c.R), g.constant(c.T)
-    return s.points(spark, d).select(*KEY, *_named(g.rigid_inverse(r, t, g.rigid(r, t, xyz())), "xyz"))
+    return s.points(spark, d).select(*KEY, *_named(g.rigid_inverse(r, t, xyz()), "xyz"))
 
 
 def compose_pose(spark, d):
@@ -133,7 +133,7 @@ ORACLES = {
                {_wrapped(f'asin(greatest(-1, least(1, z / {_RANGE})))')} / 0.2 AS c FROM points JOIN camera USING (frame_id))
         SELECT {_K}, {c.r('a')} AS e_r, {c.r('b')} AS e_az, {c.r('c')} AS e_el, {c.r('sqrt((a * a + b * b + c * c) / 3)')} AS e_rms FROM e""",
     "rigid_apply": _pts(_xyz(c.rigid_sql(c.R, c.T, ["x", "y", "z"]))),
-    "rigid_inverse": _pts(_xyz("xyz")),
+    "rigid_inverse": _pts(_xyz([" + ".join(f"({c.R[3 * j + i]}::DOUBLE) * ({a} - ({c.T[j]}::DOUBLE))" for j, a in enumerate("xyz")) for i in range(3)])),
     "compose_pose": f"""WITH {c.CAMERA}, o AS (
         SELECT o_orderkey, cos(radians(o_custkey % 121 - 60)) AS co, sin(radians(o_custkey % 121 - 60)) AS si, px, py, pz
         FROM orders JOIN camera ON frame_id = o_orderkey),

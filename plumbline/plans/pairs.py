@@ -22,7 +22,7 @@ def _poses(spark, d):
     rows = s.table(spark, d, "orders").select(
         F.floor(F.col("o_orderkey") / 2000).alias("session"), F.col("o_orderkey").alias("seq"), *[x.alias(n) for x, n in zip(raw, ("a", "b", "e"), strict=True)],
         F.when(F.col("o_orderkey") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"),
-        (1 + (k % 11) / 97).alias("tx"), ((k % 13) / 101 - 0.05).alias("ty"), (0.3 + (k % 17) / 193).alias("tz"),
+        ((1 + (k % 11) / 97) * c.UNIT).alias("tx"), (((k % 13) / 101 - 0.05) * c.UNIT).alias("ty"), ((0.3 + (k % 17) / 193) * c.UNIT).alias("tz"),
     )
     size = F.col("sign") / F.sqrt(1 + F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("e") * F.col("e"))
     return rows.select("session", "seq", (F.col("a") * size).alias("qx"), (F.col("b") * size).alias("qy"), (F.col("e") * size).alias("qz"), size.alias("qw"), "tx", "ty", "tz")
@@ -132,11 +132,9 @@ def pair_compose(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (pose_message_decode, se3_mean, pool_running_mean, convergence_gate, convergence_latch, value_latch, pair_calibration, pair_solution_document, locked_placement, placement, pose_in_world, pair_compose)}
-#: Former names of the same queries.
-QUERIES |= {"placement_whole": placement, "pose_in_world_whole": pose_in_world}
 
-_POSES = """raw AS (SELECT o_orderkey // 2000 AS session, o_orderkey AS seq, (o_custkey % 7 - 3) / 40 AS a, (o_custkey % 5 - 2) / 40 AS b, (o_custkey % 3 - 1) / 40 AS e,
-        CASE WHEN o_orderkey % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, 1 + (o_custkey % 11) / 97 AS tx, (o_custkey % 13) / 101 - 0.05::DOUBLE AS ty, 0.3::DOUBLE + (o_custkey % 17) / 193 AS tz FROM orders),
+_POSES = f"""raw AS (SELECT o_orderkey // 2000 AS session, o_orderkey AS seq, (o_custkey % 7 - 3) / 40 AS a, (o_custkey % 5 - 2) / 40 AS b, (o_custkey % 3 - 1) / 40 AS e,
+        CASE WHEN o_orderkey % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, (1 + (o_custkey % 11) / 97) * {c.UNIT!r}::DOUBLE AS tx, ((o_custkey % 13) / 101 - 0.05::DOUBLE) * {c.UNIT!r}::DOUBLE AS ty, (0.3::DOUBLE + (o_custkey % 17) / 193) * {c.UNIT!r}::DOUBLE AS tz FROM orders),
     poses AS (SELECT session, seq, a * s AS qx, b * s AS qy, e * s AS qz, s AS qw, tx, ty, tz FROM (SELECT *, sign / sqrt(1 + a * a + b * b + e * e) AS s FROM raw))"""
 _M = ["1 - 2 * (qy * qy + qz * qz)", "2 * (qx * qy - qz * qw)", "2 * (qx * qz + qy * qw)", "2 * (qx * qy + qz * qw)", "1 - 2 * (qx * qx + qz * qz)", "2 * (qy * qz - qx * qw)", "2 * (qx * qz - qy * qw)", "2 * (qy * qz + qx * qw)", "1 - 2 * (qx * qx + qy * qy)"]
 _SUMS = ", ".join(f"avg({q} * sign(qw)) {{over}} AS {q}" for q in o.Q) + ", " + ", ".join(f"avg({t}) {{over}} AS {t}" for t in o.T)
@@ -210,4 +208,3 @@ ORACLES = {
         i AS (SELECT *, -(m0 * tx + m3 * ty + m6 * tz) AS x, -(m1 * tx + m4 * ty + m7 * tz) AS y, -(m2 * tx + m5 * ty + m8 * tz) AS z FROM b)
         SELECT seq, {c.r('0.36 * m0 + 0.48 * m1 - 0.8 * m2')} AS m00, {c.r('-0.8 * m6 + 0.6 * m7')} AS m12, {_T(c.rigid_sql(c.R, c.T, ['x', 'y', 'z']))} FROM i""",
 }
-ORACLES |= {"placement_whole": ORACLES["placement"], "pose_in_world_whole": ORACLES["pose_in_world"]}

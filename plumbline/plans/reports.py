@@ -68,8 +68,6 @@ def report_row(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (overlay_points, transforms_table, result_document, pair_document, pose_sink, report_row)}
-#: Former names of the same queries.
-QUERIES |= {f"{f.__name__}_whole": f for f in (transforms_table, result_document, pair_document)}
 
 _CMD = "'static_transform_publisher --x 0.250000 --y -0.500000 --z 0.750000 --qx 0.000000 --qy 0.600000 --qz 0.000000 --qw 0.800000 --frame-id {0} --child-frame-id {1}'"
 _NL = " || chr(10) || "
@@ -85,4 +83,3 @@ ORACLES = {
     "report_row": f"""WITH {pairs._POSES}, s AS (SELECT session, avg(tx) AS x, avg(ty) AS y, avg(tz) AS z FROM poses GROUP BY session)
         SELECT session, 'session ' || session || ': |t| ' || round(sqrt(x * x + y * y + z * z) * 1000)::BIGINT || ' mm' AS line FROM s""",
 }
-ORACLES |= {f"{n}_whole": ORACLES[n] for n in ("transforms_table", "result_document", "pair_document")}

@@ -68,6 +68,7 @@ class Feedback:
 class Latch:
     """Pools relative poses, averages them and locks once the mean stands still, as
     ``posepool.calibrated_pairs`` does: live rows up to the locked one, nothing after.
+    A pose that isn't whole (a null, a NaN, an infinity) is passed over.
     The command ``reset`` begins anew."""
 
     params: Params
@@ -81,7 +82,7 @@ class Latch:
         *pose, cmd = values
         if cmd == "reset":
             state.update(self.start())
-        if cmd is not None or state["locked"]:
+        if cmd is not None or state["locked"] or not all(x is not None and math.isfinite(x) for x in pose):
             return []
         p = self.params
         if pose[3] < 0:
