@@ -8,9 +8,10 @@ its posterior over languages, also where languages are mixed. The document's
 language has the largest mean posterior, which is the score.
 
 Training is on the driver, from at most ``per_label`` labelled documents a language
-of at most ``SAMPLE_BYTES`` each, and ``SAMPLE`` documents in all (the sample bound;
-those with the smallest hash of their id), cut into short runs that are spliced, so
-that changes of language are seen.
+of at most ``SAMPLE_BYTES`` each (longer ones aren't learnt from), ``SAMPLE`` documents
+and ``ALL_BYTES`` in all (the sample bound; those with the smallest hash of their id), cut
+into short runs that are spliced, so that changes of language are seen. Rows that repeat
+id, text and language count once, so however many there are, the driver gets one.
 
 Cases: null text, or a text without a letter, is ``und`` with score 0. Without
 labelled rows every document is ``und``. Null languages aren't learnt. A null id is
@@ -34,8 +35,8 @@ from plumbline.llm.batches import mapped, sliced, texts
 
 NONE = "und"
 #: Bounds of the training sample: documents a language, documents in all, bytes of a document (longer
-#: ones aren't taken), words in all.
-PER_LABEL, SAMPLE, SAMPLE_BYTES, WORDS = 150, 10_000, 100_000, 120_000
+#: ones aren't taken), words in all, and bytes of all documents, which is what the driver can hold of texts.
+PER_LABEL, SAMPLE, SAMPLE_BYTES, WORDS, ALL_BYTES = 150, 10_000, 100_000, 120_000, 64_000_000
 #: Rows of n-grams, and characters of texts that are scored together.
 GRAM_ROWS, CHUNK = 1 << 16, 400_000
 _alphanumeric = re.compile(r"[^\W\d_]+").findall
@@ -180,11 +181,23 @@ def fitted(docs: DataFrame, per_label: int = PER_LABEL, id_col: str = "doc_id",
     """A model from at most ``per_label`` labelled documents of each language that aren't held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    chance = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = rows.select("doc_id", "lang", F.row_number().over(chance).alias("k")).filter(F.col("k") <= per_label)
-    chosen = ranked.orderBy("k", "lang", "doc_id").limit(SAMPLE).select("doc_id").distinct()
+    rows = rows.withColumns({"mark": F.xxhash64("text"), "size": F.octet_length("text")})
+    chance = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
+    ranked = rows.select("lang", "doc_id", "mark", "size", F.dense_rank().over(chance).alias("k")).filter(F.col("k") <= per_label).distinct()
+    first = ranked.orderBy("k", "lang", "doc_id", "mark").limit(SAMPLE).collect()  # SAMPLE rows without texts
+    total, wanted = 0, []
+    for r in first:
+        total += r.size
+        if total > ALL_BYTES:
+            break
+        wanted.append((r.lang, r.doc_id, r.mark))
+    if not wanted:
+        return train({})
+    chosen = docs.sparkSession.createDataFrame(wanted, ranked.select("lang", "doc_id", "mark").schema).toDF("l", "d", "m")
+    same = (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    met = rows.join(F.broadcast(chosen), same).groupBy("lang", "doc_id", "mark").agg(F.min("text").alias("text"))  # of equal rows one
     samples: dict[str, list[str]] = {}
-    for r in rows.join(F.broadcast(chosen), "doc_id").orderBy("lang", "doc_id", "text").collect():  # chosen: SAMPLE rows
+    for r in met.orderBy("lang", "doc_id", "text").collect():  # at most SAMPLE rows of ALL_BYTES together
         samples.setdefault(r.lang, []).append(r.text)
     return train(samples)
 

@@ -3,14 +3,14 @@
 1. Every document is tokenized and cut into pieces; only those longer than a
    sequence are cut. A piece as long as a sequence is one.
 2. Pieces are sorted by length in each partition and dealt out in turn to groups of
-   about ``FAN * OPEN``, so every group has its share of each length, wherever in the
+   about ``FAN * OPEN`` bins and at most about ``PIECES`` pieces, so every group has its share of each length, wherever in the
    table it came from. A task packs one group best-fit, longest first. Bins with at
    most ``SLACK`` tokens free are emitted; all others, however many, stay open.
 3. Open bins become items and are dealt out again. Of two bins of a group one is over
    half full, so at most one a group is not: those all go to the first group, to
    meet each other and its share of the rest. Rounds end after one group, or when one
-   merges nothing; what is open then is emitted. A task holds one group at any input
-   size, and every piece ends in exactly one sequence.
+   merges nothing; what is open then is emitted. A task holds one group, about 150 MB, at
+   any input size and any number of pieces in a bin, and every piece ends in exactly one sequence.
 
 Bins carry their pieces along, so nothing is joined. Sequence ids number the rows
 of written tables, so a recomputed task gives the same ones.
@@ -41,6 +41,8 @@ from plumbline.llm.batches import mapped, texts
 from plumbline.storage import written
 
 LENGTH, SLACK, FAN, OPEN = 2048, 8, 8, 4096
+#: Pieces of a group, of about 700 bytes each in a task.
+PIECES = 200_000
 #: Words of one generation of a task's memory; it holds the last and the present one.
 CACHE = 300_000
 _END = b"\0\0\0\0"
@@ -181,21 +183,27 @@ def packed(items: DataFrame, length: int, slack: int) -> DataFrame:
     return items.mapInArrow(run, struct)
 
 
+def _amount(bins: DataFrame) -> tuple[int, int]:
+    """How many bins, and how many pieces in them."""
+    n, held = bins.agg(F.count("*"), F.sum(F.size("pieces"))).first()
+    return n, held or 0
+
+
 def sequences(
-    docs: DataFrame, path: str, length: int = LENGTH, slack: int = SLACK, fan: int = FAN, keep: int = OPEN, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, length: int = LENGTH, slack: int = SLACK, fan: int = FAN, keep: int = OPEN, most: int = PIECES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""
     cut = written(pieces(docs, path, length, id_col, text_col), "pieces")
     alone = F.array(F.struct("*", F.lit(0).cast("long").alias("offset")))
     bins = cut.select(F.col("length").cast("int").alias("used"), F.lit(True).alias("open"), alone.alias("pieces"))
     done, left = [bins.filter(F.col("used") >= length)], bins.filter(F.col("used") < length)
-    first, count = True, left.count()
+    first, (count, held) = True, _amount(left)
     while True:
-        groups = max(1, -(-count // (fan * keep)))
+        groups = max(1, -(-count // (fan * keep)), -(-held // most))
         table = written(packed(dealt(left, groups, not first, length), length, slack), "bins")
         done.append(table.filter("not open"))
         left = table.filter("open")
-        before, count = count, left.count()
+        before, (count, held) = count, _amount(left)
         if groups == 1 or count == before and not first:
             done.append(left)
             break

@@ -6,16 +6,18 @@ of equal ones, and kept with its position. Two texts that share a passage of
 minima of a text are numpy arrays, built by doubling (a hash of 2m code points
 from two of m), so the cost doesn't depend on k or on the window.
 
-Neighbours by descending id: the table is cut into buckets at id quantiles (to one
-part in ``ACCURACY``), at most as many as there are shuffle partitions and each of
-about ``PART_BYTES`` or more, and every bucket is sorted by itself. A bucket also
-gets the largest id below it (and the lowest one the largest of all), so every row's
-successor is in its bucket. Texts are shuffled once, nothing global is sorted in one
+Neighbours by descending id: rows are ordered by descending id and a hash of their text,
+and cut into ranges that begin at rows of a sample, at most as many as there are shuffle
+partitions and each of about ``PART_BYTES`` or more. Each range is sorted by itself and
+gets one row more, that at which the next range begins (the last one: the first row of
+all), so every row's successor is in its range. Rows that share id and text, where they
+fill a range or more, are spread over several parts; in all but the last of these a row
+is followed by one like itself. Texts are shuffled once, nothing global is sorted in one
 task, and a task holds a few MB of texts at once, besides its longest text.
 
 Cases: null text counts as empty and has an empty fingerprint; two empty
 fingerprints are alike (1.0). A text shorter than k is one gram. Null ids come
-after all others. Rows that repeat an id follow each other by text. A table of
+after all others. Rows that repeat an id follow each other by the hash of their text. A table of
 one row is its own neighbour; an empty table gives an empty result. Extra columns
 are not read.
 """
@@ -24,10 +26,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,8 +41,8 @@ from plumbline.llm import ranges
 from plumbline.llm.batches import mapped, sliced, texts
 
 K, WINDOW = 16, 24
-#: Bytes of texts that a bucket of neighbours has at least, where there are so many; accuracy of the ids' quantiles.
-PART_BYTES, ACCURACY = 4 << 20, 10_000
+#: Bytes of texts that a range of neighbours has at least, where there are so many.
+PART_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _LOW = np.uint64(0xFFFFFFFF)
@@ -121,24 +126,70 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str
     return mapped(rows, per_batch, "doc_id long, positions array<long>, hashes array<long>")
 
 
+def _order_key() -> Column:
+    """32 hexadecimal digits that sort as (descending id, nulls last; hash of the text)."""
+    least = F.lit(_LEAST)
+    falling = F.bitwise_not(F.coalesce("doc_id", least)).bitwiseXOR(least)
+    return F.concat(*[F.lpad(F.hex(x), 16, "0") for x in (falling, F.xxhash64(F.coalesce("text", F.lit(""))))])
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Keys at which the ranges after the first begin, and how many parts the rows with just that key are spread over."""
+
+    begins: list[str]
+    spread: list[int]
+
+    def first_parts(self) -> list[int]:
+        return list(accumulate([1, *self.spread], initial=0))
+
+    def last_part(self, of: int) -> int:
+        return self.first_parts()[of + 1] - 1
+
+
+def _ranges(rows: DataFrame, parts: int, count: int) -> tuple[Ranges, DataFrame]:
+    """Ranges of about one size, and the sample that they were cut from."""
+    per = ranges.SAMPLED
+    sample = rows.sample(min(1.0, per * parts / max(count, 1)), 1)
+    found = sorted(r[0] for r in sample.select(_order_key()).collect()) if parts > 1 else []  # about SAMPLED * parts short keys
+    begins = sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+    often = Counter(found)
+    return Ranges(begins, [max(1, -(-often[k] * parts // len(found))) if often[k] >= per else 1 for k in begins]), sample
+
+
 def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (part, doc_id, text, extra) so partitioned and sorted that the next row is the
-    successor by descending id; rows with ``extra`` are there only to be one."""
+    """Rows (part, doc_id, text, extra, alike, begins) so partitioned and sorted that the next row is the
+    successor. Rows with ``extra`` are there only to be one; a part's rows are ``alike`` where its last
+    row is followed by one like itself; ``begins`` marks rows with the key at which their range begins."""
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id"), F.lit(_LEAST))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = ranges.buckets(spark, size, PART_BYTES)
-    bounds = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], ACCURACY)).first()[0] if parts > 1 else []
-    part = ranges.bucket(sorted(set(bounds or [])), lambda b: b < key)
-    tops = rows.groupBy(part.alias("part")).agg(F.max(key).alias("top")).orderBy("part").collect()  # a row for each bucket
-    also = [(a.top, b.part, False) for a, b in zip(tops, tops[1:], strict=False)] + [(b.top, a.part, True) for a, b in zip(tops[:1], tops[-1:], strict=True)]
-    small = spark.createDataFrame(also, "top long, to int, last boolean").groupBy("top").agg(F.collect_list(F.struct("to", "last")).alias("more"))
-    own = F.array(F.struct(part.alias("to"), F.lit(False).alias("last"), F.lit(False).alias("extra")))
-    more = F.transform(F.coalesce("more", F.array().cast("array<struct<to:int,last:boolean>>")), lambda x: F.struct(x["to"], x["last"], F.lit(True).alias("extra")))
-    placed = rows.join(F.broadcast(small), key == F.col("top"), "left").select("doc_id", "text", F.explode(F.concat(own, more)).alias("p"))
-    placed = placed.select("doc_id", "text", F.col("p.to").alias("part"), F.col("p.last").alias("last"), F.col("p.extra").alias("extra"))
-    return placed.repartitionById(parts, "part").sortWithinPartitions("part", "last", key.desc(), "text").select("part", "doc_id", "text", "extra")
+    key = _order_key()
+    stats = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.max("doc_id").alias("top")).first()
+    cut, sample = _ranges(rows, ranges.buckets(spark, stats.size or 0, PART_BYTES), stats.n)
+    firsts, parts = cut.first_parts(), sum(cut.spread) + 1
+    listed = lambda xs, kind: F.array(*[F.lit(x).cast(kind) for x in xs])
+    placed = rows.withColumn("key", key)
+    placed = placed.withColumn("range", ranges.bucket(cut.begins, lambda b: b <= F.col("key")))
+    placed = placed.withColumn("begins", F.coalesce(F.get(listed(["", *cut.begins], "string"), "range") == F.col("key"), F.lit(False)))
+    spread = F.get(listed([1, *cut.spread], "int"), "range")
+    turn = F.when(F.col("begins"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), spread).cast("int")).otherwise(spread - 1)
+    placed = placed.select((F.get(listed(firsts, "int"), "range") + turn).alias("part"), "doc_id", "text", F.lit(False).alias("extra"), (turn < spread - 1).alias("alike"), "begins", "key")
+
+    def nexts(source: DataFrame, wanted: list[tuple[str, int]]) -> DataFrame:
+        """One row of each wanted key for the part before it."""
+        small = spark.createDataFrame(wanted, "begin string, part int")
+        met = source.withColumn("key", key).join(F.broadcast(small), F.col("key") == F.col("begin"))
+        return met.groupBy("part").agg(F.min(F.struct("text", "doc_id", "key")).alias("row"))
+
+    wanted = [(k, cut.last_part(i)) for i, k in enumerate(cut.begins)]
+    seldom, often = ([w for w, n in zip(wanted, cut.spread, strict=True) if (n > 1) == hot] for hot in (False, True))
+    begin = rows.where(F.col("doc_id").eqNullSafe(F.lit(stats.top).cast("long"))).agg(F.min(F.struct(key.alias("key"), "text", "doc_id")).alias("row"))
+    extras = begin.where("row is not null").select(F.lit(parts - 1).alias("part"), F.struct("row.text", "row.doc_id", "row.key").alias("row"))
+    for source, some in ((rows, seldom), (sample, often)):
+        if some:
+            extras = extras.unionByName(nexts(source, some))
+    extras = extras.select("part", "row.doc_id", "row.text", F.lit(True).alias("extra"), F.lit(False).alias("alike"), F.lit(False).alias("begins"), "row.key")
+    return placed.unionByName(extras).repartitionById(parts, "part").sortWithinPartitions("part", "extra", "key", "text").drop("key")
 
 
 def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,17 +212,33 @@ def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: s
 
     def run(batches):
         last = None
+
+        def ended():
+            """A part is over: its last row was an extra one, or is followed by one like itself."""
+            if last is None or last[4]:
+                return []
+            if not last[5]:
+                raise RuntimeError(f"part {last[0]} lacks the row after its last one")
+            return [row(last[1], last[2], last[3], last[2], last[3])]
+
         for batch in sliced(batches):
             out = []
-            for part, doc_id, text, extra in zip(
-                batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch), batch.column("extra").to_pylist(), strict=True
+            for part, doc_id, text, extra, alike, begins in zip(
+                batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch), *(batch.column(c).to_pylist() for c in ("extra", "alike", "begins")), strict=True
             ):
                 at, hashes = fingerprint(text, k, window)
                 mark = at, hashes, np.unique(hashes)
-                if last is not None and last[0] == part and not last[4]:
+                if last is not None and last[0] == part:
                     out.append(row(last[1], last[2], last[3], text, mark))
-                last = part, doc_id, text, mark, extra
+                else:
+                    out += ended()
+                    if part and not begins:
+                        raise RuntimeError(f"part {part} lacks the row that it begins with")
+                last = part, doc_id, text, mark, extra, alike
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        out = ended()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return with_successor(docs, id_col, text_col).mapInArrow(run, schema)

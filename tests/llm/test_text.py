@@ -5,9 +5,12 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 
 from plumbline.llm import crf, language, maincontent, pii, pii_samples, queries, url_rules, warc, winnowing
 
@@ -33,7 +36,7 @@ def test_shared_passage_shares_a_hash():
 def test_edited_texts_and_likeness(spark):
     rows = [(1, "abc"), (2, None), (5, "x" * 300), (9, "the last of them all, é"), (9, "another nine"), (None, "no id")]
     got = winnowing.edited_likeness(spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, extra string"))
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), xxhash.xxh64((r[1] or "").encode(), seed=42).intdigest()))
     want = []
     for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
         t, after = t or "", after or ""
@@ -62,6 +65,59 @@ def test_many_small_buckets_and_clashing_names(spark, monkeypatch):
     assert {r.doc_id: r.edited_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()} and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+def test_an_id_that_half_of_the_rows_share(spark, monkeypatch, same_text):
+    """Its rows are spread over parts of about one size, none of them is copied, and every row has its successor."""
+    monkeypatch.setattr(winnowing, "PART_BYTES", 4000)
+    rng = random.Random(9)
+    rows = [(77 if k % 2 else k, "the same text again" if same_text and k % 2 else "".join(rng.choices("abcd ", k=30)) + str(k)) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed = winnowing.with_successor(df)
+        sizes = Counter(r.part for r in placed.select("part").collect())
+        got = winnowing.edited_likeness(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(sizes.values()) <= len(rows) + 32 and max(sizes.values()) < 4 * len(rows) / len(sizes)
+    order = sorted(rows, key=lambda r: (-r[0], xxhash.xxh64(r[1].encode(), seed=42).intdigest()))
+    want = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """An id and text that repeat 50,000 times are one document of the sample; so are its bytes bounded."""
+    taken = {}
+    monkeypatch.setattr(language, "train", lambda samples: taken.update(samples))
+    rows = spark.range(50_000).selectExpr("cast(1 as long) doc_id", "'the same words' text", "'en' lang").unionByName(spark.range(2000).selectExpr("id doc_id", "concat('words ', id) text", "'de' lang"))
+    language.fitted(rows)
+    assert taken["en"] == ["the same words"] and len(taken["de"]) == language.PER_LABEL
+    taken.clear()
+    monkeypatch.setattr(language, "ALL_BYTES", 100)
+    language.fitted(rows)
+    assert 0 < sum(len(t) for ts in taken.values() for t in ts) <= 100
+
+
+def test_language_query_columns_by_definition(spark):
+    """Rows, held_out and the values that a prediction may have, from the contract alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r.doc_id: r for r in docs.select("doc_id", "text", "lang").collect()}
+    held = {i for i in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    learnt = {r.lang for i, r in rows.items() if i not in held and r.lang}
+    got = queries.op3_crf_language(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        letters = any(c.isalpha() for c in rows[r.doc_id].text or "")
+        assert r.held_out == (r.doc_id in held) and 0 <= r.score <= 1
+        assert r.lang_pred in learnt if letters else (r.lang_pred, r.score) == ("und", 0.0)
+    other = docs.selectExpr("doc_id", "text", "case when crc32(cast(doc_id as string)) % 4 = 2 then 'xx' else lang end lang", "'s' source")
+    again = language.predicted(other, language.fitted(other)).collect()  # neither the held-out languages nor sources are inputs
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_forward_backward_and_viterbi_by_enumeration():
     rng = np.random.default_rng(5)
     lengths, labels = np.array([1, 4, 6, 2]), 3

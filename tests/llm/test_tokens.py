@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -127,3 +127,20 @@ def test_word_memory_forgets_without_harm(monkeypatch):
     text = "one two three four one two five six one seven"
     assert ids.encode(text) == ids._ids(text)
     assert ids.encode(text) == ids._ids(text)
+
+
+def test_groups_are_bounded_by_pieces_as_well_as_bins(spark, monkeypatch):
+    """Very many tiny documents: no group has more than its share of pieces, and nothing is lost or packed worse."""
+    seen = []
+    real = packing.dealt
+    monkeypatch.setattr(packing, "dealt", lambda items, groups, gathered, length: seen.append((groups, packing._amount(items))) or real(items, groups, gathered, length))
+    docs = spark.range(6000).selectExpr("id doc_id", "repeat('word ', cast(16 + id % 2 as int)) text")
+    got = packing.sequences(docs, public_tokenizers.path("word_bpe_49k.json"), most=1000)
+    rows = got.collect()
+    assert all(held / groups <= 1000 for groups, (_, held) in seen) and len(seen) > 1
+    assert sorted(r.doc_id for r in rows) == list(range(6000))
+    total = sum(r.length for r in rows)
+    used = Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and len(used) <= -(-total // 2048) + len(seen) * 6
