@@ -1,7 +1,7 @@
 """Extrinsic estimation between two sensors, one group of captures (session, fold or bootstrap) at a time.
 
-Sums and joins run in Spark; what is left per group, tens of captures, is solved
-in numpy by Levenberg-Marquardt steps on Huber-weighted residuals.
+Sums and joins run in Spark; what is left per group, tens of captures, is solved in
+numpy by ``batched``, thousands of groups at once.
 
 Captures have session, capture_no, p (sensor point, 3), rb (target rotation, 9 in
 row order) and tb (target translation, 3). The unknowns are the rotation vector and
@@ -10,13 +10,18 @@ translation of sensor to camera, and, if asked for, the offset in the target's f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from plumbline.operators import batched
 from plumbline.schemas import Params
 
 # ---- rotations ------------------------------------------------------------------------------
@@ -141,210 +146,123 @@ def kabsch(pairs: DataFrame) -> DataFrame:
 
 # ---- maximum likelihood ---------------------------------------------------------------------
 
+#: Captures of the groups that are solved together: a task holds about 3 kB for each.
+TOGETHER = 20_000
 
-@dataclass
-class Solution:
-    """Outcome for one group; cov is 6x6 on (rotation vector, translation)."""
-
-    r: np.ndarray
-    t: np.ndarray
-    offset: np.ndarray
-    cov: np.ndarray
-    offset_sigma: np.ndarray
-    inliers: np.ndarray
-    rms_sigma: float
-    converged: bool
-    rank: int
-
-
-class Problem:
-    """Residuals of captures in the sensor's own measures, with priors as further rows."""
-
-    def __init__(self, p, rb, tb, params: Params, elevation: bool, solve_offset: bool, priors: bool, offset) -> None:
-        self.rb, self.tb, self.measured = rb, tb, spherical(p)
-        self.k = 3 if elevation else 2
-        self.sigma = np.array([params.sigma_range_m, np.radians(params.sigma_az_deg), np.radians(params.sigma_el_deg)])[: self.k]
-        self.solve_offset, self.offset = solve_offset, np.asarray(offset, float)
-        self.offset_sigma = params.offset_prior_sigma_m if solve_offset and params.offset_prior_sigma_m > 0 else None
-        self.prior = None
-        if priors and params.prior_rot_sigma_deg > 0 and params.prior_t_sigma_m > 0:
-            self.prior = euler_rotation(params.prior_rpy_deg), np.radians(params.prior_rot_sigma_deg), np.asarray(params.prior_t, float), params.prior_t_sigma_m
-
-    def parts(self, x):
-        return rotation(x[:3]), x[3:6], x[6:9] if self.solve_offset else self.offset
-
-    def errors(self, x, rows=slice(None)) -> np.ndarray:
-        """(captures, k) differences over sigma."""
-        r, t, a = self.parts(x)
-        d = self.measured[rows] - spherical((self.rb[rows] @ a + self.tb[rows] - t) @ r)
-        d[:, 1:] = wrapped(d[:, 1:])
-        return d[:, : self.k] / self.sigma
-
-    def misfits(self, x) -> np.ndarray:
-        """Root mean square of each capture's errors, in sigmas."""
-        return np.sqrt((self.errors(x) ** 2).mean(axis=1))
-
-    def residuals(self, x, rows) -> np.ndarray:
-        out = [self.errors(x, rows).ravel()]
-        if self.offset_sigma:
-            out.append((x[6:9] - self.offset) / self.offset_sigma)
-        if self.prior:
-            r0, rot_sigma, t0, t_sigma = self.prior
-            out += [rotvec(r0.T @ rotation(x[:3])) / rot_sigma, (x[3:6] - t0) / t_sigma]
-        return np.concatenate(out)
-
-    def jacobian(self, x, rows, f0) -> np.ndarray:
-        out = np.empty((len(f0), len(x)))
-        for i in range(len(x)):
-            step = np.zeros_like(x)
-            step[i] = 1e-6
-            out[:, i] = (self.residuals(x + step, rows) - self.residuals(x - step, rows)) / 2e-6
-        return out
-
-
-def _huber(f: np.ndarray, scale: float) -> tuple[float, np.ndarray]:
-    """(cost, weights): square up to the scale, linear beyond, of each residual."""
-    z = np.abs(f) / scale
-    far = z > 1
-    return 0.5 * scale**2 * float(np.sum(np.where(far, 2 * z - 1, z**2))), np.where(far, 1 / np.where(far, z, 1), 1.0)
-
-
-def _minimise(problem: Problem, x: np.ndarray, rows: np.ndarray, scale: float, most: int = 200) -> np.ndarray:
-    f = problem.residuals(x, rows)
-    cost, weight = _huber(f, scale)
-    damp = 1e-3
-    for _ in range(most):
-        j = problem.jacobian(x, rows, f)
-        a, b = j.T @ (weight[:, None] * j), j.T @ (weight * f)
-        while True:
-            step = -np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), b, rcond=None)[0]
-            f_new = problem.residuals(x + step, rows)
-            new, w_new = _huber(f_new, scale)
-            if new <= cost or damp > 1e12:
-                break
-            damp *= 10
-        if new > cost:
-            break
-        done = cost - new <= 1e-12 * (1 + cost) and np.linalg.norm(step) <= 1e-10 * (1 + np.linalg.norm(x))
-        x, f, cost, weight, damp = x + step, f_new, new, w_new, max(damp / 10, 1e-12)
-        if done:
-            break
-    return x
-
-
-#: Fixed values of the method: captures that always stay, the share below which too few pass, the share kept then.
-LEAST, ENOUGH, QUOTA = 4, 0.5, 0.6
+SOLVED = (
+    "session {kind}, status string, n_captures int, n_inliers int, n_rejected int, elevation_used boolean, converged boolean, rank int, "
+    "r array<double>, t array<double>, offset array<double>, sigma array<double>, offset_sigma array<double>, rms_sigma double, inliers array<int>"
+)
 
 
 def kept(errors: np.ndarray, limit: float) -> np.ndarray:
-    """Which captures stay: those under the limit or, where these are too few, the quota with the smallest errors (ties all)."""
-    under = errors < limit
-    if np.count_nonzero(under) >= max(LEAST, int(ENOUGH * len(errors))):
-        return under
-    quota = max(LEAST, int(QUOTA * len(errors)))
-    return errors <= (np.partition(errors, quota - 1)[quota - 1] if quota < len(errors) else np.inf)
-
-
-def _settled(problem: Problem, x: np.ndarray, params: Params, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(solution, captures it was made from, captures it leaves): refits to what the last fit left
-    until that is what it was made from, or the rounds are over."""
-    left, basis = np.full(len(problem.tb), True), None
-    while rounds and (basis is None or (left != basis).any()):
-        basis, rounds = left, rounds - 1
-        x = _minimise(problem, x, np.flatnonzero(basis), params.huber)
-        left = kept(problem.misfits(x), params.reject_sigma)
-    return x, basis, left
-
-
-def maximum_likelihood(p, rb, tb, params: Params, elevation: bool, offset=None, solve_offset: bool | None = None, priors: bool | None = None, max_iter: int | None = None) -> Solution:
-    """Robust fit from the priors or, without them, from the closed form; wild captures are left out."""
-    offset = params.offset if offset is None else offset
-    solve_offset = params.solve_offset if solve_offset is None else solve_offset
-    problem = Problem(p, rb, tb, params, elevation, solve_offset, params.use_prior if priors is None else priors, offset)
-    start = (problem.prior[0], problem.prior[2]) if problem.prior else closed_form(p, rb @ problem.offset + tb)
-    x = np.concatenate([rotvec(start[0]), start[1], problem.offset if solve_offset else []])
-    x, basis, left = _settled(problem, x, params, max(1, params.max_iter if max_iter is None else max_iter))
-    rows = np.flatnonzero(basis)
-    f = problem.residuals(x, rows)
-    j = problem.jacobian(x, rows, f) * (np.abs(f) <= params.huber)[:, None]  # the robust loss is flat in curvature beyond its scale
-    cov = np.linalg.pinv(j.T @ j)
-    offset_sigma = np.zeros(3)
-    offset_sigma[: len(x) - 6] = np.sqrt(np.maximum(cov.diagonal()[6:], 0))
-    r, t, a = problem.parts(x)
-    rms = float(np.sqrt(np.mean(problem.misfits(x)[left] ** 2)))
-    return Solution(r, t, np.asarray(a), cov[:6, :6], offset_sigma, left, rms, bool((left == basis).all()), int(np.linalg.matrix_rank(j)))
-
-
-def has_elevation(p: np.ndarray, params: Params) -> bool:
-    """Whether the points' elevations spread enough to use them. The published rule takes abs(z), so
-    targets alternating above and below look flat; ``signed_elevation`` takes z."""
-    r = np.maximum(np.linalg.norm(p, axis=1), 1e-6)
-    z = p[:, 2] if params.signed_elevation else np.abs(p[:, 2])
-    return not params.force_2d and float(np.std(z / r)) > 0.01
-
-
-def held_out_error(solution: Solution, p, rb, tb, params: Params, elevation: bool) -> float:
-    problem = Problem(p, rb, tb, params, elevation, False, False, solution.offset)
-    return float(np.sqrt((problem.errors(np.concatenate([rotvec(solution.r), solution.t])) ** 2).mean()))
-
-
-def _arrays(pdf: pd.DataFrame):
-    stack = lambda c: np.array(pdf[c].tolist(), float)
-    return stack("p"), stack("rb").reshape(-1, 3, 3), stack("tb")
+    """Which captures of one group stay, by their errors."""
+    return batched.kept(errors[None], np.ones((1, len(errors)), bool), limit)[0]
+
+
+def gathered(captures: DataFrame, *more: str) -> DataFrame:
+    """(session, captures, ...): a row for each session, its captures in order as an array."""
+    row = F.struct("capture_no", *[F.col(c).cast("array<double>").alias(c) for c in ("p", "rb", "tb")])
+    return captures.groupBy("session", *more).agg(F.sort_array(F.collect_list(row)).alias("captures"))
+
+
+def _chunks(sizes: list[int], copies=lambda n: n) -> Iterator[list[int]]:
+    """Groups, by size, whose padded captures are about ``TOGETHER``."""
+    some: list[int] = []
+    for k in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if some and (len(some) + 1) * copies(sizes[k]) > TOGETHER:
+            yield some
+            some = []
+        some.append(k)
+    if some:
+        yield some
+
+
+def padded(groups: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Captures as p (G, N, 3), rb (G, N, 3, 3), tb (G, N, 3) and there (G, N); what is padded looks ahead."""
+    most = max(map(len, groups))
+    p, rb, tb = np.ones((len(groups), most, 3)), np.tile(np.eye(3), (len(groups), most, 1, 1)), np.ones((len(groups), most, 3))
+    there = np.zeros((len(groups), most), bool)
+    for k, g in enumerate(groups):
+        n = len(g)
+        p[k, :n], tb[k, :n] = [c["p"] for c in g], [c["tb"] for c in g]
+        rb[k, :n] = np.array([c["rb"] for c in g]).reshape(-1, 3, 3)
+        there[k, :n] = True
+    return p, rb, tb, there
+
+
+def solutions_of(groups: list[list[dict]], params: Params) -> list[dict]:
+    """The columns of ``SOLVED`` but the session for each group of captures."""
+    out: list[dict] = [{"status": "insufficient", "n_captures": len(g)} for g in groups]
+    able = [k for k, g in enumerate(groups) if len(g) >= 4]
+    for chunk in _chunks([len(groups[k]) for k in able]):
+        some = [able[k] for k in chunk]
+        p, rb, tb, there = padded([groups[k] for k in some])
+        elevation = batched.has_elevation(p, there, params)
+        s = batched.maximum_likelihood(p, rb, tb, there, params, elevation)
+        sigma = np.sqrt(np.clip(np.einsum("gii->gi", s.cov), 0, None))
+        for i, k in enumerate(some):
+            inside = [c["capture_no"] for c, good in zip(groups[k], s.inliers[i], strict=False) if good]
+            out[k] |= {
+                "status": "solved", "n_inliers": len(inside), "n_rejected": len(groups[k]) - len(inside), "elevation_used": bool(elevation[i]), "converged": bool(s.converged[i]), "rank": int(s.rank[i]),
+                "r": s.r[i].ravel().tolist(), "t": s.t[i].tolist(), "offset": s.offset[i].tolist(), "sigma": sigma[i].tolist(), "offset_sigma": s.offset_sigma[i].tolist(),
+                "rms_sigma": float(s.rms_sigma[i]), "inliers": inside,
+            }
+    return out
 
 
-SOLVED = (
-    "session {kind}, status string, n_captures int, n_inliers int, n_rejected int, elevation_used boolean, converged boolean, rank int, "
-    "r array<double>, t array<double>, offset array<double>, sigma array<double>, offset_sigma array<double>, rms_sigma double, inliers array<int>"
-)
+def _arrow(schema: str):
+    struct = T.StructType.fromDDL(schema)
+    return struct, to_arrow_schema(struct)
 
 
 def solved(captures: DataFrame, params: Params) -> DataFrame:
     """One row for each session. Fewer than 4 captures: status ``insufficient`` and nulls.
 
-    A session is solved by one task, which holds its captures; the capture rule makes
-    tens of them in an hour. Sessions, folds and bootstraps are what is parallel.
+    Sessions are rows of an array that one task solves together; a session's captures are
+    tens, since the capture rule makes that many in an hour.
     """
-    kind = captures.schema["session"].dataType.simpleString()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("capture_no")
-        out = {"session": pdf.session.iloc[0], "status": "insufficient", "n_captures": len(pdf)}
-        if len(pdf) >= 4:
-            p, rb, tb = _arrays(pdf)
-            elevation = has_elevation(p, params)
-            s = maximum_likelihood(p, rb, tb, params, elevation)
-            out |= {
-                "status": "solved", "n_inliers": int(s.inliers.sum()), "n_rejected": int((~s.inliers).sum()), "elevation_used": elevation, "converged": s.converged, "rank": s.rank,
-                "r": s.r.ravel(), "t": s.t, "offset": s.offset, "sigma": np.sqrt(np.clip(np.diag(s.cov), 0, None)), "offset_sigma": s.offset_sigma, "rms_sigma": s.rms_sigma,
-                "inliers": pdf.capture_no.to_numpy()[s.inliers],
-            }
-        names = [x.strip().split(" ")[0] for x in SOLVED.split(",")]
-        return pd.DataFrame([{n: out.get(n) for n in names}])
+    struct, arrow = _arrow(SOLVED.format(kind=captures.schema["session"].dataType.simpleString()))
 
-    return captures.select("session", "capture_no", "p", "rb", "tb").groupBy("session").applyInPandas(solve, SOLVED.format(kind=kind))
+    def run(batches):
+        for b in batches:
+            found = solutions_of(b.column("captures").to_pylist(), params)
+            columns = [b.column("session") if n == "session" else [x.get(n) for x in found] for n in arrow.names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return gathered(captures).mapInArrow(run, struct)
 
 
 def leave_one_out(captures: DataFrame, solutions: DataFrame, params: Params) -> DataFrame:
     """(session, fold, sigma_error) of each inlier capture, left out of a refit on the others.
 
-    Folds are groups of their own, so they run in parallel; the offset is the solved
-    one, without priors. Sessions with fewer than 5 inliers have no folds.
+    The offset is the solved one, without priors. Sessions with fewer than 5 inliers have
+    no folds. All folds of many sessions are solved together.
     """
-    kind = captures.schema["session"].dataType.simpleString()
-    kept = captures.join(solutions.where("n_inliers >= 5").select("session", "inliers", "offset", "elevation_used"), "session").where(F.array_contains("inliers", F.col("capture_no")))
-    kept = kept.withColumn("fold", F.explode("inliers")).drop("inliers")
-
-    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, offset, elevation = pdf.fold.iloc[0], np.array(pdf.offset.iloc[0], float), bool(pdf.elevation_used.iloc[0])
-        pdf = pdf.sort_values("capture_no")
-        out = (pdf.capture_no == fold).to_numpy()
-        p, rb, tb = _arrays(pdf)
-        plain = Params().with_values(sigma_range_m=params.sigma_range_m, sigma_az_deg=params.sigma_az_deg, sigma_el_deg=params.sigma_el_deg)
-        s = maximum_likelihood(p[~out], rb[~out], tb[~out], plain, elevation, offset, solve_offset=False, priors=False, max_iter=3)
-        return pd.DataFrame({"session": [pdf.session.iloc[0]], "fold": [fold], "sigma_error": [held_out_error(s, p[out], rb[out], tb[out], plain, elevation)]})
-
-    return kept.groupBy("session", "fold").applyInPandas(refit, f"session {kind}, fold int, sigma_error double")
+    known = solutions.where("n_inliers >= 5").select("session", "inliers", "offset", "elevation_used")
+    rows = captures.join(known, "session").where(F.array_contains("inliers", F.col("capture_no")))
+    struct, arrow = _arrow(f"session {captures.schema['session'].dataType.simpleString()}, fold int, sigma_error double")
+    plain = Params().with_values(sigma_range_m=params.sigma_range_m, sigma_az_deg=params.sigma_az_deg, sigma_el_deg=params.sigma_el_deg)
+
+    def folds(groups, offsets, elevations):
+        p, rb, tb, there = padded(groups)
+        which, out = np.nonzero(there)
+        p, rb, tb, there, elevation = p[which], rb[which], tb[which], there[which], np.array(elevations)[which]
+        alone = np.zeros_like(there)
+        alone[np.arange(len(out)), out] = True
+        s = batched.maximum_likelihood(p, rb, tb, there & ~alone, plain, elevation, np.array(offsets, float)[which], solve_offset=False, priors=False, max_iter=3)
+        errors = batched.held_out_errors(s, p, rb, tb, there, plain, elevation)[np.arange(len(out)), out]
+        return [(k, groups[k][i]["capture_no"], e) for k, i, e in zip(which.tolist(), out.tolist(), errors.tolist(), strict=True)]
+
+    def run(batches):
+        for b in batches:
+            sessions, groups, offsets, elevations = (b.column(c).to_pylist() for c in ("session", "captures", "offset", "elevation_used"))
+            for some in _chunks([len(g) for g in groups], lambda n: n * n):
+                found = folds([groups[k] for k in some], [offsets[k] for k in some], [elevations[k] for k in some])
+                columns = [[sessions[some[k]] for k, _, _ in found], [i for _, i, _ in found], [e for _, _, e in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return gathered(rows, "offset", "elevation_used").mapInArrow(run, struct)
 
 
 def fold_exclusion(rows: DataFrame) -> DataFrame:

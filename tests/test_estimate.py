@@ -3,7 +3,10 @@
 import math
 
 import numpy as np
+import pytest
+import second_solver
 
+from plumbline.operators import batched
 from plumbline.operators import estimate as e
 from plumbline.schemas import Params
 from plumbline.sources.scenes import capture_scene, truth
@@ -81,7 +84,8 @@ def by_closed_form(captures, params):
     row = namedtuple("row", "r t offset")
     out = []
     for _, some in captures.toPandas().groupby("session"):
-        p, rb, tb = e._arrays(some)
+        p, rb, tb = (np.array(some[c].tolist()) for c in ("p", "rb", "tb"))
+        rb = rb.reshape(-1, 3, 3)
         r, t = e.closed_form(p, rb @ np.array(params.offset) + tb)
         out.append(row(r.ravel(), t, params.offset))
     return out
@@ -108,8 +112,42 @@ def test_published_accuracy(spark):
 def test_observability_names_and_parameters_in_order():
     p = Params().with_values(min_snr=60.0).with_values(min_snr=150)
     assert p.min_snr == 150 and Params().min_snr == 100.0
-    import pytest
-
     for bad in ({"no_such": 1}, {"min_snr": "y"}, {"solve_offset": 1}):
         with pytest.raises((ValueError, TypeError)):
             Params().with_values(**bad)
+
+
+@pytest.mark.parametrize("params", [Params(), Params().with_values(use_prior=False), Params().with_values(use_prior=False, solve_offset=False), Params().with_values(use_prior=False, force_2d=True)])
+def test_batched_fits_are_those_of_the_second_solver(spark, params):
+    """Sessions of 4 to 20 captures with noise, wild captures and a wrong offset, solved together, against one at a time with numeric derivatives."""
+    groups = []
+    for n, scene in ((4, {}), (5, {"noise": 0.5}), (12, {"outliers": 0.2}), (20, {"outliers": 0.15, "offset_error": 0.02})):
+        for _, some in capture_scene(sessions(spark, 4), n=n, **scene).toPandas().sort_values("capture_no").groupby("session"):
+            groups.append(some[["capture_no", "p", "rb", "tb"]].to_dict("records"))
+    got = e.solutions_of(groups, params)
+    same = 0
+    for g, found in zip(groups, got, strict=True):
+        p, rb, tb = (np.array([c[k] for c in g]) for k in ("p", "rb", "tb"))
+        want = second_solver.maximum_likelihood(p, rb.reshape(-1, 3, 3), tb, params, found["elevation_used"])
+        if second_solver.cost(p, rb.reshape(-1, 3, 3), tb, params, found, want) > 1e-9:
+            continue  # another minimum of a fit that four captures leave open
+        same += 1
+        close = lambda a, b, by: np.allclose(a, b, atol=by, rtol=by)
+        assert close(found["r"], want.r.ravel(), 1e-7) and close(found["t"], want.t, 1e-7) and close(found["offset"], want.offset, 1e-7)
+        assert found["inliers"] == [c["capture_no"] for c, good in zip(g, want.inliers) if good] and found["rank"] == want.rank and found["converged"] == want.converged
+        assert close(found["sigma"], np.sqrt(np.diag(want.cov)), 1e-5) and close(found["offset_sigma"], want.offset_sigma, 1e-5) and abs(found["rms_sigma"] - want.rms_sigma) < 1e-7
+    assert same >= 0.9 * len(groups)
+
+
+def test_slopes_are_derivatives():
+    rng = np.random.default_rng(3)
+    p, rb, tb = rng.normal(size=(5, 6, 3)) + [2, 0, 0], batched.rotations(rng.normal(size=(5, 6, 3))), rng.normal(size=(5, 6, 3))
+    there = rng.random((5, 6)) < 0.8
+    groups = batched.Groups(p, rb, tb, there, Params(), np.array([True, False, True, True, False]), True, True, np.tile([0.1, 0.2, 0.0], (5, 1)))
+    x = rng.normal(size=(5, 9)) * 0.5
+    x[0, :3] = 0
+    j = groups.slopes(x, there)
+    for i in range(9):
+        step = np.zeros(9)
+        step[i] = 1e-6
+        assert np.allclose(j[:, :, i], (groups.residuals(x + step, there) - groups.residuals(x - step, there)) / 2e-6, atol=1e-5)
