@@ -57,7 +57,8 @@ class Captures:
     The command ``capture`` is remembered until it is served: not in continuous mode,
     else by the next pair that isn't still, with at least half a window (and 3 pairs),
     however near. ``reset`` forgets captures and window, and starts another segment;
-    a remembered command stays. A capture empties the window.
+    a remembered command stays. A capture empties the window. Numbers beyond a pair's six
+    are averaged with it.
     """
 
     mode: str
@@ -91,7 +92,7 @@ class Captures:
         far = lambda p: state["last"] is None or _apart(p, state["last"]) >= self.min_baseline
         if self.mode == "continuous":
             return far(cam)
-        still = len(seen) >= self.window and _spread([p[:3] for p in seen]) < self.std_cam and _spread([p[3:] for p in seen]) < self.std_sensor
+        still = len(seen) >= self.window and _spread([p[:3] for p in seen]) < self.std_cam and _spread([p[3:6] for p in seen]) < self.std_sensor
         if self.mode == "auto" and still:
             return far(_mean(seen)[:3])
         if state["asked"] and len(seen) >= max(3, self.window // 2):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,3 +86,33 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (v / 100).alias("cx"), ((k % 7) / 20).alias("cy"), ((k % 11) / 25).alias("cz"),
         (v / 90).alias("px"), ((k % 5) / 15).alias("py"), ((k % 13) / 30).alias("pz"),
     )
+
+
+#: A rig: frames that show one pose, and captures' offset, extrinsic and clutter of the rig's frames.
+POSE_FRAMES, CLUTTER_M = 4, 0.5
+
+
+def rig_frames(spark: SparkSession, sf_dir: str, r: list[float], t: list[float], offset: tuple[float, ...]) -> DataFrame:
+    """events as frames of a rig that rests at a pose for some frames, by session: (session, stamp_us, id, m, qx, qy, qz,
+    rb, tb): the target's point as the sensor sees it without noise, and its pose in the camera under the extrinsic (r, t)."""
+    order = Window.partitionBy("session").orderBy("stamp_us", "id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), micros(F.col("ts")).alias("stamp_us"), F.col("event_id").alias("id"), "event_type", "value")
+    rows = rows.withColumn("m", F.floor((F.row_number().over(order) - 1) / POSE_FRAMES))
+    m, k = F.col("m"), F.col("session")
+    far, az, el = 0.7 + (m * 7 + k) % 17 / 10, F.radians((m * 11 + k * 3) % 91 - 45), F.radians((m * 5 + k) % 29 - 14)
+    a, b = F.radians((m * 13 + k) % 61 - 30), F.radians((m * 17) % 51 - 25)
+    rows = rows.withColumns({"qx": far * F.cos(el) * F.cos(az), "qy": far * F.cos(el) * F.sin(az), "qz": far * F.sin(el), "ca": F.cos(a), "sa": F.sin(a), "cb": F.cos(b), "sb": F.sin(b)})
+    ca, sa, cb, sb, q = *(F.col(n) for n in ("ca", "sa", "cb", "sb")), [F.col(n) for n in ("qx", "qy", "qz")]
+    rb = [ca, -sa * cb, sa * sb, sa, ca * cb, -ca * sb, F.lit(0.0), sb, cb]
+    tb = [sum((r[3 * i + j] * q[j] for j in range(3)), F.lit(t[i])) - sum((rb[3 * i + j] * offset[j] for j in range(1, 3)), rb[3 * i] * offset[0]) for i in range(3)]
+    return rows.withColumns({"rb": F.array(*rb), "tb": F.array(*tb)}).drop("ca", "sa", "cb", "sb")
+
+
+def rig_clouds(frames: DataFrame) -> DataFrame:
+    """The frames with clouds: the target's return, and in every fifth a stronger one half a metre behind; every 13th lacks the target's."""
+    k, q = F.col("id"), [F.col(n) for n in ("qx", "qy", "qz")]
+    more = 1 + CLUTTER_M / F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2])
+    there, clutter = k % 13 != 0, k % 5 == 0
+    both = lambda own, other: F.concat(*[F.when(c, F.array(v)).otherwise(F.array().cast("array<double>")) for c, v in ((there, own), (clutter, other))])
+    cloud = {f"{n}s": both(x, x * more) for n, x in zip("xyz", q, strict=True)}
+    return frames.withColumns(cloud | {"snrs": both((120 + k % 50).cast("double"), F.lit(500.0)), "dopplers": both(F.lit(0.0), F.lit(0.0))})

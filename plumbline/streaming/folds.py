@@ -22,7 +22,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 class Rule(Protocol):
-    """``columns``: what a row has beside session, stamp_us and id, in this order. ``schema``: what comes out."""
+    """``columns``: what a row has beside session, stamp_us and id, in this order. ``schema``: what comes out.
+
+    A rule may have ``rank``, the name of a column of whole numbers by which rows of one stamp are
+    ordered before their ids, and ``wake`` and ``woken`` (see ``settled``).
+    """
 
     columns: tuple[str, ...]
     schema: str
@@ -32,8 +36,26 @@ class Rule(Protocol):
     def step(self, state, session: int, stamp: int, key: int, *values) -> list[tuple]: ...
 
 
+def rank_of(rule: Rule, values: list) -> int:
+    rank = getattr(rule, "rank", None)
+    return 0 if rank is None else values[rule.columns.index(rank)]
+
+
+def woken(rule: Rule, state, session: int, before_us: int) -> list[tuple]:
+    """What a rule puts out when it is woken before a stamp, as often as it asks to."""
+    out: list[tuple] = []
+    while hasattr(rule, "wake") and (at := rule.wake(state)) is not None and at < before_us:
+        out += rule.woken(state, session, at)
+    return out
+
+
+def fed(rule: Rule, state, session: int, stamp: int, key: int, values: list) -> list[tuple]:
+    """A row's output, after that of being woken before it."""
+    return woken(rule, state, session, stamp) + rule.step(state, session, stamp, key, *values)
+
+
 def folded(rows: DataFrame, rule: Rule) -> DataFrame:
-    """A table's rows through a rule, each session by itself in order of (stamp_us, id)."""
+    """A table's rows through a rule, each session by itself in order of (stamp_us, rank, id)."""
     struct = T.StructType.fromDDL(rule.schema)
     arrow = to_arrow_schema(struct)
     names = ("session", "stamp_us", "id", *rule.columns)
@@ -45,11 +67,13 @@ def folded(rows: DataFrame, rule: Rule) -> DataFrame:
             for session, *row in zip(*(b.column(n).to_pylist() for n in names), strict=True):
                 if state is None or session != now:
                     now, state = session, rule.start()
-                out += rule.step(state, session, *row)
+                stamp, key, *values = row
+                out += fed(rule, state, session, stamp, key, values)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    ordered = rows.select(*names).repartition("session").sortWithinPartitions("session", "stamp_us", "id")
+    rank = [rule.rank] if getattr(rule, "rank", None) else []
+    ordered = rows.select(*names).repartition("session").sortWithinPartitions("session", "stamp_us", *rank, "id")
     return ordered.mapInArrow(run, struct)
 
 
