@@ -121,6 +121,28 @@ def projected(p: Vec, k: Mat, d: Vec) -> tuple[Column, Column]:
     return F.rint(k[0] * xd + k[2]).try_cast("long"), F.rint(k[4] * yd + k[5]).try_cast("long")
 
 
+def quaternion_product(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
+    """The turn b, then a; x, y, z, w."""
+    ax, ay, az, aw = a
+    bx, by, bz, bw = b
+    return [aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz]
+
+
+def conjugate(q: Sequence[Column]) -> list[Column]:
+    """The turn back."""
+    return [-q[0], -q[1], -q[2], q[3]]
+
+
+def cross(a: Vec, b: Vec) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def turned_by(q: Sequence[Column], p: Vec) -> list[Column]:
+    """A point turned by a unit quaternion: p + 2 w (v x p) + 2 v x (v x p)."""
+    side = cross(q[:3], p)
+    return [x + 2 * (q[3] * s + u) for x, s, u in zip(p, side, cross(q[:3], side), strict=True)]
+
+
 def matrix_of_quaternion(q: Sequence[Column]) -> list[Column]:
     """Of a unit quaternion x, y, z, w."""
     x, y, z, w = q

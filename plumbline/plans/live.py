@@ -187,7 +187,7 @@ _LOOP = f"""WITH RECURSIVE e AS (
         SELECT user_id AS session, epoch_us(ts) AS stamp_us, event_id AS id, row_number() OVER w AS i, (row_number() OVER w - 1) // {s.POSE_FRAMES} AS m,
                CASE WHEN event_id % {RESETS} = 0 THEN 'reset' WHEN event_id % {SOLVES} = 0 THEN 'solve' END AS cmd, event_id % 13 <> 0 AS there, event_id % 5 = 0 AS clutter
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    a AS (SELECT *, 0.7 + (m * 7 + session) % 17 / 10 AS r, radians((m * 11 + session * 3) % 91 - 45) AS az, radians((m * 5 + session) % 29 - 14) AS el FROM e),
+    a AS (SELECT *, 0.7037::DOUBLE + (m * 7 + session) % 17 / 10 AS r, radians((m * 11 + session * 3) % 91 - 45) AS az, radians((m * 5 + session) % 29 - 14) AS el FROM e),
     q AS (SELECT *, r * cos(el) * cos(az) AS qx, r * cos(el) * sin(az) AS qy, r * sin(el) AS qz FROM a),
     y AS (SELECT *, qx * (1 + {s.CLUTTER_M} / r) AS fx, qy * (1 + {s.CLUTTER_M} / r) AS fy, qz * (1 + {s.CLUTTER_M} / r) AS fz, {', '.join(f'{x} AS c{n}' for x, n in zip(_SEEN, 'xyz', strict=True))} FROM q),
     z AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS cam, {', '.join(f'{x} AS b{n}' for x, n in zip(_BACK, ('x', 'y_', 'z'), strict=True))} FROM y),

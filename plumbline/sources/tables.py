@@ -99,7 +99,7 @@ def rig_frames(spark: SparkSession, sf_dir: str, r: list[float], t: list[float],
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), micros(F.col("ts")).alias("stamp_us"), F.col("event_id").alias("id"), "event_type", "value")
     rows = rows.withColumn("m", F.floor((F.row_number().over(order) - 1) / POSE_FRAMES))
     m, k = F.col("m"), F.col("session")
-    far, az, el = 0.7 + (m * 7 + k) % 17 / 10, F.radians((m * 11 + k * 3) % 91 - 45), F.radians((m * 5 + k) % 29 - 14)
+    far, az, el = 0.7037 + (m * 7 + k) % 17 / 10, F.radians((m * 11 + k * 3) % 91 - 45), F.radians((m * 5 + k) % 29 - 14)
     a, b = F.radians((m * 13 + k) % 61 - 30), F.radians((m * 17) % 51 - 25)
     rows = rows.withColumns({"qx": far * F.cos(el) * F.cos(az), "qy": far * F.cos(el) * F.sin(az), "qz": far * F.sin(el), "ca": F.cos(a), "sa": F.sin(a), "cb": F.cos(b), "sb": F.sin(b)})
     ca, sa, cb, sb, q = *(F.col(n) for n in ("ca", "sa", "cb", "sb")), [F.col(n) for n in ("qx", "qy", "qz")]
