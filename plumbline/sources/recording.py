@@ -99,7 +99,9 @@ class _Reader:
                         return False
         return True
 
-    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Group | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for where there is no partition
+            return
         fs, _ = _opened(self.path)
         arrow = to_arrow_schema(self.schema)
         fields = [f.name for f in self.schema if f.name not in OWN]
