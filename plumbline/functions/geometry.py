@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = Sequence[Column]
@@ -27,6 +27,12 @@ def _items(array: Column, n: int) -> list[Column]:
     return [F.get(array, F.lit(i)) for i in range(n)]
 
 
+def computed(rows: DataFrame, keep: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with the kept and the new columns, which come from a generator: filters and later
+    expressions refer to them by name, where a projection's would be written out in them again."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def vec(*names: str) -> list[Column]:
     return [F.col(n) for n in names]
 
@@ -109,6 +115,22 @@ def inverted(m: Mat, t: Vec) -> tuple[list[Column], list[Column]]:
     return back, [-c for c in turned(back, t)]
 
 
+def with_pixels(rows: DataFrame, p: Vec, k: Mat, d: Vec) -> DataFrame:
+    """``rows`` ahead of the camera (p[2] > 0) with whole pixels u and v as ``projected`` gives them.
+
+    In steps of named columns, which stay apart as each is used several times; the pixels come
+    from a generator, below which no filter on them is pushed, so nothing is computed twice.
+    """
+    rows = rows.withColumns({"x_": p[0] / p[2], "y_": p[1] / p[2]})
+    x, y, r2 = F.col("x_"), F.col("y_"), F.col("r2_")
+    rows = rows.withColumn("r2_", x * x + y * y)
+    rows = rows.withColumn("radial_", 1 + d[0] * r2 + d[1] * r2 * r2 + d[4] * r2 * r2 * r2)
+    xd = x * F.col("radial_") + 2 * d[2] * x * y + d[3] * (r2 + 2 * x * x)
+    yd = y * F.col("radial_") + d[2] * (r2 + 2 * y * y) + 2 * d[3] * x * y
+    pixel = {"u": F.rint(k[0] * xd + k[2]).try_cast("long"), "v": F.rint(k[4] * yd + k[5]).try_cast("long")}
+    return computed(rows, ["*"], pixel).drop("x_", "y_", "r2_", "radial_")
+
+
 def projected(p: Vec, k: Mat, d: Vec) -> tuple[Column, Column]:
     """Whole pixels (half to even) of a pinhole camera with k1 k2 p1 p2 k3 distortion; null behind it or beyond all numbers."""
     ahead = p[2] > 0

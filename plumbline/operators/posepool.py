@@ -53,19 +53,25 @@ def running_means(rows: DataFrame, cap: int) -> DataFrame:
     return normalised(sums.withColumns(last).select("session", "seq", pooled.cast("long").alias("pooled"), *last))
 
 
-def convergence(rows: DataFrame, p: Params) -> DataFrame:
-    """Running means with t_std (m) and rot_std (degrees) over the last means, null while those
-    are too few; stable; the count of stable rows in a run; locked from the first full run on."""
-    means = running_means(rows, p.pool_cap)
-    v = g.rotvec_of_matrix(g.matrix_of_quaternion([F.col(f"m{c}") for c in Q]))
-    means = means.withColumns({f"v{i}": v[i] for i in range(3)})
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(1 - p.conv_window, 0)
-    spread = lambda cs: F.sqrt(sum((F.var_pop(c).over(w) for c in cs[1:]), F.var_pop(cs[0]).over(w)))
-    full = F.count("*").over(w) >= p.conv_window
-    out = means.withColumns({"t_std": F.when(full, spread([f"m{c}" for c in T])), "rot_std": F.when(full, F.degrees(spread(["v0", "v1", "v2"])))})
+def with_spreads(means: DataFrame, p: Params, over: Window, full: Column) -> DataFrame:
+    """Running means with t_std (m) and rot_std (degrees) of the last means, null while those are too few, and ``stable``."""
+    sine = F.sqrt(F.col("mqx") ** 2 + F.col("mqy") ** 2 + F.col("mqz") ** 2)
+    turn = F.when(F.col("sine") < 1e-12, 2.0).otherwise(2 * F.atan2("sine", "mqw") / F.when(F.col("sine") < 1e-12, 1.0).otherwise(F.col("sine")))
+    means = means.withColumn("sine", sine).withColumn("turn", turn).withColumns({f"v{c}": F.col(f"m{c}") * F.col("turn") for c in Q[:3]})
+    spread = lambda cs: F.sqrt(sum((F.var_pop(c).over(over) for c in cs[1:]), F.var_pop(cs[0]).over(over)))
+    out = means.withColumns({"t_std": F.when(full, spread([f"m{c}" for c in T])), "rot_std": F.when(full, F.degrees(spread([f"v{c}" for c in Q[:3]])))})
     stable = (F.col("t_std") < p.conv_t_std) & (F.col("rot_std") < p.conv_rot_std_deg) & (F.col("pooled") > p.conv_pool)
-    out = out.withColumn("stable", F.coalesce(stable, F.lit(False))).drop("v0", "v1", "v2")
-    return latched(out, p.conv_hold)
+    return out.withColumn("stable", F.coalesce(stable, F.lit(False))).drop("sine", "turn", *[f"v{c}" for c in Q[:3]])
+
+
+def _converging(rows: DataFrame, p: Params) -> DataFrame:
+    w = Window.partitionBy("session").orderBy("seq").rowsBetween(1 - p.conv_window, 0)
+    return with_spreads(running_means(rows, p.pool_cap), p, w, F.count("*").over(w) >= p.conv_window)
+
+
+def convergence(rows: DataFrame, p: Params) -> DataFrame:
+    """Running means with their spreads; stable; the count of stable rows in a run; locked from the first full run on."""
+    return latched(_converging(rows, p), p.conv_hold)
 
 
 def run_lengths(rows: DataFrame, flag: str = "stable") -> DataFrame:
@@ -89,11 +95,10 @@ def composed_pairs(a: DataFrame, b: DataFrame, most_px: float) -> DataFrame:
     names = [*Q, *T]
     both = a.where(F.col("reproj") <= most_px).select("session", "seq", *[F.col(n).alias(f"a{n}") for n in names])
     both = both.join(b.where(F.col("reproj") <= most_px).select("session", "seq", *[F.col(n).alias(f"b{n}") for n in names]), ["session", "seq"])
-    turn = lambda p: g.matrix_of_quaternion([F.col(f"{p}{n}") for n in Q])
-    shift = lambda p: [F.col(f"{p}{n}") for n in T]
-    m, t = g.composed(turn("a"), shift("a"), *g.inverted(turn("b"), shift("b")))
-    q = g.quaternion_of_matrix(m)
-    return both.select("session", "seq", *[x.alias(n) for x, n in zip((*q, *t), names, strict=True)])
+    of = lambda p, ns: [F.col(f"{p}{n}") for n in ns]
+    turned = g.computed(both, ["*"], dict(zip(Q, g.quaternion_product(of("a", Q), g.conjugate(of("b", Q))), strict=True)))
+    back = g.turned_by([F.col(n) for n in Q], of("b", T))
+    return g.computed(turned, ["session", "seq", *Q], {n: F.col(f"a{n}") - x for n, x in zip(T, back, strict=True)})
 
 
 def calibrated_pairs(a: DataFrame, b: DataFrame, p: Params) -> DataFrame:
@@ -102,18 +107,21 @@ def calibrated_pairs(a: DataFrame, b: DataFrame, p: Params) -> DataFrame:
     (session, seq, pooled, stage, mean pose) of each accepted row up to the lock, its
     row included: ``live`` before it, ``locked`` at it.
     """
-    out = convergence(composed_pairs(a, b, p.max_reproj_px), p)
-    out = out.where(F.col("locked_at").isNull() | (F.col("seq") <= F.col("locked_at")))
-    stage = F.when(F.col("seq") == F.col("locked_at"), "locked").otherwise("live")
+    rows = run_lengths(_converging(composed_pairs(a, b, p.max_reproj_px), p)).withColumn("locks", F.col("run") >= p.conv_hold)
+    before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("over", F.coalesce(F.max("locks").over(before), F.lit(False))).where("not over")
+    stage = F.when(F.col("locks"), "locked").otherwise("live")
     return out.select("session", "seq", "pooled", stage.alias("stage"), *[F.col(f"m{n}").alias(n) for n in (*Q, *T)])
 
 
 def in_world(poses: DataFrame) -> DataFrame:
     """``poses`` with the pose in the world (wtx.., wqx..) in place of the world's pose of A, null where that is unknown."""
-    m, t = g.composed(g.matrix_of_quaternion([F.col(f"w{c}") for c in Q]), [F.col(f"w{c}") for c in T], g.matrix_of_quaternion([F.col(c) for c in Q]), [F.col(c) for c in T])
-    q = g.quaternion_of_matrix(m)
+    turn = [F.col(f"w{c}") for c in Q]
+    t = [x + F.col(f"w{c}") for x, c in zip(g.turned_by(turn, [F.col(c) for c in T]), T, strict=True)]
+    q = g.quaternion_product(turn, [F.col(c) for c in Q])
     known = F.col("wtx").isNotNull()
-    return poses.withColumns({f"w{n}": F.when(known, c) for n, c in zip((*T, *Q), (*t, *q), strict=True)})
+    rows = poses.withColumns({f"w{n}": F.when(known, c) for n, c in zip((*T, *Q), (*t, *q), strict=True)})
+    return rows.withColumns({f"w{n}": F.when(F.col("wqw") < 0, -F.col(f"w{n}")).otherwise(F.col(f"w{n}")) for n in Q})
 
 
 def placement(poses: DataFrame, mode: str) -> DataFrame:

@@ -106,7 +106,6 @@ def written_documents(documents: DataFrame, path: str) -> None:
 def overlay(points: DataFrame, r: g.Mat, t: g.Vec, k: g.Mat, d: g.Vec, width: int, height: int) -> DataFrame:
     """Pixels of the points that fall inside the image, with their depth."""
     cam = g.rigid(r, t, g.vec("x", "y", "z"))
-    rows = points.withColumns(dict(zip(("cx", "cy", "depth"), cam, strict=True)))
-    rows = rows.withColumn("uv", g.bound(g.vec("cx", "cy", "depth"), lambda p: list(g.projected(p, k, d))))
-    rows = rows.withColumns({"u": F.get("uv", F.lit(0)), "v": F.get("uv", F.lit(1))})
-    return rows.where(F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1)).drop("cx", "cy", "uv")
+    rows = points.withColumns(dict(zip(("cx", "cy", "depth"), cam, strict=True))).where("depth > 0")
+    rows = g.with_pixels(rows, g.vec("cx", "cy", "depth"), k, d)
+    return rows.where(F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1)).drop("cx", "cy")
