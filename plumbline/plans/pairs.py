@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.operators import long
 from plumbline.operators import posepool as o
 from plumbline.plans import common as c
 from plumbline.schemas import Params
@@ -65,6 +66,30 @@ def value_latch(spark, d):
     return o.latched(rows, 6).select("session", "seq", "run", "locked_at", "locked")
 
 
+#: Rows of a span in the queries over one long session, a few of which must hold the pool.
+SPAN = 1500
+
+
+def _one_session(spark, d):
+    return _poses(spark, d).withColumn("session", F.lit(0).cast("long"))
+
+
+def long_pool_mean(spark, d):
+    """The running mean of all poses as one session, spread over spans."""
+    return c.rounded_all(long.running_means(_one_session(spark, d), PARAMS.pool_cap, SPAN).select("session", "seq", "pooled", *_MEAN), [])
+
+
+def long_latch(spark, d):
+    """Convergence and its lock of all poses as one session."""
+    return long.convergence(_one_session(spark, d), PARAMS, SPAN).select("session", "seq", F.col("run").cast("long").alias("run"), "locked_at", "locked")
+
+
+def long_runs(spark, d):
+    """Runs of low values of all events as one session, and the first long enough."""
+    rows = s.table(spark, d, "events").select(F.lit(0).cast("long").alias("session"), F.col("event_id").alias("seq"), (F.col("value") < 60).alias("stable"))
+    return long.latched(long.numbered(rows, "seq"), 6, 700).select("session", "seq", "run", "locked_at", "locked")
+
+
 #: The pose of the target in camera A.
 A_Q = (0.2, -0.4, -0.4, 0.8)
 
@@ -131,7 +156,7 @@ def pair_compose(spark, d):
     return c.rounded_all(_poses(spark, d).select("seq", m[0].alias("m00"), m[5].alias("m12"), *[x.alias(n) for x, n in zip(v, o.T, strict=True)]), [])
 
 
-QUERIES = {f.__name__: f for f in (pose_message_decode, se3_mean, pool_running_mean, convergence_gate, convergence_latch, value_latch, pair_calibration, pair_solution_document, locked_placement, placement, pose_in_world, pair_compose)}
+QUERIES = {f.__name__: f for f in (pose_message_decode, se3_mean, pool_running_mean, convergence_gate, convergence_latch, value_latch, long_pool_mean, long_latch, long_runs, pair_calibration, pair_solution_document, locked_placement, placement, pose_in_world, pair_compose)}
 
 _POSES = f"""raw AS (SELECT o_orderkey // 2000 AS session, o_orderkey AS seq, (o_custkey % 7 - 3) / 40 AS a, (o_custkey % 5 - 2) / 40 AS b, (o_custkey % 3 - 1) / 40 AS e,
         CASE WHEN o_orderkey % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, (1 + (o_custkey % 11) / 97) * {c.UNIT!r}::DOUBLE AS tx, ((o_custkey % 13) / 101 - 0.05::DOUBLE) * {c.UNIT!r}::DOUBLE AS ty, (0.3::DOUBLE + (o_custkey % 17) / 193) * {c.UNIT!r}::DOUBLE AS tz FROM orders),
@@ -194,6 +219,12 @@ ORACLES = {
     "locked_placement": f"""WITH {_POSES}, {_PAIRED}, w AS (SELECT * FROM upto WHERE stage = 'locked')
         SELECT 'none' AS mode, 'a' || session AS parent, 'b' || seq AS child, {_T(o.T)} FROM w
         UNION ALL SELECT 'fixed', 'world', 'b' || seq, {_T(_WORLD_T)} FROM w WHERE session <> 3""",
+    "long_pool_mean": f"WITH {_POSES}, one AS (SELECT * REPLACE (0::BIGINT AS session) FROM poses), {_means('one')} SELECT session, seq, pooled, {_ROUNDED} FROM m",
+    "long_latch": f"WITH {_POSES}, one AS (SELECT * REPLACE (0::BIGINT AS session) FROM poses), {_converged('one')} SELECT session, seq, run, locked_at, coalesce(seq >= locked_at, false) AS locked FROM conv",
+    "long_runs": """WITH e AS (SELECT 0::BIGINT AS session, event_id AS seq, value < 60 AS stable FROM events),
+        b AS (SELECT *, sum(CASE WHEN stable THEN 0 ELSE 1 END) OVER (ORDER BY seq) AS g FROM e),
+        n AS (SELECT *, sum(CASE WHEN stable THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY seq)::BIGINT AS run FROM b)
+        SELECT session, seq, run, (SELECT min(seq) FROM n WHERE run >= 6) AS locked_at, coalesce(seq >= (SELECT min(seq) FROM n WHERE run >= 6), false) AS locked FROM n""",
     "value_latch": """WITH e AS (SELECT user_id AS session, event_id AS seq, value < 60 AS stable FROM events),
         b AS (SELECT *, sum(CASE WHEN stable THEN 0 ELSE 1 END) OVER (PARTITION BY session ORDER BY seq) AS g FROM e),
         n AS (SELECT *, sum(CASE WHEN stable THEN 1 ELSE 0 END) OVER (PARTITION BY session, g ORDER BY seq)::BIGINT AS run FROM b),

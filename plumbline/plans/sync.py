@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from plumbline.operators import capture as cap
+from plumbline.operators import long
 from plumbline.operators import sync as o
 from plumbline.operators.gating import background_ready
 from plumbline.plans import common as c
@@ -61,6 +62,12 @@ def rolling_stability(spark, d):
     return c.rounded_all(cap.rolling_stability(s.tracks(spark, d), WINDOW).select("session", "id", "n", "std_cam", "std_sensor"), [])
 
 
+def long_stability(spark, d):
+    """The spreads of all pairs as one session, cut into spans with halos."""
+    rows = long.rolling_stability(s.tracks(spark, d).withColumn("session", F.lit(0).cast("long")), WINDOW, 700)
+    return c.rounded_all(rows.select("session", "id", F.col("n").cast("long").alias("n"), "std_cam", "std_sensor"), [])
+
+
 def stable_rows(spark, d):
     return c.rounded_all(cap.stable(s.tracks(spark, d), WINDOW, STD_CAM, STD_SENSOR).select("session", "id", "std_cam"), [])
 
@@ -141,7 +148,7 @@ def latest_tf(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (sync_interval, sync_nearest, sync_pose, extrinsic_asof, watchdog_gaps, rolling_stability, stable_rows, capture_sweep, capture_still, capture_commands, movement_gate, capture_counts, image_scan, raw_tap, command_union, frame_preconditions, intrinsics_lock, latest_tf)
+    for f in (sync_interval, sync_nearest, sync_pose, extrinsic_asof, watchdog_gaps, rolling_stability, long_stability, stable_rows, capture_sweep, capture_still, capture_commands, movement_gate, capture_counts, image_scan, raw_tap, command_union, frame_preconditions, intrinsics_lock, latest_tf)
 }
 
 
@@ -208,6 +215,9 @@ ORACLES = {
     "extrinsic_asof": f"WITH {c.stream('a', 'view')}, {c.stream('b', 'purchase')} SELECT a.id, a.stamp_us, b.id AS solve_id, b.value FROM a ASOF LEFT JOIN b ON a.stamp_us >= b.stamp_us",
     "watchdog_gaps": f"WITH {c.stream('a', 'click')}, g AS (SELECT stamp_us, lead(stamp_us) OVER (ORDER BY stamp_us) - stamp_us AS silent_us FROM a) SELECT * FROM g WHERE silent_us > 2000000000",
     "rolling_stability": f"WITH {_STABILITY} SELECT session, id, n, {c.r('std_cam')} AS std_cam, {c.r('std_sensor')} AS std_sensor FROM s",
+    "long_stability": f"""WITH {c.TRACKS}, s AS (SELECT 0::BIGINT AS session, id, count(*) OVER w AS n, {_SPREAD.format('c')} AS std_cam, {_SPREAD.format('p')} AS std_sensor
+            FROM tracks WINDOW w AS (ORDER BY stamp_us, id ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW))
+        SELECT session, id, n, {c.r('std_cam')} AS std_cam, {c.r('std_sensor')} AS std_sensor FROM s""",
     "stable_rows": f"WITH {_STABILITY} SELECT session, id, {c.r('std_cam')} AS std_cam FROM s WHERE n >= {WINDOW} AND std_cam < {STD_CAM} AND std_sensor < {STD_SENSOR}",
     "capture_sweep": f"{_captures('continuous')} {_captured_sql()}",
     "capture_still": f"{_captures('auto')} {_captured_sql()}",
