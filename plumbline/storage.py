@@ -28,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _hadoop(spark: SparkSession, path: str):
-    """(file system, path) of a URI, as Hadoop's."""
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a URI, as the JVM's."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
@@ -37,7 +37,7 @@ def _hadoop(spark: SparkSession, path: str):
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a folder not used before, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, folder = _hadoop(spark, path)
+    fs, folder = hadoop(spark, path)
     fs.mkdirs(folder)
     fs.deleteOnExit(folder)
     return path
@@ -70,6 +70,6 @@ class Scratch:
 
     def free(self) -> None:
         for path in self.folders:
-            fs, folder = _hadoop(self.spark, path)
+            fs, folder = hadoop(self.spark, path)
             fs.delete(folder, True)
         self.folders.clear()
