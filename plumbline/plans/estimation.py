@@ -133,6 +133,33 @@ def loo_folds(spark, d):
     return c.rounded_all(e.leave_one_out(captures, written(e.solved(captures, PARAMS), "solutions"), PARAMS), [], 4)
 
 
+#: Captures with noise and wrong readings, under the priors: the published defaults.
+NOISY = Params()
+NOISE = (NOISY.sigma_range_m, float(np.radians(NOISY.sigma_az_deg)), float(np.radians(2.0)))
+
+
+def _noisy(spark, d):
+    return s.noisy_captures(spark, d, TRUE_R, TRUE_T, NOISY.offset, NOISE)
+
+
+def solve_noisy(spark, d):
+    """Solves of the rigs' captures: which are left out, and whether pose, offset and sigmas are what they can be."""
+    got = e.solved(_noisy(spark, d), NOISY)
+    cosine = (sum((F.get("r", F.lit(i)) * x for i, x in enumerate(TRUE_R)), F.lit(0.0)) - 1) / 2  # of the angle to the true rotation
+    away = lambda n, want: F.sqrt(sum(((F.get(n, F.lit(i)) - x) ** 2 for i, x in enumerate(want)), F.lit(0.0)))
+    sure = F.forall("sigma", lambda x: (x > 0) & (x < 0.2)) & F.forall("offset_sigma", lambda x: (x > 0) & (x <= NOISY.offset_prior_sigma_m * 1.001))
+    checks = {"near_rotation": cosine > float(np.cos(np.radians(8))), "near_translation": away("t", TRUE_T) < 0.12, "near_offset": away("offset", NOISY.offset) < 0.15, "sure": sure, "fits": (F.col("rms_sigma") > 0) & (F.col("rms_sigma") < 1.2)}
+    out = got.select("session", "status", "n_captures", "n_inliers", "n_rejected", F.concat_ws(",", "inliers").alias("inliers"), "rank", *[x.alias(n) for n, x in checks.items()])
+    return out
+
+
+def loo_noisy(spark, d):
+    """Every inlier left out of a fit without priors: folds, and whether their errors are those of noise."""
+    captures = written(_noisy(spark, d), "captures")
+    folds = e.leave_one_out(captures, written(e.solved(captures, NOISY), "solutions"), NOISY)
+    return folds.select("session", "fold", ((F.col("sigma_error") > 0) & (F.col("sigma_error") < 4)).alias("fair"))
+
+
 def fold_exclusion_join(spark, d):
     """Every fold's count and mean of the session's other captures: the session's less its own."""
     rows = s.table(spark, d, "supplier").select(F.col("s_nationkey").alias("session"), F.col("s_suppkey").alias("capture_no"), F.col("s_acctbal").alias("value"))
@@ -240,7 +267,7 @@ def reproj_gate(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (centroid_crosscov, kabsch_fit, error_stats, rms_bias, pixel_error, spread_guard, elevation_detect, range_fit, scatter_sums, condition_planarity, inlier_floor, rotation_mean_chordal, solve_extrinsic, solve_forced, loo_folds, fold_exclusion_join, observability, verdict, warning_rules, solve_end_to_end, solution_document, solve_report, board_pose_fit, min_corners_having, reproj_gate)
+    for f in (centroid_crosscov, kabsch_fit, error_stats, rms_bias, pixel_error, spread_guard, elevation_detect, range_fit, scatter_sums, condition_planarity, inlier_floor, rotation_mean_chordal, solve_extrinsic, solve_forced, solve_noisy, loo_noisy, loo_folds, fold_exclusion_join, observability, verdict, warning_rules, solve_end_to_end, solution_document, solve_report, board_pose_fit, min_corners_having, reproj_gate)
 }
 
 _UNIT = f"{c.TRACKS}, u AS (SELECT session, {', '.join(f'{n} * {c.UNIT!r}::DOUBLE AS {n}' for n in (*_C, *_P))} FROM tracks)"
@@ -263,6 +290,10 @@ def _elevation(z: str, signed: str) -> str:
     return f"SELECT session, {c.r(spread)} AS el_spread, {spread} > 0.01 AS uses_elevation, {signed} AS signed FROM tracks GROUP BY session"
 
 
+#: Captures by session, those that are right, and how many aren't.
+_RIGS = f"""WITH e AS (SELECT user_id AS session, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // {s.POSE_FRAMES} AS m FROM events), m AS (SELECT DISTINCT session, m FROM e),
+    k AS (SELECT session, count(*)::INTEGER AS n, (count(*) FILTER (m % {s.WRONG} = {s.WRONG - 1}))::INTEGER AS wrong, string_agg((m + 1)::VARCHAR, ',' ORDER BY m) FILTER (m % {s.WRONG} <> {s.WRONG - 1}) AS inliers FROM m GROUP BY session)"""
+
 #: What exact captures give.
 _TRUTH = ", ".join([*(f"{round(x, 5) + 0.0}::DOUBLE AS r{i}" for i, x in enumerate(TRUE_R)), *(f"{round(x, 5)}::DOUBLE AS t{i}" for i, x in enumerate(TRUE_T)), *(f"{x}::DOUBLE AS offset{i}" for i, x in enumerate(PARAMS.offset))])
 _Q = Rotation(np.array(TRUE_R).reshape(3, 3))
@@ -276,6 +307,9 @@ ORACLES = {
         {c.r('cos(radians(c_custkey % 170))')} AS r4, 0.0::DOUBLE AS r5, 0.0::DOUBLE AS r6, 0.0::DOUBLE AS r7, 1.0::DOUBLE AS r8 FROM customer""",
     "solve_extrinsic": f"SELECT s_suppkey AS session, 'solved' AS status, {CAPTURES}::INTEGER AS n_captures, {CAPTURES}::INTEGER AS n_inliers, 0::INTEGER AS n_rejected, true AS elevation_used, true AS converged, {_TRUTH} FROM supplier",
     "solve_forced": "SELECT s_suppkey AS session, 'insufficient' AS status, 3::INTEGER AS n_captures, NULL::INTEGER AS n_inliers FROM supplier UNION ALL SELECT s_suppkey, 'solved', 4, 4 FROM supplier",
+    "solve_noisy": f"""{_RIGS} SELECT session, CASE WHEN n >= 4 THEN 'solved' ELSE 'insufficient' END AS status, n AS n_captures, CASE WHEN n >= 4 THEN n - wrong END AS n_inliers, CASE WHEN n >= 4 THEN wrong END AS n_rejected,
+        CASE WHEN n >= 4 THEN inliers ELSE '' END AS inliers, CASE WHEN n >= 4 THEN 9 END AS rank, {', '.join(f'CASE WHEN n >= 4 THEN true END AS {x}' for x in ('near_rotation', 'near_translation', 'near_offset', 'sure', 'fits'))} FROM k""",
+    "loo_noisy": f"{_RIGS} SELECT session, (m + 1)::INTEGER AS fold, true AS fair FROM m JOIN k USING (session) WHERE m % {s.WRONG} <> {s.WRONG - 1} AND n - wrong >= 5",
     "loo_folds": f"SELECT s_suppkey AS session, fold::INTEGER AS fold, 0.0::DOUBLE AS sigma_error FROM supplier, range(1, {CAPTURES + 1}) AS f(fold)",
     "solve_end_to_end": f"""SELECT s_suppkey AS session, 'solved' AS status, {CAPTURES}::INTEGER AS n_inliers, 0::INTEGER AS n_rejected, {', '.join(f'0.0::DOUBLE AS {n}' for n in ('rms_mm', 'mean_3d_mm', 'worst_bias_mm', 'mean_px', 'loo_rms_sigma', 'loo_max_sigma', 'rms_sigma'))},
         '' AS weak, false AS low_diversity, false AS planar, true AS passes, {_BASELINE_OFF} AS warn_baseline, false AS warn_loo, false AS warn_condition FROM supplier""",

@@ -116,3 +116,19 @@ def rig_clouds(frames: DataFrame) -> DataFrame:
     both = lambda own, other: F.concat(*[F.when(c, F.array(v)).otherwise(F.array().cast("array<double>")) for c, v in ((there, own), (clutter, other))])
     cloud = {f"{n}s": both(x, x * more) for n, x in zip("xyz", q, strict=True)}
     return frames.withColumns(cloud | {"snrs": both((120 + k % 50).cast("double"), F.lit(500.0)), "dopplers": both(F.lit(0.0), F.lit(0.0))})
+
+
+#: Every how many-th pose of a rig is read wrongly, and by how much farther.
+WRONG, WRONG_M = 6, 0.7
+
+
+def noisy_captures(spark: SparkSession, sf_dir: str, r: list[float], t: list[float], offset: tuple[float, ...], sigmas: tuple[float, float, float]) -> DataFrame:
+    """A capture for each pose of a rig, by session: (session, capture_no, p, rb, tb). Readings of range, azimuth
+    and elevation are off by up to 1.2 of their sigmas, by numbers made from the id; every sixth is far off in range."""
+    first = rig_frames(spark, sf_dir, r, t, offset).groupBy("session", "m").agg(F.min(F.struct("id", "qx", "qy", "qz", "rb", "tb")).alias("f")).select("session", "m", "f.*")
+    k = F.col("id")
+    off = [((k * a + b) % 2001 - 1000) / 1000 * 1.2 * s for (a, b), s in zip(((7919, 13), (104729, 7), (15485863, 101)), sigmas, strict=True)]
+    far = F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2)
+    rows = first.withColumns({"far": far + off[0] + F.when(F.col("m") % WRONG == WRONG - 1, WRONG_M).otherwise(0.0), "az": F.atan2("qy", "qx") + off[1], "el": F.asin(F.col("qz") / far) + off[2]})
+    p = F.array(F.col("far") * F.cos("el") * F.cos("az"), F.col("far") * F.cos("el") * F.sin("az"), F.col("far") * F.sin("el"))
+    return rows.select("session", (F.col("m") + 1).cast("int").alias("capture_no"), p.alias("p"), "rb", "tb")
