@@ -18,9 +18,10 @@
 4. Components of the confirmed links. Where a list still holds several components,
    links between them may be left. The documents of such lists are listed anew by
    items of their whole sets: two sets that link share one of the rarest items of
-   each, as many as their sizes leave to differ (plus one), and of these only items
-   that both have count. Edited copies too far from each other to link thus have few
-   lists in common or none, even where thousands share an original. Each set also has
+   each, as many as their sizes leave to differ (plus one), fewer of the smaller set
+   than of the larger one, and of these only items that both have count. Edited copies
+   too far from each other to link thus have few lists in common or none, even where
+   thousands share an original. Each set also has
    a parity bitmap: bit b is set if an odd number of its items hash to b. An item that
    only one of two sets has flips one bit of their difference, so the bits that differ
    are a lower bound of the items that differ, and a link allows (1 - s) / (1 + s) of
@@ -139,19 +140,38 @@ def links(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> Da
 
 
 def _prefixes(sets: DataFrame, among: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
-    """(v, node, n): of each set of ``among``, the rarest items by which it must meet any set it links with.
+    """(v, node, n, small): of each set of ``among``, the rarest items by which it must meet any set it links with.
 
-    A link shares at least ``similarity`` percent of both sets. So it shares one of
-    the rarest n - that + 1 items of each, and items that no other set has come first
-    among these and meet nothing.
+    A link shares at least ``similarity`` percent of the larger set, and of the smaller one
+    2 s / (100 + s) of it, as the other is no smaller. So it shares one of the rarest
+    n - that + 1 items of each: more as the larger set, and as the smaller one those that are
+    ``small``. Items that no other set has come first among these and meet nothing.
     """
     items = lambda some: sets.join(some, "node", "left_semi").select("node", F.size("items").alias("n"), F.explode("items").alias("v"))
     everything = items(among)
     shared = keep.written(everything.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared-items")
     held = everything.join(shared.select("v"), "v", "left_semi").groupBy("node", "n").agg(F.count("*").alias("m"))
-    able = keep.written(held.withColumn("reach", F.expr(f"m - ceil(n * {similarity} / 100) + 1")).filter("reach > 0").select("node", "reach"), "able")
+    reach = {"reach": f"m - ceil(n * {similarity} / 100) + 1", "reach_small": f"m - ceil(n * {2 * similarity} / {100 + similarity}) + 1"}
+    able = keep.written(held.withColumns({k: F.expr(x) for k, x in reach.items()}).filter("reach > 0").select("node", *reach), "able")
     ranked = items(able.select("node")).join(shared, "v").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "v")))
-    return keep.written(ranked.join(able, "node").filter("at <= reach").select("v", "node", "n"), "prefixes")
+    return keep.written(ranked.join(able, "node").filter("at <= reach").select("v", "node", "n", (F.col("at") <= F.col("reach_small")).alias("small")), "prefixes")
+
+
+def _met(short: DataFrame, keep: Scratch) -> DataFrame:
+    """(node, n, marks, node2, n2, marks2): pairs of sets of different components that meet in a list of
+    ``short`` (v, node, n, small, comp, marks), the first as the smaller one.
+
+    Only small items bring a set to the lists that larger ones wait in, so sets too far from
+    each other to link, however many items all of them share, mostly meet in none. Pairs inside
+    a list's largest component aren't made.
+    """
+    sizes = short.groupBy("v", "comp").agg(F.count("*").alias("m"), F.max("small").alias("any"))
+    mixed = sizes.groupBy("v").agg(F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps"), F.max("any").alias("any")).filter("comps > 1 and any")
+    ours = keep.written(short.join(mixed.select("v", F.col("big.comp").alias("big")), "v"), "ours")
+    waiting = ours.select("v", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("marks").alias("marks2"), (F.col("comp") == F.col("big")).alias("in_big"))
+    brought = ours.filter("small")
+    pairs = brought.filter("comp <> big").join(waiting, "v").unionByName(brought.filter("comp = big").join(waiting.filter("not in_big"), "v"))
+    return pairs.filter("comp <> comp2 and (n < n2 or n = n2 and node < node2)")
 
 
 def near_classes(
@@ -199,11 +219,7 @@ def near_classes(
     if not inside.isEmpty():
         short = _prefixes(sets, inside.select("node"), similarity, keep).join(inside, "node")
         short = keep.written(short.join(sets.select("node", "marks"), "node"), "short")
-        sizes = short.groupBy("v", "comp").agg(F.count("*").alias("m"))
-        mixed = sizes.groupBy("v").agg(F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
-        ours = keep.written(short.join(mixed.select("v", F.col("big.comp").alias("big")), "v"), "ours")
-        others = ours.filter("comp <> big").select("v", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("marks").alias("marks2"))
-        more = keep.written(others, "others").join(ours, "v").filter("comp <> comp2 and (comp = big or node < node2)").filter(_sizes_fit("n", "n2", similarity)).filter(_marks_fit(similarity))
+        more = _met(short, keep).filter(_sizes_fit("n", "n2", similarity)).filter(_marks_fit(similarity))
         more = keep.written(tried(more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), sets), "more-links")
         if not more.isEmpty():
             comp = components(found.union(more), keep)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -106,6 +107,50 @@ def test_near_classes_of_documents(spark):
     assert got == brute_near(rows)
 
 
+def test_near_classes_of_a_thousand_documents(spark):
+    """The exact join over all of sf0.01, pairs found by their shared shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.select("doc_id", "text").collect()}
+    lists = {}
+    for i, found in sets.items():
+        for x in found:
+            lists.setdefault(x, []).append(i)
+    both = Counter(pair for ids in lists.values() for pair in combinations(sorted(ids), 2))
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), n in both.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_classes(docs).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_pairs_of_sets_just_too_far_apart_do_not_grow_with_their_square(spark, monkeypatch):
+    """n documents that share 96 shingles and have 20 of their own: those that are compared grow no faster than n."""
+    counted = []
+    real = near_dedup._met
+
+    def counting(short, keep):
+        pairs = real(short, keep)
+        counted.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_met", counting)
+    base = " ".join(f"w{k}" for k in range(100))
+    for n in (250, 1000):
+        rows = [(i, base + " " + " ".join(f"own{i}x{k}" for k in range(20))) for i in range(n)]
+        rows += [(n + i, rows[i][1] + " end") for i in range(5)]  # some that do link
+        got = {r.doc_id: r.component_id for r in near_dedup.near_classes(table(spark, rows)).collect()}
+        assert got == {i: i if i < n else i - n for i, _ in rows}
+    assert counted[1] <= 6 * max(counted[0], 1) and counted[1] < 5000
+
+
 def test_near_odd_rows_and_empty_table(spark):
     got = near_dedup.near_classes(table(spark, ODD)).collect()
     assert len(got) == len(ODD)
