@@ -11,7 +11,7 @@ costs a row for each input task. The join back to the rows carries no texts and
 starts from two plain exchanges, which adaptive execution splits at hot keys.
 
 Cases: null text counts as empty, and all empty texts are one group. A null id
-sorts before others, so it wins a tie in length. Rows that repeat both id and
+sorts before any id, so it wins a tie in length. Rows that repeat both id and
 text each get a row in ``classes`` with the same answer; ``deduplicated``
 returns one of them. An empty table gives an empty result. Extra columns of
 whatever names are carried only by ``deduplicated``.

@@ -29,7 +29,7 @@ in the documentation and/or other materials provided with the distribution.
 _BSD_3 = (
     _BSD_2
     + """
-[[3.]] neither the name of <<owner:12>> nor the names of {{its|their}} <<others:3>> may be used to endorse or promote products derived from this
+[[3.]] neither the name of <<owner:12>> nor the names of {{its|their}} <<contributors:3>> may be used to endorse or promote products derived from this
 software without specific prior written permission.
 """
 )

@@ -41,7 +41,7 @@ HIDDEN = frozenset("script style title template noscript textarea select button
 #: Of the hidden ones, those whose contents are not markup: without an end tag they last to the page's end.
 RAW = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: An open element of these is closed by the start of one of the others. Fixed table.
+#: An open element of these is closed by the start of one of the listed. Fixed table.
 CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
 
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
@@ -252,7 +252,7 @@ def _steps(a: Node, b: Node) -> int:
 
 def edges_of(blocks: list[Block], smooth: float = 1.0) -> list[tuple[int, int, float]]:
     """Smoothness edges (i, j, weight): of adjacent blocks, the weaker the farther their containers
-    are in the tree; of the next two blocks of one container with others in between."""
+    are in the tree; of the next two blocks of one container with more in between."""
     out, last = [], {}
     for i, b in enumerate(blocks):
         holder = b.node.parent or b.node

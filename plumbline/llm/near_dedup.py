@@ -11,7 +11,7 @@
    meet, and texts that quote the same passages, but for less than about half of
    themselves, mostly don't.
 3. Stars: each list's document whose values are the most common in all lists is
-   tried against the others. Candidates are linear in the lists, whatever a list's
+   tried against the rest. Candidates are linear in the lists, whatever a list's
    length. They pass if the sizes allow the similarity and the union sketch has 22
    of 48 values in both (the same probability); then the exact Jaccard of the whole
    sets decides.

@@ -5,7 +5,7 @@
 2. Pieces are sorted by length in each partition and dealt out in turn to groups of
    about ``FAN * OPEN`` bins and at most about ``PIECES`` pieces, so every group has its share of each length, wherever in the
    table it came from. A task packs one group best-fit, longest first. Bins with at
-   most ``SLACK`` tokens free are emitted; all others, however many, stay open.
+   most ``SLACK`` tokens free are emitted; all the rest, however many, stay open.
 3. Open bins become items and are dealt out again. Of two bins of a group one is over
    half full, so at most one a group is not: those all go to the first group, to
    meet each other and its share of the rest. Rounds end after one group, or when one

@@ -37,7 +37,7 @@ Span = tuple[int, int, int]  # start, kind, end
 _local = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _digit = re.compile(r"[0-9]").search
-# a run of digits that fails from its first digit fails from the others, so starts inside runs are passed over
+# a run of digits that fails from its first digit fails from the rest, so starts inside runs are passed over
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
 _card = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer

@@ -183,7 +183,7 @@ def with_label_errors(codes: DataFrame) -> DataFrame:
     """``codes``, a written table, with label_error: the error summed over the rows of the same label.
 
     Labels with a thousandth of the rows or more, at most ``HOT``, are joined by
-    broadcast, so that none of them gathers in a task; the others by shuffle.
+    broadcast, so that none of them gathers in a task; all else by shuffle.
     """
     totals = written(codes.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("of")), "label-errors")
     hot = F.col("of") * HOT >= codes.count()

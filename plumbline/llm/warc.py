@@ -1,6 +1,6 @@
 """WARC archives in the shared folder, with a two-level capture index.
 
-Writing: of records with equal payloads the smallest id's is a response, others
+Writing: of records with equal payloads the smallest id's is a response, the rest
 are revisits without a payload. Tasks write gzip members through pyarrow's file
 systems, so any store that it opens by URI will do. A task's files have names of
 their own and are known only by the table of captures that the task returns; files

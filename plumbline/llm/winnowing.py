@@ -17,7 +17,7 @@ task, and a task holds a few MB of texts at once, besides its longest text.
 
 Cases: null text counts as empty and has an empty fingerprint; two empty
 fingerprints are alike (1.0). A text shorter than k is one gram. Null ids come
-after all others. Rows that repeat an id follow each other by the hash of their text. A table of
+last of all. Rows that repeat an id follow each other by the hash of their text. A table of
 one row is its own neighbour; an empty table gives an empty result. Extra columns
 are not read.
 """
