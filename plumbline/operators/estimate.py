@@ -234,7 +234,7 @@ def solved(captures: DataFrame, params: Params) -> DataFrame:
 
 
 def leave_one_out(captures: DataFrame, solutions: DataFrame, params: Params) -> DataFrame:
-    """(session, fold, sigma_error) of each inlier capture, left out of a refit on the others.
+    """(session, fold, sigma_error) of each inlier capture, left out of a refit on the rest.
 
     The offset is the solved one, without priors. Sessions with fewer than 5 inliers have
     no folds. All folds of many sessions are solved together.

@@ -24,8 +24,8 @@ def pairs_within(left: DataFrame, right: DataFrame, slop_us: int) -> DataFrame:
     return a.join(b, "bucket").where(near).drop("bucket").withColumn("dt_us", F.col("right_us") - F.col("left_us"))
 
 
-def _nearest(rows: DataFrame, others: DataFrame, slop_us: int) -> DataFrame:
-    """(id, stamp_us, other, other_us): each row's nearest of ``others`` within ``slop_us``; the earlier
+def _nearest(rows: DataFrame, facing: DataFrame, slop_us: int) -> DataFrame:
+    """(id, stamp_us, other, other_us): each row's nearest of ``facing`` within ``slop_us``; the earlier
     stamp, then the smaller id, wins ties. Both sides have id and stamp_us.
 
     In a bucket's merged order the nearest are the last one before and the first one
@@ -33,8 +33,8 @@ def _nearest(rows: DataFrame, others: DataFrame, slop_us: int) -> DataFrame:
     """
     bucket = F.floor(F.col("stamp_us") / slop_us)
     found = F.struct("stamp_us", "id")
-    a = rows.select("id", "stamp_us", bucket.alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast(others.select(found.alias("f")).schema["f"].dataType).alias("other"))
-    b = others.select("id", "stamp_us", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"), F.lit(0).alias("kind"), found.alias("other"))
+    a = rows.select("id", "stamp_us", bucket.alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast(facing.select(found.alias("f")).schema["f"].dataType).alias("other"))
+    b = facing.select("id", "stamp_us", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"), F.lit(0).alias("kind"), found.alias("other"))
     to_here = lambda *order: F.last("other", ignorenulls=True).over(Window.partitionBy("bucket").orderBy(*order, F.desc("id")).rowsBetween(Window.unboundedPreceding, 0))
     near = a.unionByName(b).withColumns({"before": to_here("stamp_us", "kind"), "after": to_here(F.desc("stamp_us"), "kind")}).where("kind = 1")
     gaps = {n: F.coalesce(F.abs(F.col(n)["stamp_us"] - F.col("stamp_us")), F.lit(slop_us + 1)) for n in ("before", "after")}

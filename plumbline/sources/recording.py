@@ -1,7 +1,7 @@
 """A data source of recordings: folders of parquet files of packed clouds, read as points.
 
 ``spark.read.format("plumbline_recording").schema(...).load(path)`` has a column for each
-field that the schema names (others aren't decoded), ``frame_id``, ``stamp_us``, ``point_idx``
+field that the schema names (no more is decoded), ``frame_id``, ``stamp_us``, ``point_idx``
 and ``range``, the distance from the sensor. A partition is a row group. Filters that
 compare a column with numbers are taken over by the source (with
 ``spark.sql.python.filterPushdown.enabled``): those on frames and stamps drop row groups by

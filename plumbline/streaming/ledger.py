@@ -54,8 +54,8 @@ class Ledger:
 
 def newest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Each key's last row by ``order``: the newest document over the ones before it."""
-    others = [c for c in rows.columns if c != key and c not in order]
-    return rows.groupBy(key).agg(F.max(F.struct(*order, *others)).alias("row")).select(key, *[F.col(f"row.{c}").alias(c) for c in (*order, *others)])
+    rest = [c for c in rows.columns if c != key and c not in order]
+    return rows.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("row")).select(key, *[F.col(f"row.{c}").alias(c) for c in (*order, *rest)])
 
 
 def kept_in_ledger(stream: DataFrame, ledger: Ledger, checkpoint: str, before_entry: Callable[[int], None] | None = None):
