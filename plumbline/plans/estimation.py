@@ -238,13 +238,13 @@ def report(captures, solutions, p: Params):
     return out.withColumns({"passes": v.verdict(F.col("mean_px"), F.col("mean_3d_mm"), F.col("worst_bias_mm"), hard, p)} | flags)
 
 
-def _corners(spark, d):
+def _corners(spark, d, noise_px=0.0):
     """A board seen by a frame for each supplier, turned about its y axis."""
     board = [(r.x, r.y, r.z) for r in s.board_corners(spark, 9, 7, 0.02).orderBy("corner_id").collect()]  # the board's 48
     k, zero = F.col("s_suppkey"), F.lit(0.0)
     pose = {"vx": zero, "vy": (k % 7 - 3) / 10, "vz": zero, "tx": (k % 5 - 2) / 20, "ty": (k % 3 - 1) / 20, "tz": 1 + (k % 11) / 20}
     poses = s.table(spark, d, "supplier").select(k.alias("frame_id"), *[x.cast("double").alias(n) for n, x in pose.items()])
-    return scenes.corner_scene(poses, board, c.K, c.D)
+    return scenes.corner_scene(poses, board, c.K, c.D, noise_px)
 
 
 def board_pose_fit(spark, d):
@@ -253,6 +253,18 @@ def board_pose_fit(spark, d):
     return got.select("frame_id", *numbers, c.rounded("reproj_l2_over_n", 5).alias("reproj_l2_over_n"), "n_corners")
 
 
+def board_pose_noisy(spark, d):
+    """The same frames with corners that are off by half a pixel: whether poses and their error are as good as that allows."""
+    got = posefit.board_poses(_corners(spark, d, 0.5), s.board_corners(spark, 9, 7, 0.02), c.K, c.D, 6, 1.5)
+    k = F.col("frame_id")
+    a = (k % 7 - 3) / 10
+    turn = [F.cos(a), 0.0, F.sin(a), 0.0, 1.0, 0.0, -F.sin(a), 0.0, F.cos(a)]
+    shift = [(k % 5 - 2) / 20, (k % 3 - 1) / 20, 1 + k % 11 / 20]
+    off = lambda n, want: F.greatest(*[F.abs(F.get(n, F.lit(i)) - x) for i, x in enumerate(want)])
+    error = F.col("reproj_l2_over_n")
+    return got.select("frame_id", (off("rb", turn) < 0.3).alias("near_rotation"), (off("tb", shift) < 0.05).alias("near_translation"), ((error > 0.02) & (error < 0.2)).alias("error_of_noise"), "n_corners")
+
+
 def min_corners_having(spark, d):
     rows = s.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), (F.col("l_partkey") % 48).alias("corner_id"))
     return posefit.enough_corners(rows, 6)
@@ -267,7 +279,7 @@ def reproj_gate(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (centroid_crosscov, kabsch_fit, error_stats, rms_bias, pixel_error, spread_guard, elevation_detect, range_fit, scatter_sums, condition_planarity, inlier_floor, rotation_mean_chordal, solve_extrinsic, solve_forced, solve_noisy, loo_noisy, loo_folds, fold_exclusion_join, observability, verdict, warning_rules, solve_end_to_end, solution_document, solve_report, board_pose_fit, min_corners_having, reproj_gate)
+    for f in (centroid_crosscov, kabsch_fit, error_stats, rms_bias, pixel_error, spread_guard, elevation_detect, range_fit, scatter_sums, condition_planarity, inlier_floor, rotation_mean_chordal, solve_extrinsic, solve_forced, solve_noisy, loo_noisy, loo_folds, fold_exclusion_join, observability, verdict, warning_rules, solve_end_to_end, solution_document, solve_report, board_pose_fit, board_pose_noisy, min_corners_having, reproj_gate)
 }
 
 _UNIT = f"{c.TRACKS}, u AS (SELECT session, {', '.join(f'{n} * {c.UNIT!r}::DOUBLE AS {n}' for n in (*_C, *_P))} FROM tracks)"
@@ -320,6 +332,7 @@ ORACLES = {
     "board_pose_fit": f"""WITH p AS (SELECT s_suppkey AS k, (s_suppkey % 7 - 3) / 10 AS a FROM supplier)
         SELECT k AS frame_id, {', '.join(f'{x} AS rb{i}' for i, x in enumerate([c.r('cos(a)', 5), '0.0::DOUBLE', c.r('sin(a)', 5), '0.0::DOUBLE', '1.0::DOUBLE', '0.0::DOUBLE', c.r('-sin(a)', 5), '0.0::DOUBLE', c.r('cos(a)', 5)]))},
         {c.r('(k % 5 - 2) / 20', 5)} AS tb0, {c.r('(k % 3 - 1) / 20', 5)} AS tb1, {c.r('1 + (k % 11) / 20', 5)} AS tb2, 0.0::DOUBLE AS reproj_l2_over_n, 48::INTEGER AS n_corners FROM p""",
+    "board_pose_noisy": "SELECT s_suppkey AS frame_id, true AS near_rotation, true AS near_translation, true AS error_of_noise, 48::INTEGER AS n_corners FROM supplier",
     "centroid_crosscov": f"""WITH {_UNIT}, m AS (SELECT session, count(*) AS n, {', '.join(f'avg({p}) AS m_{p}' for p in (*_P, *_C))} FROM u GROUP BY session)
         SELECT session, n, {', '.join(f'{c.r(f"any_value(m_{p})", 5)} AS m_{p}' for p in _P)}, {', '.join(f'{c.r(f"any_value(m_{q})", 5)} AS m_q{q[1]}' for q in _C)},
         {', '.join(f'{c.r(f"sum(({p} - m_{p}) * ({q} - m_{q}))", 5)} AS h{i}{j}' for i, p in enumerate(_P) for j, q in enumerate(_C))} FROM u JOIN m USING (session) GROUP BY session, n""",
