@@ -140,7 +140,8 @@ def links(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> Da
 
 
 def _prefixes(sets: DataFrame, among: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
-    """(v, node, n, small): of each set of ``among``, the rarest items by which it must meet any set it links with.
+    """(v, node, n, m, at, small): of each set of ``among``, the rarest items by which it must meet any set it links with,
+    each the ``at``-th rarest of the ``m`` that another set has too.
 
     A link shares at least ``similarity`` percent of the larger set, and of the smaller one
     2 s / (100 + s) of it, as the other is no smaller. So it shares one of the rarest
@@ -152,26 +153,27 @@ def _prefixes(sets: DataFrame, among: DataFrame, similarity: int, keep: Scratch)
     shared = keep.written(everything.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared-items")
     held = everything.join(shared.select("v"), "v", "left_semi").groupBy("node", "n").agg(F.count("*").alias("m"))
     reach = {"reach": f"m - ceil(n * {similarity} / 100) + 1", "reach_small": f"m - ceil(n * {2 * similarity} / {100 + similarity}) + 1"}
-    able = keep.written(held.withColumns({k: F.expr(x) for k, x in reach.items()}).filter("reach > 0").select("node", *reach), "able")
+    able = keep.written(held.withColumns({k: F.expr(x) for k, x in reach.items()}).filter("reach > 0").select("node", "m", *reach), "able")
     ranked = items(able.select("node")).join(shared, "v").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "v")))
-    return keep.written(ranked.join(able, "node").filter("at <= reach").select("v", "node", "n", (F.col("at") <= F.col("reach_small")).alias("small")), "prefixes")
+    return keep.written(ranked.join(able, "node").filter("at <= reach").select("v", "node", "n", "m", "at", (F.col("at") <= F.col("reach_small")).alias("small")), "prefixes")
 
 
-def _met(short: DataFrame, keep: Scratch) -> DataFrame:
+def _met(short: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
     """(node, n, marks, node2, n2, marks2): pairs of sets of different components that meet in a list of
-    ``short`` (v, node, n, small, comp, marks), the first as the smaller one.
+    ``short`` (v, node, n, m, at, small, comp, marks), the first as the smaller one.
 
     Only small items bring a set to the lists that larger ones wait in, so sets too far from
-    each other to link, however many items all of them share, mostly meet in none. Pairs inside
-    a list's largest component aren't made.
+    each other to link, however many items all of them share, mostly meet in none. A pair that
+    links has enough items left behind the first one that both have; in lists where it hasn't
+    it isn't made. Nor are pairs inside a list's largest component.
     """
     sizes = short.groupBy("v", "comp").agg(F.count("*").alias("m"), F.max("small").alias("any"))
     mixed = sizes.groupBy("v").agg(F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps"), F.max("any").alias("any")).filter("comps > 1 and any")
     ours = keep.written(short.join(mixed.select("v", F.col("big.comp").alias("big")), "v"), "ours")
-    waiting = ours.select("v", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("marks").alias("marks2"), (F.col("comp") == F.col("big")).alias("in_big"))
+    waiting = ours.select("v", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("marks").alias("marks2"), (F.col("m") - F.col("at")).alias("behind2"), (F.col("comp") == F.col("big")).alias("in_big"))
     brought = ours.filter("small")
     pairs = brought.filter("comp <> big").join(waiting, "v").unionByName(brought.filter("comp = big").join(waiting.filter("not in_big"), "v"))
-    return pairs.filter("comp <> comp2 and (n < n2 or n = n2 and node < node2)")
+    return pairs.filter("comp <> comp2 and (n < n2 or n = n2 and node < node2)").filter(f"{100 + similarity} * (1 + least(m - at, behind2)) >= {similarity} * (n + n2)")
 
 
 def near_classes(
@@ -219,7 +221,7 @@ def near_classes(
     if not inside.isEmpty():
         short = _prefixes(sets, inside.select("node"), similarity, keep).join(inside, "node")
         short = keep.written(short.join(sets.select("node", "marks"), "node"), "short")
-        more = _met(short, keep).filter(_sizes_fit("n", "n2", similarity)).filter(_marks_fit(similarity))
+        more = _met(short, similarity, keep).filter(_sizes_fit("n", "n2", similarity)).filter(_marks_fit(similarity))
         more = keep.written(tried(more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), sets), "more-links")
         if not more.isEmpty():
             comp = components(found.union(more), keep)

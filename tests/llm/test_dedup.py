@@ -136,8 +136,8 @@ def test_pairs_of_sets_just_too_far_apart_do_not_grow_with_their_square(spark, m
     counted = []
     real = near_dedup._met
 
-    def counting(short, keep):
-        pairs = real(short, keep)
+    def counting(*given):
+        pairs = real(*given)
         counted.append(pairs.count())
         return pairs
 
