@@ -38,8 +38,13 @@ def pose_message_decode(spark, d):
     return c.rounded_all(_poses(spark, d).select("seq", *[x.alias(f"m{i}") for i, x in enumerate(m)], *o.T), [])
 
 
+def mean_poses(spark, d):
+    """Each session's mean pose, not rounded."""
+    return o.normalised(_poses(spark, d).groupBy("session").agg(*o.se3_mean_columns()))
+
+
 def se3_mean(spark, d):
-    return c.rounded_all(o.normalised(_poses(spark, d).groupBy("session").agg(*o.se3_mean_columns())), [])
+    return c.rounded_all(mean_poses(spark, d), [])
 
 
 def pool_running_mean(spark, d):

@@ -62,7 +62,7 @@ def pose_sink(spark, d):
 
 def report_row(spark, d):
     """A line of text for each session's mean pose."""
-    rows = pairs.se3_mean(spark, d)
+    rows = pairs.mean_poses(spark, d)  # rounded but once, to whole millimetres
     size = F.round(F.sqrt(F.col("mtx") ** 2 + F.col("mty") ** 2 + F.col("mtz") ** 2) * 1000).cast("long")
     return rows.select("session", F.format_string("session %d: |t| %d mm", F.col("session"), size).alias("line"))
 
