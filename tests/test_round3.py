@@ -3,9 +3,13 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from plumbline.operators.estimate import rotation
+from plumbline.operators.posefit import fit_pose, fit_poses, project
+from plumbline.plans import common as c
 from plumbline.plans import reports
 
 
@@ -18,3 +22,32 @@ def test_a_report_rounds_the_size_once(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet')")
     assert got == sorted(con.execute(reports.ORACLES["report_row"]).fetchall())
+
+
+#: A board's 48 corners, and the frame of ``board_pose_noisy`` with a number.
+BOARD = np.array([(i % 8 * 0.02, i // 8 * 0.02, 0.0) for i in range(48)])
+K, D = np.array(c.K).reshape(3, 3), np.array(c.D)
+
+
+def _noisy_frame(k):
+    v, t = np.array([0, (k % 7 - 3) / 10, 0]), np.array([(k % 5 - 2) / 20, (k % 3 - 1) / 20, 1 + k % 11 / 20])
+    return v, t, project(BOARD, v, t, K, D) + np.random.default_rng(k).normal(size=(48, 2)) * 0.5
+
+
+def test_a_boards_pose_is_the_lower_of_its_two_minima():
+    """Frames in which the minimum that the homography leads to is tilted to the wrong side, and isn't the lowest."""
+    for k in (252, 2276, 3010, 3893):
+        v, t, pixels = _noisy_frame(k)
+        got_v, got_t, error = fit_pose(BOARD, pixels, K, D)
+        assert np.abs(rotation(got_v) - rotation(v)).max() < 0.3 and np.abs(got_t - t).max() < 0.05
+        assert error <= np.linalg.norm(project(BOARD, v, t, K, D) - pixels) / 48
+
+
+def test_frames_that_are_fitted_together_have_the_poses_they_have_alone():
+    """Also where some see fewer corners than others."""
+    frames = [_noisy_frame(k)[2] for k in range(20)]
+    seen = np.arange(48) < np.array([48 - k for k in range(20)])[:, None]
+    v, t, error = fit_poses(np.tile(BOARD, (20, 1, 1)), np.array(frames), seen, K, D)
+    for i, pixels in enumerate(frames):
+        alone = fit_pose(BOARD[seen[i]], pixels[seen[i]], K, D)
+        assert np.allclose(v[i], alone[0], atol=1e-5) and np.allclose(t[i], alone[1], atol=1e-5) and abs(error[i] - alone[2]) < 1e-9
