@@ -7,6 +7,7 @@ All are folded over tables by ``folds.folded`` and over streams by ``settled.set
 from __future__ import annotations
 
 import math
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -218,14 +219,27 @@ class LiveLoop:
     def start(self) -> dict:
         return {"rule": self.captures.start(), "held": [], "offset": list(self.params.offset), "solution": None, "from": 0}
 
-    def step(self, state: dict, session: int, stamp: int, key: int, cmd: str | None, rb, tb, *cloud) -> list[tuple]:
+    def step(self, state: dict, session: int, stamp: int, key: int, *values) -> list[tuple]:
+        steps, answer = self.steps(state, session, stamp, key, *values), None
+        while True:
+            try:
+                (answer,) = self.answers([steps.send(answer)])
+            except StopIteration as end:
+                return end.value
+
+    def answers(self, questions: list) -> list[dict]:
+        """The solutions of lists of captures."""
+        return solutions_of(questions, self.params)
+
+    def steps(self, state: dict, session: int, stamp: int, key: int, cmd: str | None, rb, tb, *cloud) -> Generator[list, dict, list[tuple]]:
+        """A row's output, after it has asked for the solution of the captures so far if the row calls for one."""
         if cmd == "reset":
             rule = self.captures.start() | {"segment": state["rule"]["segment"] + 1, "asked": state["rule"]["asked"]}
             state.update(self.start() | {"rule": rule})
         elif cmd == "capture":
             self.captures.step(state["rule"], session, stamp, key, cmd)
         elif cmd == "solve" and len(state["held"]) >= 3:
-            solved = self._solved(state)
+            solved = yield from self._solved(state)
             return [(session, stamp, key, state["from"], *[None] * 5, *solved)]
         if cmd is not None or rb is None or tb is None:
             return []
@@ -244,11 +258,11 @@ class LiveLoop:
             mean_turn = batched.rotations(batched.rotation_vectors(np.array(mean[6:15]).reshape(3, 3)))
             state["held"].append({"capture_no": number, "p": mean[3:6], "rb": mean_turn.ravel().tolist(), "tb": mean[15:18]})
             if number >= self.params.min_points:
-                solved = self._solved(state)
+                solved = yield from self._solved(state)
         return [(session, stamp, key, solved_from, *best[:3], math.dist(best[:3], expected), number, *solved)]
 
-    def _solved(self, state: dict) -> tuple:
-        s = solutions_of([state["held"]], self.params)[0]
+    def _solved(self, state: dict) -> Generator[list, dict, tuple]:
+        s = yield state["held"]
         if s["status"] != "solved":
             return (None,) * 7
         state.update(solution=[*s["r"], *s["t"]], offset=s["offset"])

@@ -6,11 +6,17 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from plumbline.operators.estimate import rotation
 from plumbline.operators.posefit import fit_pose, fit_poses, project
 from plumbline.plans import common as c
 from plumbline.plans import reports
+from plumbline.streaming import folds
+from plumbline.streaming.capturing import Background
+from plumbline.streaming.folds import fed_together
+from plumbline.streaming.replay import replayed, with_heartbeat
+from plumbline.streaming.settled import settled_folded
 
 
 def test_a_report_rounds_the_size_once(spark, tmp_path):
@@ -51,3 +57,41 @@ def test_frames_that_are_fitted_together_have_the_poses_they_have_alone():
     for i, pixels in enumerate(frames):
         alone = fit_pose(BOARD[seen[i]], pixels[seen[i]], K, D)
         assert np.allclose(v[i], alone[0], atol=1e-5) and np.allclose(t[i], alone[1], atol=1e-5) and abs(error[i] - alone[2]) < 1e-9
+
+
+class Asking:
+    """A rule that asks at every row for the double of its number, and counts how often it answers."""
+
+    columns, schema = ("n",), "session long, id long, twice long, before long"
+    calls = 0
+
+    def start(self):
+        return {"seen": 0}
+
+    def steps(self, state, session, stamp, key, n):
+        state["seen"] += 1
+        return [(session, key, (yield n), state["seen"] - 1)]
+
+    def answers(self, questions):
+        self.calls += 1
+        return [2 * q for q in questions]
+
+
+def test_questions_of_many_sessions_are_answered_together():
+    rule, states = Asking(), {7: {"seen": 5}}
+    rows = [(session, 0, i, 10 * session + i) for session in range(50) for i in range(3)]
+    out = fed_together(rule, states, rows)
+    assert sorted(out) == [(s, i, 20 * s + 2 * i, i + (5 if s == 7 else 0)) for s in range(50) for i in range(3)]
+    assert rule.calls == 3 and states[7] == {"seen": 8} and states[8] == {"seen": 3}
+
+
+def test_sessions_that_share_a_bucket_are_folded_as_alone(spark, monkeypatch):
+    """All sessions in two buckets, over both kinds of streams, against the fold of the table."""
+    monkeypatch.setattr(folds, "BUCKETS", 2)
+    rows = spark.range(600).selectExpr("id % 37 AS session", "1600000000000000 + id * 7000000 + id % 5 AS stamp_us", "id", "IF(id % 29 = 0, 'background', NULL) AS cmd", "int(id % 4) AS n_points")
+    rule = Background(3)
+    want = sorted(tuple(r) for r in folds.folded(rows, rule).collect())
+    assert want
+    assert sorted(tuple(r) for r in replayed([rows], lambda r: folds.stream_folded(r, rule), "shared").collect()) == want
+    late = with_heartbeat(rows).withColumn("arrives", F.col("stamp_us") + F.col("id") % 3 * 60_000_000)
+    assert sorted(tuple(r) for r in replayed([late], lambda r: settled_folded(r, rule), "settled", by="arrives").collect()) == want
