@@ -71,30 +71,82 @@ def decoded(messages: DataFrame, fields: dict[str, str] | None = None, keep: Seq
     return messages.select(*dict.fromkeys([*keep, *needed])).mapInArrow(run, struct)
 
 
-def _points(batch: pa.RecordBatch, wanted: list[str], keep: list[str], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The points of a batch of messages, in blocks; a message is read when its turn comes."""
-    rows, at, index, held = [], [], [], 0
-
-    def block():
-        numbers = np.concatenate(rows)
-        taken = pa.array(np.concatenate(at))
-        columns = [batch.column(n).take(taken) for n in keep] + [pa.array(np.concatenate(index), pa.int32())] + [pa.array(numbers[:, k]) for k in range(len(wanted))]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    for i in range(batch.num_rows):
-        found = unpacked(batch.slice(i, 1).to_pylist()[0], wanted)
-        if found is None:
+def blocks(batch: pa.RecordBatch, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of messages with about ``BLOCK`` points each, and one message at least."""
+    number = (np.cumsum(counts) - counts) // BLOCK
+    ends = [*(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    for first, end in zip([0, *ends], ends, strict=False):
+        yield batch.slice(first, end - first)
+
+
+def unpacked_together(batch: pa.RecordBatch, wanted: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """In blocks: a slice of the batch, the (points, wanted) numbers of its messages that can be read, the message
+    of each point in the slice, and the point's place in it; in order. As ``unpacked`` does one by one."""
+    if batch.num_rows:
+        height, width = (np.maximum(_whole(batch, n), 0) for n in ("height", "width"))
+        for some in blocks(batch, height * width):
+            yield some, *_unpacked_block(some, wanted)
+
+
+def _whole(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _descriptions(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The messages of each description: fields, bytes of a point, order of bytes."""
+    fields = batch.column("fields")
+    sizes = fields.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    parts = dict(zip([f.name for f in fields.type.value_type], fields.flatten().flatten(), strict=True))
+    names = parts["name"].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    flat = np.stack([names, *(parts[n].cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) for n in ("offset", "datatype"))], axis=1).astype(np.int64)
+    starts, shape = np.cumsum(sizes) - sizes, np.stack([_whole(batch, "point_step"), _whole(batch, "is_bigendian")], axis=1)
+    for size in np.unique(sizes):
+        which = np.flatnonzero(sizes == size)
+        rows = np.concatenate([flat[starts[which][:, None] + np.arange(size)].reshape(len(which), -1), shape[which]], axis=1)
+        of = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+        for k in range(of.max() + 1):
+            yield which[of == k]
+
+
+def _unpacked_block(batch: pa.RecordBatch, wanted: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    height, width, step, row = (_whole(batch, n) for n in ("height", "width", "point_step", "row_step"))
+    row = np.where(row == 0, width * step, row)
+    data = batch.column("data").cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    long = np.diff(ends) >= (height - 1) * row + width * step
+    fine = data.is_valid().to_numpy(zero_copy_only=False) & (step != 0) & (height >= 0) & (width >= 0) & (row >= width * step) & long
+    found = [(np.zeros((0, len(wanted))), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for which in _descriptions(batch):
+        known = {f["name"]: f for f in batch.column("fields")[int(which[0])].as_py() or [] if f["datatype"] in TYPES}
+        order = ">" if batch.column("is_bigendian")[int(which[0])].as_py() else "<"
+        kinds = {n: np.dtype(order + TYPES[known[n]["datatype"]]) for n in wanted if n in known}
+        inside = all(0 <= known[n]["offset"] <= step[which[0]] - kind.itemsize for n, kind in kinds.items())
+        which = which[fine[which] & ((height[which] * width[which] == 0) | inside)]
+        if any(n in wanted and n not in known for n in MANDATORY) or not len(which):
             continue
-        good = np.flatnonzero(~np.isnan(found).any(axis=1))
-        rows.append(found[good])
-        at.append(np.full(len(good), i))
-        index.append(good)
-        held += len(good)
-        if held >= BLOCK:
-            yield block()
-            rows, at, index, held = [], [], [], 0
-    if held:
-        yield block()
+        counts = height[which] * width[which]
+        of = np.repeat(which, counts)
+        index = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        line = index // width[of]
+        start = ends[of] + line * row[of] + (index - line * width[of]) * step[of]
+        out = np.zeros((len(of), len(wanted)))
+        for k, name in enumerate(wanted):
+            if name in kinds:
+                out[:, k] = raw[(start + known[name]["offset"])[:, None] + np.arange(kinds[name].itemsize)].view(kinds[name])[:, 0]
+        found.append((out, of, index))
+    numbers, of, index = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(of, kind="stable")
+    return numbers[order], of[order], index[order]
+
+
+def _points(batch: pa.RecordBatch, wanted: list[str], keep: list[str], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The points of a batch of messages, in blocks."""
+    for some, numbers, of, index in unpacked_together(batch, wanted):
+        good = np.flatnonzero(~np.isnan(numbers).any(axis=1))
+        if len(good):
+            columns = [some.column(n).take(pa.array(of[good])) for n in keep] + [pa.array(index[good])] + [pa.array(numbers[good, k]) for k in range(len(wanted))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
 
 def packed(clouds: DataFrame, layout: dict[str, str], is_bigendian: bool = False, point_step: int | None = None, width: int | None = None) -> DataFrame:
@@ -109,22 +161,38 @@ def packed(clouds: DataFrame, layout: dict[str, str], is_bigendian: bool = False
     point = np.dtype({"names": list(layout), "formats": list(kinds.values()), "offsets": list(offsets.values()), "itemsize": step})
     arrow = to_arrow_schema(T.StructType.fromDDL(MESSAGE))
 
-    def message(row: dict) -> dict:
-        points = row["points"] or []
-        wide = width if width and len(points) % width == 0 else len(points)
-        height = len(points) // wide if wide else 1
-        pad = 8 if height > 1 else 0
-        table = np.zeros(len(points), point)
-        for n in layout:
-            table[n] = [p[n] for p in points]
-        lines = table.reshape(height, wide)
-        data = b"".join(line.tobytes() + b"\xff" * pad for line in lines)
-        return {"height": height, "width": wide, "is_bigendian": is_bigendian, "point_step": step, "row_step": wide * step + pad, "fields": described, "data": data}
+    def column(values: pa.Array, kind: np.dtype) -> np.ndarray:
+        found = values.to_numpy(zero_copy_only=False)
+        if kind.kind in "iu" and (values.null_count or len(found) and not np.iinfo(kind).min <= found.min() <= found.max() <= np.iinfo(kind).max):
+            raise OverflowError(f"a null, or a number that {kind} can't hold")
+        return found
+
+    def messages(b: pa.RecordBatch) -> pa.RecordBatch:
+        """A batch's messages: the bytes of all points are one table, dealt to their places in the lines."""
+        sizes = b.column("points").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = b.column("points").flatten()
+        table = np.zeros(len(parts), point)
+        for name, values in zip([f.name for f in parts.type], parts.flatten(), strict=True):
+            if name in layout:
+                table[name] = column(values, kinds[name])
+        wide = np.where(sizes % width == 0, width, sizes) if width else sizes
+        height = np.where(wide > 0, sizes // np.maximum(wide, 1), 1)
+        pad = np.where(height > 1, 8, 0)
+        ends = np.concatenate([[0], np.cumsum(sizes * step + height * pad)])
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        index = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = ends[of] + index * step + index // np.maximum(wide[of], 1) * pad[of]
+        data = np.full(ends[-1], 0xFF, np.uint8)
+        data[place[:, None] + np.arange(step)] = table.view(np.uint8).reshape(len(table), step)
+        binary = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        same = lambda value, kind: pa.array([value], kind).take(pa.array(np.zeros(len(sizes), np.int64)))
+        found = {"frame_id": b.column("frame_id"), "stamp_us": b.column("stamp_us"), "height": pa.array(height), "width": pa.array(wide), "is_bigendian": same(is_bigendian, pa.bool_()), "point_step": same(step, pa.int32()), "row_step": pa.array(wide * step + pad), "data": binary}
+        return pa.RecordBatch.from_arrays([same(described, f.type) if f.name == "fields" else found[f.name].cast(f.type) for f in arrow], schema=arrow)
 
     def run(batches):
         for b in batches:
-            rows = [{"frame_id": r["frame_id"], "stamp_us": r["stamp_us"], **message(r)} for r in b.to_pylist()]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+            if b.num_rows:
+                for some in blocks(b, b.column("points").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)):
+                    yield messages(some)
 
     return clouds.select("frame_id", "stamp_us", "points").mapInArrow(run, MESSAGE)

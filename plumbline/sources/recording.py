@@ -41,7 +41,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.sources.clouds import MANDATORY, MESSAGE, unpacked
+from plumbline.sources.clouds import MANDATORY, MESSAGE, unpacked_together
 
 _COMPARE = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
 #: Columns that aren't fields of a point.
@@ -108,17 +108,15 @@ class _Reader:
         limited = [n for n, _, _ in self.limits if n not in OWN]
         wanted = list(dict.fromkeys([*MANDATORY, *fields, *limited]))
         with fs.open_input_file(partition.path) as opened:
-            for batch in pq.ParquetFile(opened).iter_batches(batch_size=256, row_groups=[partition.number]):
-                for i in range(batch.num_rows):
-                    message = batch.slice(i, 1).to_pylist()[0]
-                    found = unpacked(message, wanted)
-                    if found is not None and len(found):
-                        yield self._points(message, found, wanted, arrow)
-
-    def _points(self, message: dict, found: np.ndarray, wanted: list[str], arrow: pa.Schema) -> pa.RecordBatch:
+            for batch in pq.ParquetFile(opened).iter_batches(batch_size=4096, row_groups=[partition.number]):
+                for some, found, of, index in unpacked_together(batch, wanted):
+                    if len(found):
+                        yield self._points(some, found, of, index, wanted, arrow)
+
+    def _points(self, messages: pa.RecordBatch, found: np.ndarray, of: np.ndarray, index: np.ndarray, wanted: list[str], arrow: pa.Schema) -> pa.RecordBatch:
         columns = dict(zip(wanted, found.T, strict=True))
-        n = len(found)
-        columns |= {"frame_id": np.full(n, message["frame_id"]), "stamp_us": np.full(n, message["stamp_us"]), "point_idx": np.arange(n), "range": np.sqrt(columns["x"] ** 2 + columns["y"] ** 2 + columns["z"] ** 2)}
+        own = {n: messages.column(n).to_numpy(zero_copy_only=False)[of] for n in ("frame_id", "stamp_us")}
+        columns |= own | {"point_idx": index, "range": np.sqrt(columns["x"] ** 2 + columns["y"] ** 2 + columns["z"] ** 2)}
         good = ~np.isnan(found).any(axis=1)
         for name, kind, value in self.limits:
             good &= _COMPARE[kind](columns[name], value)

@@ -7,11 +7,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.operators.estimate import rotation
+from plumbline.operators.estimate import rotation, sliced
 from plumbline.operators.posefit import fit_pose, fit_poses, project
 from plumbline.plans import common as c
 from plumbline.plans import reports
+from plumbline.sources import clouds
 from plumbline.streaming import folds
 from plumbline.streaming.capturing import Background
 from plumbline.streaming.folds import fed_together
@@ -95,3 +98,27 @@ def test_sessions_that_share_a_bucket_are_folded_as_alone(spark, monkeypatch):
     assert sorted(tuple(r) for r in replayed([rows], lambda r: folds.stream_folded(r, rule), "shared").collect()) == want
     late = with_heartbeat(rows).withColumn("arrives", F.col("stamp_us") + F.col("id") % 3 * 60_000_000)
     assert sorted(tuple(r) for r in replayed([late], lambda r: settled_folded(r, rule), "settled", by="arrives").collect()) == want
+
+
+def test_messages_read_together_are_those_read_one_by_one(spark):
+    """Two layouts, padded lines, empty messages and ones that can't be read, in one batch."""
+    rows = spark.range(60).selectExpr("id AS frame_id", "id AS stamp_us", "IF(id % 9 = 0, array(), transform(sequence(1, 1 + id % 4), k -> named_struct('x', k + id / 7, 'y', id * 1d, 'z', IF(k = 2, double('nan'), 0d), 'n', int(k)))) AS points")
+    layouts = ({"x": "f8", "n": "u2", "y": "f4", "z": "f8"}, False, 40, 2), ({"z": "f4", "y": "f8", "x": "f8"}, True, None, None)
+    packed = [clouds.packed(rows.where(f"id % 2 = {k}".replace("id", "frame_id")), *layout).toArrow().to_pylist() for k, layout in enumerate(layouts)]
+    messages = [m for pair in zip(*packed, strict=True) for m in pair]
+    messages[3] |= {"data": None}
+    messages[6] |= {"data": messages[6]["data"][:-9]}
+    messages[8] |= {"fields": messages[8]["fields"][:1]}
+    messages[11] |= {"fields": None}
+    messages[12] |= {"point_step": 20}
+    batch = pa.RecordBatch.from_pylist(messages, to_arrow_schema(T.StructType.fromDDL(clouds.MESSAGE))).slice(1)
+    wanted = ["x", "y", "z", "n"]
+    (_, numbers, of, index), = clouds.unpacked_together(batch, wanted)
+    want = [(i, k, *p) for i, m in enumerate(batch.to_pylist()) for k, p in enumerate(clouds.unpacked(m, wanted) if clouds.unpacked(m, wanted) is not None else [])]
+    assert len(want) > 60 and np.array_equal(np.column_stack([of, index, numbers]), np.array(want), equal_nan=True)
+
+
+def test_gathered_sessions_become_lists_a_few_at_once():
+    batch = pa.RecordBatch.from_pydict({"session": list(range(1203))})
+    assert [b.num_rows for b in sliced(iter([batch]))] == [500, 500, 203]
+    assert [x for b in sliced(iter([batch])) for x in b.column("session").to_pylist()] == list(range(1203))
