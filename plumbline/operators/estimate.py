@@ -148,6 +148,8 @@ def kabsch(pairs: DataFrame) -> DataFrame:
 
 #: Captures of the groups that are solved together: a task holds about 3 kB for each.
 TOGETHER = 20_000
+#: Sessions that are Python's lists at once.
+AT_ONCE = 500
 
 SOLVED = (
     "session {kind}, status string, n_captures int, n_inliers int, n_rejected int, elevation_used boolean, converged boolean, rank int, "
@@ -216,6 +218,13 @@ def _arrow(schema: str):
     return struct, to_arrow_schema(struct)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of gathered batches, of ``AT_ONCE`` sessions: as Python's lists a capture is about 1 kB."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def solved(captures: DataFrame, params: Params) -> DataFrame:
     """One row for each session. Fewer than 4 captures: status ``insufficient`` and nulls.
 
@@ -225,7 +234,7 @@ def solved(captures: DataFrame, params: Params) -> DataFrame:
     struct, arrow = _arrow(SOLVED.format(kind=captures.schema["session"].dataType.simpleString()))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = solutions_of(b.column("captures").to_pylist(), params)
             columns = [b.column("session") if n == "session" else [x.get(n) for x in found] for n in arrow.names]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
@@ -255,7 +264,7 @@ def leave_one_out(captures: DataFrame, solutions: DataFrame, params: Params) ->
         return [(k, groups[k][i]["capture_no"], e) for k, i, e in zip(which.tolist(), out.tolist(), errors.tolist(), strict=True)]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             sessions, groups, offsets, elevations = (b.column(c).to_pylist() for c in ("session", "captures", "offset", "elevation_used"))
             for some in _chunks([len(g) for g in groups], lambda n: n * n):
                 found = folds([groups[k] for k in some], [offsets[k] for k in some], [elevations[k] for k in some])

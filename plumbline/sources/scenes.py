@@ -32,9 +32,9 @@ def capture_scene(
     offset = np.asarray(params.offset) + [offset_error, 0, 0]
 
     def make(batches):
-        for batch in batches:
+        for some in (batch.session[at : at + 500] for batch in batches for at in range(0, len(batch), 500)):
             rows = []
-            for session in batch.session:
+            for session in some:
                 rng = np.random.default_rng(int(session))
                 for k in range(n):
                     raz = np.array([rng.uniform(0.5, 2.5), *np.radians([rng.uniform(-azimuth_deg, azimuth_deg), rng.uniform(-elevation_deg, elevation_deg)])])
@@ -57,9 +57,9 @@ def corner_scene(poses: DataFrame, board: list[tuple[float, float, float]], k: l
     def make(batches):
         from plumbline.operators.posefit import project
 
-        for batch in batches:
+        for some in (batch[at : at + 500] for batch in batches for at in range(0, len(batch), 500)):
             out = []
-            for frame, *pose in batch[["frame_id", "vx", "vy", "vz", "tx", "ty", "tz"]].itertuples(index=False):
+            for frame, *pose in some[["frame_id", "vx", "vy", "vz", "tx", "ty", "tz"]].itertuples(index=False):
                 uv = project(points, np.array(pose[:3]), np.array(pose[3:]), camera, bend)
                 uv = uv + np.random.default_rng(int(frame)).normal(size=uv.shape) * noise_px
                 out += [(frame, i, *x) for i, x in enumerate(uv)]
