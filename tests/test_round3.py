@@ -18,6 +18,7 @@ from plumbline.sources import clouds
 from plumbline.streaming import folds
 from plumbline.streaming.capturing import Background
 from plumbline.streaming.folds import fed_together
+from plumbline.streaming.pairing import WIDE, stream_pairs
 from plumbline.streaming.replay import replayed, with_heartbeat
 from plumbline.streaming.settled import settled_folded
 
@@ -122,3 +123,15 @@ def test_gathered_sessions_become_lists_a_few_at_once():
     batch = pa.RecordBatch.from_pydict({"session": list(range(1203))})
     assert [b.num_rows for b in sliced(iter([batch]))] == [500, 500, 203]
     assert [x for b in sliced(iter([batch])) for x in b.column("session").to_pylist()] == list(range(1203))
+
+
+def test_pairs_over_wide_buckets_are_whole_and_once(spark):
+    """Pairs at, within and beyond the slop, at edges of buckets too, each once."""
+    slop = 1000
+    left = spark.range(900).selectExpr("id", "1600000000000000 + id * 777 AS stamp_us")
+    right = spark.range(900).selectExpr("id", "1600000000000000 + id * 778 - 400 AS stamp_us")
+    got = replayed([left, right], lambda a, b: stream_pairs(a, b, slop), "paired").collect()
+    ls, rs = ([r.stamp_us for r in x.orderBy("id").collect()] for x in (left, right))
+    want = {(i, j): rs[j] - ls[i] for i in range(900) for j in range(900) if abs(rs[j] - ls[i]) <= slop}
+    assert {(r.left_id, r.right_id): r.dt_us for r in got} == want and len(got) == len(want)
+    assert 1 + 2 / WIDE < 1.5  # rows of the right side that the state keeps for each that came
