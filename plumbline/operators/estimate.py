@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,7 +149,7 @@ def kabsch(pairs: DataFrame) -> DataFrame:
 
 #: Captures of the groups that are solved together: a task holds about 3 kB for each.
 TOGETHER = 20_000
-#: Sessions that are Python's lists at once.
+#: Sessions whose captures a task has as arrays at once.
 AT_ONCE = 500
 
 SOLVED = (
@@ -180,36 +181,61 @@ def _chunks(sizes: list[int], copies=lambda n: n) -> Iterator[list[int]]:
         yield some
 
 
-def padded(groups: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Captures as p (G, N, 3), rb (G, N, 3, 3), tb (G, N, 3) and there (G, N); what is padded looks ahead."""
-    most = max(map(len, groups))
-    p, rb, tb = np.ones((len(groups), most, 3)), np.tile(np.eye(3), (len(groups), most, 1, 1)), np.ones((len(groups), most, 3))
-    there = np.zeros((len(groups), most), bool)
-    for k, g in enumerate(groups):
-        n = len(g)
-        p[k, :n], tb[k, :n] = [c["p"] for c in g], [c["tb"] for c in g]
-        rb[k, :n] = np.array([c["rb"] for c in g]).reshape(-1, 3, 3)
-        there[k, :n] = True
-    return p, rb, tb, there
-
-
-def solutions_of(groups: list[list[dict]], params: Params) -> list[dict]:
+@dataclass(frozen=True)
+class Captures:
+    """Captures of many groups, one after another: numbers (M,), p (M, 3), rb (M, 3, 3), tb (M, 3), and the groups' sizes (G,)."""
+
+    numbers: np.ndarray
+    p: np.ndarray
+    rb: np.ndarray
+    tb: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of_lists(cls, groups: list[list[dict]]) -> Captures:
+        flat = [c for g in groups for c in g]
+        p, rb, tb = (np.array([c[n] for c in flat], float).reshape(-1, *shape) for n, shape in (("p", (3,)), ("rb", (3, 3)), ("tb", (3,))))
+        return cls(np.array([c["capture_no"] for c in flat], int), p, rb, tb, np.array([len(g) for g in groups], int))
+
+    @classmethod
+    def of_arrow(cls, groups: pa.ListArray) -> Captures:
+        """Of a column of ``gathered``. A capture without its nine or three numbers is refused."""
+        sizes, flat = pc.list_value_length(groups).to_numpy(zero_copy_only=False), groups.flatten()
+        numbers, *lists = (flat.field(n) for n in ("capture_no", "p", "rb", "tb"))
+        parts = []
+        for column, shape in zip(lists, ((3,), (3, 3), (3,)), strict=True):
+            values = column.flatten()
+            if values.null_count or not (pc.list_value_length(column).to_numpy(zero_copy_only=False) == np.prod(shape)).all():
+                raise ValueError("a capture lacks numbers of its point or pose")
+            parts.append(values.to_numpy(zero_copy_only=False).reshape(-1, *shape))
+        return cls(numbers.to_numpy(zero_copy_only=False), *parts, sizes)
+
+    def padded(self, some: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Some groups' p (G, N, 3), rb (G, N, 3, 3), tb (G, N, 3), there (G, N) and numbers (G, N); what is padded looks ahead."""
+        sizes = self.sizes[some]
+        there = np.arange(sizes.max()) < sizes[:, None]
+        at = np.where(there, (np.cumsum(self.sizes) - self.sizes)[some][:, None] + np.arange(sizes.max()), 0)
+        filled = lambda values, ahead: np.where(there.reshape(*there.shape, *[1] * np.ndim(ahead)), values[at], ahead)
+        return filled(self.p, np.ones(3)), filled(self.rb, np.eye(3)), filled(self.tb, np.ones(3)), there, self.numbers[at]
+
+
+def solutions_of(groups: list[list[dict]] | Captures, params: Params) -> list[dict]:
     """The columns of ``SOLVED`` but the session for each group of captures."""
-    out: list[dict] = [{"status": "insufficient", "n_captures": len(g)} for g in groups]
-    able = [k for k, g in enumerate(groups) if len(g) >= 4]
-    for chunk in _chunks([len(groups[k]) for k in able]):
+    all_ = groups if isinstance(groups, Captures) else Captures.of_lists(groups)
+    sizes = all_.sizes.tolist()
+    out: list[dict] = [{"status": "insufficient", "n_captures": n} for n in sizes]
+    able = [k for k, n in enumerate(sizes) if n >= 4]
+    for chunk in _chunks([sizes[k] for k in able]):
         some = [able[k] for k in chunk]
-        p, rb, tb, there = padded([groups[k] for k in some])
+        p, rb, tb, there, numbers = all_.padded(some)
         elevation = batched.has_elevation(p, there, params)
         s = batched.maximum_likelihood(p, rb, tb, there, params, elevation)
         sigma = np.sqrt(np.clip(np.einsum("gii->gi", s.cov), 0, None))
-        for i, k in enumerate(some):
-            inside = [c["capture_no"] for c, good in zip(groups[k], s.inliers[i], strict=False) if good]
-            out[k] |= {
-                "status": "solved", "n_inliers": len(inside), "n_rejected": len(groups[k]) - len(inside), "elevation_used": bool(elevation[i]), "converged": bool(s.converged[i]), "rank": int(s.rank[i]),
-                "r": s.r[i].ravel().tolist(), "t": s.t[i].tolist(), "offset": s.offset[i].tolist(), "sigma": sigma[i].tolist(), "offset_sigma": s.offset_sigma[i].tolist(),
-                "rms_sigma": float(s.rms_sigma[i]), "inliers": inside,
-            }
+        found = {"elevation_used": elevation, "converged": s.converged, "rank": s.rank, "r": s.r.reshape(-1, 9), "t": s.t, "offset": s.offset, "sigma": sigma, "offset_sigma": s.offset_sigma, "rms_sigma": s.rms_sigma}
+        rows = zip(*[v.tolist() for v in found.values()], strict=True)
+        for i, (k, row) in enumerate(zip(some, rows, strict=True)):
+            inside = numbers[i][s.inliers[i]].tolist()
+            out[k] |= {"status": "solved", "n_inliers": len(inside), "n_rejected": sizes[k] - len(inside), "inliers": inside} | dict(zip(found, row, strict=True))
     return out
 
 
@@ -219,7 +245,7 @@ def _arrow(schema: str):
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of gathered batches, of ``AT_ONCE`` sessions: as Python's lists a capture is about 1 kB."""
+    """Slices of gathered batches, of ``AT_ONCE`` sessions."""
     for b in batches:
         for at in range(0, b.num_rows, AT_ONCE):
             yield b.slice(at, AT_ONCE)
@@ -235,7 +261,7 @@ def solved(captures: DataFrame, params: Params) -> DataFrame:
 
     def run(batches):
         for b in sliced(batches):
-            found = solutions_of(b.column("captures").to_pylist(), params)
+            found = solutions_of(Captures.of_arrow(b.column("captures")), params)
             columns = [b.column("session") if n == "session" else [x.get(n) for x in found] for n in arrow.names]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
@@ -253,23 +279,26 @@ def leave_one_out(captures: DataFrame, solutions: DataFrame, params: Params) ->
     struct, arrow = _arrow(f"session {captures.schema['session'].dataType.simpleString()}, fold int, sigma_error double")
     plain = Params().with_values(sigma_range_m=params.sigma_range_m, sigma_az_deg=params.sigma_az_deg, sigma_el_deg=params.sigma_el_deg)
 
-    def folds(groups, offsets, elevations):
-        p, rb, tb, there = padded(groups)
+    def folds(captures, offsets, elevations, some):
+        p, rb, tb, there, numbers = captures.padded(some)
         which, out = np.nonzero(there)
-        p, rb, tb, there, elevation = p[which], rb[which], tb[which], there[which], np.array(elevations)[which]
+        offset, elevation = offsets[some][which], elevations[some][which]
+        p, rb, tb, there = p[which], rb[which], tb[which], there[which]
         alone = np.zeros_like(there)
         alone[np.arange(len(out)), out] = True
-        s = batched.maximum_likelihood(p, rb, tb, there & ~alone, plain, elevation, np.array(offsets, float)[which], solve_offset=False, priors=False, max_iter=3)
-        errors = batched.held_out_errors(s, p, rb, tb, there, plain, elevation)[np.arange(len(out)), out]
-        return [(k, groups[k][i]["capture_no"], e) for k, i, e in zip(which.tolist(), out.tolist(), errors.tolist(), strict=True)]
+        s = batched.maximum_likelihood(p, rb, tb, there & ~alone, plain, elevation, offset, solve_offset=False, priors=False, max_iter=3, sure=False, bends=True)
+        errors = batched.held_out_errors(s, p, rb, tb, alone, plain, elevation)[np.arange(len(out)), out]
+        return np.array(some)[which], numbers[which, out], errors
 
     def run(batches):
         for b in sliced(batches):
-            sessions, groups, offsets, elevations = (b.column(c).to_pylist() for c in ("session", "captures", "offset", "elevation_used"))
-            for some in _chunks([len(g) for g in groups], lambda n: n * n):
-                found = folds([groups[k] for k in some], [offsets[k] for k in some], [elevations[k] for k in some])
-                columns = [[sessions[some[k]] for k, _, _ in found], [i for _, i, _ in found], [e for _, _, e in found]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            captures = Captures.of_arrow(b.column("captures"))
+            offsets = b.column("offset").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+            elevations = b.column("elevation_used").to_numpy(zero_copy_only=False).astype(bool)
+            for some in _chunks(captures.sizes.tolist(), lambda n: n * n):
+                which, numbers, errors = folds(captures, offsets, elevations, some)
+                columns = [b.column("session").take(pa.array(which)), numbers, errors]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return gathered(rows, "offset", "elevation_used").mapInArrow(run, struct)
 
