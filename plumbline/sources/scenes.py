@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import batched
 from plumbline.operators.estimate import euler_rotation, rotation
 from plumbline.schemas import Params
 
@@ -31,23 +32,43 @@ def capture_scene(
     sigma = noise * np.array([params.sigma_range_m, np.radians(params.sigma_az_deg), np.radians(params.sigma_el_deg)])
     offset = np.asarray(params.offset) + [offset_error, 0, 0]
 
+    def numbers(session):
+        """A session's random numbers, in the order in which its captures take them: where it is, axis and size of its tilt, whether it is wild, its noise or wild reading."""
+        rng = np.random.default_rng(session)
+        where, axis, tilt, noisy, at = np.empty((n, 3)), np.empty((n, 3)), np.empty((n, 2)), np.zeros((n, 3)), np.zeros((n, 3))
+        for k in range(n):
+            rng.random(out=where[k])
+            rng.standard_normal(out=axis[k])
+            rng.random(out=tilt[k])
+            if tilt[k, 1] < outliers:
+                rng.random(out=at[k])
+            else:
+                rng.standard_normal(out=noisy[k])
+        return where, axis, tilt, noisy, at
+
+    def between(u, low, high):
+        return low + (high - low) * u
+
+    def points(raz):
+        far, az, el = np.moveaxis(raz, -1, 0)
+        return np.stack([far * np.cos(el) * np.cos(az), far * np.cos(el) * np.sin(az), far * np.sin(el)], axis=-1)
+
+    reach = np.array([azimuth_deg, elevation_deg])
+
     def make(batches):
         for some in (batch.session[at : at + 500] for batch in batches for at in range(0, len(batch), 500)):
-            rows = []
-            for session in some:
-                rng = np.random.default_rng(int(session))
-                for k in range(n):
-                    raz = np.array([rng.uniform(0.5, 2.5), *np.radians([rng.uniform(-azimuth_deg, azimuth_deg), rng.uniform(-elevation_deg, elevation_deg)])])
-                    point = lambda s: s[0] * np.array([np.cos(s[2]) * np.cos(s[1]), np.cos(s[2]) * np.sin(s[1]), np.sin(s[2])])
-                    axis = rng.normal(size=3)
-                    rb = rotation(axis / np.linalg.norm(axis) * np.radians(rng.uniform(0, 45)))
-                    tb = r @ point(raz) + t - rb @ offset
-                    wild = bool(rng.random() < outliers)
-                    seen = point(np.array([rng.uniform(0.5, 2.5), *rng.uniform(-1, 1, 2)]) if wild else raz + sigma * rng.normal(size=3))
-                    rows.append((session, k + 1, seen, rb.ravel(), tb, wild))
-            yield pd.DataFrame(rows, columns=["session", "capture_no", "p", "rb", "tb", "outlier"])
-
-    return sessions.select(F.col("session").cast("long")).mapInPandas(make, SCENE)
+            where, axis, tilt, noisy, at = (np.concatenate(x) for x in zip(*[numbers(int(session)) for session in some], strict=True))
+            raz = np.column_stack([between(where[:, 0], 0.5, 2.5), np.radians(between(where[:, 1:], -reach, reach))])
+            rb = batched.rotations(axis / np.linalg.norm(axis, axis=1)[:, None] * np.radians(between(tilt[:, :1], 0, 45)))
+            tb = points(raz) @ r.T + t - rb @ offset
+            wild = tilt[:, 1] < outliers
+            seen = points(np.where(wild[:, None], np.column_stack([between(at[:, 0], 0.5, 2.5), between(at[:, 1:], -1, 1)]), raz + sigma * noisy))
+            columns = {"session": np.repeat(some.to_numpy(), n), "capture_no": np.tile(np.arange(1, n + 1), len(some)), "p": list(seen), "rb": list(rb.reshape(-1, 9)), "tb": list(tb), "outlier": wild}
+            yield pd.DataFrame(columns)
+
+    # a session is a few bytes and makes captures for milliseconds: a small file's one part would be one task's
+    parts = max(int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions")), sessions.sparkSession.sparkContext.defaultParallelism)
+    return sessions.select(F.col("session").cast("long")).repartition(parts, "session").mapInPandas(make, SCENE)
 
 
 def corner_scene(poses: DataFrame, board: list[tuple[float, float, float]], k: list[float], d: list[float], noise_px: float = 0.0) -> DataFrame:

@@ -18,6 +18,7 @@ from plumbline.plans import common as c
 from plumbline.plans import reports
 from plumbline.schemas import Params
 from plumbline.sources import clouds
+from plumbline.sources.scenes import capture_scene
 from plumbline.streaming import folds
 from plumbline.streaming.capturing import Background
 from plumbline.streaming.folds import fed_together
@@ -140,6 +141,16 @@ def test_pairs_over_wide_buckets_are_whole_and_once(spark):
     assert 1 + 2 / WIDE < 1.5  # rows of the right side that the state keeps for each that came
 
 
+def test_a_scene_of_few_bytes_is_made_by_many_tasks(spark):
+    """Sessions in one part, as a small file has them: their captures are spread, and don't depend on it."""
+    one = spark.range(0, 40, 1, 1).withColumnRenamed("id", "session")
+    scene = capture_scene(one, n=3)
+    spread = [r.n for r in scene.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(spread) >= 6 and sum(spread) == 120
+    alone = capture_scene(one.where("session = 7"), n=3).orderBy("capture_no").collect()
+    assert scene.where("session = 7").orderBy("capture_no").collect() == alone
+
+
 def _groups(n, size):
     """Captures of sessions as lists, of 4 to ``size`` each, with noise."""
     rng = np.random.default_rng(5)
