@@ -15,7 +15,7 @@ from plumbline.operators import batched
 from plumbline.operators.estimate import Captures, rotation, sliced
 from plumbline.operators.posefit import fit_pose, fit_poses, project
 from plumbline.plans import common as c
-from plumbline.plans import reports
+from plumbline.plans import estimation, reports
 from plumbline.schemas import Params
 from plumbline.sources import clouds
 from plumbline.sources.scenes import capture_scene
@@ -195,3 +195,22 @@ def test_folds_end_where_plain_steps_do_in_fewer(monkeypatch):
         counts.append(work[0])
     assert np.allclose(found[0].r, found[1].r, atol=1e-6) and np.allclose(found[0].t, found[1].t, atol=1e-6) and (found[0].inliers == found[1].inliers).all()
     assert counts[1] < 0.9 * counts[0], counts
+
+
+def test_a_fit_far_from_the_truth_is_the_lowest_minimum(spark, tmp_path):
+    """The farthest session of ``solve_noisy`` on a copy of sf0.1 (9 degrees off): from the truth and from around it no fit costs less, and the truth costs more."""
+    duckdb.sql(f"COPY (SELECT * REPLACE (event_id + 100000 AS event_id, user_id + 1500 AS user_id) FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id = 792) TO '{tmp_path}/events.parquet'")
+    params = estimation.NOISY
+    rows = estimation._noisy(spark, str(tmp_path)).orderBy("capture_no").collect()
+    p, rb, tb, there, _ = Captures.of_lists([[r.asDict() for r in rows]]).padded([0])
+    elevation, offset = batched.has_elevation(p, there, params), np.array([params.offset])
+    got = batched.maximum_likelihood(p, rb, tb, there, params, elevation)
+    truth = np.concatenate([batched.rotation_vectors(np.array(estimation.TRUE_R).reshape(1, 3, 3)), [estimation.TRUE_T], offset], axis=1)
+    groups = batched.Groups(p, rb, tb, there, params, elevation, True, True, offset)
+    cost = lambda x: batched._huber(groups.residuals(x, got.inliers), params.huber)[0][0]
+    found = cost(np.concatenate([batched.rotation_vectors(got.r), got.t, got.offset], axis=1))
+    assert 8 < np.degrees(np.linalg.norm(batched.rotation_vectors(got.r[0].T @ np.array(estimation.TRUE_R).reshape(3, 3)))) < 10
+    rng = np.random.default_rng(0)
+    for start in [truth] + [truth + rng.normal(size=truth.shape) * ([0.5] * 3 + [0.1] * 6) for _ in range(10)]:
+        assert cost(batched._minimised(groups, start, got.inliers, params.huber)) > found - 1e-9
+    assert cost(truth) > found + 1
