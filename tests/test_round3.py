@@ -7,11 +7,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import second_solver
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.operators import batched
+from plumbline.operators import estimate as e
 from plumbline.operators.estimate import Captures, rotation, sliced
 from plumbline.operators.posefit import fit_pose, fit_poses, project
 from plumbline.plans import common as c
@@ -214,3 +216,21 @@ def test_a_fit_far_from_the_truth_is_the_lowest_minimum(spark, tmp_path):
     for start in [truth] + [truth + rng.normal(size=truth.shape) * ([0.5] * 3 + [0.1] * 6) for _ in range(10)]:
         assert cost(batched._minimised(groups, start, got.inliers, params.huber)) > found - 1e-9
     assert cost(truth) > found + 1
+
+
+def test_fits_far_from_the_truth_are_those_of_the_second_solver(spark, tmp_path):
+    """Three sessions of ``solve_noisy`` on copies of sf0.1 with keys shifted in two ways: more than 8 degrees off by the solver with numeric derivatives, too."""
+    copies = (792, 100_000, 1500), (864, 200_000, 3000), (1175, 40_000_000, 40_000_000)
+    rows = " UNION ALL ".join(f"SELECT * REPLACE (event_id + {by} AS event_id, user_id + {to} AS user_id) FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id = {user}" for user, by, to in copies)
+    duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/events.parquet'")
+    captures = estimation._noisy(spark, str(tmp_path))
+    found = {r.session: r for r in e.solved(captures, estimation.NOISY).collect()}
+    assert sorted(found) == [user + to for user, _, to in copies]
+    true = np.array(estimation.TRUE_R).reshape(3, 3)
+    for session, got in found.items():
+        some = captures.where(F.col("session") == session).orderBy("capture_no").collect()
+        p, rb, tb = (np.array([r[n] for r in some]) for n in ("p", "rb", "tb"))
+        want = second_solver.maximum_likelihood(p, rb.reshape(-1, 3, 3), tb, estimation.NOISY, got.elevation_used)
+        assert np.allclose(got.r, want.r.ravel(), atol=1e-7) and np.allclose(got.t, want.t, atol=1e-7) and np.allclose(got.offset, want.offset, atol=1e-7)
+        assert got.inliers == [r.capture_no for r, good in zip(some, want.inliers, strict=True) if good]
+        assert 8 < np.degrees(np.linalg.norm(e.rotvec(want.r.T @ true))) < 10
