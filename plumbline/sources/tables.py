@@ -49,10 +49,11 @@ def board_corners(spark: SparkSession, squares_x: int, squares_y: int, square: f
 POINT_KEY = ("k1", "k2", "k3", "k4")
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as detections: (frame_id, k1..k4, x, y, z, snr, doppler)."""
+def points(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """lineitem as detections: (frame_id, k1..k4, x, y, z, snr, doppler); ``dealt`` by frame while they are lineitem's few numbers still."""
     az, el, r = F.radians(F.col("l_partkey") % 121 - 60), F.radians(F.col("l_suppkey") % 41 - 20), F.col("l_quantity") / 15
-    raw = table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem")
+    raw = (rows.repartition("l_orderkey") if dealt else rows).select(
         F.col("l_orderkey").alias("frame_id"),
         F.col("l_linenumber").alias("k1"), F.col("l_partkey").alias("k2"), F.col("l_suppkey").alias("k3"), F.col("l_extendedprice").alias("k4"),
         (r * F.cos(el) * F.cos(az)).alias("x"), (r * F.cos(el) * F.sin(az)).alias("y"), (r * F.sin(el)).alias("z"),

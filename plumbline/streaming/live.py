@@ -9,8 +9,15 @@ from __future__ import annotations
 import math
 from collections.abc import Generator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.operators import batched
 from plumbline.operators.capture import Captures
@@ -194,6 +201,90 @@ class GatedSelect:
         return self.grids[session, state["version"]]
 
 
+@dataclass(frozen=True)
+class Versions:
+    """Each frame's background version, as ``GatedSelect`` has it, from ``filled`` (whether its cloud has points) alone.
+
+    ``cloud`` is the number of the cloud in a table, ``place`` its place (from 1) among those that are pooled, null if
+    it isn't. So a stream's state needn't hold clouds.
+    """
+
+    frames: int
+    columns: tuple[str, ...] = ("cmd", "filled", "cloud")
+    schema: str = "session long, stamp_us long, id long, cloud long, version int, place int"
+
+    def start(self) -> dict:
+        return {"version": 0, "pooled": None}
+
+    def step(self, state: dict, session: int, stamp: int, key: int, cmd: str | None, filled: bool | None, cloud: int | None) -> list[tuple]:
+        if cmd == "background":
+            state["pooled"] = 0
+        if cmd is not None:
+            return []
+        place = None
+        if filled and state["pooled"] is not None:
+            place = state["pooled"] = state["pooled"] + 1
+            if place == self.frames:
+                state.update(version=state["version"] + 1, pooled=None)
+        return [(session, stamp, key, cloud, state["version"], place)]
+
+
+def numbered(clouds: DataFrame, params: Params) -> DataFrame:
+    """Clouds with a number (``cloud``), whether they have points (``filled``), and of these the ones that any gate may
+    have to do with: in range, or so near to it that they may reject one that is. To be written before use, as the numbers
+    are new each time."""
+    there = lambda q: reduce(and_, (q[n].isNotNull() & ~F.isnan(q[n]) for n in CLOUD))
+    reach = params.bg_match_dist + 1e-6
+    far = lambda q: F.sqrt(sum((q[n] * q[n] for n in CLOUD[1:3]), q[CLOUD[0]] * q[CLOUD[0]]))
+    some = clouds.withColumn("there", F.filter(F.arrays_zip(*CLOUD), there))
+    some = some.withColumns({"cloud": F.monotonically_increasing_id(), "filled": F.coalesce(F.size("there") > 0, F.lit(False))})
+    some = some.withColumn("there", F.filter("there", lambda q: far(q).between(params.min_range - reach, params.max_range + reach)))
+    return some.withColumns({n: F.col(f"there.{n}") for n in CLOUD}).drop("there")
+
+
+def returns_of(frames: DataFrame, clouds: DataFrame, rule: GatedSelect) -> DataFrame:
+    """The rule's rows from those of ``Versions`` and the table of ``numbered`` clouds.
+
+    Both are dealt once, by session, and met in order of their stamps: a task holds one cloud and one background.
+    Clouds that the stream gave no frame for, as they came too late, give nothing.
+    """
+    struct = T.StructType.fromDDL(rule.schema)
+    arrow, gates, key = to_arrow_schema(struct), Gates(rule.params), ("session", "stamp_us", "id", "cloud")
+    names = (*key, "version", "place", *CLOUD, "cam_range", "px", "py", "pz")
+    both = frames.select(*key, "version", "place").unionByName(clouds.select(*key, *CLOUD, "cam_range", "px", "py", "pz"), allowMissingColumns=True)
+    ordered = both.select(*names).repartition("session").sortWithinPartitions(*key, F.isnull("version"))  # a frame before its cloud
+
+    def run(batches):
+        at = frame = background = None
+        pooled: list = []
+        for batch in batches:
+            out = []
+            for session, stamp, id_, cloud, version, place, *values in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if at != session:
+                    at, frame, background, pooled = session, None, None, []
+                if version is not None:
+                    frame = cloud, version, place
+                    continue
+                if frame is None or frame[0] != cloud:
+                    continue
+                _, version, place = frame
+                *columns, cam_range, px, py, pz = values
+                points = _points(columns)
+                if place is not None:
+                    pooled = [*(pooled if place > 1 else []), *(q[:3] for q in points)]
+                    if place == rule.frames:
+                        background, pooled = Grid(pooled, rule.params.bg_match_dist), []
+                if rule.params.require_background and not version:
+                    continue
+                best = gates.chosen(points, background, (px, py, pz) if px is not None else None, cam_range)
+                if best is not None:
+                    out.append((session, stamp, id_, version, *best))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return ordered.mapInArrow(run, struct)
+
+
 @dataclass(frozen=True)
 class LiveLoop:
     """Frames to captures to solutions, each of which gates the frames after it.
