@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators import batched, posefit
+from plumbline.plans import common as c
 from plumbline.plans import live
 from plumbline.schemas import Params
 from plumbline.storage import written
@@ -66,3 +69,20 @@ def test_a_stream_that_selects_returns_is_fed_no_clouds(spark, monkeypatch):
     monkeypatch.setattr(live, "replayed", lambda tables, *rest, **more: fed.extend(tables) or replayed(tables, *rest, **more))
     assert live.stream_select(spark, "/root/testdata/sf0.001").count() > 0
     assert fed and not [f.name for t in fed for f in t.schema if isinstance(f.dataType, T.ArrayType)]
+
+
+def test_boards_tilted_wrongly_have_the_least_pixel_error(spark):
+    """The six frames of ``board_pose_noisy`` on sf0.1 that differ from its SQL: the minimum that the truth leads to costs more, and no start around it leads to a lower one."""
+    board, k, d = np.array([(i % 8 * 0.02, i // 8 * 0.02, 0.0) for i in range(48)]), np.array(c.K).reshape(3, 3), np.array(c.D)
+    frames = (163, 394, 547, 699, 725, 758)
+    truth = np.array([(0, (f % 7 - 3) / 10, 0, (f % 5 - 2) / 20, (f % 3 - 1) / 20, 1 + f % 11 / 20) for f in frames])
+    pixels = np.array([posefit.project(board, x[:3], x[3:], k, d) + np.random.default_rng(f).normal(size=(48, 2)) * 0.5 for f, x in zip(frames, truth, strict=True)])
+    boards, there = np.tile(board, (6, 1, 1)), np.ones((6, 48), bool)
+    v, _, error = posefit.fit_poses(boards, pixels, there, k, d)
+    off = lambda v: np.abs(batched.rotations(v) - batched.rotations(truth[:, :3])).max(axis=(1, 2))
+    near, cost = posefit._refined(truth, boards, pixels, there, k, d)
+    assert (off(v) > 0.3).all() and (off(near[:, :3]) < 0.1).all() and (cost > (error * 48) ** 2 + 0.05).all()
+    draw = np.random.default_rng(0)
+    for _ in range(10):
+        x, cost = posefit._refined(truth + draw.normal(size=(6, 6)) * ([0.3] * 3 + [0.03] * 3), boards, pixels, there, k, d)
+        assert (np.where(x[:, 5] > 0, cost, np.inf) > (error * 48) ** 2 - 1e-6).all()
